@@ -1,0 +1,4 @@
+"""The registered queries over the driver's tables, and SQL that gives the same rows."""
+
+QUERIES = {}
+ORACLE_SQL = {}
