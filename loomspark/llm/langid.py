@@ -146,7 +146,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, cells: int = CELLS) -> Model:
         for kind, table in (("g", grams), ("s", scripts), ("d", docs[:, None])):
             lang, cell = np.nonzero(table)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([kind] * len(lang)), pa.array(lang), pa.array(cell), pa.array(table[lang, cell])],
+                [pa.array([kind] * len(lang), pa.string()), pa.array(lang), pa.array(cell), pa.array(table[lang, cell])],
                 names=["kind", "lang", "cell", "n"],
             )
 
