@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 FIT_ROWS = 8000
 #: Trigram counts are kept in this many hashed cells a language.
 CELLS = 1 << 16
+#: A text counts a trigram by the square root of its number, so that one long text with few
+#: words doesn't stand for its language; kept as whole numbers, whose sums don't depend on order.
+COUNT_UNIT = 16
 #: Languages that a model can tell apart, which bounds its size.
 MAX_LANGUAGES = 200
 #: What a switch of language costs on the path, in nats.
@@ -140,7 +143,8 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, cells: int = CELLS) -> Model:
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = letters_of([text or ""], cells)
-                grams[index[lang]] += np.bincount(found.cell, minlength=cells)
+                own, n = np.unique(found.cell, return_counts=True)
+                grams[index[lang], own] += np.rint(COUNT_UNIT * np.sqrt(n)).astype(np.int64)
                 scripts[index[lang]] += np.bincount(script[found.code], minlength=len(SCRIPTS))
                 docs[index[lang]] += 1
         for kind, table in (("g", grams), ("s", scripts), ("d", docs[:, None])):
@@ -159,7 +163,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, cells: int = CELLS) -> Model:
         tables[k] = np.zeros((len(languages), width))
         own = kind == k
         tables[k][sums["lang"].to_numpy()[own], sums["cell"].to_numpy()[own]] = sums["n"].to_numpy()[own]
-    grams = tables["g"] + 0.1
+    grams = tables["g"] / COUNT_UNIT + 0.1
     share = tables["s"] / np.maximum(tables["s"].sum(axis=1, keepdims=True), 1)
     allowed = (share >= SCRIPT_SHARE).T
     allowed |= ~allowed.any(axis=1, keepdims=True)  # an unknown script excludes none

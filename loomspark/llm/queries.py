@@ -67,7 +67,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(_table(spark, sf_dir, "documents"))
     counts = (
-        F.size(F.filter("base", lambda x, n=n: x["k"] == n)).cast("long").alias(f"n_{kind}") for n, kind in enumerate(pii.KINDS)
+        F.expr(f"bigint(size(filter(base, x -> x.k = {n})))").alias(f"n_{kind}") for n, kind in enumerate(pii.KINDS)
     )
     return found.select(
         "doc_id",
