@@ -48,7 +48,8 @@ class DigestIndex:
         best = F.struct(
             (-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id")
         )
-        fresh = digests.groupBy("digest").agg(F.min(best).alias("best"), F.count("*").alias("group_size"))
+        # written, or the optimiser joins before it groups and shuffles every row
+        fresh = written(digests.groupBy("digest").agg(F.min(best).alias("best"), F.count("*").alias("group_size")), "fresh")
         (
             fresh.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
             .select("digest", F.col("best.id").alias("keep_id"), "group_size")
