@@ -12,9 +12,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import io
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -271,30 +269,6 @@ def archive_pages(pages: DataFrame, folder: str, **options) -> DataFrame:
 
 
 # ---- reading ---------------------------------------------------------------------------
-class _Members(io.RawIOBase):
-    """The uncompressed bytes of a file of gzip members, without reading it whole."""
-
-    def __init__(self, stream):
-        self.stream, self.rest, self.out = stream, b"", zlib.decompressobj(31)
-
-    def readable(self) -> bool:
-        return True
-
-    def readinto(self, buffer) -> int:
-        while True:
-            data = self.out.decompress(self.rest, len(buffer))
-            self.rest = self.out.unconsumed_tail
-            if data:
-                buffer[: len(data)] = data
-                return len(data)
-            if self.out.eof:
-                self.rest, self.out = self.out.unused_data, zlib.decompressobj(31)
-            if not self.rest:
-                self.rest = self.stream.read(1 << 20)
-                if not self.rest:
-                    return 0
-
-
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record
     of the archives that the manifest lists.  Digests are checked; a record that is damaged
@@ -311,7 +285,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
             for name in batch.column(0).to_pylist():
                 rows: list[tuple] = []
                 with files.open_input_stream(f"{root}/{name}", compression=None) as stream:
-                    for headers, block in read_records(io.BufferedReader(_Members(stream), 1 << 16)):
+                    for headers, block in read_records(gzip.GzipFile(fileobj=stream)):
                         rows.append(parse_record(headers, block))
                         if len(rows) >= 10_000:
                             yield flush(rows)
