@@ -16,6 +16,9 @@ SPACE_CHARS = " \t\n\x0b\f\r"
 #: A group with more than 1/HOT_SHARE of all rows is hot, so at most HOT_SHARE groups are.
 HOT_SHARE = 1000
 
+#: Bitmaps of a sieve: 4 MB together.
+SIEVE_MAPS = 1024
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -64,21 +67,20 @@ def spread_join(
 
     ``size`` names the column of ``groups`` with the number of rows of each group and
     ``total`` is the sum of them.  Groups with over ``total / HOT_SHARE`` rows are at most
-    HOT_SHARE in number, so broadcasting them is bounded; their rows get scattered keys in
-    the shuffle join that serves all other groups.  ``key`` must be a string column that is
-    never null.  Columns of ``groups`` besides the key must not clash with those of ``rows``.
+    HOT_SHARE in number, so broadcasting them is bounded; their rows get a salt in the
+    shuffle join that serves all other groups, where they find nothing.  ``key`` is never
+    null.  Columns of ``groups`` besides the key must not clash with those of ``rows``.
     """
     hot_from = max(2, total // HOT_SHARE)
     values = [c for c in groups.columns if c != key]
     hot = groups.where(F.col(size) > hot_from).select(key, *(F.col(c).alias(f"_hot_{c}") for c in values))
-    cold = groups.where(F.col(size) <= hot_from).withColumnRenamed(key, "_cold_key")
-    scattered = F.when(
-        F.col(f"_hot_{size}").isNotNull(), F.concat(F.lit("hot:"), F.xxhash64(row_id).cast("string"))
-    ).otherwise(F.col(key))
+    cold = groups.where(F.col(size) <= hot_from).withColumn("_salt", F.lit(0).cast("long"))
+    is_hot = F.col(f"_hot_{size}").isNotNull()
+    salt = F.when(is_hot, F.abs(F.xxhash64(row_id) % 1_000_003) + 1).otherwise(F.lit(0).cast("long"))
     return (
         rows.join(F.broadcast(hot), key, "left")
-        .withColumn("_cold_key", scattered)
-        .join(cold, "_cold_key", "left")
+        .withColumn("_salt", salt)
+        .join(cold, [key, "_salt"], "left")
         .select(
             *(F.col(c) for c in rows.columns),
             *(F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in values),
@@ -86,6 +88,31 @@ def spread_join(
     )
 
 
+def sifted(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """The ``rows`` whose key is among ``wanted``'s keys, and a few others.
+
+    A filter to go before a shuffle join: keys are hashed to the bits of SIEVE_MAPS bitmaps
+    of 4 KB, which are broadcast, so what is sent has a fixed bound; the more keys there
+    are, the more other rows pass.  Null keys are keys as others are.
+    """
+    bits = 32_768
+
+    def place(key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(SIEVE_MAPS * bits))
+
+    maps = wanted.select(place(wanted_key).alias("p")).groupBy((F.col("p") / bits).cast("int").alias("_map"))
+    maps = maps.agg(F.bitmap_construct_agg(F.col("p") % bits).alias("_bits"))
+    at = F.col("_place") % bits
+    byte = F.conv(F.hex(F.expr("substring(_bits, int(_place % 32768 div 8) + 1, 1)")), 16, 10).cast("int")
+    return (
+        rows.withColumn("_place", place(key))
+        .withColumn("_map", (F.col("_place") / bits).cast("int"))
+        .join(F.broadcast(maps), "_map")
+        .where(F.getbit(byte, (at % 8).cast("int")) == 1)
+        .select(*rows.columns)
+    )
+
+
 def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` but for the rows whose id is in ``dropped``; rows without an id stay."""
     gone = dropped.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
@@ -107,10 +134,10 @@ def min_label_components(edges: DataFrame, name: str) -> DataFrame:
             both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:  # each edge from its larger end to its smaller one
             both = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a").alias("_a"), F.least("a", "m").alias("m")
-        )
-        joined = both.join(least, F.col("a") == F.col("_a"))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("ends"))
+        least = written(least, f"{name}-least")
+        # a hub can have a third of all edges
+        joined = spread_join(both, least, "a", F.col("b"), "ends", least.agg(F.sum("ends")).first()[0] or 0)
         if large:
             moved = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:

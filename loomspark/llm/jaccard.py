@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._shared import SPACE_CHARS, min_label_components, spread_join, without_ids, written
+from loomspark.llm._shared import SPACE_CHARS, min_label_components, sifted, spread_join, without_ids, written
 
 THRESHOLD = 0.8
 WORDS = 5
@@ -233,7 +233,8 @@ def _units(reps: DataFrame, unit_texts: int, unit_shingles: int) -> DataFrame:
         .where(F.col("texts") > 1),
         "buckets",
     )
-    met = written(entries.join(buckets, ["tree", "key"]), "met")
+    # labels of different trees differ too
+    met = written(sifted(entries, F.col("key"), buckets, F.col("key")).join(buckets, ["tree", "key"]), "met")
     edges = met.select(F.col("hub").alias("a"), F.col("digest").alias("b"))
     candidates = written(
         min_label_components(edges, "candidates")
@@ -298,7 +299,10 @@ def similarity_classes(
     wanted = units.select("digest").distinct().join(reps, "digest").select("digest", "rep", "copies", "keys")
     wanted = written(wanted, "wanted")
     ids = wanted.select(F.col("rep").alias("_id"))
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # the sieve first: few texts are candidates, and whole texts are what a shuffle costs most
+    # for; an inner join, since the optimiser would move a semi-join to before the sieve
+    texts = sifted(docs.select("doc_id", "text"), F.col("doc_id"), ids, F.col("_id"))
+    texts = texts.join(ids.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")))
     sets = _shingled(texts, words).groupBy("digest").agg(F.first("shingles").alias("shingles"))
     payload = written(wanted.drop("rep").join(sets, "digest"), "shingles")
     found = written(
