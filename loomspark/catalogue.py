@@ -1,4 +1,576 @@
-"""The registered queries over the driver's tables, and SQL that gives the same rows."""
+"""The registered queries over the driver's tables, and SQL that gives the same rows.
 
-QUERIES = {}
-ORACLE_SQL = {}
+The tables stand for messages: ``events`` for items with gaps, ``conversations`` for threads by
+reference, ``orders`` and ``lineitem`` for drafts with citations.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspark.functions import text as T
+from loomspark.operators import classify, reads, rules, threads, upsert
+from loomspark.sources import scans
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Day gap of sessions on ``events``, which cover a month.
+EVENT_RULE = threads.ThreadingRule("item-v1", "lone-v1", True, False, "1 day")
+REFERENCE_RULE = threads.ThreadingRule("order-v1", "single-v1")
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages: errors have no item, purchases go out."""
+    return table(spark, sf_dir, "events").select(
+        F.lit("events").alias("marketplace"), F.col("event_id").alias("source_pk"), F.lit(1).alias("sub_source_id"),
+        F.when(F.col("event_type") != "error", F.col("event_type")).alias("listing_item_ref"),
+        F.col("user_id").cast("string").alias("counterparty_ref"),
+        F.when(F.col("event_type") == "purchase", "outbound").otherwise("inbound").alias("direction"),
+        F.col("ts").alias("source_ts"), F.when(F.col("value") < 5, "small").alias("filter_reason"),
+    )
+
+
+def turn_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as messages of an order each; system turns have no order."""
+    start = F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz")
+    order = F.when(F.col("role") != "system", F.col("conv_id").cast("string"))
+    pk = F.col("conv_id") * 1000 + F.col("turn")
+    return table(spark, sf_dir, "conversations").select(
+        F.lit("turns").alias("marketplace"), pk.alias("source_pk"), F.lit(1).alias("sub_source_id"),
+        F.lit(None).cast("string").alias("listing_item_ref"),
+        F.coalesce(order, T.unresolved_reference(pk)).alias("counterparty_ref"),
+        F.when(F.col("role") == "assistant", "outbound").otherwise("inbound").alias("direction"),
+        (start + F.make_dt_interval(mins=F.col("turn").cast("int"))).alias("source_ts"),
+        F.lit(None).cast("string").alias("filter_reason"), F.col("conv_id").alias("conversation_id"),
+        F.col("text").alias("body_text"),
+    )
+
+
+_FACTS = """
+    SELECT marketplace, threading_rule_version, thread_key, threading_strategy, sub_source_id, counterparty_ref,
+           CASE WHEN min(listing_item_ref) = max(listing_item_ref) AND count(listing_item_ref) = count(*)
+                THEN min(listing_item_ref) END AS listing_item_ref,
+           min(source_ts) AS first_source_ts, max(source_ts) AS last_source_ts, count(*) AS message_count,
+           count(*) FILTER (direction = 'inbound') AS inbound_count, count(*) FILTER (direction = 'outbound') AS outbound_count,
+           bool_or(needs_context) AS needs_context,
+           CASE WHEN bool_and(filter_reason IS NOT NULL) THEN 'filtered'
+                WHEN count(*) FILTER (direction = 'inbound') > 0 THEN 'reply_inbox' ELSE 'outbound_only' END AS inbox_placement,
+           CASE WHEN bool_and(filter_reason IS NOT NULL) THEN arg_min(filter_reason, source_pk) END AS inbox_filter_reason
+    FROM threaded GROUP BY 1, 2, 3, 4, 5, 6"""
+_EVENT_THREADS = """
+    WITH m AS (
+      SELECT 'events' AS marketplace, event_id AS source_pk, 1 AS sub_source_id,
+             CASE WHEN event_type <> 'error' THEN event_type END AS listing_item_ref, CAST(user_id AS VARCHAR) AS counterparty_ref,
+             CASE WHEN event_type = 'purchase' THEN 'outbound' ELSE 'inbound' END AS direction, ts AS source_ts,
+             CASE WHEN value < 5 THEN 'small' END AS filter_reason FROM events),
+    flagged AS (
+      SELECT *, CASE WHEN date_trunc('millisecond', source_ts) - lag(date_trunc('millisecond', source_ts)) OVER w > INTERVAL 1 DAY
+                     THEN 1 ELSE 0 END AS starts
+      FROM m WINDOW w AS (PARTITION BY sub_source_id, listing_item_ref, counterparty_ref ORDER BY source_ts, source_pk)),
+    segmented AS (
+      SELECT *, CAST(sum(starts) OVER (PARTITION BY sub_source_id, listing_item_ref, counterparty_ref
+                                       ORDER BY source_ts, source_pk ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM flagged),
+    named AS (
+      SELECT * EXCLUDE (starts), listing_item_ref IS NULL AS lone FROM segmented),
+    threaded AS (
+      SELECT * EXCLUDE (lone), CASE WHEN lone THEN 'lone-v1' ELSE 'item-v1' END AS threading_rule_version,
+             CASE WHEN lone THEN 'no_item' ELSE 'item_linked' END AS threading_strategy, lone AS needs_context,
+             CAST(json_array(CASE WHEN lone THEN 'lone-v1' ELSE 'item-v1' END, CASE WHEN lone THEN 'no_item' ELSE 'item_linked' END,
+                             sub_source_id, listing_item_ref, counterparty_ref, segment) AS VARCHAR) AS thread_key FROM named)"""
+_TURNS = """
+    m AS (
+      SELECT 'turns' AS marketplace, conv_id * 1000 + turn AS source_pk, 1 AS sub_source_id, CAST(NULL AS VARCHAR) AS listing_item_ref,
+             CASE WHEN role <> 'system' THEN CAST(conv_id AS VARCHAR)
+                  ELSE 'unresolved:' || CAST(conv_id * 1000 + turn AS VARCHAR) END AS counterparty_ref,
+             CASE WHEN role = 'assistant' THEN 'outbound' ELSE 'inbound' END AS direction,
+             TIMESTAMP '2024-01-01' + to_minutes(CAST(turn AS INTEGER)) AS source_ts, CAST(NULL AS VARCHAR) AS filter_reason,
+             conv_id AS conversation_id, text AS body_text FROM conversations)"""
+_TURN_THREADS = f"""
+    WITH {_TURNS},
+    named AS (SELECT *, counterparty_ref LIKE 'unresolved:%' AS lone FROM m),
+    threaded AS (
+      SELECT * EXCLUDE (lone), CASE WHEN lone THEN 'single-v1' ELSE 'order-v1' END AS threading_rule_version,
+             'no_item' AS threading_strategy, true AS needs_context,
+             CAST(json_array(CASE WHEN lone THEN 'single-v1' ELSE 'order-v1' END, 'no_item', 1, NULL, counterparty_ref, 0) AS VARCHAR)
+               AS thread_key FROM named)"""
+
+
+# ---- scans -----------------------------------------------------------------------------
+@query("""SELECT event_id, ts, user_id FROM events WHERE (ts, event_id) > (TIMESTAMP '2024-01-15', 0)
+          ORDER BY ts, event_id LIMIT 500""")
+def after_watermark_scan(spark, sf_dir):
+    window = scans.After(datetime(2024, 1, 15), 0)
+    return scans.scan(table(spark, sf_dir, "events"), ["event_id", "ts", "user_id"], "ts", "event_id", window, 500)
+
+
+@query("SELECT event_id, ts, user_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
+def bootstrap_scan(spark, sf_dir):
+    window = scans.Since(datetime(2024, 1, 20))
+    return scans.scan(table(spark, sf_dir, "events"), ["event_id", "ts", "user_id", "value"], "ts", "event_id", window)
+
+
+@query("""SELECT d.doc_id, d.source, CAST(l.quality AS VARCHAR) AS body_raw FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def left_join_bodies(spark, sf_dir):
+    headers = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("doc_id").alias("ext_message_id"))
+    bodies = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("message_id"), F.col("quality").cast("string").alias("message"))
+    return scans.with_bodies(headers, bodies).drop("ext_message_id")
+
+
+# ---- classification --------------------------------------------------------------------
+@query("""
+    SELECT count(*) AS examined, count(*) FILTER (event_type NOT IN ('error', 'signup') AND value >= 10) AS message,
+           count(*) FILTER (event_type = 'error') AS notice, count(*) FILTER (event_type = 'signup') AS ambiguous,
+           count(*) FILTER (event_type NOT IN ('error', 'signup') AND value < 10) AS unusable FROM events""")
+def row_classification_counts(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "error", "notice").when(F.col("event_type") == "signup", "ambiguous")
+    kind = kind.when(F.col("value") < 10, "unusable").otherwise("message")
+    return classify.class_counts(table(spark, sf_dir, "events").withColumn("row_class", kind))
+
+
+@query("""
+    WITH rows AS (SELECT event_id, user_id % 3 AS folder, user_id, event_type, value FROM events)
+    SELECT event_id AS source_pk, CASE folder WHEN 0 THEN 'inbound' WHEN 1 THEN 'outbound' END AS direction,
+           CASE folder WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN 'shop' END AS counterparty_ref,
+           CASE WHEN event_type <> 'view' THEN event_type END AS listing_item_ref,
+           'failed' AS body_decode_status,
+           CASE WHEN event_type = 'error' AND value < 100 THEN 'notice' WHEN folder < 2 THEN 'message' ELSE 'unusable' END AS row_class
+    FROM rows""")
+def header_body_classes(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    error = F.col("event_type") == "error"
+    rows = e.select(
+        F.col("event_id").alias("id"), F.col("event_id").cast("string").alias("message_id"),
+        F.when(~(error & (F.col("value") < 100)), F.col("event_id")).alias("ext_message_id"),
+        F.when(~error, F.col("event_type")).alias("message_type"), F.lit(1).alias("sub_source"),
+        F.when(F.col("event_type") == "view", "0").otherwise(F.col("event_type")).alias("item_id"),
+        (F.col("user_id") % 3).alias("folder_id"), F.col("user_id").cast("string").alias("sender_id"),
+        F.lit("shop").alias("receiver_id"), F.col("ts").alias("receive_date"), F.col("props").alias("body_raw"),
+    )
+    found = classify.header_body_messages(rows)
+    return found.select("source_pk", "direction", "counterparty_ref", "listing_item_ref", "body_decode_status", "row_class")
+
+
+@query(r"""
+    WITH rows AS (SELECT page_id, lower(regexp_extract(url, '://([^/:?#]+)', 1)) AS host FROM pages)
+    SELECT page_id, nullif(host, '') AS domain,
+           CASE WHEN NOT regexp_matches(host, '^(co\.uk|org\.uk|com\.au)$')
+                THEN coalesce(nullif(regexp_extract(host, '(^|\.)([^.]+)\.(co\.uk|org\.uk|com\.au)$', 2), ''),
+                              nullif(regexp_extract(host, '(^|\.)([^.]+)\.[^.]+$', 2), '')) END AS organisation
+    FROM rows""")
+def domains_and_organisations(spark, sf_dir):
+    host = F.lower(F.regexp_extract("url", "://([^/:?#]+)", 1))
+    domain = T.domain_of(F.concat(F.lit("someone@"), host, F.lit(">")))
+    return table(spark, sf_dir, "pages").select("page_id", domain.alias("domain"), T.organisation_label(domain).alias("organisation"))
+
+
+@query(r"""
+    WITH rows AS (
+      SELECT doc_id, doc_id % 7 AS k, list_extract(['gmail.com', 'dpd.co.uk', 'mail.shopify.com', 'etsy.com', 'studio.example', 'shop.test', NULL],
+                                     CAST(doc_id % 7 AS INTEGER) + 1) AS domain, doc_id % 5 AS s FROM documents)
+    SELECT doc_id, CASE WHEN domain = 'shop.test' THEN NULL WHEN s = 1 THEN 'bounce' WHEN domain IS NULL THEN NULL
+                        WHEN k = 1 THEN 'courier' WHEN k = 2 THEN 'platform' WHEN k = 3 THEN 'marketplace' WHEN k = 0 THEN NULL
+                        WHEN s IN (2, 3) THEN NULL ELSE 'unsolicited' END AS reason FROM rows""")
+def inbox_filter(spark, sf_dir):
+    domains = F.array(*map(F.lit, ["gmail.com", "dpd.co.uk", "mail.shopify.com", "etsy.com", "studio.example", "shop.test", None]))
+    subjects = F.array(*map(F.lit, ["News", "Undeliverable: x", "Re: hello", "An enquiry", "Offer"]))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("a@"), F.element_at(domains, (F.col("doc_id") % 7 + 1).cast("int"))).alias("from_msg"),
+        F.element_at(subjects, (F.col("doc_id") % 5 + 1).cast("int")).alias("subject"), F.lit(" ").alias("order_id"),
+    )
+    return rows.select("doc_id", classify.inbox_filter_reason(["shop.test"]).alias("reason"))
+
+
+@query(r"""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'O' THEN 'terminated' ELSE 'unknown' END AS status_class FROM orders""")
+def order_status_classes(spark, sf_dir):
+    names = F.when(F.col("o_orderstatus") == "F", "Completed").when(F.col("o_orderstatus") == "O", "Cancelled").otherwise("Pending")
+    return table(spark, sf_dir, "orders").select("o_orderkey", reads.order_class(names).alias("status_class"))
+
+
+@query(r"""
+    SELECT doc_id FROM documents
+    WHERE NOT coalesce(regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')
+                       OR regexp_matches(text, '(^|[^0-9])[0-9]{2}-[0-9]{5}-[0-9]{5}([^0-9]|$)'), false)""")
+def pii_scrub(spark, sf_dir):
+    return rules.scrubbed(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"]).select("doc_id")
+
+
+# ---- threads ---------------------------------------------------------------------------
+@query(_EVENT_THREADS + _FACTS)
+def gap_sessions(spark, sf_dir):
+    return threads.conversations(threads.threaded(event_messages(spark, sf_dir), EVENT_RULE))
+
+
+@query(_EVENT_THREADS + "SELECT source_pk, thread_key, segment FROM threaded")
+def thread_keys(spark, sf_dir):
+    return threads.threaded(event_messages(spark, sf_dir), EVENT_RULE).select("source_pk", "thread_key", "segment")
+
+
+@query("""
+    WITH flagged AS (
+      SELECT user_id, ts, event_id, CASE WHEN date_trunc('millisecond', ts) - lag(date_trunc('millisecond', ts)) OVER w > INTERVAL 3 HOURS
+                                         THEN 1 ELSE 0 END AS starts
+      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    segmented AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment
+                  FROM flagged)
+    SELECT user_id, segment, count(*) AS message_count, min(ts) AS first_ts, max(ts) AS last_ts FROM segmented GROUP BY 1, 2""")
+def gap_sessions_no_item(spark, sf_dir):
+    rows = threads.gap_segments(table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), ["user_id"], "ts", "event_id", "3 hours")
+    return rows.groupBy("user_id", "segment").agg(
+        F.count("*").alias("message_count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+
+
+@query(_TURN_THREADS + _FACTS)
+def reference_threads(spark, sf_dir):
+    return threads.conversations(threads.threaded(turn_messages(spark, sf_dir), REFERENCE_RULE))
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS thread_key, CAST(0 AS BIGINT) AS there, CAST(0 AS BIGINT) AS message_count WHERE false")
+def thread_problems(spark, sf_dir):
+    messages = threads.threaded(event_messages(spark, sf_dir), EVENT_RULE)
+    return threads.thread_problems(messages, threads.conversations(messages))
+
+
+@query("""SELECT l_orderkey, count(*) AS lines, CASE WHEN min(l_returnflag) = max(l_returnflag) THEN min(l_returnflag) END AS returnflag
+          FROM lineitem GROUP BY 1""")
+def agreed_ref(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.count("*").alias("lines"), threads.agreed("l_returnflag").alias("returnflag")
+    )
+
+
+# ---- read models -----------------------------------------------------------------------
+@query(_EVENT_THREADS + f", facts AS ({_FACTS}) SELECT thread_key, last_source_ts, message_count, inbound_count FROM facts "
+       "WHERE inbox_placement = 'reply_inbox' ORDER BY last_source_ts DESC, thread_key DESC LIMIT 100")
+def inbox_topn(spark, sf_dir):
+    facts = threads.conversations(threads.threaded(event_messages(spark, sf_dir), EVENT_RULE))
+    top = reads.newest(facts, "last_source_ts", "thread_key", where=F.col("inbox_placement") == "reply_inbox")
+    return top.select("thread_key", "last_source_ts", "message_count", "inbound_count")
+
+
+@query("SELECT o_orderkey, o_orderdate, o_orderpriority FROM orders WHERE o_custkey = 42 ORDER BY o_orderdate, o_orderkey")
+def thread_messages(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_custkey")
+    return reads.thread_in_order(rows, F.col("o_custkey") == 42, "o_orderdate", "o_orderkey").drop("o_custkey")
+
+
+@query("SELECT event_id, ts, event_type FROM events WHERE event_type = 'signup' ORDER BY ts DESC, event_id DESC LIMIT 200")
+def unresolved_feed(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    return reads.newest(rows, "ts", "event_id", 1000, F.col("event_type") == "signup")
+
+
+_USAGE = """usage AS (
+      SELECT event_type AS provider, CAST(user_id % 4 AS VARCHAR) AS model, CAST(floor(value) AS BIGINT) AS input_tokens,
+             CASE WHEN event_id % 3 > 0 THEN user_id END AS output_tokens, user_id AS total_tokens,
+             CASE WHEN event_id % 5 > 0 THEN CAST(user_id AS DECIMAL(12, 6)) END AS cost, ts AS created_at FROM events)"""
+
+
+def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("provider"), (F.col("user_id") % 4).cast("string").alias("model"),
+        F.floor("value").alias("input_tokens"), F.when(F.col("event_id") % 3 > 0, F.col("user_id")).alias("output_tokens"),
+        F.col("user_id").alias("total_tokens"),
+        F.when(F.col("event_id") % 5 > 0, F.col("user_id").cast("decimal(12,6)")).alias("estimated_cost_usd"),
+        F.col("ts").alias("created_at"),
+    )
+
+
+@query(f"""
+    WITH {_USAGE} SELECT count(*) AS calls, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens,
+           CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens,
+           CAST(sum(cost) AS DOUBLE) AS cost, count(*) FILTER (cost IS NULL) AS calls_without_cost,
+           count(*) FILTER (created_at > TIMESTAMP '2024-01-30' - INTERVAL 24 HOURS) AS calls_last_day, max(created_at) AS last_call FROM usage""")
+def usage_summary(spark, sf_dir):
+    as_of = F.lit(datetime(2024, 1, 30)).cast("timestamp_ntz")
+    return reads.usage_summary(_usage(spark, sf_dir), as_of).withColumn("cost", F.col("cost").cast("double"))
+
+
+@query(f"""
+    WITH {_USAGE} SELECT provider, model, count(*) AS calls, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens,
+           CAST(sum(cost) AS DOUBLE) AS cost FROM usage GROUP BY 1, 2""")
+def usage_by_model(spark, sf_dir):
+    return reads.usage_by_model(_usage(spark, sf_dir)).withColumn("cost", F.col("cost").cast("double"))
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN count(l_orderkey) = 0 THEN '[]' ELSE
+             '[' || string_agg('{"l_linenumber":' || l_linenumber || ',"l_returnflag":"' || l_returnflag || '","l_partkey":' || l_partkey || '}',
+                               ',' ORDER BY l_linenumber, l_returnflag, l_partkey) || ']' END AS lines
+    FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+def nested_history(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    out = reads.nested(orders, table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_returnflag", "l_partkey"], "lines")
+    return out.select(F.col("l_orderkey").alias("o_orderkey"), F.to_json("lines").alias("lines"))
+
+
+@query("""SELECT o_custkey, o_orderkey, o_orderdate FROM orders
+          QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
+def latest_per_key(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return upsert.first_by(rows, ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey"))
+
+
+@query("""SELECT o_orderdate AS ts, o_orderkey AS pk, lead(o_orderkey) OVER w AS next_mate,
+                 count(*) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS mates
+          FROM orders WINDOW w AS (PARTITION BY o_orderdate ORDER BY o_orderkey) QUALIFY mates > 0""")
+def tie_mates(spark, sf_dir):
+    return reads.tie_mates(table(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey")
+
+
+@query("""
+    SELECT l_orderkey, count(*) AS rows, count(*) FILTER (l_linestatus = 'O') AS active_rows,
+           coalesce(array_to_string(list_sort(list_distinct(list(l_partkey) FILTER (l_linestatus = 'O'))), ','), '') AS items
+    FROM lineitem GROUP BY 1""")
+def logical_orders(spark, sf_dir):
+    out = reads.logical_orders(table(spark, sf_dir, "lineitem"), F.col("l_linestatus") == "O", ["l_orderkey"], "l_partkey")
+    return out.withColumn("items", F.array_join("items", ","))
+
+
+@query("""
+    WITH rates(prefix, rate_in, rate_out) AS (VALUES ('E', 1.0, 2.0), ('ECON', 0.5, 1.0), ('STAND', 0.25, 4.0), ('S', 3.0, 3.0)),
+    best AS (SELECT p_partkey, p_size, arg_max(rate_in, length(prefix)) AS i, arg_max(rate_out, length(prefix)) AS o,
+                    arg_max(prefix, length(prefix)) AS prefix
+             FROM part LEFT JOIN rates ON starts_with(p_type, prefix) GROUP BY 1, 2)
+    SELECT p_partkey, prefix, CAST(CASE WHEN prefix IS NOT NULL THEN (p_size * 1000 * i + p_partkey * o) / 1000000 END AS DOUBLE) AS cost FROM best""")
+def longest_prefix_rate(spark, sf_dir):
+    rates = spark.createDataFrame(
+        [("E", "1.0", "2.0"), ("ECON", "0.5", "1.0"), ("STAND", "0.25", "4.0"), ("S", "3.0", "3.0")], "prefix string, i string, o string"
+    ).select("prefix", F.col("i").cast("decimal(10,4)").alias("input_rate"), F.col("o").cast("decimal(10,4)").alias("output_rate"))
+    rated = reads.longest_prefix(table(spark, sf_dir, "part"), rates, "p_type")
+    cost = reads.estimated_cost(F.col("p_size") * 1000, F.col("p_partkey"))
+    return rated.select("p_partkey", "prefix", cost.cast("double").alias("cost"))
+
+
+@query(f"""
+    WITH {_TURNS}, c AS (SELECT conversation_id, max(source_ts) FILTER (direction = 'inbound') AS came,
+                                max(source_ts) FILTER (direction = 'outbound') AS made FROM m GROUP BY 1)
+    SELECT conversation_id, coalesce(came IS NULL OR made > came, false) AS reusable FROM c WHERE made IS NOT NULL""")
+def reusable_drafts(spark, sf_dir):
+    messages = turn_messages(spark, sf_dir)
+    drafts = messages.where("direction = 'outbound'").select(
+        "conversation_id", F.col("source_ts").alias("created_at"), F.lit("generated").alias("origin")
+    )
+    return reads.reusable_drafts(drafts, messages)
+
+
+@query(f"""WITH {_TURNS} SELECT conversation_id, source_pk, body_text FROM m WHERE direction = 'inbound'
+           QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY source_ts DESC, source_pk DESC) = 1""")
+def last_inbound(spark, sf_dir):
+    return reads.last_inbound(turn_messages(spark, sf_dir)).select("conversation_id", "source_pk", "body_text")
+
+
+# ---- snapshots -------------------------------------------------------------------------
+@query("""
+    SELECT event_id, CASE WHEN event_id % 10 >= 4 THEN ts + INTERVAL 1 DAY ELSE ts END AS ts_first,
+           CASE WHEN event_id % 10 >= 4 THEN event_type || '!' ELSE event_type END AS event_type,
+           CASE WHEN event_id % 10 >= 6 THEN 'inserted' WHEN event_id % 10 >= 4 THEN 'updated' ELSE 'kept' END AS merge_action
+    FROM events WHERE event_id % 10 < 4 OR event_id % 10 >= 6
+    UNION ALL SELECT event_id, ts, event_type || '!', 'updated' FROM events WHERE event_id % 10 IN (4, 5)""")
+def merge_upsert(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    old = e.where(F.col("event_id") % 10 < 6).select("event_id", F.col("ts").alias("ts_first"), "event_type")
+    new = e.where(F.col("event_id") % 10 >= 4).select(
+        "event_id", (F.col("ts") + F.expr("interval 1 day")).alias("ts_first"), F.concat("event_type", F.lit("!")).alias("event_type")
+    )
+    return upsert.merged(old, new, ["event_id"], ["event_type"])
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def merge_idempotent(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    first, second = e.where(F.col("event_id") % 10 < 6), e.where(F.col("event_id") % 10 >= 4)
+    once = upsert.merged(first, second, ["event_id"], ["event_type"]).drop("merge_action")
+    return upsert.merged(once, second, ["event_id"], ["event_type"]).drop("merge_action")
+
+
+@query("""SELECT event_type AS feed_key, arg_max(ts, (ts, event_id)) AS ts, arg_max(event_id, (ts, event_id)) AS pk FROM events GROUP BY 1""")
+def cursor_upsert(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("feed_key"), "ts", F.col("event_id").alias("pk"))
+    stored = upsert.first_by(rows.where(F.col("pk") % 2 == 0), ["feed_key"], F.desc("ts"), F.desc("pk"))
+    return upsert.advanced_cursors(stored, rows.where(F.col("pk") % 2 == 1))
+
+
+@query("""SELECT c.conv_id AS thread_key, count(c.conv_id) AS message_count, count(*) FILTER (role = 'user') AS inbound_count
+          FROM conversations c GROUP BY 1""")
+def recount(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("thread_key"), F.when(F.col("role") == "user", "inbound").otherwise("outbound").alias("direction")
+    )
+    stale = rows.select("thread_key").distinct().withColumns({"message_count": F.lit(0), "inbound_count": F.lit(0)})
+    return upsert.recounted(stale, rows)
+
+
+@query("""
+    WITH last AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+    SELECT o.o_orderkey, o.o_custkey, coalesce(n, 0) + row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderdate, o.o_orderkey) AS revision
+    FROM orders o LEFT JOIN last USING (o_custkey) WHERE o.o_orderstatus <> 'F'""")
+def next_revisions(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+    numbered = upsert.next_revisions(
+        o.select("o_custkey", F.lit(0).alias("revision")).limit(0), o.where("o_orderstatus = 'F'"), "o_custkey", "o_orderdate", "o_orderkey"
+    )
+    more = upsert.next_revisions(numbered, o.where("o_orderstatus <> 'F'"), "o_custkey", "o_orderdate", "o_orderkey")
+    return more.select("o_orderkey", "o_custkey", F.col("revision").cast("long").alias("revision"))
+
+
+@query("""SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'
+          AND (l_partkey, l_suppkey) NOT IN (SELECT (l_partkey, l_suppkey) FROM lineitem WHERE l_returnflag = 'A')""")
+def inserted_once(spark, sf_dir):
+    keys = ["l_partkey", "l_suppkey"]
+    rows = table(spark, sf_dir, "lineitem").select(*keys, "l_returnflag")
+    there = rows.where("l_returnflag = 'A'").drop("l_returnflag").distinct()
+    return upsert.inserted_once(there, rows.where("l_returnflag = 'R'").drop("l_returnflag"), keys)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'new' WHEN p_partkey % 3 = 1 THEN 'changed' ELSE 'unchanged' END AS import_action FROM part""")
+def import_status(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", T.row_checksum(F.array("p_name", "p_type")).alias("content_checksum"))
+    other = F.when(F.col("p_partkey") % 3 == 1, F.lit("")).otherwise(F.col("content_checksum"))
+    known = part.where("p_partkey % 3 > 0").withColumn("content_checksum", other)
+    return upsert.import_status(known, part, ["p_partkey"]).select("p_partkey", "import_action")
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN 'drafting' ELSE 'reviewed' END AS state, o_orderstatus IN ('F', 'O') AS moved
+    FROM orders""")
+def workflow_moves(spark, sf_dir):
+    state = F.when(F.col("o_orderstatus") == "F", "received").when(F.col("o_orderstatus") == "O", "pending_review").otherwise("reviewed")
+    states = table(spark, sf_dir, "orders").select("o_orderkey", state.alias("state"))
+    wishes = states.select("o_orderkey", F.col("state").alias("expected"), F.lit("drafting").alias("wanted"))
+    return upsert.moved_states(states, wishes, "o_orderkey")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'none' END AS o_orderpriority
+          FROM orders WHERE o_orderkey % 2 = 1 AND o_orderpriority <> 'none'""")
+def changed_only(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    new = o.withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise("none"))
+    return upsert.changed_only(o, new, ["o_orderkey"], "o_orderpriority")
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 2 = 0
+          UNION ALL SELECT DISTINCT l_orderkey, 0 FROM lineitem WHERE l_orderkey % 2 = 1""")
+def replaced_children(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    fresh = lines.where("l_orderkey % 2 = 1").select("l_orderkey").distinct().withColumn("l_linenumber", F.lit(0))
+    return upsert.replaced_children(lines, fresh.select("l_orderkey", F.col("l_linenumber").cast(lines.schema["l_linenumber"].dataType)), "l_orderkey")
+
+
+# ---- texts -----------------------------------------------------------------------------
+@query(r"""
+    WITH flat AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations)
+    SELECT conv_id, turn, CASE WHEN t IS NULL THEN 'No messages' WHEN length(t) <= 90 THEN t ELSE substr(t, 1, 89) || '…' END AS preview FROM flat""")
+def previews(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.preview(F.col("text")).alias("preview"))
+
+
+@query("""
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'refund decision' WHEN doc_id % 3 = 1 THEN 'tracking number' ELSE '' END AS claims FROM documents""")
+def claim_scan(spark, sf_dir):
+    said = F.when(F.col("doc_id") % 3 == 0, " Your refund has been sent.").when(F.col("doc_id") % 3 == 1, " Tracking no.: AB1.")
+    reply = F.concat(F.coalesce("text", F.lit("")), F.coalesce(said, F.lit(" It will be delivered by Monday.")))
+    facts = F.lit("delivery date: Monday")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.ungrounded_claims(reply, facts), ",").alias("claims"))
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Anna Weber' END AS sender_name FROM conversations""")
+def signature_names(spark, sf_dir):
+    signed = F.when(F.col("turn") % 2 == 0, "\n\nKind regards,\n\nAnna Weber\nShop").otherwise("\n\nMany thanks\nSales Team")
+    body = F.concat(F.coalesce("text", F.lit("")), signed)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.sender_name(body).alias("sender_name"))
+
+
+@query(r"""
+    WITH codes AS (SELECT n_nationkey, n_name, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(n_name, ''), lambda c: CAST(ord(c) AS BIGINT))),
+                                   lambda a, b: (a * 31 + b) & 4294967295) AS h FROM nation)
+    SELECT n_nationkey, upper(substr(regexp_replace(n_name, '[^A-Za-z]', '', 'g'), 1, 3)) || '-' ||
+           lpad(right(upper(to_base(h, 36)), 3), 3, '0') || '-' || n_nationkey AS ref
+    FROM codes WHERE n_name NOT LIKE '% %'""")
+def rule_refs(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").where(~F.contains("n_name", F.lit(" ")))
+    return n.select("n_nationkey", T.rule_ref(F.col("n_name"), F.col("n_name"), F.col("n_nationkey")).alias("ref"))
+
+
+@query("""
+    SELECT o_orderkey, CAST(unnest([0, 1, 2]) AS INTEGER) AS place, unnest(['P-1-' || o_custkey % 50, 'GONE-' || o_orderkey, 'general']) AS ref,
+           unnest([CASE WHEN o_custkey % 50 < 25 THEN 'cited' ELSE 'unresolved' END, 'unresolved', 'legacy']) AS state FROM orders""")
+def resolved_citations(spark, sf_dir):
+    known = spark.range(25).select(F.concat(F.lit("P-1-"), "id").alias("ref"), F.lit("t").alias("title"), F.lit("x").alias("text"))
+    first = F.concat(F.lit("P-1-"), F.col("o_custkey") % 50)
+    refs = F.array(F.concat(F.lit(" [["), first, F.lit("]")), first, F.concat(F.lit("GONE-"), "o_orderkey"), F.lit("general"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", refs.alias("refs"))
+    return rules.resolved_citations(rows, known, "o_orderkey").select("o_orderkey", "place", "ref", "state")
+
+
+@query(f"""WITH {_TURNS} SELECT conversation_id, string_agg(direction || ': ' || coalesce(body_text, ''), chr(10) ORDER BY source_ts, source_pk) AS prompt
+           FROM m GROUP BY 1""")
+def thread_prompts(spark, sf_dir):
+    return rules.thread_prompt(turn_messages(spark, sf_dir))
+
+
+_PART_RULES = """
+    SELECT p_partkey, p_name AS title, CASE WHEN p_size % 2 = 0 THEN p_name || chr(10) || 'DO: ' || p_type
+           ELSE 'KEY RULE / ACTION: ' || p_name || chr(10) || 'NEVER SAY: ' || p_brand || chr(10) || 'ESCALATE.' END AS text FROM part"""
+
+
+@query(_PART_RULES)
+def rule_texts(spark, sf_dir):
+    even = F.col("p_size") % 2 == 0
+    none = F.lit(None).cast("string")
+    text = rules.rule_text(
+        F.when(even, F.col("p_name")), F.col("p_name"), F.upper("p_name"), F.when(even, F.col("p_type")), none,
+        F.when(~even, F.col("p_brand")), none, ~even,
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), text.alias("text"))
+
+
+@query("""
+    SELECT p_type AS area, '# ' || p_type || chr(10) || chr(10) || string_agg('## ' || p_name || chr(10) || chr(10) || p_brand || chr(10) || chr(10)
+             || 'f / ' || p_brand || ' / ' || p_partkey || ' [R-' || p_partkey || ']', chr(10) || chr(10) ORDER BY p_brand, p_partkey) AS document
+    FROM part GROUP BY 1""")
+def area_documents(spark, sf_dir):
+    return rules.area_documents(table(spark, sf_dir, "part").select(
+        F.col("p_type").alias("category"), F.col("p_name").alias("title"), F.col("p_brand").alias("text"), F.lit("f").alias("source_file"),
+        F.col("p_brand").alias("source_sheet"), F.col("p_partkey").alias("source_row"), F.concat(F.lit("R-"), "p_partkey").alias("ref"),
+    ))
+
+
+@query("""SELECT page_id, url || '.PNG' AS first_url, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END AS n FROM
+          (SELECT page_id, regexp_replace(split_part(url, '?', 1), '^http:', 'https:') AS url FROM pages)""")
+def attachment_lists(spark, sf_dir):
+    url = F.concat(F.regexp_replace(F.substring_index("url", "?", 1), "^http:", "https:"), F.lit(".PNG"))
+    other = F.when(F.col("page_id") % 2 == 0, F.lit("HTTPS://x.test/a%20b.pdf")).otherwise(F.lit("ftp://x.test/a"))
+    found = T.attachments(F.to_json(F.array(url, other, url)))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.element_at(found, 1)["url"].alias("first_url"), F.size(found).alias("n")
+    )
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'empty' WHEN doc_id % 4 = 1 THEN 'decoded' ELSE 'failed' END AS status,
+                 CASE WHEN doc_id % 4 = 1 THEN coalesce(text, '') END AS body FROM documents""")
+def decoded_bodies(spark, sf_dir):
+    k, text = F.col("doc_id") % 4, F.coalesce("text", F.lit(""))
+    quoted = F.to_json(F.array(text))
+    raw = F.when(k == 0, "null").when(k == 1, F.substring(quoted, F.lit(2), F.length(quoted) - 2)).when(k == 2, "[1, 2]").otherwise('"x" y')
+    body = T.decoded_body(raw)
+    return table(spark, sf_dir, "documents").select("doc_id", body["status"].alias("status"), body["text"].alias("body"))
