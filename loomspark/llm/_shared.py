@@ -74,13 +74,17 @@ def spread_join(
     hot_from = max(2, total // HOT_SHARE)
     values = [c for c in groups.columns if c != key]
     hot = groups.where(F.col(size) > hot_from).select(key, *(F.col(c).alias(f"_hot_{c}") for c in values))
-    cold = groups.where(F.col(size) <= hot_from).withColumn("_salt", F.lit(0).cast("long"))
-    is_hot = F.col(f"_hot_{size}").isNotNull()
-    salt = F.when(is_hot, F.abs(F.xxhash64(row_id) % 1_000_003) + 1).otherwise(F.lit(0).cast("long"))
+    # key and salt in one value: a salt column of its own that is always 0 on one side would be
+    # folded away, and the rows dealt by the key alone
+    no_salt = F.lit(0).cast("long")
+    cold = groups.where(F.col(size) <= hot_from).select(
+        F.struct(F.col(key).alias("key"), no_salt.alias("salt")).alias("_at"), *values
+    )
+    salt = F.when(F.col(f"_hot_{size}").isNotNull(), F.abs(F.xxhash64(row_id) % 1_000_003) + 1).otherwise(no_salt)
     return (
         rows.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", salt)
-        .join(cold, [key, "_salt"], "left")
+        .withColumn("_at", F.struct(F.col(key).alias("key"), salt.alias("salt")))
+        .join(cold, "_at", "left")
         .select(
             *(F.col(c) for c in rows.columns),
             *(F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in values),
