@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.operators import classify, reads, rules, threads, upsert
+from loomspark.plans import feeds
 from loomspark.sources import scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -479,9 +480,11 @@ def replaced_children(spark, sf_dir):
 # ---- texts -----------------------------------------------------------------------------
 @query(r"""
     WITH flat AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations)
-    SELECT conv_id, turn, CASE WHEN t IS NULL THEN 'No messages' WHEN length(t) <= 90 THEN t ELSE substr(t, 1, 89) || '…' END AS preview FROM flat""")
+    SELECT conv_id, turn, CASE WHEN coalesce(t, '') = '' THEN 'Message content unavailable' WHEN length(t) <= 90 THEN t
+                               ELSE substr(t, 1, 89) || '…' END AS preview FROM flat""")
 def previews(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.preview(F.col("text")).alias("preview"))
+    body = T.plain_body(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.preview(body["text"], body["status"]).alias("preview"))
 
 
 @query("""
@@ -544,15 +547,66 @@ def rule_texts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), text.alias("text"))
 
 
-@query("""
-    SELECT p_type AS area, '# ' || p_type || chr(10) || chr(10) || string_agg('## ' || p_name || chr(10) || chr(10) || p_brand || chr(10) || chr(10)
-             || 'f / ' || p_brand || ' / ' || p_partkey || ' [R-' || p_partkey || ']', chr(10) || chr(10) ORDER BY p_brand, p_partkey) AS document
-    FROM part GROUP BY 1""")
-def area_documents(spark, sf_dir):
-    return rules.area_documents(table(spark, sf_dir, "part").select(
+_PART_CORPUS = """corpus AS (SELECT p_type AS category, p_name AS title, p_brand AS text, p_partkey AS n, 'R-' || p_partkey AS ref FROM part)"""
+
+
+def _part_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
         F.col("p_type").alias("category"), F.col("p_name").alias("title"), F.col("p_brand").alias("text"), F.lit("f").alias("source_file"),
         F.col("p_brand").alias("source_sheet"), F.col("p_partkey").alias("source_row"), F.concat(F.lit("R-"), "p_partkey").alias("ref"),
-    ))
+    )
+
+
+@query(f"""
+    WITH {_PART_CORPUS} SELECT category AS area, category || '.md' AS name, count(*) AS rules,
+           '# CST rules — ' || category || chr(10) || chr(10) || 'Approved CST knowledge. ' || count(*) || ' rules.' || chr(10) || chr(10) ||
+           string_agg('## [' || ref || '] ' || title || chr(10) || chr(10) || '_Source: f › ' || text || ' › row ' || n || '_' || chr(10) || chr(10)
+                      || text, chr(10) || chr(10) ORDER BY text, n) || chr(10) AS document
+    FROM corpus GROUP BY category""")
+def area_documents(spark, sf_dir):
+    return rules.area_documents(_part_corpus(spark, sf_dir))
+
+
+@query(f"""
+    WITH {_PART_CORPUS} SELECT category AS area, '## ' || category || chr(10) || chr(10) ||
+           string_agg('[' || ref || '] ' || title || chr(10) || text, chr(10) || chr(10) ORDER BY text, n) AS section FROM corpus GROUP BY category""")
+def rule_prompts(spark, sf_dir):
+    return rules.prompt_sections(_part_corpus(spark, sf_dir))
+
+
+@query("""
+    SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'About ' || p_brand ELSE p_type END AS title,
+           CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_brand END AS condition FROM part""")
+def rule_titles(spark, sf_dir):
+    title = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("About "), "p_brand")).otherwise(F.concat(F.lit("EB"), "p_partkey"))
+    text = F.concat(F.lit("KEY RULE: "), "p_type", F.lit("\nACTION: "), "p_brand")
+    shown = T.display_title(title, text, F.lit(None).cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", shown.alias("title"), T.condition_of(text, shown).alias("condition"))
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_custkey % 50 < 25 THEN '[{"area":"A","title":"Rule number ' || o_custkey % 50 || '","condition":"Do ' || o_custkey % 50
+             || '","rule_text":"ACTION: Do ' || o_custkey % 50 || '","ref":"P-1-' || o_custkey % 50 || '","source_file":"f","source_sheet":"s","source_row":'
+             || o_custkey % 50 || '}]' ELSE '[]' END AS matched,
+           CASE WHEN o_custkey % 50 < 25 THEN '' ELSE 'P-1-' || o_custkey % 50 || ',' END || 'GONE-' || o_orderkey AS unresolved, 'general' AS legacy,
+           CASE WHEN o_custkey % 50 < 25 THEN 'f' ELSE '' END AS documents, o_custkey % 50 >= 25 AS none_matched FROM orders""")
+def cited_evidence(spark, sf_dir):
+    n = F.col("id").cast("string")
+    known = spark.range(25).select(
+        F.concat(F.lit("P-1-"), n).alias("ref"), F.concat(F.lit("Rule number "), n).alias("title"), F.concat(F.lit("ACTION: Do "), n).alias("text"),
+        F.lit("A").alias("category"), F.lit("f").alias("source_file"), F.lit("s").alias("source_sheet"), F.col("id").alias("source_row"),
+    )
+    refs = F.array(F.concat(F.lit("[P-1-"), F.col("o_custkey") % 50, F.lit("]")), F.concat(F.lit("GONE-"), "o_orderkey"), F.lit("general"))
+    out = rules.evidence(table(spark, sf_dir, "orders").select("o_orderkey", refs.alias("refs")), known, "o_orderkey")
+    return out.withColumns({c: F.array_join(c, ",") for c in ("unresolved", "legacy", "documents")})
+
+
+@query("""
+    SELECT n_name AS name, CASE WHEN n_nationkey < 10 THEN 'missing' ELSE 'withheld' END AS state FROM nation WHERE n_nationkey < 10 OR n_nationkey >= 15""")
+def withheld_files(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name"))
+    present = n.where("n_nationkey >= 10").withColumn("name", F.when(F.col("n_nationkey") < 15, F.concat(F.lit(" "), F.lower("name"))).otherwise(F.col("name")))
+    return rules.withheld(n.where("n_nationkey < 15").select("name"), present.select("name"))
 
 
 @query("""SELECT page_id, url || '.PNG' AS first_url, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END AS n FROM
@@ -574,3 +628,115 @@ def decoded_bodies(spark, sf_dir):
     raw = F.when(k == 0, "null").when(k == 1, F.substring(quoted, F.lit(2), F.length(quoted) - 2)).when(k == 2, "[1, 2]").otherwise('"x" y')
     body = T.decoded_body(raw)
     return table(spark, sf_dir, "documents").select("doc_id", body["status"].alias("status"), body["text"].alias("body"))
+
+
+@query("""
+    SELECT o_orderkey, o_custkey || ':' || o_orderkey AS order_key, CASE o_orderstatus WHEN 'F' THEN 'New' WHEN 'O' THEN 'Awaiting review' END AS label,
+           CASE o_orderkey % 4 WHEN 0 THEN 'c' || o_custkey WHEN 1 THEN 'Amazon Order c' || o_custkey WHEN 2 THEN 'Temu enquiry'
+                               ELSE 'B&Q Order c' || o_custkey END AS title FROM orders""")
+def conversation_titles(spark, sf_dir):
+    k = F.col("o_orderkey") % 4
+    ref = F.when(k == 2, T.unresolved_reference(F.col("o_orderkey"))).otherwise(F.concat(F.lit("c"), "o_custkey"))
+    state = F.when(F.col("o_orderstatus") == "F", "received").when(F.col("o_orderstatus") == "O", "pending_review")
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", T.order_key(F.col("o_custkey"), F.col("o_orderkey").cast("string")).alias("order_key"), T.workflow_label(state).alias("label"),
+        F.when(k == 0, "ebay").when(k == 1, "amazon").when(k == 2, "temu").otherwise("bandq").alias("marketplace"), ref.alias("counterparty_ref"),
+    )
+    return classify.titled(rows.withColumnRenamed("label", "state_label")).select("o_orderkey", "order_key", F.col("state_label").alias("label"), "title")
+
+
+@query("""
+    SELECT conv_id, turn, CASE WHEN trim(coalesce(text, '')) <> '' AND turn % 2 = 0 THEN 'Anna Weber' ELSE 'Temu message' END AS title FROM conversations""")
+def unresolved_titles(spark, sf_dir):
+    text = F.col("text")
+    signed = F.when((F.col("turn") % 2 == 0) & (F.trim(text) != ""), F.concat(text, F.lit("\n\nKind regards,\nAnna Weber"))).otherwise(text)
+    body = T.plain_body(signed)
+    title = T.unresolved_title(body["text"], body["status"], F.lit("Temu"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", title.alias("title"))
+
+
+@query("""
+    SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN p_brand || '+é' ELSE p_brand END AS sku,
+           p_partkey % 3 < 2 AS combo FROM part""")
+def exact_skus(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    raw = F.when(k == 0, F.concat("p_brand", F.lit("+e\u0301"))).when(k == 1, F.concat("p_brand", F.lit("+\u00e9"))).otherwise(F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.exact_sku(raw).alias("sku"), T.looks_like_combo(raw).alias("combo"))
+
+
+# ---- lookups and summaries -------------------------------------------------------------
+@query(f"WITH {_TURNS} SELECT source_pk, direction, body_text FROM m WHERE conversation_id = 7")
+def point_lookup(spark, sf_dir):
+    messages = turn_messages(spark, sf_dir)
+    heads = messages.select("conversation_id", "marketplace").distinct()
+    _, found = reads.conversation_detail(heads, messages, reads.conversation_id("7"), "turns")
+    return found.select("source_pk", "direction", "body_text")
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts, event_id LIMIT 1 OFFSET 99")
+def page_boundary(spark, sf_dir):
+    return reads.row_at(table(spark, sf_dir, "events").select("event_id", "ts"), 99, "ts", "event_id")
+
+
+@query("""
+    WITH rows AS (SELECT *, CASE WHEN event_type = 'error' THEN 'notice' WHEN value < 10 THEN 'unusable' ELSE 'message' END AS c FROM events)
+    SELECT count(*) AS examined, count(*) FILTER (c = 'message') AS message, count(*) FILTER (c = 'notice') AS notice, CAST(0 AS BIGINT) AS ambiguous,
+           count(*) FILTER (c = 'unusable') AS unusable, count(*) FILTER (c = 'message' AND event_type <> 'purchase') AS inbound,
+           count(*) FILTER (c = 'message' AND event_type = 'purchase') AS outbound, count(*) FILTER (c = 'message') AS with_item,
+           count(*) FILTER (c = 'message' AND event_id % 4 > 0) AS body_decoded, count(*) FILTER (c = 'message' AND event_id % 4 = 0) AS body_empty,
+           CAST(0 AS BIGINT) AS body_failed, min(ts) FILTER (c = 'message') AS oldest, max(ts) FILTER (c = 'message') AS newest FROM rows""")
+def message_summary(spark, sf_dir):
+    kinds = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("source_pk"),
+        F.when(F.col("event_type") == "error", "notice").when(F.col("value") < 10, "unusable").otherwise("message").alias("row_class"),
+        F.when(F.col("event_id") % 4 > 0, "decoded").otherwise("empty").alias("body_decode_status"),
+    )
+    return reads.message_summary(event_messages(spark, sf_dir).join(kinds, "source_pk"))
+
+
+@query(_EVENT_THREADS + f""", facts AS ({_FACTS})
+    SELECT threading_rule_version, count(*) AS conversations, count(*) FILTER (needs_context) AS needs_context,
+           count(*) FILTER (inbox_placement = 'reply_inbox') AS reply_inbox, max(message_count) AS largest FROM facts GROUP BY 1""")
+def thread_summary(spark, sf_dir):
+    return reads.thread_summary(threads.conversations(threads.threaded(event_messages(spark, sf_dir), EVENT_RULE)))
+
+
+@query("SELECT count(*) AS rows, count(*) - count(DISTINCT l_orderkey) AS repeated FROM lineitem")
+def repeated_ids(spark, sf_dir):
+    return reads.repeated_ids(table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+@query(_EVENT_THREADS + f", facts AS ({_FACTS}) SELECT counterparty_ref, bool_and(needs_context) AS all_need_context FROM facts GROUP BY 1")
+def context_flags(spark, sf_dir):
+    return reads.context_flags(threads.conversations(threads.threaded(event_messages(spark, sf_dir), EVENT_RULE)), "counterparty_ref")
+
+
+@query(f"""WITH {_USAGE} SELECT output_tokens AS draft_revision_id, provider, model, created_at FROM usage WHERE output_tokens IS NOT NULL
+           QUALIFY row_number() OVER (PARTITION BY output_tokens ORDER BY created_at DESC, provider, model) = 1""")
+def latest_usage(spark, sf_dir):
+    rows = _usage(spark, sf_dir).select(F.col("output_tokens").alias("draft_revision_id"), "provider", "model", "created_at")
+    return reads.latest_usage(rows)
+
+
+@query("""SELECT page_id AS source_pk, '["https://x.test/' || page_id || '.png"]' AS attachments FROM pages WHERE page_id % 3 = 1""")
+def missing_attachments(spark, sf_dir):
+    k, url = F.col("page_id") % 3, F.concat(F.lit("https://x.test/"), "page_id", F.lit(".png"))
+    pages = table(spark, sf_dir, "pages")
+    stored = pages.select(F.col("page_id").alias("source_pk"), F.when(k == 0, F.to_json(F.array(url))).alias("attachments"))
+    sources = pages.select(F.col("page_id").alias("source_pk"), F.when(k < 2, F.to_json(F.array(url, F.lit("ftp://x.test"), url))).alias("attachments"))
+    return reads.missing_attachments(stored, sources)
+
+
+@query(_TURN_THREADS + f", facts AS ({_FACTS}) SELECT *, 'received' AS workflow_state FROM facts")
+def persisted_conversations(spark, sf_dir):
+    def outcome(messages: DataFrame) -> feeds.Outcome:
+        rows = threads.threaded(messages, REFERENCE_RULE)
+        return feeds.Outcome(rows.limit(0), rows, rows.limit(0), threads.conversations(rows))
+
+    every = turn_messages(spark, sf_dir)
+    first, then = outcome(every.where(F.col("source_pk") % 1000 < 3)), outcome(every)
+    empty = feeds.Stored(
+        first.conversations.withColumn("workflow_state", F.lit("received")).limit(0), first.messages.limit(0),
+        spark.createDataFrame([], "feed_key string, ts timestamp_ntz, pk bigint"),
+    )
+    return feeds.persisted(feeds.persisted(empty, first, "turns"), then, "turns").conversations

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 # ---- fixed values ----------------------------------------------------------------------
 #: Public suffixes of two labels.
@@ -42,6 +45,12 @@ PLATFORMS = {
     "bandq": r"(?i)\bb&q\b|\bbandq\b|\bb and q\b",
     "temu": r"(?i)\btemu\b",
 }
+#: Shown for a body that is absent or could not be decoded.
+UNAVAILABLE = "Message content unavailable"
+#: Workflow states as a person would say them.
+STATE_LABELS = {"received": "New", "drafting": "Draft in progress", "pending_review": "Awaiting review", "reviewed": "Reviewed"}
+#: Labels that a line of a rule can start with.
+LINE_LABELS = ("KEY RULE / ACTION", "KEY RULE", "ACTION", "DO NOT", "DO", "NEVER SAY", "SAY INSTEAD")
 # ----------------------------------------------------------------------------------------
 
 _BLANK = r"[\s\p{Z}\x{FEFF}]++"
@@ -129,15 +138,44 @@ def thread_key(rule: Column, strategy: Column, sub_source: Column, listing: Colu
     return json_array(rule, strategy, sub_source.cast("bigint"), listing, counterparty, segment.cast("bigint"))
 
 
-def preview(body: Column, most: int = 90) -> Column:
-    flat = collapsed(body)
-    short = F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.substring(flat, 1, most - 1), F.lit("…")))
-    return F.coalesce(short, F.lit("No messages"))
+def is_shown(text: Column, status: Column) -> Column:
+    return F.coalesce((status == "decoded") & (trimmed(text) != ""), F.lit(False))
 
 
 def display_body(text: Column, status: Column) -> Column:
-    shown = (status == "decoded") & (trimmed(text) != "")
-    return F.when(shown, text).otherwise(F.lit("Message body unavailable"))
+    return F.when(is_shown(text, status), text).otherwise(F.lit(UNAVAILABLE))
+
+
+def preview(text: Column, status: Column, most: int = 90) -> Column:
+    """A body on one line, cut to ``most`` characters; a null status means that there is no message."""
+    flat = collapsed(text)
+    short = F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.substring(flat, 1, most - 1), F.lit("…")))
+    return F.when(status.isNull(), "No messages").when(is_shown(text, status), short).otherwise(F.lit(UNAVAILABLE))
+
+
+def conversation_title(reference: Column, label: Column, noun: Column, verified: Column) -> Column:
+    """A verified handle as it is; else the channel with its order, or a plain enquiry."""
+    enquiry = F.concat(label, F.lit(" enquiry"))
+    return F.when(verified, reference).when(is_unresolved_reference(reference), enquiry).otherwise(F.concat_ws(" ", label, noun, reference))
+
+
+def unresolved_title(text: Column, status: Column, label: Column) -> Column:
+    """Who signed a message of unknown direction, or which channel it came by."""
+    return F.coalesce(F.when(is_shown(text, status), sender_name(text)), F.concat(label, F.lit(" message")))
+
+
+def workflow_label(state: Column) -> Column:
+    table = F.create_map(*(F.lit(x) for pair in STATE_LABELS.items() for x in pair))
+    return F.try_element_at(table, state)
+
+
+def message_key(*identity: Column) -> Column:
+    """Database, schema, table and key of a source row, for display."""
+    return F.concat_ws(".", *identity)
+
+
+def order_key(sub_source: Column, order: Column) -> Column:
+    return F.concat(sub_source.cast("string"), F.lit(":"), order)
 
 
 def message_side(direction: Column) -> Column:
@@ -173,13 +211,18 @@ def sender_name(body: Column) -> Column:
     return F.try_element_at(found, F.lit(-1))["next"]
 
 
-def attachments(urls_json: Column) -> Column:
-    """``url, kind, label`` of each distinct https address in a JSON list of strings."""
+def usable_urls(urls_json: Column) -> Column:
+    """The distinct https addresses of a JSON list, in order; null if it is none."""
     items = F.try_variant_get(F.try_parse_json(urls_json), "$", "array<variant>")
     texts = F.transform(
         F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: trimmed(F.try_variant_get(v, "$", "string"))
     )
-    good = F.array_distinct(F.filter(texts, lambda u: u.rlike(r"(?i)\Ahttps://")))
+    return F.array_distinct(F.filter(texts, lambda u: u.rlike(r"(?i)\Ahttps://")))
+
+
+def attachments(urls_json: Column) -> Column:
+    """``url, kind, label`` of each distinct https address in a JSON list of strings."""
+    good = usable_urls(urls_json)
     images = "|".join(IMAGE_EXTENSIONS)
 
     def show(u: Column) -> Column:
@@ -255,16 +298,46 @@ def row_checksum(cells: Column) -> Column:
     return F.sha2(F.to_json(F.transform(cells, trimmed)), 256)
 
 
+@F.pandas_udf(BooleanType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: None if x is None else unicodedata.is_normalized("NFC", x))
+
+
+def is_exact_sku(sku: Column) -> Column:
+    """Whether a SKU came as it was written: not empty, and in composed Unicode form."""
+    plain = sku.rlike(r"\A[\x00-\x7F]+\z")
+    return F.coalesce(plain | ((sku != "") & _composed(sku)), F.lit(False))
+
+
 def exact_sku(sku: Column) -> Column:
-    """The SKU as it is; null if it is empty.  Nothing is trimmed, folded or split."""
-    return F.nullif(sku, F.lit(""))
+    """The SKU as it is; null if it isn't exact.  Nothing is trimmed, folded or split."""
+    return F.when(is_exact_sku(sku), sku)
+
+
+def same_sku(a: Column, b: Column) -> Column:
+    return exact_sku(a) == exact_sku(b)
 
 
 def looks_like_combo(sku: Column) -> Column:
     return F.contains(sku, F.lit("+"))
 
 
-def condition_of(text: Column, title: Column, most: int = 150) -> Column:
-    """The first line that isn't the title once its label is off."""
-    bare = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\A[A-Z /]+:\s*", "")))
-    return F.substring(F.try_element_at(F.filter(bare, lambda x: (x != "") & (x != title)), F.lit(1)), 1, most)
+def _unlabelled(line: Column) -> Column:
+    return trimmed(F.regexp_replace(trimmed(line), rf"(?i)\A(?:{'|'.join(LINE_LABELS)}):\s*", ""))
+
+
+def display_title(title: Column, text: Column, category: Column) -> Column:
+    """The title if it has words and is no bare code; else the rule's first line, then the title
+    or the category."""
+    name, first = trimmed(title), _unlabelled(F.substring_index(text, "\n", 1))
+    readable = ~name.rlike(r"\A[A-Za-z]{1,6}[-_ ]?\d+[A-Za-z]?\z") & name.rlike(r"\S\s+\S")
+    line = F.when(F.length(first) > 120, F.concat(F.substring(first, 1, 117), F.lit("…"))).when(first != "", first)
+    return F.coalesce(F.when(readable, name), line, F.when(name != "", name), category, F.lit("CST rule"))
+
+
+def condition_of(text: Column, shown_title: Column) -> Column:
+    """The first line, without its label, that says something else than the shown title."""
+    lines = F.transform(F.split(text, "\n"), _unlabelled)
+    title = F.lower(trimmed(shown_title))
+    line = F.try_element_at(F.filter(lines, lambda x: (x != "") & (F.lower(x) != title)), F.lit(1))
+    return F.when(F.length(line) > 150, F.concat(F.substring(line, 1, 147), F.lit("…"))).otherwise(line)

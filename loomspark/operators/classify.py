@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
@@ -38,10 +38,34 @@ BOUNCE = (
 )
 REPLY = r"(?i)^\s*(re|aw|antw|antwort|fwd|fw|wg|tr|rif)\s*:"
 QUOTE = r"(?i)\b(quotation|quote request|request for quote|rfq|enquiry|inquiry|anfrage)\b"
+#: Channel, its label, what it offers, whether both directions and the customer are certain, and
+#: what its reference is called.
+CAPABILITIES = (
+    ("ebay", "eBay", "full", True, True, None),
+    ("amazon", "Amazon", "full", True, False, "Order"),
+    ("shopify", "Shopify", "full", True, False, "Order"),
+    ("bandq", "B&Q", "degraded", False, False, "Order"),
+    ("temu", "Temu", "degraded", False, False, None),
+)
 ORDER_WORD = r"(?i)order\s*#|bestellung\s*#?\s*\d"
 # ----------------------------------------------------------------------------------------
 
 
+def capabilities(spark: SparkSession) -> DataFrame:
+    """The channels as a table, to be joined by ``marketplace``."""
+    return spark.createDataFrame(
+        list(CAPABILITIES), "marketplace string, label string, mode string, has_outbound boolean, verified boolean, reference_noun string"
+    )
+
+
+def titled(conversations: DataFrame) -> DataFrame:
+    """Conversations with the ``title`` that the inbox shows."""
+    names = F.broadcast(capabilities(conversations.sparkSession).drop("mode", "has_outbound"))  # a row a channel
+    title = T.conversation_title(F.col("counterparty_ref"), F.col("label"), F.col("reference_noun"), F.col("verified"))
+    rows = conversations.join(names, "marketplace", "left").withColumn("title", title)
+    return rows.select(*conversations.columns, "title")
+
+
 def _shaped(rows: DataFrame, marketplace: str, **columns: Column) -> DataFrame:
     defaults = {
         "listing_item_ref": F.lit(None).cast("string"),

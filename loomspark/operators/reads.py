@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.functions import text as T
 from loomspark.operators.upsert import first_by
 from loomspark.sources.scans import read_limit
 
@@ -21,6 +23,76 @@ def newest(rows: DataFrame, ts: str, tie: str, limit: int | None = None, where:
     return rows.orderBy(F.desc(ts), F.desc(tie)).limit(read_limit(limit))
 
 
+def conversation_id(asked: str) -> int | None:
+    """The number of an id that comes from outside; None if it is none."""
+    return int(asked) if re.fullmatch("[1-9][0-9]{0,18}", asked, re.ASCII) else None
+
+
+def marketplace(asked: str | None, known: Sequence[str]) -> str | None:
+    """A name from outside, if it is a known one."""
+    return asked if asked in known else None
+
+
+def conversation_detail(
+    conversations: DataFrame, messages: DataFrame, id: int, marketplace: str | None = None, key: str = "conversation_id"
+) -> tuple[DataFrame, DataFrame]:
+    """A conversation and its messages in order; both empty if it is another marketplace's."""
+    one = conversations.where(F.col(key) == id)
+    one = one if marketplace is None else one.where(F.col("marketplace") == marketplace)
+    mine = messages.where(F.col(key) == id).join(one.select(key), key, "left_semi")
+    return one, mine.orderBy("source_ts", F.col("source_pk").cast("bigint"))
+
+
+def row_at(rows: DataFrame, offset: int, *order: str) -> DataFrame:
+    """The row at a place of an order, counted from 0: where a page begins."""
+    return rows.orderBy(*order).offset(offset).limit(1)
+
+
+def message_summary(rows: DataFrame) -> DataFrame:
+    """One row on classified rows: how many of each class, and what the messages are like."""
+    message = F.col("row_class") == "message"
+    kinds = (F.count_if(F.col("row_class") == k).alias(k) for k in ("message", "notice", "ambiguous", "unusable"))
+    sides = (F.count_if(message & (F.col("direction") == d)).alias(d) for d in ("inbound", "outbound"))
+    bodies = (F.count_if(message & (F.col("body_decode_status") == b)).alias(f"body_{b}") for b in ("decoded", "empty", "failed"))
+    return rows.agg(
+        F.count("*").alias("examined"), *kinds, *sides, F.count_if(message & F.col("listing_item_ref").isNotNull()).alias("with_item"),
+        *bodies, F.min(F.when(message, F.col("source_ts"))).alias("oldest"), F.max(F.when(message, F.col("source_ts"))).alias("newest"),
+    )
+
+
+def thread_summary(conversations: DataFrame) -> DataFrame:
+    """A row for each threading rule: conversations, those that need context or a reply, the largest."""
+    return conversations.groupBy("threading_rule_version").agg(
+        F.count("*").alias("conversations"), F.count_if("needs_context").alias("needs_context"),
+        F.count_if(F.col("inbox_placement") == "reply_inbox").alias("reply_inbox"), F.max("message_count").alias("largest"),
+    )
+
+
+def repeated_ids(rows: DataFrame, pk: str) -> DataFrame:
+    """One row: how many rows there are, and how many of them repeat an id."""
+    per = rows.groupBy(pk).agg(F.count("*").alias("_n"))
+    n = F.coalesce(F.sum("_n"), F.lit(0))
+    return per.agg(n.alias("rows"), (n - F.count("*")).alias("repeated"))
+
+
+def context_flags(conversations: DataFrame, by: str = "marketplace") -> DataFrame:
+    return conversations.groupBy(by).agg(F.bool_and("needs_context").alias("all_need_context"))
+
+
+def latest_usage(usage: DataFrame, key: str = "draft_revision_id") -> DataFrame:
+    """The last call for each revision; one that isn't for a revision doesn't count."""
+    return first_by(usage.where(F.col(key).isNotNull()), [key], F.desc("created_at"), "provider", "model")
+
+
+def missing_attachments(messages: DataFrame, sources: DataFrame, pk: str = "source_pk") -> DataFrame:
+    """``pk, attachments``: addresses that the sources have and the stored messages lack or
+    have otherwise.  Lists are JSON, so they compare as text."""
+    urls = F.to_json(T.usable_urls(F.col("attachments")))
+    new = sources.where(F.col("attachments").isNotNull()).select(pk, urls.alias("_urls")).where(F.col("_urls") != "[]")
+    both = messages.select(pk, "attachments").join(new, pk)
+    return both.where(~F.col("attachments").eqNullSafe(F.col("_urls"))).select(pk, F.col("_urls").alias("attachments"))
+
+
 def thread_in_order(messages: DataFrame, thread: Column, ts: str = "source_ts", pk: str = "source_pk") -> DataFrame:
     return messages.where(thread).orderBy(ts, F.col(pk).cast("bigint"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +19,11 @@ LAYOUTS = {
 }
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 ORDER_NUMBER = r"(?<![0-9])[0-9]{2}-[0-9]{5}-[0-9]{5}(?![0-9])"
+#: Added to a rule that several platforms share.
+SHARED_NOTE = (
+    "\nAPPLIES TO SEVERAL PLATFORMS: follow only the {} steps in this rule. "
+    "Ignore every other platform's steps, links and wording."
+)
 #: Priority of escalation rules; others have the default.
 ESCALATION_PRIORITY, DEFAULT_PRIORITY = 10, 100
 
@@ -182,29 +187,93 @@ def scoped(rules: DataFrame, marketplace: str | None) -> DataFrame:
         own = F.col("_sheet").isNull() | (F.col("_sheet") == marketplace)
         rows = rows.where(mine & own)
     shared = (F.size("_named") > 1) if marketplace is not None else F.lit(False)
+    note = F.when(shared, F.lit(SHARED_NOTE.format(str(marketplace).upper()))).otherwise(F.lit(""))
+    name = T.trimmed(F.coalesce("rule_name", F.lit("")))
+    title = F.when(name != "", name).otherwise(F.col("category_name"))
     ref = T.rule_ref(F.col("category_name"), F.col("source_sheet"), F.col("source_row"))
     return rows.select(
-        ref.alias("ref"), F.substring("rule_name", 1, 160).alias("title"), "text", F.col("category_name").alias("category"),
-        "source_file", "source_sheet", "source_row", shared.alias("shared"),
+        ref.alias("ref"), F.substring(title, 1, 160).alias("title"), F.concat("text", note).alias("text"),
+        F.col("category_name").alias("category"), "source_file", "source_sheet", "source_row", shared.alias("shared"),
     ).orderBy("category", "source_sheet", "source_row")
 
 
+def scope_counts(rules: DataFrame, marketplace: str | None) -> DataFrame:
+    """One row: rules kept for a marketplace, those of others, those shared, and the areas."""
+    kept = scoped(rules, marketplace).agg(
+        F.count("*").alias("kept"), F.count_if("shared").alias("shared"), F.count_distinct("category").alias("areas")
+    )
+    return rules.agg(F.count("*").alias("_all")).crossJoin(kept).select("kept", (F.col("_all") - F.col("kept")).alias("dropped"), "shared", "areas")
+
+
 def repeated_refs(rules: DataFrame) -> DataFrame:
     """References that more than one rule has: sheet codes are short, so they can clash."""
     return rules.groupBy("ref").count().where("count > 1")
 
 
+def approved(file: Column, allowed: Sequence[str], forbidden: Sequence[str] = ()) -> Column:
+    """Whether a file may be published: named by ``allowed`` and not by ``forbidden``, case and
+    outer blanks aside."""
+    name = F.lower(T.trimmed(file))
+    yes, no = ([x.strip().lower() for x in names] for names in (allowed, forbidden))
+    return F.coalesce(name.isin(yes) & ~name.isin(no), F.lit(False))
+
+
+def withheld(allowed: DataFrame, present: DataFrame, name: str = "name") -> DataFrame:
+    """``name, state``: allowed files that are ``missing``, and files there that are ``withheld``."""
+    key = F.lower(T.trimmed(F.col(name)))
+    a, p = allowed.withColumn("_key", key), present.withColumn("_key", key)
+    missing = a.join(p.select("_key"), "_key", "left_anti").select(name, F.lit("missing").alias("state"))
+    return missing.unionByName(p.join(a.select("_key"), "_key", "left_anti").select(name, F.lit("withheld").alias("state")))
+
+
+def _in_sheet_order(part: Column) -> Column:
+    """The texts of a group's rules, by sheet and row."""
+    parts = F.array_sort(F.collect_list(F.struct(F.coalesce("source_sheet", F.lit("")), F.coalesce("source_row", F.lit(0)), part.alias("part"))))
+    return F.array_join(F.transform(parts, lambda x: x["part"]), "\n\n")
+
+
+def _by_area(rules: DataFrame):
+    return rules.groupBy(F.coalesce("category", F.lit("General")).alias("area"))
+
+
+def prompt_sections(rules: DataFrame) -> DataFrame:
+    """``area, section``: each area's rules under one heading, as a prompt has them."""
+    part = F.concat(F.lit("["), F.col("ref"), F.lit("] "), F.col("title"), F.lit("\n"), F.col("text"))
+    bodies = _by_area(rules).agg(_in_sheet_order(part).alias("_body"))
+    return bodies.select("area", F.concat(F.lit("## "), "area", F.lit("\n\n"), "_body").alias("section"))
+
+
 def area_documents(rules: DataFrame) -> DataFrame:
-    """``area, document``: the rules of each area as one Markdown text, by sheet and row."""
-    part = F.concat(
-        F.lit("## "), F.col("title"), F.lit("\n\n"), F.col("text"), F.lit("\n\n"),
-        F.concat_ws(" / ", "source_file", "source_sheet", F.col("source_row").cast("string")), F.lit(" ["), F.col("ref"), F.lit("]"),
+    """``area, name, rules, document``: the rules of each area as one Markdown file.
+
+    Each rule is a section with its reference and where it comes from, by sheet and row.
+    """
+    origin = F.concat(
+        F.lit("_Source: "), F.coalesce("source_file", F.lit("unknown")),
+        F.when(F.coalesce("source_sheet", F.lit("")) != "", F.concat(F.lit(" › "), "source_sheet")).otherwise(F.lit("")),
+        F.coalesce(F.concat(F.lit(" › row "), F.col("source_row").cast("string")), F.lit("")), F.lit("_"),
     )
-    parts = F.array_sort(F.collect_list(F.struct("source_sheet", "source_row", part.alias("part"))))
-    bodies = F.array_join(F.transform(parts, lambda x: x["part"]), "\n\n")
-    return rules.groupBy(F.col("category").alias("area")).agg(bodies.alias("_body")).select(
-        "area", F.concat(F.lit("# "), F.col("area"), F.lit("\n\n"), F.col("_body")).alias("document")
+    part = F.concat(F.lit("## ["), "ref", F.lit("] "), "title", F.lit("\n\n"), origin, F.lit("\n\n"), "text")
+    bodies = _by_area(rules).agg(_in_sheet_order(part).alias("_body"), F.count("*").alias("rules"))
+    bare = F.regexp_replace(F.trim(F.regexp_replace("area", "[^A-Za-z0-9 &-]", "")), r"\s+", "-")
+    head = F.concat(
+        F.lit("# CST rules — "), "area", F.lit("\n\nApproved CST knowledge. "), F.col("rules").cast("string"), F.lit(" rules.\n\n")
     )
+    return bodies.select("area", F.concat(bare, F.lit(".md")).alias("name"), "rules", F.concat(head, "_body", F.lit("\n")).alias("document"))
+
+
+def import_report(found: DataFrame, unique: DataFrame) -> DataFrame:
+    """``file, rules, triggers, examples, escalations, duplicates`` of each workbook."""
+    per = unique.groupBy(F.col("source_file").alias("file")).agg(
+        F.count("*").alias("rules"), F.sum(F.size("triggers")).alias("triggers"), F.count("example").alias("examples"),
+        F.count_if("escalation_required").alias("escalations"),
+    )
+    all_ = found.groupBy(F.col("source_file").alias("file")).agg(F.count("*").alias("_all"))
+    return per.join(all_, "file").withColumn("duplicates", F.col("_all") - F.col("rules")).drop("_all")
+
+
+def type_counts(rules: DataFrame) -> DataFrame:
+    return rules.groupBy("rule_type").agg(F.count("*").alias("rules")).orderBy(F.desc("rules"), "rule_type")
 
 
 def resolved_citations(citations: DataFrame, rules: DataFrame, key: str = "revision_id", refs: str = "refs") -> DataFrame:
@@ -217,6 +286,39 @@ def resolved_citations(citations: DataFrame, rules: DataFrame, key: str = "revis
     return found.select(key, "place", "ref", state.alias("state"), "title", "text")
 
 
+def evidence(citations: DataFrame, rules: DataFrame, key: str = "revision_id", refs: str = "refs") -> DataFrame:
+    """``key, matched, unresolved, legacy, documents, none_matched`` of each row.
+
+    ``matched`` is JSON: the cited rules in the order they were cited, with shown title,
+    condition, text and place; a row that cites nothing is there too.
+    """
+    found = resolved_citations(citations, rules.select("ref", "title", "text"), key, refs).drop("title", "text")
+    shown = T.display_title(F.col("title"), F.col("text"), F.col("category"))
+    known = rules.select(
+        "ref", F.col("category").alias("area"), shown.alias("title"), T.condition_of(F.col("text"), shown).alias("condition"),
+        F.col("text").alias("rule_text"), "source_file", "source_sheet", "source_row",
+    )
+    parts = ("area", "title", "condition", "rule_text", "ref", "source_file", "source_sheet", "source_row")
+
+    def listed(state: str) -> Column:
+        hits = F.array_sort(F.collect_list(F.when(F.col("state") == state, F.struct("place", "ref"))))
+        return F.transform(hits, lambda x: x["ref"])
+
+    cited = F.array_sort(F.collect_list(F.when(F.col("state") == "cited", F.struct("place", F.struct(*parts).alias("rule")))))
+    out = found.join(known, "ref", "left").groupBy(key).agg(
+        F.to_json(F.transform(cited, lambda x: x["rule"])).alias("matched"),
+        listed("unresolved").alias("unresolved"), listed("legacy").alias("legacy"),
+        F.array_sort(F.collect_set(F.when(F.col("state") == "cited", F.col("source_file")))).alias("documents"),
+        (F.count_if(F.col("state") == "cited") == 0).alias("none_matched"),
+    )
+    none = F.array().cast("array<string>")
+    return citations.select(key).join(out, key, "left").select(
+        key, F.coalesce("matched", F.lit("[]")).alias("matched"),
+        *(F.coalesce(c, none).alias(c) for c in ("unresolved", "legacy", "documents")),
+        F.coalesce("none_matched", F.lit(True)).alias("none_matched"),
+    )
+
+
 def known_citations(citations: DataFrame, known: DataFrame | None, kind: str) -> DataFrame:
     """Citations of a kind whose reference is known; all of them if nothing is known of it."""
     return citations if known is None else citations.join(known.select("ref"), "ref", "left_semi").where(F.col("kind") == kind)

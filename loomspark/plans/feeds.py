@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.operators import classify, threads
+from loomspark.operators import classify, threads, upsert
+from loomspark.sources import scans
 
 
 @dataclass(frozen=True)
@@ -66,3 +67,49 @@ def all_conversations(outcomes: Mapping[str, Outcome]) -> DataFrame:
     for more in tables[1:]:
         out = out.unionByName(more)
     return out
+
+
+def total_counts(outcomes: Mapping[str, Outcome]) -> DataFrame:
+    """A row for each feed with the rows examined and the classes they fell in."""
+    out = None
+    for name, o in outcomes.items():
+        row = o.counts.select(F.lit(name).alias("feed_key"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def resume_window(cursor: tuple | None, start) -> scans.After | scans.Since:
+    """Where a run goes on; one without a cursor starts at a time that somebody chose."""
+    return scans.Since(start) if cursor is None or None in cursor else scans.After(*cursor)
+
+
+@dataclass(frozen=True)
+class Stored:
+    """The tables that a run keeps; each run makes the next version of all three."""
+
+    conversations: DataFrame
+    messages: DataFrame
+    cursors: DataFrame
+
+
+IDENTITY = ["marketplace", "source_pk"]
+THREAD = ["threading_rule_version", "thread_key"]
+_COUNTS = ("message_count", "inbound_count")
+
+
+def persisted(stored: Stored, outcome: Outcome, feed_key: str) -> Stored:
+    """Stored tables with an outcome merged in.
+
+    Conversations are updated but for their counts and workflow state, and new ones are
+    ``received``; messages keep their first time; counts are taken anew from the messages
+    stored; the cursor only moves forward.  The same outcome twice changes nothing.
+    """
+    fresh = outcome.conversations.withColumn("workflow_state", F.lit("received")).select(*stored.conversations.columns)
+    kept = {*THREAD, *_COUNTS, "workflow_state"}
+    conversations = upsert.merged(stored.conversations, fresh, THREAD, [c for c in fresh.columns if c not in kept])
+    came = outcome.messages.select(*stored.messages.columns)
+    messages = upsert.merged(stored.messages, came, IDENTITY, [c for c in came.columns if c not in (*IDENTITY, "source_ts")])
+    messages = messages.drop("merge_action")
+    conversations = upsert.recounted(conversations.drop("merge_action"), messages).select(*stored.conversations.columns)
+    batch = upsert.highest_cursor(outcome.messages).select(F.lit(feed_key).alias("feed_key"), "ts", "pk")
+    return Stored(conversations, messages, upsert.advanced_cursors(stored.cursors, batch))

@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -51,6 +52,34 @@ def workbook_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
                     yield sheet.get("name"), int(re.search("[0-9]+", place)[0]), column_number(place), value
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """The workbooks under a path but for those that an editor has locked."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    return found.where(~F.startswith(F.substring_index("path", "/", -1), F.lit("~$")))
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Number of the workbooks, and a hash that changes with their names, sizes and times."""
+    mark = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    n, sum_ = _files(spark, path).agg(F.count("*"), F.coalesce(F.sum(mark), F.lit(0))).first()
+    return n, int(sum_)
+
+
+class WorkbookCache:
+    """Cells of the workbooks under a path, read again only when the files have changed."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self._mark, self._cells = None, None
+
+    def cells(self) -> DataFrame:
+        if (mark := fingerprint(self.spark, self.path)) != self._mark:
+            if self._cells is not None:
+                self._cells.unpersist()
+            self._mark, self._cells = mark, read_workbooks(self.spark, self.path).cache()
+        return self._cells
+
+
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """The filled cells of all workbooks under a path; a file is one task's work."""
 
@@ -60,5 +89,4 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(file.rpartition("/")[2], *c) for c in workbook_cells(bytes(content))]
                 yield pd.DataFrame(rows, columns=["file", "sheet", "row", "col", "value"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
-    return files.select("path", "content").mapInPandas(cells, CELLS)
+    return _files(spark, path).select("path", "content").mapInPandas(cells, CELLS)

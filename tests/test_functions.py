@@ -90,8 +90,24 @@ def test_references(spark):
 
 
 def test_previews_and_bodies(spark):
-    rows = [("a  b\n c ",), ("x" * 91,), (None,), ("x" * 90,)]
-    out = values(spark, rows, "x string", T.preview(F.col("x")))
-    assert out == ["a b c", "x" * 89 + "…", "No messages", "x" * 90]
-    body = values(spark, [("  ﻿",), (" a ",), (None,)], "x string", T.plain_body(F.col("x")))
+    rows = [("a  b\n c ", "decoded"), ("x" * 91, "decoded"), (None, None), ("x" * 90, "decoded"), (None, "empty"), ("x", "failed"), (" ", "decoded")]
+    out = values(spark, rows, "x string, s string", T.preview(F.col("x"), F.col("s")))
+    assert out == ["a b c", "x" * 89 + "…", "No messages", "x" * 90] + [T.UNAVAILABLE] * 3
+    body = values(spark, [("  ﻿",), (" a ",), (None,)], "x string", T.plain_body(F.col("x")))
     assert [tuple(b) for b in body] == [(None, "empty"), (" a ", "decoded"), (None, "empty")]
+
+
+def test_titles(spark):
+    rows = [("c", "eBay", None, True), ("unresolved:1", "Temu", None, False), ("A1", "B&Q", "Order", False), ("A1", "X", None, False)]
+    title = T.conversation_title(*(F.col(c) for c in "rlnv"))
+    assert values(spark, rows, "r string, l string, n string, v boolean", title) == ["c", "Temu enquiry", "B&Q Order A1", "X A1"]
+    rows = [("EB4", "KEY RULE: Be kind\nACTION: Ask", "c"), ("Late parcel", "Late parcel\nx", "c"), ("R-WD12", "", "c"), (" ", "", None), ("One", "a" * 121, "c")]
+    shown = T.display_title(F.col("t"), F.col("x"), F.col("c"))
+    out = values(spark, rows, "t string, x string, c string", shown, T.condition_of(F.col("x"), shown))
+    assert out == [("Be kind", "Ask"), ("Late parcel", "x"), ("R-WD12", None), ("CST rule", None), ("a" * 117 + "…", "a" * 121)]
+
+
+def test_skus(spark):
+    rows = [("A+B",), ("e\u0301",), ("é",), ("",), (None,), (" a",)]
+    assert values(spark, rows, "x string", T.exact_sku(F.col("x"))) == ["A+B", None, "é", None, None, " a"]
+    assert values(spark, rows[:2], "x string", T.looks_like_combo(F.col("x"))) == [True, False]

@@ -158,3 +158,39 @@ def test_draft_history(spark):
     assert [(r["revision"], r["is_current"], [tuple(s) for s in r["sources"]]) for r in out] == [
         (2, True, []), (1, False, [("a", "z", "l"), ("b", "r", None)]),
     ]
+
+
+def test_lookups(spark):
+    assert [reads.conversation_id(x) for x in ("7", "07", "x", "1" * 20, "7\n")] == [7, None, None, None, None]
+    assert [reads.marketplace(x, ["ebay"]) for x in ("ebay", "EBAY", None)] == ["ebay", None, None]
+    feed = feeds.feeds([])["temu"]
+    out = feeds.derive(feed, spark.createDataFrame([mail(2), mail(1)], MAIL))
+    heads = out.conversations.withColumn("conversation_id", F.lit(1)).limit(1)
+    messages = out.messages.withColumn("conversation_id", F.lit(1))
+    one, found = reads.conversation_detail(heads, messages, 1, "temu")
+    assert one.count() == 1 and [r["source_pk"] for r in found.collect()] == [1, 2]
+    assert [x.count() for x in reads.conversation_detail(heads, messages, 1, "ebay")] == [0, 0]
+    assert reads.repeated_ids(messages.limit(0), "source_pk").first()["rows"] == 0
+    assert feeds.total_counts({"temu": out}).first()["examined"] == 2
+    assert feeds.resume_window(None, DAY) == scans.Since(DAY) and feeds.resume_window((DAY, 3), DAY) == scans.After(DAY, 3)
+
+
+def test_persisting_twice_changes_nothing(spark):
+    feed = feeds.feeds([])["bandq"]
+    early = feeds.derive(feed, spark.createDataFrame([mail(1, order="A"), mail(2)], MAIL))
+    both = feeds.derive(feed, spark.createDataFrame([mail(1, order="A", body="new"), mail(2), mail(3, order="A")], MAIL))
+    empty = feeds.Stored(
+        early.conversations.withColumn("workflow_state", F.lit("")).limit(0), early.messages.limit(0),
+        spark.createDataFrame([], "feed_key string, ts timestamp_ntz, pk bigint"),
+    )
+    stored = feeds.persisted(empty, early, "b")
+    moved = feeds.Stored(stored.conversations.withColumn("workflow_state", F.lit("drafting")), stored.messages, stored.cursors)
+    once = feeds.persisted(moved, both, "b")
+    rows = {r["counterparty_ref"]: r for r in once.conversations.collect()}
+    assert rows["A"]["message_count"] == 2 and rows["A"]["workflow_state"] == "drafting" and len(rows) == 2
+    assert {r["source_pk"]: r["body_text"] for r in once.messages.collect()} == {1: "new", 2: "text", 3: "text"}
+    assert once.cursors.first()["pk"] == 3
+    again = feeds.persisted(once, both, "b")
+    for name in ("conversations", "messages", "cursors"):
+        a, b = getattr(once, name), getattr(again, name)
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))

@@ -2,6 +2,7 @@ import zipfile
 
 from loomspark.operators import rules
 from loomspark.sources import workbooks
+from pyspark.sql import functions as F
 
 NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 REL = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -72,6 +73,31 @@ def test_workbook_to_scoped_rules(spark, tmp_path):
     assert {r["title"] for r in rules.scoped(clean, "temu").collect()} == {"calm down"}
     assert rules.scoped(clean, None).count() == 3 and rules.repeated_refs(rules.scoped(clean, None)).count() == 0
     assert rules.extracted_rules(cells, {}).count() == 0
+    counts = rules.scope_counts(clean, "ebay").first()
+    assert (counts["kept"], counts["dropped"], counts["shared"], counts["areas"]) == (2, 1, 0, 1)
+    report = rules.import_report(found.unionByName(found), found).first()
+    assert (report["rules"], report["duplicates"], report["triggers"], report["escalations"]) == (4, 4, 2, 2)
+    assert sum(r["rules"] for r in rules.type_counts(found).collect()) == 4
+
+
+def test_shared_rules_and_approval(spark):
+    fields = "category_name string, source_file string, source_sheet string, source_row int, rule_name string, rule_requirement string, key_rule string, " \
+        "agent_action string, do_instruction string, dont_instruction string, banned_phrase string, replacement_instruction string, escalation_required boolean"
+    row = ("Area", "f", "s", 3, " ", "On eBay and Temu", *[None] * 6, False)
+    one = rules.scoped(spark.createDataFrame([row], fields), "ebay").first()
+    assert one["shared"] and one["title"] == "Area" and one["text"].startswith("On eBay and Temu\nAPPLIES TO SEVERAL PLATFORMS: follow only the EBAY")
+    files = spark.createDataFrame([(" a.XLSX ",), ("b.xlsx",), ("c.xlsx",), (None,)], "x string")
+    assert [r[0] for r in files.select(rules.approved(F.col("x"), ["A.xlsx", "b.xlsx"], ["B.xlsx"])).collect()] == [True, False, False, False]
+
+
+def test_workbooks_are_read_again_when_changed(spark, tmp_path):
+    write_workbook(tmp_path / "Book.xlsx", SHEETS)
+    (tmp_path / "~$Book.xlsx").write_bytes(b"lock")
+    cache = workbooks.WorkbookCache(spark, str(tmp_path))
+    first = cache.cells()
+    assert cache.cells() is first
+    write_workbook(tmp_path / "Other.xlsx", {"S": [["a", "b"]]})
+    assert cache.cells() is not first and cache.cells().count() == first.count() + 2
 
 
 def test_checked_drafts(spark):
