@@ -139,7 +139,8 @@ def usable(embedding: Column) -> Column:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.values.to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 0))
+    # flattened, since ``values`` would also have what a sliced column leaves out
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
 def _augmented(x: np.ndarray, top: float) -> np.ndarray:
