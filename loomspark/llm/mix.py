@@ -115,8 +115,8 @@ def flight(pi: list[float], size: list[float], draw: random.Random) -> list[floa
 def landing(pi: list[float], size: list[float]) -> list[float]:
     """Round the entries that ``flight`` left undecided, closest to the sum of sizes.
 
-    A unit that is large for its source can leave a gap; then decided units change sides,
-    the largest that fit the gap first, until none makes it smaller.
+    A unit that is large for its source can leave a gap; then one or two decided units change
+    sides, those that come closest to the gap, until none makes it smaller.
     """
     open_ = [k for k, p in enumerate(pi) if 0 < p < 1]
     if not open_:
@@ -130,11 +130,25 @@ def landing(pi: list[float], size: list[float]) -> list[float]:
     for x, k in zip(best, open_):
         pi[k] = x
     gap = want - sum(x * size[k] for x, k in zip(best, open_))
-    for k in sorted(range(len(pi)), key=lambda k: (-size[k], k)):
-        change = size[k] * (1 - 2 * pi[k])
-        if size[k] and abs(gap - change) < abs(gap):
-            pi[k], gap = 1 - pi[k], gap - change
-    return pi
+    while True:
+        # what a change of sides adds, in order; the nothing at -1 lets one unit change alone
+        adds = sorted([(0.0, -1), *((size[k] * (1 - 2 * pi[k]), k) for k in range(len(pi)) if size[k])])
+        least, pair = abs(gap) - _EPS, ()
+        i, j = 0, len(adds) - 1
+        while i < j:
+            left = gap - adds[i][0] - adds[j][0]
+            if abs(left) < least:
+                least, pair = abs(left), (adds[i], adds[j])
+            if left > 0:
+                i += 1
+            else:
+                j -= 1
+        if not pair:
+            return pi
+        for add, k in pair:
+            gap -= add
+            if k >= 0:
+                pi[k] = 1 - pi[k]
 
 
 def _fly(seed: int, round_: int):
@@ -221,12 +235,8 @@ def mix_sources(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with all their columns: one row for each time one is taken."""
-    columns = docs.columns
     plan = mix_sources(docs, **options).where(F.col("copies") > 0)
-    plan = plan.groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_copies")
-    return (
-        docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*columns)
-    )
+    plan = plan.groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.struct("*").alias("row"))  # apart from the plan's columns, whatever names they have
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source"))
+    return rows.join(plan, same).select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

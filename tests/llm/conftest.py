@@ -23,7 +23,7 @@ ROWS = [
 ]
 EXTRA = (
     "size", "digest", "keep_id", "score", "n", "keys", "copies", "unit", "rank", "target", "base", "chars", "total",
-    "kept", "spans", "class_id", "group_size", "block", "pi", "t", "value",
+    "kept", "spans", "class_id", "group_size", "block", "pi", "t", "value", "_id", "_copies", "row", "col",
 )
 
 

@@ -1,5 +1,16 @@
+import collections
+import hashlib
+import re
+
 import __spark_entry__
 import corpus_pipeline
+import numpy as np
+from loomspark.llm import pieces
+from loomspark.llm.queries import piece_model
+from test_dedup import brute_links
+from test_mix import brute_targets
+
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def test_stages_on_edges(spark, edge, none, sf_dir):
@@ -11,10 +22,37 @@ def test_stages_on_edges(spark, edge, none, sf_dir):
             out.count()
 
 
-def test_run(spark, docs, sf_dir):
+def brute_kept(rows):
+    """The documents that the first three stages keep: rows with letters, one of equal texts
+    and one of each near group."""
+    rows = [r for r in rows if any(map(str.isalpha, r["text"] or ""))]
+    best = {}
+    for r in sorted(rows, key=lambda r: (-len(r["text"]), r["doc_id"])):
+        best.setdefault(SPACE.sub("", r["text"]), r)
+    rows = list(best.values())
+    return [r for r, (id, of, _) in zip(rows, brute_links([(r["doc_id"], r["text"]) for r in rows])) if id == of]
+
+
+def test_run_equals_brute_force(spark, docs, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).collect()
-    ids = {r["doc_id"] for r in out}
-    assert ids <= {r["doc_id"] for r in docs.collect()} and out and all(len(r["ids"]) == r["n_tokens"] for r in out)
+    kept = {r["doc_id"]: r for r in brute_kept(docs.collect())}
+    words = {k: len([w for w in SPACE.split(r["text"]) if w]) for k, r in kept.items()}
+    copies = collections.Counter(r["doc_id"] for r in out)
+    assert set(copies) <= set(kept) and max(copies.values()) <= 3
+    sizes, taken = collections.Counter(), collections.Counter()
+    for k, r in kept.items():
+        sizes[r["source"]] += words[k]
+        taken[r["source"]] += copies[k] * words[k]
+    for source, target in brute_targets(dict(sizes)).items():
+        assert abs(taken[source] - target) <= 0.02 * target + 20
+        # every document is taken as often as the rate says, rounded down or up
+        rate = target / sizes[source]
+        assert all(int(rate) <= copies[k] <= int(np.ceil(rate - 1e-9)) for k, r in kept.items() if r["source"] == source)
+    model = pieces.load_model(piece_model())
+    for r in out:
+        ids = model.encode(kept[r["doc_id"]]["text"], add_bos=True, add_eos=True)
+        assert r["ids"] == ids and r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
 def test_registered():
