@@ -3,8 +3,9 @@
 Vectors are cut into posting lists around centroids that are fitted on a bounded sample by
 repeated balanced splits, so lists have like lengths; a vector near a boundary is put in
 several lists.  All centroids stay in memory as a neighbour graph, in which a beam search
-finds the lists near a vector.  A query reads the lists whose distance is within a ratio of
-its nearest one's.  (Chen et al., SPANN, 2021.)
+finds the lists near a vector.  A query always reads its few nearest lists, and on until they
+hold several times the vectors it wants; past them it reads the lists whose distance is within
+a ratio of the farthest of these.  (Chen et al., SPANN, 2021.)
 
 Largest inner product becomes smallest distance by one more coordinate, which brings all
 vectors to one norm and is 0 for queries.  Equal vectors are indexed once with their
@@ -33,9 +34,15 @@ MAX_LISTS = 20_000
 #: A vector also goes to lists up to this much farther than its nearest, in so many lists at most.
 BOUNDARY = 1.15
 REPLICAS = 4
-#: A query reads lists up to this much farther than its nearest, so many at most.
+#: A query always reads so many nearest lists, and on until they hold COVER times the vectors
+#: wanted (replicas not counted), whatever their distances.
+LEAST_PROBES = 8
+COVER = 4
+#: Besides, it reads lists up to this much farther than the last of those, so many at most: PROBES,
+#: or PROBE_ROOTS times the square root of the number of lists if that is more.
 PROBE_RATIO = 1.6
 PROBES = 32
+PROBE_ROOTS = 6
 #: Neighbours of a centroid in the graph, and length of the search's beam.
 DEGREE = 16
 BEAM = 48
@@ -147,19 +154,36 @@ def _augmented(x: np.ndarray, top: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(top - (x**2).sum(axis=1), 0))[:, None]])
 
 
-def _assign(graph_box, mode: str, top: float, boundary: float, most: int):
-    """For each row its lists: replicas of an indexed vector, or the lists a query reads."""
+def _assign(graph_box, mode: str, top: float, boundary: float, most: int, lengths_box=None, cover: int = 0):
+    """For each row its lists: replicas of an indexed vector, or the lists a query reads.
+
+    ``lengths_box`` has the length of each list, and ``cover`` the sum of lengths that a query
+    reads at least, or else all lists.
+    """
 
     def lists_of(x: np.ndarray) -> Iterator[np.ndarray]:
         graph: CentroidGraph = graph_box.value
         for i in range(0, len(x), 512):
             part = x[i : i + 512]
             query = np.hstack([part, np.zeros((len(part), 1))]) if mode == "query" else _augmented(part, top)
-            ids, d = graph.search(query, BEAM)
+            ids, d = graph.search(query, max(BEAM, most + most // 2))
             ids, d = ids[:, :most], d[:, :most]
-            fits = np.isfinite(d) & (d <= boundary * d[:, :1] + 1e-12)
+            there = np.isfinite(d)
+            if mode == "query":
+                own = lengths_box.value[ids] * there
+                held = own.cumsum(axis=1)
+                needed = there & ((held - own < cover) | (np.arange(ids.shape[1]) < LEAST_PROBES))
+                reach = np.where(needed, d, 0).max(axis=1, keepdims=True)
+                fits = there & (needed | (d <= boundary * reach + 1e-12))
+            else:
+                fits = there & (d <= boundary * d[:, :1] + 1e-12)
             for k in range(len(part)):
                 found = ids[k, fits[k]]
+                if mode == "query" and held[k, -1] < cover:
+                    # too few vectors there: all lists in order, as far as it takes
+                    order = np.argsort((graph.centroids**2).sum(axis=1) / 2 - graph.centroids @ query[k], kind="stable")
+                    order = order[: np.searchsorted(lengths_box.value[order].cumsum(), cover) + 1]
+                    found = np.union1d(found, order)
                 if mode == "index" and len(found) > 1:
                     # skip a list that an already chosen one is nearer to than the vector is
                     kept = [0]
@@ -261,12 +285,19 @@ def nearest_neighbours(
         vectors.mapInArrow(_assign(box, "index", top, BOUNDARY, REPLICAS), "cid bigint, v array<double>, list int"),
         "posting-lists",
     )
+    lengths = np.zeros(lists, np.int64)
+    for row in posted.groupBy("list").count().collect():  # MAX_LISTS rows at most
+        lengths[row["list"]] = row["count"]
+    lengths_box = spark.sparkContext.broadcast(lengths)
+    most = max(PROBES, int(PROBE_ROOTS * np.sqrt(lists)))
+    # a vector counts once in each list that it was put in
+    cover = COVER * REPLICAS * (k + 1)
     # queries with one vector are one search
     asked = once.where("is_query").groupBy("v").agg(cid.alias("qid"), F.count("*").alias("queries"))
     asked = written(asked, "query-vectors")
     reads = written(
         asked.select("qid", "v").mapInArrow(
-            _assign(box, "query", top, PROBE_RATIO, PROBES), "qid bigint, v array<double>, list int"
+            _assign(box, "query", top, PROBE_RATIO, most, lengths_box, cover), "qid bigint, v array<double>, list int"
         ),
         "probes",
     )

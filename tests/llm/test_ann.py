@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from loomspark.llm import ann
 from pyspark.sql import functions as F
 
@@ -51,6 +52,47 @@ def test_many_lists(spark):
     assert recall(found, want) >= 0.9
 
 
+def table_of(spark, x):
+    return spark.createDataFrame([(k, [float(a) for a in v]) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+
+
+def nearest_of(x, queries, k=20):
+    s = x[queries] @ x.T
+    s[np.arange(len(queries)), queries] = -np.inf
+    return {int(q): [(int(i), row[i]) for i in np.argsort(-row, kind="stable")[:k]] for q, row in zip(queries, s)}
+
+
+def test_short_list_near_a_query(spark):
+    """Ten close vectors have a list of their own, far from all others: it isn't the only one read."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(10_010, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    far = rng.normal(size=16)
+    x[:200:20] = 100 * far / np.linalg.norm(far) + 1e-3 * rng.normal(size=(10, 16))
+    want = nearest_of(x, np.arange(0, len(x), 20))
+    found = collected(ann.nearest_neighbours(table_of(spark, x), F.col("vec_id") % 20 == 0))
+    assert found.keys() == want.keys() and all(len(near) == 20 for near in found.values())
+    assert recall({q: found[q] for q in range(0, 200, 20)}, {q: want[q] for q in range(0, 200, 20)}) >= 0.9
+
+
+def test_tiny_lists_are_read_until_they_suffice(spark):
+    x = np.random.default_rng(6).normal(size=(2000, 4))
+    found = collected(ann.nearest_neighbours(table_of(spark, x), F.col("vec_id") % 50 == 0, k=300, list_vectors=4))
+    assert len(found) == 40 and all(len(near) == 300 for near in found.values())
+
+
+@pytest.mark.parametrize("clusters", [0, 200])
+def test_hundreds_of_lists_with_heavy_tailed_norms(spark, clusters):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30_000, 16))
+    if clusters:
+        x = rng.normal(size=(clusters, 16))[rng.integers(0, clusters, len(x))] + 0.5 * x
+    x *= (1 + rng.pareto(2.0, (len(x), 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    want = nearest_of(x, np.arange(0, len(x), 100))
+    found = collected(ann.nearest_neighbours(table_of(spark, x), F.col("vec_id") % 100 == 0, list_vectors=100))
+    assert recall(found, want) >= 0.9
+
+
 def test_graph_search_finds_nearest_centroids():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 12))
