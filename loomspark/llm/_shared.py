@@ -123,6 +123,27 @@ def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") ->
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 
+def one_row_each(docs: DataFrame, text_key: Column, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` without ``dropped`` rows, and with one row for each of ``repeated``.
+
+    Both have ``text_key`` and ``doc_id``, distinct pairs that tell rows apart, whether or not
+    an id repeats or is null; ``text_key`` is the key of a row of ``docs`` and never null.  Of
+    repeated rows the longest text stays.
+    """
+    id_type = docs.schema["doc_id"].dataType
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text_key.alias("_key"))
+    repeated = repeated.select(F.col("text_key").alias("_of"), F.col("doc_id").cast(id_type).alias("_with"))
+    gone = dropped.select(F.col("text_key").alias("_of"), F.col("doc_id").cast(id_type).alias("_with")).union(repeated)
+    same = (F.col("_key") == F.col("_of")) & F.col("_row.doc_id").eqNullSafe(F.col("_with"))
+    single = rows.join(gone, same, "left_anti").select("_row")
+    # repeats come down to one row before they are shuffled, so a hot one is no burden
+    again = sifted(rows, F.struct("_key", "_row.doc_id"), repeated, F.struct("_of", "_with"))
+    order = F.struct((-code_points(F.col("_row.text"))).alias("less"), F.to_json("_row").alias("all"))
+    again = again.groupBy("_key", F.col("_row.doc_id").alias("_id")).agg(F.min_by("_row", order).alias("_row"))
+    again = again.join(repeated, (F.col("_key") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_with"))).select("_row")
+    return single.union(again).select("_row.*")
+
+
 def min_label_components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of an undirected graph, as rows ``(node, root)``.
 

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm._shared import SPACE_CHARS, code_points, shared_dir, shuffle_partitions, spread_join, without_ids, written
+from loomspark.llm._shared import SPACE_CHARS, code_points, one_row_each, shared_dir, shuffle_partitions, spread_join, without_ids, written
 
 
 def text_digest(text: Column) -> Column:
@@ -103,3 +103,16 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that ``exact_duplicates`` keeps, with all their columns."""
     return without_ids(docs, exact_duplicates(docs).where(~F.col("kept")))
+
+
+def one_of_each_text(docs: DataFrame) -> DataFrame:
+    """One row of each group of equal texts, with all its columns.
+
+    It is the row that ``exact_duplicates`` keeps.  Rows are told apart by id and text, so an
+    id that has several texts keeps those that stay, and of rows that repeat id and text, or
+    of equal texts without ids, one stays.
+    """
+    rows = exact_duplicates(docs).where(F.col("group_size") > 1).groupBy(F.col("text_sha256").alias("text_key"), "doc_id", "kept")
+    keys = written(rows.agg(F.count("*").alias("rows")), "copies")
+    repeated = keys.where(F.col("kept") & (F.col("rows") > 1))
+    return one_row_each(docs, text_digest(F.col("text")), keys.where(~F.col("kept")), repeated)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._shared import SPACE_CHARS, min_label_components, sifted, spread_join, without_ids, written
+from loomspark.llm._shared import SPACE_CHARS, SPACE_CLASS, min_label_components, one_row_each, sifted, spread_join, written
 
 THRESHOLD = 0.8
 WORDS = 5
@@ -265,16 +265,7 @@ def _units(reps: DataFrame, unit_texts: int, unit_shingles: int) -> DataFrame:
     )
 
 
-def similarity_classes(
-    docs: DataFrame,
-    threshold: float = THRESHOLD,
-    words: int = WORDS,
-    trees: int = TREES,
-    depth: int = DEPTH,
-    recall: float = RECALL,
-    unit_texts: int = UNIT_TEXTS,
-    unit_shingles: int = UNIT_SHINGLES,
-) -> DataFrame:
+def similarity_classes(docs: DataFrame, **options) -> DataFrame:
     """Class and number of links of every document.
 
     Two documents are linked when the Jaccard similarity of their sets of ``words``-word
@@ -284,7 +275,23 @@ def similarity_classes(
     reached over links, and the number of other rows that it is linked to (copies
     included).  Documents without words have no links and are classes of their own; rows
     without an id take part, and a class of such rows only has a null ``class_id``.
+    ``options`` are those of ``_classed``.
     """
+    return _classed(docs, **options).select("doc_id", "class_id", "n_links")
+
+
+def _classed(
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    words: int = WORDS,
+    trees: int = TREES,
+    depth: int = DEPTH,
+    recall: float = RECALL,
+    unit_texts: int = UNIT_TEXTS,
+    unit_shingles: int = UNIT_SHINGLES,
+) -> DataFrame:
+    """``similarity_classes`` with ``text_key`` and ``stays``, whether it is the row, or a repeat
+    of the row, that stands for its class: of the texts with the smallest id, one."""
     depth = matched_depth(trees, depth, threshold, recall)
     signed = written(_signed(docs, trees, depth, words), "signed")
     reps = written(
@@ -314,13 +321,16 @@ def similarity_classes(
     links = found.groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))
     classes = min_label_components(found.select("a", "b"), "classes").withColumnRenamed("node", "digest")
     classes = written(classes.join(reps.select("digest", "rep"), "digest"), "class-texts")
-    roots = classes.groupBy("root").agg(F.min("rep").alias("class_rep"))
-    named = classes.join(roots, "root").select("digest", "class_rep").join(links, "digest", "left")
+    first = F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "digest"))
+    roots = classes.groupBy("root").agg(F.min("rep").alias("class_rep"), first["digest"].alias("first"))
+    named = classes.join(roots, "root").select("digest", "class_rep", (F.col("digest") == F.col("first")).alias("leads"))
+    named = named.join(links, "digest", "left")
     groups = reps.select("digest", "rep", "copies").join(named, "digest", "left")
     groups = written(
         groups.select(
             F.hex("digest").alias("text_key"),
             F.coalesce("class_rep", "rep").alias("class_id"),
+            F.coalesce("leads", F.lit(True)).alias("leads"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
             "copies",
         ),
@@ -333,10 +343,20 @@ def similarity_classes(
         "doc_id",
         F.when(has, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(has, F.col("n_links")).otherwise(0).cast("long").alias("n_links"),
+        "text_key",
+        (~has | (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id")))).alias("stays"),
     )
 
 
 def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
-    """The documents with the smallest id of their class, with all their columns."""
-    classes = similarity_classes(docs, **options)
-    return without_ids(docs, classes.where(F.col("doc_id") != F.col("class_id")))
+    """One row of each class, with the smallest id of it, with all its columns.
+
+    Rows are told apart by id and words, so an id with several texts keeps those that stay;
+    of rows that repeat both, and of classes without ids, one stays, too.
+    """
+    rows = _classed(docs, **options).where(F.col("n_links") > 0).groupBy("text_key", "doc_id", "stays")
+    keys = written(rows.agg(F.count("*").alias("rows")), "class-rows")
+    # as ``_signed`` has it: the digest of the words with one space between
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), f"[{SPACE_CLASS}]++", " "))
+    repeated = keys.where(F.col("stays") & (F.col("rows") > 1))
+    return one_row_each(docs, F.upper(F.md5(words.cast("binary"))), keys.where(~F.col("stays")), repeated)

@@ -22,6 +22,39 @@ def test_stages_on_edges(spark, edge, none, sf_dir):
             out.count()
 
 
+def test_one_row_of_each_group(spark, sf_dir):
+    """Ids that have several texts, repeated rows and rows without ids: copies go row by row."""
+    word = iter(range(10_000))
+    new = lambda: " ".join(f"w{next(word)}" for _ in range(60))
+    a, b, c, d, e, f, g, h, k = (new() for _ in range(9))
+    near = lambda text: text + " more"
+    rows = [
+        (1, a), (2, a), (2, b), (0, c), (1, c), (3, d), (3, d), (None, e), (None, e), (None, f), (5, f),
+        (4, d[:-1] + "0"), (6, g), (6, g + " "), (None, h), (None, near(h)), (7, k), (7, near(k)), (None, near(near(k))),
+        (8, "w"), (8, "v"), (9, "v"),
+    ]
+    table = spark.createDataFrame([(*r, "s") for r in rows], "doc_id bigint, text string, source string").repartition(4)
+    exact = corpus_pipeline.drop_exact_copies(spark, table, sf_dir)
+    want = [
+        (1, a), (2, b), (0, c), (3, d), (None, e), (5, f), (4, d[:-1] + "0"), (6, g + " "), (None, h), (None, near(h)),
+        (7, k), (7, near(k)), (None, near(near(k))), (8, "w"), (8, "v"),
+    ]
+    got = [(r["doc_id"], r["text"]) for r in exact.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+    # one of each near group, whether its rows have ids or not
+    group = {text: base for base in (a, b, c, d, e, f, g, h, k) for text in (base, base + " ", near(base), near(near(base)))}
+    group[d[:-1] + "0"] = d
+    for stage_input in (exact, table):
+        got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, stage_input, sf_dir).collect()]
+        least = {}
+        for i, text in (r for r in rows):
+            least.setdefault(group.get(text, text), []).append(i)
+        assert collections.Counter(group.get(text, text) for _, text in got) == collections.Counter(least.keys())
+        for i, text in got:
+            assert i == min((x for x in least[group.get(text, text)] if x is not None), default=None)
+
+
 def brute_kept(rows):
     """The documents that the first three stages keep: rows with letters, one of equal texts
     and one of each near group."""
