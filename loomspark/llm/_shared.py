@@ -117,12 +117,6 @@ def sifted(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column)
     )
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` but for the rows whose id is in ``dropped``; rows without an id stay."""
-    gone = dropped.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
-
-
 def one_row_each(docs: DataFrame, text_key: Column, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
     """``docs`` without ``dropped`` rows, and with one row for each of ``repeated``.
 

@@ -1,18 +1,24 @@
 """Exact deduplication with a persistent index of text digests.
 
-The index is a table bucketed and sorted by digest, so it is never shuffled again: new
-rows are shuffled once to its buckets, and a sort-merge anti-join tells which digests are
-new.  Only DataFrame operations are used.
+The index is a table bucketed and sorted by digest, so it is never shuffled again: a batch
+of rows is shuffled once to its buckets, and a sort-merge anti-join tells which digests are
+new.  What is known of the others grows by appended rows, too.  Only DataFrame operations
+are used.
 """
 
 from __future__ import annotations
 
-import re
+import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm._shared import SPACE_CHARS, code_points, one_row_each, shared_dir, shuffle_partitions, spread_join, without_ids, written
+from loomspark.llm._shared import SPACE_CHARS, code_points, one_row_each, shared_dir, shuffle_partitions, spread_join, written
+from loomspark.llm.manifests import Conflict, Manifests
+
+#: Appends in which a table comes to a new index.
+BATCHES = 3
 
 
 def text_digest(text: Column) -> Column:
@@ -23,44 +29,86 @@ def text_digest(text: Column) -> Column:
 class DigestIndex:
     """Digests of all texts seen so far, with the document that stands for each.
 
-    ``path`` holds the files; ``buckets`` must be the same each time a path is opened.
+    ``path`` holds the files; ``buckets`` must be the same each time a path is opened.  Each
+    append is a segment: a row for each digest of the batch, marked ``first`` if the index
+    didn't hold it.  A manifest lists the segments that count, so an append is there as a
+    whole or not at all, and of two writers one starts again on what the other has added.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int, id_type: str = "bigint"):
-        self.spark, self.path, self.buckets = spark, path, buckets
-        self.table = "digest_index_" + re.sub(r"\W", "_", path.rpartition("/")[2])
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.manifests = Manifests(spark, f"{self.path}/manifests")
+        self.table = "digest_index_" + hashlib.sha1(self.path.encode()).hexdigest()
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} "
-            f"(digest STRING, keep_id {id_type}, group_size BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"(digest STRING, first BOOLEAN, chars BIGINT, keep_id {id_type}, group_size BIGINT, segment STRING) USING parquet "
+            f"PARTITIONED BY (segment) CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS "
+            f"LOCATION '{self.path}/segments'"
         )
 
-    def rows(self) -> DataFrame:
-        return self.spark.table(self.table)
+    def entries(self, version: int | None = None) -> DataFrame:
+        """The rows of a version's segments, the newest version's by default."""
+        segments = self.manifests.read(version).get("segments", [])
+        return self.spark.table(self.table).where(F.col("segment").isin(segments)).drop("segment")
+
+    def rows(self, version: int | None = None) -> DataFrame:
+        """``digest, keep_id, group_size`` of every digest; grouped in its buckets, without a shuffle."""
+        best = F.min(F.struct((-F.col("chars")).alias("less"), F.col("keep_id").isNull().alias("no_id"), "keep_id"))
+        rows = self.entries(version).groupBy("digest").agg(best.alias("best"), F.sum("group_size").alias("group_size"))
+        return rows.select("digest", F.col("best.keep_id").alias("keep_id"), "group_size")
+
+    def _write(self, rows: DataFrame) -> str:
+        segment = uuid.uuid4().hex
+        rows = rows.select("digest", "first", "chars", "keep_id", "group_size", F.lit(segment).alias("segment"))
+        rows.repartition(self.buckets, "digest").write.insertInto(self.table)  # one file for each bucket
+        self.spark.catalog.refreshTable(self.table)
+        return segment
 
-    def append(self, digests: DataFrame) -> None:
-        """Add the digests that the index doesn't hold yet.
+    def append(self, digests: DataFrame) -> int:
+        """Add a batch and return the version.
 
-        ``digests`` has ``digest``, ``doc_id`` and ``chars``.  Of rows with one digest the
-        one with the most characters, then the smallest id, stands for all; a null id
-        comes last.  Digests that are already there keep their document.
+        ``digests`` has ``digest``, ``doc_id`` and ``chars``.  Of rows with one digest, in this
+        batch or others, the one with the most characters, then the smallest id, stands for
+        all; a null id comes last.
         """
         best = F.struct(
             (-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id")
         )
         # written, or the optimiser joins before it groups and shuffles every row
         fresh = written(digests.groupBy("digest").agg(F.min(best).alias("best"), F.count("*").alias("group_size")), "fresh")
-        (
-            fresh.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-            .select("digest", F.col("best.id").alias("keep_id"), "group_size")
-            .repartition(self.buckets, "digest")  # one file for each bucket
-            .write.insertInto(self.table)
+        fresh = fresh.select(
+            "digest", (-F.col("best.less")).cast("bigint").alias("chars"), F.col("best.id").alias("keep_id"), "group_size"
         )
-        self.spark.catalog.refreshTable(self.table)
+        while True:
+            base = self.manifests.version()
+            there = self.entries(base).where("first").select("digest").hint("merge")
+            new = fresh.join(there, "digest", "left_anti").withColumn("first", F.lit(True))
+            again = fresh.join(there, "digest", "left_semi").withColumn("first", F.lit(False))
+            segment = self._write(new.unionByName(again))
+            try:
+                return self.manifests.commit(base, {"segments": [*self.manifests.read(base).get("segments", []), segment]})
+            except Conflict:
+                continue
+
+    def compact(self) -> int:
+        """Merge all segments into one, as rows of one batch; returns the version."""
+        while True:
+            base = self.manifests.version()
+            whole = self.entries(base).groupBy("digest").agg(
+                F.min(F.struct((-F.col("chars")).alias("less"), F.col("keep_id").isNull().alias("no_id"), "keep_id")).alias("b"),
+                F.sum("group_size").alias("group_size"),
+            )
+            rows = whole.select(
+                "digest", F.lit(True).alias("first"), (-F.col("b.less")).alias("chars"), F.col("b.keep_id").alias("keep_id"), "group_size"
+            )
+            try:
+                return self.manifests.commit(base, {"segments": [self._write(rows)]})
+            except Conflict:
+                continue
 
     def unseen(self, digests: DataFrame) -> DataFrame:
         """The rows whose digest the index doesn't hold."""
-        return digests.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+        return digests.join(self.entries().where("first").select("digest").hint("merge"), "digest", "left_anti")
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
@@ -71,9 +119,12 @@ def digest_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
+def exact_duplicates(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """Which document stays of each group of equal texts.
 
+    The rows come to a new index in ``batches`` appends, dealt by a hash of the id; the result
+    doesn't depend on them.
+
     Returns ``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``
     (columns ``doc_id`` and ``text``; others are ignored).  Texts are equal when they are
     identical without white space; a null text is an empty one, and empty texts are equal.
@@ -84,7 +135,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = digest_rows(docs)
     index = DigestIndex(spark, shared_dir(spark, "index"), shuffle_partitions(spark), dict(rows.dtypes)["doc_id"])
-    index.append(rows)
+    batch = F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(batches))
+    for k in range(batches):
+        index.append(rows.where(batch == k))
     groups = index.rows().where(F.col("group_size") > 1)
     total = rows.count()
     row_id = F.struct("doc_id", "chars")
@@ -100,11 +153,6 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that ``exact_duplicates`` keeps, with all their columns."""
-    return without_ids(docs, exact_duplicates(docs).where(~F.col("kept")))
-
-
 def one_of_each_text(docs: DataFrame) -> DataFrame:
     """One row of each group of equal texts, with all its columns.
 

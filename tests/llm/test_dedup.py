@@ -27,9 +27,54 @@ def test_exact(edge, none, docs):
         want = brute_exact([(r["doc_id"], r["text"]) for r in table.collect()])
         assert sorted(got, key=str) == sorted(want, key=str)
     assert digests.exact_duplicates(none).count() == 0
-    kept = digests.drop_exact_duplicates(edge)
+    kept = digests.one_of_each_text(edge)
     assert kept.columns == edge.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["3", "6", "7", "8", "9", "9", "10", "None", "None", "11", "12"])
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["3", "6", "7", "8", "9", "10", "None", "11", "12"])
+
+
+def test_rows_that_share_an_id(spark):
+    """An id with several texts keeps each text that stays; no text is lost, and each stays once."""
+    rows = [(5, "unique text of five"), (5, "a copy"), (3, "a copy"), (None, "a copy"), (None, "lone"), (None, "lone"), (7, "a  copy")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [tuple(r) for r in digests.one_of_each_text(table).collect()]
+    assert sorted(kept, key=str) == sorted([(5, "unique text of five"), (None, "lone"), (7, "a  copy")], key=str)
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    near = [(5, "quite another text of its own here"), (5, words), (3, words + " more"), (None, words), (9, words + " more")]
+    kept = [tuple(r) for r in jaccard.one_of_each_class(spark.createDataFrame(near, "doc_id bigint, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([near[0], near[2]], key=str)
+
+
+def test_appends_agree_with_one(spark, docs):
+    """However rows are dealt to appends: the longest text, then the smallest id, and all rows counted."""
+    want = sorted(brute_exact([(r["doc_id"], r["text"]) for r in docs.collect()]), key=str)
+    for batches in (1, 5):
+        assert sorted(map(tuple, digests.exact_duplicates(docs, batches).collect()), key=str) == want
+    index = digests.DigestIndex(spark, shared_dir(spark, "index"), 4)
+    for row in ((1, 5, "x"), (2, 9, "x"), (3, 9, "x"), (4, 1, "y")):
+        index.append(spark.createDataFrame([row], "doc_id bigint, chars bigint, digest string"))
+    for _ in range(2):
+        assert sorted(map(tuple, index.rows().collect())) == [("x", 2, 3), ("y", 4, 1)]
+        index.compact()
+    assert sorted(map(tuple, index.rows(2).collect())) == [("x", 2, 2)]
+    assert "Exchange" not in index.rows()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_two_writers_of_an_index(spark):
+    path = shared_dir(spark, "index")
+    one, two = (digests.DigestIndex(spark, path, 4) for _ in range(2))
+    batch = spark.createDataFrame([(1, 5, "x"), (2, 9, "y")], "doc_id bigint, chars bigint, digest string")
+    write = one._write
+    one._write = lambda rows: (setattr(one, "_write", write), two.append(batch), write(rows))[2]
+    one.append(batch)
+    assert sorted(map(tuple, one.rows().collect())) == [("x", 1, 2), ("y", 2, 2)]
+    assert one.entries().where("first").count() == 2
+
+
+def test_indexes_of_one_name(spark):
+    batch = spark.createDataFrame([(1, 5, "x")], "doc_id bigint, chars bigint, digest string")
+    one, two = (digests.DigestIndex(spark, f"{shared_dir(spark, d)}/index", 4) for d in "ab")
+    one.append(batch)
+    assert one.rows().count() == 1 and two.rows().count() == 0
 
 
 def test_index_persists_and_grows(spark):
@@ -39,7 +84,7 @@ def test_index_persists_and_grows(spark):
     again = digests.DigestIndex(spark, path, 4)
     assert again.unseen(rows).count() == 40
     again.append(rows)
-    assert again.rows().count() == 100 and again.unseen(rows).count() == 0
+    assert again.rows().count() == 100 and again.unseen(rows).count() == 0 and again.entries().where('first').count() == 100
     plan = again.unseen(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan  # the index isn't shuffled
 
