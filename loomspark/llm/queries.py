@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomspark.llm import ann, digests, jaccard, langid, mix, pieces, pii, shards, warc, wordpiece
 from loomspark.llm._shared import shared_dir
 
-#: Arrivals that the documents' files are appended in.
+#: Arrivals that the documents are appended in.
 ARRIVALS = 8
 
 
@@ -37,7 +37,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = shards.ShardStore(spark, shared_dir(spark, "shards"))
-    shards.append_in_batches(store, _table(spark, sf_dir, "documents"), ARRIVALS)
+    docs = _table(spark, sf_dir, "documents")
+    store.append_arrivals(docs, shards.row_batches(docs, ARRIVALS))
     store.vacuum()
     text = F.coalesce("text", F.lit("")).cast("binary")
     return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(text, 256).alias("text_sha256"))

@@ -1,10 +1,9 @@
 """A store of immutable shards with size-tiered compaction and versioned manifests.
 
 Arrivals are appended as small runs.  When enough runs are of like size, they are merged
-into one run of target-sized files.  Each change is a new manifest version: its file is
-written under another name and renamed into place, which fails if that version exists, so
-of two writers one wins and the other starts again.  Readers go by the newest manifest;
-files that it doesn't name don't count.  Only DataFrame operations touch the rows.
+into one run of target-sized files.  Each change is a new manifest version; readers go by the
+newest one, and files that it doesn't name don't count.  Only DataFrame operations touch the
+rows.
 """
 
 from __future__ import annotations
@@ -13,9 +12,12 @@ import json
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loomspark.llm.manifests import Conflict, Manifests
+
 #: Size of a merged file.
 TARGET_BYTES = 128 << 20
 #: So many runs of a tier are merged into one; tiers are powers of it.
@@ -23,6 +25,8 @@ FAN_IN = 4
 #: Runs up to this size are the lowest tier.
 LEAST_BYTES = 4 << 20
 
+_PART = "_part"
+
 
 @dataclass(frozen=True)
 class Run:
@@ -32,12 +36,12 @@ class Run:
     rows: int
 
 
-class Conflict(Exception):
-    """Another writer has committed this version."""
-
-
 class ShardStore:
-    """Shards and manifests under one folder of a file system that Spark can write."""
+    """Shards and manifests under one folder of a file system that Spark can write.
+
+    Rows keep their number, repeats and nulls; every run has the store's columns, whatever
+    their names.  An empty arrival gives the store its columns and no run.
+    """
 
     def __init__(
         self,
@@ -49,87 +53,85 @@ class ShardStore:
     ):
         self.spark, self.path = spark, path.rstrip("/")
         self.target_bytes, self.fan_in, self.least_bytes = target_bytes, fan_in, least_bytes
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            self._fs.getUri(), spark._jsc.hadoopConfiguration()
-        )
-        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-        self._no_overwrite = spark.sparkContext._gateway.new_array(rename, 1)
-        self._no_overwrite[0] = rename.NONE
-        self._fs.mkdirs(self._path(f"{self.path}/manifests"))
+        self.manifests = Manifests(spark, f"{self.path}/manifests")
+        self._path, self._fs = self.manifests.path_of, self.manifests.fs
 
     # -- manifests
     def version(self) -> int:
-        names = (s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/manifests")))
-        return max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
+        return self.manifests.version()
 
     def manifest(self, version: int | None = None) -> dict:
         """``schema`` and ``runs`` of a version, the newest by default."""
-        version = self.version() if version is None else version
-        if not version:
-            return {"version": 0, "schema": None, "runs": []}
-        stream = self._fs.open(self._path(f"{self.path}/manifests/v{version:08d}.json"))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return json.loads(text)
+        return {"schema": None, "runs": []} | self.manifests.read(version)
 
     def runs(self, version: int | None = None) -> list[Run]:
         return [Run(**r) for r in self.manifest(version)["runs"]]
 
     def _commit(self, base: int, schema: str, runs: list[Run]) -> int:
-        version = base + 1
-        final = self._path(f"{self.path}/manifests/v{version:08d}.json")
-        temporary = self._path(f"{self.path}/manifests/tmp-{uuid.uuid4().hex}")
-        out = self._fs.create(temporary, False)
-        body = {"version": version, "schema": schema, "runs": [asdict(r) for r in runs]}
-        out.write(bytearray(json.dumps(body).encode()))
-        out.close()
-        try:
-            self._context.rename(temporary, final, self._no_overwrite)
-        except Exception as e:
-            self._fs.delete(temporary, False)
-            if self._fs.exists(final):
-                raise Conflict(f"version {version} is taken") from e
-            raise
-        return version
+        return self.manifests.commit(base, {"schema": schema, "runs": [asdict(r) for r in runs]})
 
     # -- runs
-    def _write_run(self, df: DataFrame) -> Run:
-        name = uuid.uuid4().hex
-        df.write.parquet(f"{self.path}/shards/{name}")
+    def _run(self, name: str, schema: StructType) -> Run:
+        """What a written run holds; rows are counted from footers."""
         sizes = [
             s.getLen()
             for s in self._fs.listStatus(self._path(f"{self.path}/shards/{name}"))
             if s.getPath().getName().endswith(".parquet")
         ]
-        rows = self.spark.read.schema(df.schema).parquet(f"{self.path}/shards/{name}").count()  # from footers
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/shards/{name}").count()
         return Run(name, sum(sizes), len(sizes), rows)
 
+    def _write_run(self, df: DataFrame) -> Run:
+        name = uuid.uuid4().hex
+        df.write.parquet(f"{self.path}/shards/{name}")
+        return self._run(name, df.schema)
+
+    def _write_parts(self, df: DataFrame, part: Column) -> list[Run]:
+        """A run for each value of ``part``, all written in one pass over the rows."""
+        folder = uuid.uuid4().hex
+        df.withColumn(_PART, part).write.partitionBy(_PART).parquet(f"{self.path}/shards/{folder}")
+        statuses = self._fs.listStatus(self._path(f"{self.path}/shards/{folder}"))
+        names = sorted(s.getPath().getName() for s in statuses if s.isDirectory())
+        return [self._run(f"{folder}/{n}", df.schema) for n in names]
+
     def _read_runs(self, runs: list[Run], schema: str) -> DataFrame:
         struct = StructType.fromJson(json.loads(schema))
         if not runs:
             return self.spark.createDataFrame([], struct)
         return self.spark.read.schema(struct).parquet(*(f"{self.path}/shards/{r.name}" for r in runs))
 
-    def append(self, df: DataFrame) -> int:
-        """Add rows as a new run and commit; an arrival without rows changes nothing."""
+    def _check_columns(self, df: DataFrame) -> None:
         if self.version() and [(f.name, f.dataType) for f in self.read().schema] != [(f.name, f.dataType) for f in df.schema]:
             raise ValueError("columns differ from the store's")
-        run = self._write_run(df)
+
+    def _add(self, run: Run | None, schema: StructType) -> int:
         while True:
             now = self.manifest()
-            schema = now["schema"] or df.schema.json()
-            if not run.rows and now["schema"]:
+            if run is None and now["schema"]:
                 return now["version"]
             try:
-                return self._commit(now["version"], schema, [Run(**r) for r in now["runs"]] + [run] * bool(run.rows))
+                return self._commit(
+                    now["version"], now["schema"] or schema.json(), [Run(**r) for r in now["runs"]] + [run] * (run is not None)
+                )
             except Conflict:
                 continue
 
+    def append(self, df: DataFrame) -> int:
+        """Add rows as a new run and commit; an arrival without rows changes nothing."""
+        self._check_columns(df)
+        run = self._write_run(df)
+        return self._add(run if run.rows else None, df.schema)
+
+    def append_arrivals(self, df: DataFrame, arrival: Column) -> int:
+        """Add rows as one run for each value of ``arrival``, each committed on its own and
+        followed by compaction.  The rows are read once."""
+        self._check_columns(df)
+        runs = self._write_parts(df, arrival)
+        for run in runs or [None]:
+            self._add(run, df.schema)
+            self.compact()
+        return self.version()
+
     def tier(self, run: Run) -> int:
         tier, size = 0, self.least_bytes
         while run.bytes > size:
@@ -171,25 +173,26 @@ class ShardStore:
         return self._read_runs([Run(**r) for r in now["runs"]], now["schema"])
 
     def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete runs that the newest versions don't name; returns how many went.
+        """Delete versions but the newest, and runs that none of those names; returns how many
+        runs went.  An older version can't be read any more then.
 
         Call it when no writer is at work: a run that isn't committed yet has no name either.
         """
-        newest = self.version()
-        named = {r.name for v in range(max(1, newest - keep_versions + 1), newest + 1) for r in self.runs(v)}
+        oldest = max(1, self.version() - keep_versions + 1)
+        self.manifests.drop_before(oldest)
+        named = {r.name for v in self.manifests.versions() for r in self.runs(v)}
         gone = 0
         for status in self._fs.listStatus(self._path(f"{self.path}/shards")):
-            if status.getPath().getName() not in named:
-                self._fs.delete(status.getPath(), True)
-                gone += 1
+            name = status.getPath().getName()
+            parts = [s.getPath().getName() for s in self._fs.listStatus(status.getPath()) if s.isDirectory()]
+            runs = [f"{name}/{p}" for p in parts] or [name]
+            dead = [r for r in runs if r not in named]
+            for run in [name] if len(dead) == len(runs) else dead:
+                self._fs.delete(self._path(f"{self.path}/shards/{run}"), True)
+            gone += len(dead)
         return gone
 
 
-def append_in_batches(store: ShardStore, table: DataFrame, batches: int) -> None:
-    """Append a table's files to a store as so many arrivals (one a file, if there are fewer),
-    compacting after each."""
-    files = sorted(table.inputFiles())
-    for k in range(min(batches, len(files))):
-        part = files[len(files) * k // min(batches, len(files)) : len(files) * (k + 1) // min(batches, len(files))]
-        store.append(table.sparkSession.read.schema(table.schema).parquet(*part))
-        store.compact()
+def row_batches(df: DataFrame, batches: int) -> Column:
+    """A number from 0 to ``batches - 1`` for each row, by a hash of the whole row."""
+    return F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(batches)).cast("int")

@@ -1,6 +1,7 @@
 import pytest
-from loomspark.llm import shards
+from loomspark.llm import queries, shards
 from loomspark.llm._shared import shared_dir
+from loomspark.llm.manifests import Conflict
 
 
 def store_of(spark, **options):
@@ -35,12 +36,37 @@ def test_versions_and_vacuum(spark, docs):
     store.compact()
     assert store.version() == 3 and len(store.runs()) == 1 and same(store.read(2), docs)
     assert store.vacuum() == 2 and same(store.read(), docs)
+    assert store.manifests.versions() == [3]  # what can't be read any more isn't offered
+
+
+def test_arrivals_of_one_file(spark, docs):
+    """A table in one file arrives in several runs, in one pass, and is compacted."""
+    store = store_of(spark)
+    store.append_arrivals(docs, shards.row_batches(docs, 8))
+    assert store.version() >= 8 + 2 and len(store.runs(4)) == 4 and len(store.runs(5)) == 1
+    assert len(store.runs()) < 4 and same(store.read(), docs)
+    assert store.vacuum() >= 8 and same(store.read(), docs)
+    rows = queries.op2_sharding(spark, "/root/testdata/sf0.001")
+    assert rows.count() == docs.count()
+
+
+def test_two_compactions_at_once(spark, docs):
+    """Another writer merges the same runs first: its run counts, and rows stay once."""
+    store = store_of(spark, fan_in=2)
+    store.append(docs.where("doc_id < 50"))
+    store.append(docs.where("doc_id >= 50"))
+    other = shards.ShardStore(spark, store.path, fan_in=2)
+    write = store._write_run
+    store._write_run = lambda df: (other.compact(), write(df))[1]
+    store.compact()
+    assert store.version() == 3 and len(store.runs()) == 1 and same(store.read(), docs)
+    assert store.vacuum() == 3
 
 
 def test_one_writer_wins(spark, docs):
     store = store_of(spark)
     store.append(docs.limit(3))
-    with pytest.raises(shards.Conflict):
+    with pytest.raises(Conflict):
         store._commit(0, docs.schema.json(), [])
     assert store.version() == 1 and store.read().count() == 3
     other = shards.ShardStore(spark, store.path)
