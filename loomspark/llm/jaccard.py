@@ -1,13 +1,14 @@
 """Similarity self-join of documents on word n-grams: MinHash LSH forest, then exact check.
 
-Each text gets ``trees`` labels of MinHash values.  In a forest, texts are candidates when
-their labels share a prefix in some tree; the prefix starts at the full depth and is
-shortened until pairs at the threshold are met with the target probability, which for a
-join at one threshold is the same depth for all.  Sorting and matching prefixes is then a
-grouping by hashed prefix, done by shuffle.
+Each text has a label of ``depth`` MinHash values in each of ``trees`` tries.  A node of a trie
+is a prefix of labels and holds the texts that share it; nodes of all depths are found by one
+grouping of hashed prefixes.  A text starts with its whole labels and shortens them one by one,
+always where the fewest further texts come in for what the recall gains, until pairs at the
+threshold are met with the target probability; so labels stay long in crowded branches.
+Texts are candidates if they meet in a node that one of them has come to.
 
 Candidates that hang together form one unit of exact checking, so the shingles of a text
-are sent once.  Units that outgrow a task are replaced by the forest's own buckets, and
+are sent once.  Units that outgrow a task are replaced by the forest's own nodes, and
 those by pairs of blocks; inside a task all pairs are compared at once, and only the number
 of links and one edge for each text come out, never the pairs.
 """
@@ -15,6 +16,7 @@ of links and one edge for each text come out, never the pairs.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -28,25 +30,33 @@ from loomspark.llm._shared import SPACE_CHARS, SPACE_CLASS, min_label_components
 
 THRESHOLD = 0.8
 WORDS = 5
-TREES = 16
+TREES = 20
 DEPTH = 8
 RECALL = 0.9995
 #: Texts, and shingles of all its texts, that one task compares with each other at once.
 UNIT_TEXTS = 1024
 UNIT_SHINGLES = 2_000_000
 
+#: Words whose hashes a task remembers before it starts afresh, and characters of the longest.
+CACHE_WORDS = 400_000
+CACHE_CHARS = 64
+
 _HEAVY = 32
+#: Bytes of a label that a MinHash value takes.
+_VALUE = 2
 _SEPARATORS = {ord(c): " " for c in SPACE_CHARS}
 
 
 # ---- shingles and labels ---------------------------------------------------------------
 class WordHashes(dict):
-    """64-bit hash of each word; starts afresh when it holds too many."""
+    """64-bit hash of each word; starts afresh when it holds too many, and keeps no long ones."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word.encode())
+        out = xxhash.xxh64_intdigest(word.encode())
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = out
         return out
 
 
@@ -71,32 +81,91 @@ def shingles(words: np.ndarray, n: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def matched_depth(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """Length of the matched prefix: from ``depth`` down until the recall is reached."""
+# ---- the forest ------------------------------------------------------------------------
+def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20_240_511)
+    a = rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return a, rng.integers(0, 2**32, n, dtype=np.uint32)
+
+
+def labels(hashes: np.ndarray, trees: int, depth: int) -> bytes:
+    """The labels of all trees, one after the other: ``depth`` MinHash values each, cut to 16 bits."""
+    a, b = _permutations(trees * depth)
+    least = np.full(trees * depth, np.iinfo(np.uint32).max, np.uint32)
+    values = (hashes >> np.uint64(32)).astype(np.uint32)
+    for since in range(0, len(values), 1024):
+        np.minimum(least, (values[since : since + 1024, None] * a + b).min(axis=0), out=least)
+    return _mixed(least.astype(np.uint64)).astype("<u2").tobytes()
+
+
+def shortest_prefix(trees: int, depth: int, threshold: float, recall: float) -> int:
+    """Length to which prefixes are shortened at most: one less than would do for all trees, so
+    that some can stay longer."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
-    return depth
+    return max(1, depth - 1)
 
 
-def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20_240_511)
-    a = rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return a, rng.integers(0, 2**63, n, dtype=np.uint64)
+def least_similarity(n: int, threshold: float) -> float:
+    """Smallest Jaccard similarity from the threshold on that a set of ``n`` can have at all."""
+    if n > 20 / threshold:
+        return threshold
+    sizes = range(n, math.floor(n / threshold + 1e-9) + 1)  # of unions
+    return min((math.ceil(threshold * u - 1e-9) / u for u in sizes), default=1.0)
 
 
-def labels(hashes: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """For each tree, a hash of the first ``depth`` MinHash values."""
-    a, b = _permutations(trees * depth)
-    least = np.full(trees * depth, np.iinfo(np.uint64).max, np.uint64)
-    for since in range(0, len(hashes), 4096):
-        part = hashes[since : since + 4096]
-        np.minimum(least, (part[:, None] * a + b).min(axis=0), out=least)
-    out = np.arange(trees, dtype=np.uint64)
-    for values in least.reshape(trees, depth).T:
-        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + values)
+def chosen_depths(
+    met: dict[int, list[int]], n: int, trees: int, depth: int, shortest: int, threshold: float, recall: float
+) -> dict[int, int]:
+    """Length of the prefix that a text goes by in each tree.
+
+    ``met`` has, for each tree where the text meets another, the number of texts in its nodes of
+    lengths ``shortest`` to ``depth``.  Where it meets none, the shortest prefix costs nothing.
+    """
+    s = least_similarity(n, threshold)
+    if s >= 1:
+        return {tree: depth for tree in met}  # equal sets have equal labels
+
+    def miss(d: int) -> float:
+        return math.log(1 - s**d)
+
+    out = {tree: depth for tree in met}
+    now = (trees - len(met)) * miss(shortest) + len(met) * miss(depth)
+
+    def step(tree: int, d: int) -> tuple[float, int, int]:
+        sizes = met[tree]
+        more = sizes[d - 1 - shortest] - sizes[d - shortest]
+        return more / (miss(d) - miss(d - 1)), -d, tree
+
+    steps = [step(tree, depth) for tree in met] if depth > shortest else []
+    heapq.heapify(steps)
+    while steps and now > math.log(1 - recall):
+        _, d, tree = heapq.heappop(steps)
+        d = -d
+        now += miss(d - 1) - miss(d)
+        out[tree] = d - 1
+        if d - 1 > shortest:
+            heapq.heappush(steps, step(tree, d - 1))
     return out
 
 
+def _choose(trees: int, depth: int, shortest: int, threshold: float, recall: float):
+    """From each text's walks down the tries, the nodes that it has come to."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for n, walk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                met: dict[int, list[int]] = {}
+                for x in walk:
+                    met.setdefault(x["tree"], [1] * (depth - shortest + 1))[x["d"] - shortest] = x["texts"]
+                depths = chosen_depths(met, n, trees, depth, shortest, threshold, recall)
+                keys += [x["key"] for x in walk if x["d"] == depths[x["tree"]]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], names=["key"])
+
+    return choose
+
+
 def _signed(docs: DataFrame, trees: int, depth: int, n: int) -> DataFrame:
     """``doc_id``, digest of the words, number of shingles and labels of every row."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -105,24 +174,24 @@ def _signed(docs: DataFrame, trees: int, depth: int, n: int) -> DataFrame:
         table = WordHashes()
         number = table.__getitem__
         for batch in batches:
-            digests, sizes, keys = [], [], []
+            digests, sizes, found_labels = [], [], []
             for text in batch.column(1).to_pylist():
                 words = split_words(text)
                 found = shingles(np.fromiter(map(number, words), np.uint64, len(words)), n)
                 digests.append(hashlib.md5("\x20".join(words).encode()).digest())
                 sizes.append(len(found))
-                keys.append(labels(found, trees, depth).view(np.int64) if words else np.empty(0, np.int64))
+                found_labels.append(labels(found, trees, depth) if words else b"")
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(digests, pa.binary()),
                     pa.array(sizes, pa.int64()),
-                    pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(found_labels, pa.binary()),
                 ],
-                names=["doc_id", "digest", "n", "keys"],
+                names=["doc_id", "digest", "n", "labels"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {id_type}, digest binary, n bigint, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {id_type}, digest binary, n bigint, labels binary")
 
 
 def _shingled(docs: DataFrame, n: int) -> DataFrame:
@@ -208,7 +277,7 @@ def _compare(threshold: float):
         if tree > 0:  # pairs that met in an earlier tree are counted there
             keys = np.array(table["keys"].to_pylist(), np.int64)
             for k in range(tree):
-                links &= keys[:, k][:, None] != keys[:, k][None, :]
+                links &= (keys[:, k][:, None] != keys[:, k][None, :]) | (keys[:, k] == 0)
         copies = table["copies"].to_numpy()
         number = links.astype(np.int64) @ copies
         has = np.flatnonzero(number)
@@ -224,17 +293,42 @@ def _compare(threshold: float):
     return compare
 
 
-def _units(reps: DataFrame, unit_texts: int, unit_shingles: int) -> DataFrame:
+def forest_nodes(reps: DataFrame, trees: int, depth: int, threshold: float, recall: float) -> DataFrame:
+    """``digest, n, tree, key, texts, shingles, hub``: the nodes in which texts are candidates.
+
+    ``reps`` has ``digest``, ``n`` and ``labels`` of each text.  A text has one node in a tree
+    at most: the shortest of its prefixes that any text has come to.
+    """
+    shortest = shortest_prefix(trees, depth, threshold, recall)
+
+    def node(d) -> str:
+        # the tree's number keeps equal labels of different trees apart
+        return f"xxhash64(tree, substring(labels, int(tree * {depth * _VALUE} + 1), int({_VALUE} * {d})))"
+
+    entries = reps.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("key", F.expr(node(shortest)))
+    met = entries.groupBy("key").agg(F.count("*").alias("texts")).where(F.col("texts") > 1)
+    # only texts that meet another in the shortest prefix go on
+    paths = sifted(entries, F.col("key"), written(met, "met"), F.col("key"))
+    nodes = F.expr(f"transform(sequence({shortest}, {depth}), d -> struct(d, {node('d')} AS key))")
+    paths = paths.select("digest", "n", "tree", F.explode(nodes).alias("x")).select("digest", "n", "tree", "x.d", "x.key")
+    paths = written(paths, "paths")
+    sizes = paths.groupBy("key").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"), F.min("digest").alias("hub"))
+    sizes = written(sizes.where(F.col("texts") > 1), "nodes")
+    total = sizes.agg(F.sum("texts")).first()[0] or 0
+    walks = spread_join(paths, sizes, "key", F.col("digest"), "texts", total).where(F.col("texts").isNotNull())
+    walks = written(walks, "walks")
+    # at most trees x depth entries a text
+    walk = F.collect_list(F.struct("tree", "d", "key", "texts"))
+    chosen = walks.groupBy("digest").agg(F.first("n").alias("n"), walk.alias("walk")).select("n", "walk")
+    chosen = chosen.mapInArrow(_choose(trees, depth, shortest, threshold, recall), "key bigint")
+    reached = written(chosen.distinct().join(sizes.select("key", F.col("texts").alias("members")), "key"), "reached")
+    there = spread_join(walks, reached, "key", F.col("digest"), "members", total).where(F.col("members").isNotNull())
+    top = F.min_by(F.struct("key", "texts", "shingles", "hub"), "d")
+    return there.groupBy("digest", "tree").agg(F.first("n").alias("n"), top.alias("x")).select("digest", "n", "tree", "x.*")
+
+
+def _units(met: DataFrame, reps: DataFrame, unit_texts: int, unit_shingles: int) -> DataFrame:
     """``digest, unit, tree, part_a, part_b, own``: which texts are compared together."""
-    entries = reps.select("digest", "n", F.posexplode("keys").alias("tree", "key"))
-    buckets = written(
-        entries.groupBy("tree", "key")
-        .agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"), F.min("digest").alias("hub"))
-        .where(F.col("texts") > 1),
-        "buckets",
-    )
-    # labels of different trees differ too
-    met = written(sifted(entries, F.col("key"), buckets, F.col("key")).join(buckets, ["tree", "key"]), "met")
     edges = met.select(F.col("hub").alias("a"), F.col("digest").alias("b"))
     candidates = written(
         min_label_components(edges, "candidates")
@@ -292,18 +386,21 @@ def _classed(
 ) -> DataFrame:
     """``similarity_classes`` with ``text_key`` and ``stays``, whether it is the row, or a repeat
     of the row, that stands for its class: of the texts with the smallest id, one."""
-    depth = matched_depth(trees, depth, threshold, recall)
     signed = written(_signed(docs, trees, depth, words), "signed")
     reps = written(
         signed.where(F.col("n") > 0)
         .groupBy("digest")
         .agg(
-            F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")
+            F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels")
         ),
         "texts",
     )
-    units = written(_units(reps, unit_texts, unit_shingles), "units")
-    wanted = units.select("digest").distinct().join(reps, "digest").select("digest", "rep", "copies", "keys")
+    met = written(forest_nodes(reps.select("digest", "n", "labels"), trees, depth, threshold, recall), "forest")
+    units = written(_units(met, reps, unit_texts, unit_shingles), "units")
+    # the node in each tree, 0 where there is none
+    keys = F.expr(f"transform(sequence(0, {trees - 1}), t -> coalesce(element_at(keys, t), 0L))").alias("keys")
+    keyed = met.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("tree", "key"))).alias("keys"))
+    wanted = keyed.select("digest", keys).join(reps.select("digest", "rep", "copies"), "digest")
     wanted = written(wanted, "wanted")
     ids = wanted.select(F.col("rep").alias("_id"))
     # the sieve first: few texts are candidates, and whole texts are what a shuffle costs most

@@ -165,6 +165,38 @@ def test_similarity_edges(edge, none):
     assert {r["doc_id"] for r in kept.collect()} == {1, 4, 5, 6, 7, 8, 9, 10, 11, 12, None}
 
 
-def test_matched_depth():
-    assert jaccard.matched_depth(16, 8, 0.8, 0.9995) == 4
-    assert jaccard.matched_depth(64, 8, 0.8, 0.9995) > 4
+def test_depths_are_chosen_by_text():
+    """Prefixes stay long where branches are crowded, and the recall is met all the same."""
+    shortest = jaccard.shortest_prefix(20, 8, 0.8, 0.9995)
+    assert shortest == 4
+
+    def recall(depths, s=0.8):
+        return 1 - np.prod([1 - s ** depths.get(t, shortest) for t in range(20)])
+
+    crowded = {t: [5000, 4000, 2000, 900, 3] if t % 3 == 0 else [3, 3, 2, 1, 1] for t in range(20)}
+    got = jaccard.chosen_depths(crowded, 100, 20, 8, shortest, 0.8, 0.9995)
+    assert recall(got) >= 0.9995
+    assert min(got[t] for t in got if t % 3 == 0) > max(got[t] for t in got if t % 3)
+    alone = jaccard.chosen_depths({0: [9, 1, 1, 1, 1]}, 100, 20, 8, shortest, 0.8, 0.9995)
+    assert alone[0] > 4 and recall(alone) >= 0.9995
+    assert jaccard.least_similarity(3, 0.8) == 1 and jaccard.least_similarity(6, 0.8) == 5 / 6
+    assert jaccard.chosen_depths({4: [7, 7, 7, 7, 7]}, 3, 20, 8, shortest, 0.8, 0.9995) == {4: 8}
+
+
+def test_recall_of_crowded_branches(spark):
+    """Pairs at the threshold among texts that share a long passage: few links may be lost."""
+    rng = np.random.default_rng(8)
+    shared = [f"s{k}" for k in range(60)]
+    rows = []
+    for k in range(150):  # pairs of texts, each pair with a passage of its own behind the shared one
+        own = [f"p{k}_{j}" for j in range(60)]
+        for half in range(2):
+            words = shared + own
+            at = int(rng.integers(62, 100))
+            words[at : at + 9] = [f"q{k}_{half}_{j}" for j in range(9)]
+            rows.append((2 * k + half, " ".join(words)))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {r[0]: r[2] for r in brute_links(rows)}
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.similarity_classes(table).collect()}
+    assert all(got[k] <= want[k] for k in want) and sum(want.values()) > 150
+    assert sum(got.values()) >= 0.99 * sum(want.values())
