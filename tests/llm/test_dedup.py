@@ -192,8 +192,8 @@ def test_recall_of_crowded_branches(spark):
         own = [f"p{k}_{j}" for j in range(60)]
         for half in range(2):
             words = shared + own
-            at = int(rng.integers(62, 100))
-            words[at : at + 9] = [f"q{k}_{half}_{j}" for j in range(9)]
+            at = int(rng.integers(70, 110))
+            words[at : at + 2] = [f"q{k}_{half}_{j}" for j in range(2)]
             rows.append((2 * k + half, " ".join(words)))
     table = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = {r[0]: r[2] for r in brute_links(rows)}
