@@ -3,8 +3,9 @@
 Each text has a label of ``depth`` MinHash values in each of ``trees`` tries.  A node of a trie
 is a prefix of labels and holds the texts that share it; nodes of all depths are found by one
 grouping of hashed prefixes.  A text starts with its whole labels and shortens them one by one,
-always where the fewest further texts come in for what the recall gains, until pairs at the
-threshold are met with the target probability; so labels stay long in crowded branches.
+first where nodes stay small, then where the fewest further texts come in for what the recall
+gains, until pairs at the threshold are met with the target probability; so labels stay long
+in crowded branches only.
 Texts are candidates if they meet in a node that one of them has come to.
 
 Candidates that hang together form one unit of exact checking, so the shingles of a text
@@ -37,6 +38,8 @@ RECALL = 0.9995
 UNIT_TEXTS = 1024
 UNIT_SHINGLES = 2_000_000
 
+#: Texts that a node can hold before a prefix stays longer.
+CROWD = 64
 #: Words whose hashes a task remembers before it starts afresh, and characters of the longest.
 CACHE_WORDS = 400_000
 CACHE_CHARS = 64
@@ -129,15 +132,15 @@ def chosen_depths(
     def miss(d: int) -> float:
         return math.log(1 - s**d)
 
-    out = {tree: depth for tree in met}
-    now = (trees - len(met)) * miss(shortest) + len(met) * miss(depth)
+    out = {tree: next((d for d in range(shortest, depth) if sizes[d - shortest] <= CROWD), depth) for tree, sizes in met.items()}
+    now = (trees - len(met)) * miss(shortest) + sum(miss(d) for d in out.values())
 
     def step(tree: int, d: int) -> tuple[float, int, int]:
         sizes = met[tree]
         more = sizes[d - 1 - shortest] - sizes[d - shortest]
         return more / (miss(d) - miss(d - 1)), -d, tree
 
-    steps = [step(tree, depth) for tree in met] if depth > shortest else []
+    steps = [step(tree, d) for tree, d in out.items() if d > shortest]
     heapq.heapify(steps)
     while steps and now > math.log(1 - recall):
         _, d, tree = heapq.heappop(steps)
