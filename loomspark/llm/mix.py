@@ -4,7 +4,7 @@ A source's target may be any multiple of its size up to a cap, so each document
 ``floor(rate)`` times for certain and once more with probability ``rate - floor(rate)``.
 Those fractions are rounded by the cube method of Deville and Tillé: the vector of
 probabilities moves through the null space of the balancing constraints (here the number
-of documents and of words of the source) until all but two entries are 0 or 1.  Blocks of
+of documents and of words of the source) until all but a few entries are 0 or 1.  Blocks of
 a source move in parallel; what they leave undecided moves again in fewer blocks, so one
 task never holds more than a block and only a small landing problem remains in the end.
 """
@@ -15,18 +15,21 @@ import random
 from collections.abc import Sequence
 from itertools import product
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm._shared import word_count, written
+from loomspark.llm._shared import spread_join, word_count, written
 
 #: A source is taken this many times at most.
 MAX_REPEATS = 3
 #: Weights by the rank of the source's name, repeating.
 WEIGHTS = (1, 2, 3)
 #: Documents in a block of the flight phase.
-BLOCK = 4096
+BLOCK = 1024
+#: Undecided documents of a source that are left to the landing.
+LANDING = 12
 #: Sources up to this number are broadcast to the documents; more are joined by shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -82,73 +85,47 @@ def source_targets(
 
 
 # ---- the cube method -------------------------------------------------------------------
-def flight(pi: list[float], size: list[float], draw: random.Random) -> list[float]:
-    """Move ``pi`` until two entries at most lie strictly between 0 and 1.
+def flight(pi: Sequence[float], size: Sequence[float], draw: random.Random, stop: int = 2) -> list[float]:
+    """Move ``pi`` until ``stop`` entries at most lie strictly between 0 and 1.
 
-    Keeps the sums of ``pi`` and of ``pi * size``.  Works on three undecided entries at a
-    time: their null direction is the cross product of the two rows of constraints.
+    Keeps the sums of ``pi`` and of ``pi * size``.  Each move goes along the first undecided
+    entry's axis, projected on the null space of the two constraints: that entry moves most and
+    the others make up for it.  With entries in descending size, small ones are left in the end.
     """
-    pi = [0.0 if p < _EPS else 1.0 if p > 1 - _EPS else p for p in pi]
-    held: list[int] = []
-    for k in (k for k, p in enumerate(pi) if 0 < p < 1):
-        held.append(k)
-        if len(held) < 3:
-            continue
-        a, b, c = held
-        u = (size[b] - size[c], size[c] - size[a], size[a] - size[b])
-        if not any(u):
-            u = (1.0, -1.0, 0.0)  # equal sizes: any direction that keeps the count
-        up = down = float("inf")
-        for k_, d in zip(held, u):
-            if d > 0:
-                up, down = min(up, (1 - pi[k_]) / d), min(down, pi[k_] / d)
-            elif d < 0:
-                up, down = min(up, -pi[k_] / d), min(down, (pi[k_] - 1) / d)
-        step = up if draw.random() * (up + down) < down else -down
-        for k_, d in zip(held, u):
-            p = pi[k_] + step * d
-            pi[k_] = 0.0 if p < _EPS else 1.0 if p > 1 - _EPS else p
-        held = [k_ for k_ in held if 0 < pi[k_] < 1]
-    return pi
+    pi = np.array(pi, float)
+    pi[pi < _EPS], pi[pi > 1 - _EPS] = 0, 1
+    size = np.array(size, float)
+    size /= max(1.0, size.max(initial=0))
+    open_ = np.flatnonzero((pi > 0) & (pi < 1))
+    while len(open_) > max(2, stop):
+        p, x = pi[open_], size[open_] - size[open_].mean()
+        spread = x @ x
+        u = -(1 / len(x) + (x[0] / spread * x if spread > _EPS else np.zeros(len(x))))
+        u[0] += 1
+        if not np.abs(u).max() > _EPS:  # the first alone makes the sizes uneven: it can't move
+            open_ = np.append(open_[1:], open_[0])
+            x = size[open_] - size[open_].mean()
+            p, u = pi[open_], np.where(np.arange(len(x)) < 2, [1.0, -1.0] + [0.0] * (len(x) - 2), 0.0)
+        rises, falls = u > 1e-12, u < -1e-12
+        up = min(((1 - p[rises]) / u[rises]).min(initial=np.inf), (p[falls] / -u[falls]).min(initial=np.inf))
+        down = min((p[rises] / u[rises]).min(initial=np.inf), ((1 - p[falls]) / -u[falls]).min(initial=np.inf))
+        p = p + (up if draw.random() * (up + down) < down else -down) * u
+        p[p < _EPS], p[p > 1 - _EPS] = 0, 1
+        pi[open_] = p
+        open_ = open_[(p > 0) & (p < 1)]
+    return pi.tolist()
 
 
 def landing(pi: list[float], size: list[float]) -> list[float]:
-    """Round the entries that ``flight`` left undecided, closest to the sum of sizes.
-
-    A unit that is large for its source can leave a gap; then one or two decided units change
-    sides, those that come closest to the gap, until none makes it smaller.
-    """
+    """Round the few entries that ``flight`` left undecided: of all ways, the one closest to
+    their sum of sizes, then to their number."""
     open_ = [k for k, p in enumerate(pi) if 0 < p < 1]
-    if not open_:
-        return pi
-    want = sum(pi[k] * size[k] for k in open_)
-    count = sum(pi[k] for k in open_)
-    best = min(
-        product((0.0, 1.0), repeat=len(open_)),
-        key=lambda c: (abs(sum(x * size[k] for x, k in zip(c, open_)) - want), abs(sum(c) - count), c),
-    )
-    for x, k in zip(best, open_):
+    ways = np.array(list(product((0.0, 1.0), repeat=len(open_))))
+    gap = np.abs(ways @ [size[k] for k in open_] - sum(pi[k] * size[k] for k in open_)).round(6)
+    number = np.abs(ways.sum(axis=1) - sum(pi[k] for k in open_)).round(6)
+    for k, x in zip(open_, ways[np.lexsort((number, gap))[0]].tolist()):
         pi[k] = x
-    gap = want - sum(x * size[k] for x, k in zip(best, open_))
-    while True:
-        # what a change of sides adds, in order; the nothing at -1 lets one unit change alone
-        adds = sorted([(0.0, -1), *((size[k] * (1 - 2 * pi[k]), k) for k in range(len(pi)) if size[k])])
-        least, pair = abs(gap) - _EPS, ()
-        i, j = 0, len(adds) - 1
-        while i < j:
-            left = gap - adds[i][0] - adds[j][0]
-            if abs(left) < least:
-                least, pair = abs(left), (adds[i], adds[j])
-            if left > 0:
-                i += 1
-            else:
-                j -= 1
-        if not pair:
-            return pi
-        for add, k in pair:
-            gap -= add
-            if k >= 0:
-                pi[k] = 1 - pi[k]
+    return pi
 
 
 def _fly(seed: int, round_: int):
@@ -156,7 +133,7 @@ def _fly(seed: int, round_: int):
         rank, part, land = key
         block = block.sort_values(["size", "order", "unit"], ascending=[False, True, True], ignore_index=True)
         pi, size = block["pi"].tolist(), [float(x) for x in block["size"]]
-        pi = flight(pi, size, random.Random(f"{seed}/{round_}/{rank}/{part}"))
+        pi = flight(pi, size, random.Random(f"{seed}/{round_}/{rank}/{part}"), LANDING if land else 2)
         return block[["unit", "rank", "size", "order"]].assign(pi=landing(pi, size) if land else pi)
 
     return fly
@@ -208,12 +185,28 @@ def mix_sources(
     ``docs`` (columns ``doc_id``, ``text``, ``source``).  ``size`` counts words (0 for a
     null or empty text), ``taken`` is ``copies * size`` with ``copies`` from 0 to
     ``max_repeats``.  A null source is a source of its own, ranked last.  Rows with one id
-    and source are one unit and get the same ``copies``; rows without an id are one unit a
-    source.  Sources without words get target 0.  Runs with one seed agree.
+    and source are one unit and get the same ``copies``, and so do rows without an id that have
+    one text and source.  Sources without words get target 0.  Runs with one seed agree.
     """
-    sizes = written(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes"
-    )
+    return _planned(docs, weights, share, max_repeats, seed, block).drop("unit")
+
+
+def unit_of(doc_id: Column, text: Column) -> Column:
+    """What tells units of a source apart: the id, or the text of a row without one."""
+    return F.coalesce(F.concat(F.lit("#"), doc_id.cast("string")), F.concat(F.lit("?"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
+def _planned(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = 1.0,
+    max_repeats: int = MAX_REPEATS,
+    seed: int = 17,
+    block: int = BLOCK,
+) -> DataFrame:
+    """``mix_sources`` with the ``unit`` of each row."""
+    unit = unit_of(F.col("doc_id"), F.col("text")).alias("unit")
+    sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), unit), "sizes")
     targets = written(source_targets(sizes, weights, share, max_repeats), "targets")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
@@ -221,7 +214,7 @@ def mix_sources(
     rate = F.coalesce(rate, F.lit(0.0))
     named = targets.withColumnRenamed("source", "_source")
     rows = sizes.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("_rate", rate).withColumn("unit", F.coalesce(F.col("doc_id").cast("string"), F.lit("?")))
+    rows = rows.withColumn("_rate", rate)
     part = F.col("_rate") - F.floor("_rate")
     units = rows.groupBy("unit", "rank").agg(F.sum("size").alias("size"), F.first(part).alias("pi"))
     units = written(units.where(F.col("pi") > 0), "units")
@@ -229,14 +222,21 @@ def mix_sources(
     copies = (F.floor("_rate") + F.coalesce("_more", F.lit(0))).cast("int")
     out = rows.join(chosen, ["unit", "rank"], "left").withColumn("copies", copies)
     return out.select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "unit"
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with all their columns: one row for each time one is taken."""
-    plan = mix_sources(docs, **options).where(F.col("copies") > 0)
-    plan = plan.groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
-    rows = docs.select(F.struct("*").alias("row"))  # apart from the plan's columns, whatever names they have
-    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source"))
-    return rows.join(plan, same).select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    """The documents of the mix with all their columns: one row for each time one is taken.
+
+    Rows that ``mix_sources`` takes for one unit are taken alike, also where a unit has very many.
+    """
+    key = F.to_json(F.struct("source", "unit"))
+    plan = _planned(docs, **options).where(F.col("copies") > 0).groupBy(key.alias("_unit"))
+    plan = written(plan.agg(F.max("copies").alias("copies"), F.count("*").alias("rows")), "mix")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # whatever names its columns have
+    unit = F.struct(F.col("row.source").alias("source"), unit_of(F.col("row.doc_id"), F.col("row.text")).alias("unit"))
+    rows = rows.withColumn("_unit", F.to_json(unit))
+    total = plan.agg(F.sum("rows")).first()[0] or 0
+    taken = spread_join(rows, plan, "_unit", F.col("row"), "rows", total).where(F.col("copies").isNotNull())
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
