@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that the model is fitted on, about: a hash of the id picks them.
-FIT_ROWS = 8000
+#: Rows of each language that the model is fitted on, about: a hash of the id picks them.
+FIT_ROWS = 2000
 #: Trigram counts are kept in this many hashed cells a language.
 CELLS = 1 << 16
 #: A text counts a trigram by the square root of its number, so that one long text with few
@@ -37,6 +37,11 @@ SCRIPT_SHARE = 1e-4
 #: Letters that are labelled at a time.
 SLICE_CHARS = 1_000_000
 
+#: Words whose letters are scored at a time; a text longer than SLICE_CHARS goes through by them.
+SLICE_WORDS = 20_000
+#: A document has a language if that has this share of its letters.
+LEAST_SHARE = 0.5
+
 UNDETERMINED = "und"
 
 #: First and last code point of the ranges of scripts.
@@ -120,19 +125,22 @@ class Model:
 
 # ---- fitting ---------------------------------------------------------------------------
 def fit(labelled: DataFrame, rows: int = FIT_ROWS, cells: int = CELLS) -> Model:
-    """Learn from ``text`` and ``lang`` of about ``rows`` rows with a language.
+    """Learn from ``text`` and ``lang`` of about ``rows`` rows of each language.
 
-    A hash of the id takes them, so that reruns agree; where there are fewer, all are used.
-    More than MAX_LANGUAGES languages are an error.
+    A hash of the id takes them, so that reruns agree; where a language has fewer, all are
+    used.  Rows whose language is null are left out.  More than MAX_LANGUAGES languages are an
+    error.
     """
-    known = labelled.where(F.col("lang").isNotNull() & (F.col("lang") != ""))
-    there = known.count()
-    if there > rows:
-        part = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000))
-        known = known.where(part < int(1_000_000 * rows / there))
-    languages = [r[0] for r in known.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
+    known = labelled.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    counts = known.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    languages = [r["lang"] for r in counts]
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    share = {r["lang"]: int(1_000_000 * rows / r["count"]) for r in counts if r["count"] > rows}
+    if share:
+        most = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]
+        part = F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(1_000_000))
+        known = known.where(most.isNull() | (part < most))
     index = {x: k for k, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +224,13 @@ def label_texts(texts: list[str], model: Model, penalty: float = SWITCH_PENALTY)
     if not words:
         none = np.empty(0, np.int64)
         return none, none, none, none, none
-    emission = np.add.reduceat(model.score[found.cell], found.word_first, axis=0)
+    # a bounded number of words at a time: letters have as many scores as there are languages
+    bounds = np.append(found.word_first, len(found.cell))
+    emission = np.empty((words, len(model.languages)), np.float32)
+    for i in range(0, words, SLICE_WORDS):
+        since, to = bounds[i], bounds[min(i + SLICE_WORDS, words)]
+        starts = bounds[i : min(i + SLICE_WORDS, words)] - since
+        emission[i : i + SLICE_WORDS] = np.add.reduceat(model.score[found.cell[since:to]], starts, axis=0)
     # a word says no more than so much against a language, however long it is
     emission = np.maximum(emission - emission.max(axis=1, keepdims=True), -20)
     emission[~model.allowed[script[found.code[found.word_first]]]] = -60
@@ -299,17 +313,21 @@ def fit_on_documents(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
     return fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), rows)
 
 
-def drop_unidentified(docs: DataFrame, penalty: float = SWITCH_PENALTY) -> DataFrame:
+def drop_unidentified(docs: DataFrame, penalty: float = SWITCH_PENALTY, least_share: float = LEAST_SHARE) -> DataFrame:
     """The documents whose text has a language, with all their columns.
 
-    The labels serve to learn from only; a document goes if its text is null or has no
-    letter, since the model can't tell a language then.
+    The labels serve to learn from only.  A document goes if its text is null or has no
+    letter, or if no language has ``least_share`` of its letters on the labelled path.  Where no
+    row has a label there is no language to tell, and only texts without letters go.
     """
-    box = docs.sparkSession.sparkContext.broadcast(fit_on_documents(docs))
+    model = fit_on_documents(docs)
+    if not model.languages:
+        return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    box = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, _, _ = predict([t or "" for t in batch["text"].to_pylist()], box.value, penalty)
-            yield batch.filter(pa.array(pred >= 0))
+            pred, score, _ = predict([t or "" for t in batch["text"].to_pylist()], box.value, penalty)
+            yield batch.filter(pa.array((pred >= 0) & (score >= least_share)))
 
     return docs.mapInArrow(keep, docs.schema)

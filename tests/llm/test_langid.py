@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from loomspark.llm import langid
 
 
@@ -78,3 +79,31 @@ def test_edges(edge, none):
     assert langid.identify_languages(none, langid.fit_on_documents(none)).count() == 0
     unknown = langid.identify_languages(edge, langid.fit_on_documents(none)).collect()
     assert {r["lang_pred"] for r in unknown} == {"und"}
+
+
+def test_rare_and_unnamed_languages(spark):
+    """A language with few rows is learned beside one with very many, and so is one whose name is empty."""
+    rows = [(k, f"the house of the river number and then {k}", "en") for k in range(3000)]
+    rows += [(5000 + k, "yksi kaksi kolme neljä viisi kuusi seitsemän", "fi") for k in range(4)]
+    rows += [(6000 + k, "ένα δύο τρία τέσσερα", "") for k in range(4)] + [(7000, "the river and the house", None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(table, rows=200)
+    assert model.languages == ["", "en", "fi"]
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify_languages(table, model).collect()}
+    assert found[5001] == "fi" and found[6001] == "" and found[7000] == "en"
+
+
+def test_long_texts_go_by_slices(spark, monkeypatch):
+    model = langid.fit(spark.createDataFrame([(1, "the river bank", "en"), (2, "der braune Fuchs", "de")], "doc_id long, text string, lang string"))
+    texts = ["the river " * 300 + "der braune Fuchs " * 200, "bank", "", "Fuchs der"]
+    whole = langid.label_texts(texts, model)
+    monkeypatch.setattr(langid, "SLICE_WORDS", 7)
+    assert all((a == b).all() for a, b in zip(whole, langid.label_texts(texts, model)))
+
+
+def test_documents_without_a_language_go(spark):
+    rows = [(1, "the house of the river", "en"), (2, None, "en"), (3, "123 !", None), (4, "the river", None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted(r["doc_id"] for r in langid.drop_unidentified(table).collect()) == [1, 4]
+    bare = table.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r["doc_id"] for r in langid.drop_unidentified(bare).collect()) == [1, 4]
