@@ -4,7 +4,9 @@ Where no piece of a model goes on behind a white-space marker, no merge crosses
 of a marked word, so a text is encoded chunk by chunk: a chunk is a run of markers and the
 characters up to the next marker.  Each task keeps a table of the distinct chunks that it
 has met; a chunk is segmented and decoded by the library once, and the texts' ids are put
-together from the table by position.  Nothing is shuffled, and the table is bounded.
+together from the table by position.  Nothing is shuffled, and the table is bounded: one
+table for the whole corpus would have to shuffle every occurrence of every word, more than
+the texts themselves, to save tasks from segmenting words that others have met, too.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-#: Distinct chunks that a task's table holds before it starts afresh.
+#: Distinct chunks, and characters of all of them, that a task's table holds before it starts
+#: afresh.  It is looked at after each slice of texts.
 TABLE_CHUNKS = 400_000
+TABLE_CHARS = 16_000_000
 #: Characters that are put together at a time.
 SLICE_CHARS = 2_000_000
 
@@ -50,6 +54,7 @@ class ChunkTable(dict):
 
     def reset(self) -> None:
         self.clear()
+        self.chars = 0
         self.new: list[str] = []
         self.ids = np.empty(1 << 16, np.int32)
         self.used = 0
@@ -60,6 +65,7 @@ class ChunkTable(dict):
 
     def __missing__(self, chunk: str) -> int:
         n = self[chunk] = len(self)
+        self.chars += len(chunk)
         self.new.append(chunk)
         return n
 
@@ -121,7 +127,7 @@ def encode_slice(
             parts = zip(numbers[since:to].tolist(), lists[k])
             text = "".join(" " + table.odd.get(n, c[1:].replace(MARK, " ")) for n, c in parts)[1:]
         yield own, text
-    if len(table) > table.limit:
+    if len(table) > table.limit or table.chars > TABLE_CHARS:
         table.reset()
 
 
