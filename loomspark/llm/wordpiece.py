@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 
 from loomspark.llm._shared import SPACE_CLASS
 
-#: Words whose counts a task remembers before it starts afresh.
+#: Words whose counts a task remembers before it starts afresh, and characters of the longest.
 CACHE_WORDS = 400_000
+CACHE_CHARS = 64
 
 
 class WordPieceCounter(dict):
@@ -76,13 +77,13 @@ class WordPieceCounter(dict):
         while node > 1:  # what is still open when the word ends
             count += popped[node]
             node = fail[node]
-        out = self[word] = count if node >= 0 else -1
+        out = count if node >= 0 else -1
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = out
         return out
 
-    def trim(self) -> None:
-        if len(self) > self.limit:
-            self.clear()
-
 
 def vocabulary_of(processor, mark: str = "▁") -> tuple[list[str], list[str]]:
     """Pieces that start a word, and that go on, of a SentencePiece model, as word pieces."""
@@ -120,7 +121,6 @@ def token_counts(docs: DataFrame, first: list[str], later: list[str], text_col:
                 pieces = np.fromiter(map(number, found), np.int64, len(found))
                 unknown = int((pieces < 0).sum())
                 out[k] = len(found), unknown, int(pieces.sum()) + 2 * unknown
-                counter.trim()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(out[:, j]) for j in range(3))],
                 names=["doc_id", "n_words", "n_unknown", "n_tokens"],
