@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm._shared import shuffle_partitions, spread_join, written
@@ -29,8 +29,8 @@ REVISIT_BYTES = 1000
 ROLL_BYTES = 256 << 20
 #: Payload bytes meant for a shard.
 SHARD_BYTES = 512 << 20
-#: Keys from which the shards' bounds are taken, about.
-SAMPLE_KEYS = 20_000
+#: Keys from which the shards' bounds are taken, about, for each shard.
+SAMPLE_KEYS = 50
 #: Fixed date of all records, since pages carry none and reruns must agree.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -90,8 +90,13 @@ def _line(value: object) -> str:
     return "".join(c if c.isprintable() and c != " " else f"%{ord(c):02X}" for c in str(value))
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None) -> bytes:
-    """One record, headers regenerated; a revisit has the HTTP header but no payload."""
+def warc_record(
+    page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None, repeat: str = ""
+) -> bytes:
+    """One record, headers regenerated; a revisit has the HTTP header but no payload.
+
+    ``repeat`` tells records of one page apart, or of pages without an id; the first record of a
+    page has none, so that others can refer to it."""
     digest = hashlib.sha1(payload).hexdigest()
     http = (
         "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" f"Content-Length: {len(payload)}\r\n\r\n"
@@ -100,7 +105,7 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, kind: str,
     headers = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <{_ID}{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <{_ID}{'' if page_id is None else page_id}{repeat and ':' + repeat}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {_line(url or 'about:blank')}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -134,7 +139,7 @@ def parse_record(headers: dict[str, str], block: bytes) -> tuple:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to``, checked by digest."""
 
     def id_of(value: str | None) -> int | None:
-        text = (value or "").strip("<>").removeprefix(_ID)
+        text = (value or "").strip("<>").removeprefix(_ID).partition(":")[0]
         return int(text) if text else None
 
     head, _, payload = block.partition(b"\r\n\r\n")
@@ -150,20 +155,38 @@ def parse_record(headers: dict[str, str], block: bytes) -> tuple:
 
 # ---- writing ---------------------------------------------------------------------------
 def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a path as Spark writes it (``s3a://`` and ``abfss://`` are Hadoop's names)."""
     if "://" not in path and path.startswith("file:"):
         path = path.removeprefix("file:")
+    for spark, arrow in (("s3a://", "s3://"), ("s3n://", "s3://"), ("abfss://", "abfs://")):
+        if path.startswith(spark):
+            path = arrow + path.removeprefix(spark)
     return fs.FileSystem.from_uri(path)
 
 
+def place_among(bounds: list, key: str) -> Column:
+    """How many of the sorted ``bounds`` a key isn't below, by halving: some twenty comparisons
+    a row, however many there are."""
+    if not bounds:
+        return F.lit(0)
+    top = len(bounds).bit_length() - 1
+    jump = f"shiftleft(1, {top} - i)"
+    array = "array(" + ", ".join(f"{int(b)}L" for b in bounds) + ")"
+    step = f"(n, i) -> if(coalesce(get({array}, n + {jump} - 1) <= {key}, false), n + {jump}, n)"
+    return F.expr(f"aggregate(sequence(0, {top}), 0, {step})")
+
+
 def shard_bounds(rows: DataFrame, shards: int, sample_keys: int = SAMPLE_KEYS) -> list:
     """Keys at which a new shard starts: quantiles of keys that a hash picks, so reruns agree."""
     keys = rows.select("page_id").where(F.col("page_id").isNotNull())
-    n = keys.count()
-    if n > sample_keys:
-        keys = keys.where(F.pmod(F.xxhash64("page_id", F.lit("shard")), F.lit(n)) < sample_keys)
-    # about sample_keys keys, whatever n is
-    found = sorted(r[0] for r in keys.distinct().limit(4 * sample_keys).collect())
-    return sorted({found[len(found) * k // shards] for k in range(1, shards)}) if found else []
+    n, most = keys.count(), sample_keys * shards
+    if n > most:
+        keys = keys.where(F.pmod(F.xxhash64("page_id", F.lit("shard")), F.lit(n)) < most)
+    # about so many keys, whatever n is; of each shard one comes to the driver
+    found = keys.distinct()
+    place = F.floor((F.percent_rank().over(Window.orderBy("page_id"))) * shards)
+    starts = found.withColumn("at", place).groupBy("at").agg(F.min("page_id").alias("first")).where(F.col("at").between(1, shards - 1))
+    return sorted(r["first"] for r in starts.collect())
 
 
 class _Rolling:
@@ -216,8 +239,10 @@ def write_archives(
         total = rows.agg(F.sum("payload_bytes")).first()[0] or 0
         shards = max(shuffle_partitions(spark), -(-total // shard_bytes))
     bounds = shard_bounds(rows, shards)
-    at = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= F.col("page_id"))) if bounds else F.lit(0)
-    placed = records.withColumn("shard", F.when(F.col("page_id").isNull(), 0).otherwise(at).cast("int"))
+    # rows without an id go to all shards
+    anywhere = F.pmod(F.xxhash64("url", "html"), F.lit(len(bounds) + 1))
+    at = F.when(F.col("page_id").isNull(), anywhere).otherwise(place_among(bounds, "page_id"))
+    placed = records.withColumn("shard", at.cast("int"))
     placed = placed.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(
         "shard", "page_id", "url", "record_type", "refers_to", "html"
     )
@@ -227,9 +252,13 @@ def write_archives(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         out = _Rolling(folder, roll_bytes, f"{task.partitionId()}-{task.taskAttemptId()}-{uuid.uuid4().hex}")
+        before, n = (), 0
         for batch in batches:
             for page_id, url, html, kind, refers_to, shard in zip(*(c.to_pylist() for c in batch.columns)):
-                out.write(shard, warc_record(page_id, url, (html or "").encode(), kind, refers_to))
+                n = n + 1 if before == (shard, page_id) else 1
+                before = (shard, page_id)
+                repeat = f"{shard}-{n}" if page_id is None else str(n) if n > 1 else ""
+                out.write(shard, warc_record(page_id, url, (html or "").encode(), kind, refers_to, repeat))
         out.close()
         yield pa.RecordBatch.from_pylist([dict(zip(_FILE_TYPES.names, f)) for f in out.files], _FILE_TYPES)
 

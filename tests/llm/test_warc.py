@@ -5,6 +5,7 @@ import pytest
 from loomspark.llm import queries, warc
 from loomspark.llm._shared import shared_dir
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 BIG = "ä" * 600
 ROWS = [
@@ -47,12 +48,15 @@ def test_round_trip(spark, pages):
     for m in manifest:
         assert len(files[m["file"]]) == m["bytes"] and hashlib.sha256(files[m["file"]]).hexdigest() == m["sha256"]
         assert gzip.decompress(files[m["file"]]).startswith(b"WARC/1.1\r\n")
-    ids = []
+    ids, record_ids = [], set()
     for m in sorted(manifest, key=lambda m: m["file"]):
         import io
 
-        ids += [warc.parse_record(*r)[0] for r in warc.read_records(io.BytesIO(gzip.decompress(files[m["file"]])))]
-    assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
+        for headers, block in warc.read_records(io.BytesIO(gzip.decompress(files[m["file"]]))):
+            ids.append(warc.parse_record(headers, block)[0])
+            record_ids.add(headers["warc-record-id"])
+    assert len(record_ids) == len(ROWS)  # also of repeated rows and rows without an id
+    assert [x for x in ids if x is not None] == sorted(x for x in ids if x is not None)
 
 
 def test_reruns_agree(spark, pages):
@@ -76,3 +80,17 @@ def test_empty_and_query(spark, pages, sf_dir):
     assert warc.read_archives(spark, folder).count() == 0
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()]
     assert sorted(map(tuple, queries.op9_warc(spark, sf_dir).collect()), key=str) == brute(rows)
+
+
+def test_place_among_bounds(spark):
+    for bounds in ([], [5], [3, 9], list(range(0, 300, 7))):
+        rows = spark.range(-3, 320).select("id", warc.place_among(bounds, "id").alias("at")).collect()
+        assert [r["at"] for r in rows] == [sum(b <= r["id"] for b in bounds) for r in rows]
+
+
+def test_bounds_are_quantiles(spark):
+    rows = spark.range(5000).select((F.col("id") * F.col("id")).alias("page_id"))
+    bounds = warc.shard_bounds(rows, 40)
+    assert bounds == warc.shard_bounds(rows.repartition(5), 40) and len(bounds) == 39
+    sizes = rows.groupBy(warc.place_among(bounds, "page_id")).count().collect()
+    assert max(r["count"] for r in sizes) <= 3 * 5000 / 40
