@@ -232,7 +232,7 @@ def attachments(urls_json: Column) -> Column:
         label = F.regexp_replace(name, r"(?i)\A\d{8,}_[0-9a-f]{8,}_", "")
         return F.struct(
             u.alias("url"),
-            F.when(last.rlike(rf"(?i)\.({images})\z"), "image").otherwise("file").alias("kind"),
+            F.when(last.rlike(rf"(?i)\.({images})\z"), "image").otherwise("document").alias("kind"),
             F.when(label == "", "Attachment").otherwise(label).alias("label"),
         )
 

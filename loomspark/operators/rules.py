@@ -8,15 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.operators.upsert import first_by
+from loomspark.operators.upsert import first_by, import_status
 
-#: Header cells (lower case, as they begin) by layout; a row that has all of a layout's is its header.
+# ---- fixed values ----------------------------------------------------------------------
+#: How header cells begin, as ``header_name`` writes them, by layout; a row that has all of a
+#: layout's is its header.
 LAYOUTS = {
-    "scenario": ("scenario_id", "situation", "escalate?"),
+    "scenario": ("scenario_id", "situation", "escalate"),
     "escalation": ("trigger condition", "required action"),
-    "banned": ("banned phrase", "use instead"),
-    "do_dont": ("rule / requirement", "do or don't"),
+    "banned": ("banned phrase", "use (this )?instead"),
+    "do_dont": ("rule / requirement", "do or don"),
 }
+#: Marketplaces that rules for the website and for email serve.
+WEBSITE_CHANNEL = ("shopify", "bandq", "temu")
+#: Why sheets and files give no rules.
+NO_LAYOUT, NO_CATEGORY = "no recognised rule-table layout", "no category mapping"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 ORDER_NUMBER = r"(?<![0-9])[0-9]{2}-[0-9]{5}-[0-9]{5}(?![0-9])"
 #: Added to a rule that several platforms share.
@@ -26,6 +32,9 @@ SHARED_NOTE = (
 )
 #: Priority of escalation rules; others have the default.
 ESCALATION_PRIORITY, DEFAULT_PRIORITY = 10, 100
+# ----------------------------------------------------------------------------------------
+#: What a rule can tell to do; one that has none of these is no rule.
+INSTRUCTIONS = ("rule_requirement", "key_rule", "agent_action", "do_instruction", "dont_instruction", "banned_phrase")
 
 
 def sheet_rows(cells: DataFrame) -> DataFrame:
@@ -35,8 +44,14 @@ def sheet_rows(cells: DataFrame) -> DataFrame:
     return rows.agg(F.map_from_entries(pairs).alias("cells"))
 
 
-def _begins(prefix: str):
-    return lambda value: F.startswith(value, F.lit(prefix))
+def header_name(cell: Column) -> Column:
+    """A header cell in lower case, on one line, without the symbols around it."""
+    one_line = F.regexp_replace(F.lower(cell), r"\s+", " ")
+    return F.regexp_replace(one_line, r"\A[^\p{L}\p{N}]+|[^\p{L}\p{N})]+\z", "")
+
+
+def _begins(pattern: str):
+    return lambda value: value.rlike(rf"\A({pattern})")
 
 
 def labelled_rows(cells: DataFrame) -> DataFrame:
@@ -46,7 +61,7 @@ def labelled_rows(cells: DataFrame) -> DataFrame:
     passed over.  A sheet without one gives a single row with a null layout.
     """
     rows = sheet_rows(cells)
-    values = F.transform(F.map_values("cells"), F.lower)
+    values = F.transform(F.map_values("cells"), header_name)
     layout = F.lit(None).cast("string")
     for name, wanted in LAYOUTS.items():
         has = F.lit(True)
@@ -60,7 +75,7 @@ def labelled_rows(cells: DataFrame) -> DataFrame:
     rows = rows.withColumn("_head", F.when(F.max(F.col("_layout").isNotNull()).over(sheet), first))
     names = F.transform(
         F.map_entries("cells"),
-        lambda e: F.struct(F.lower(F.try_element_at(F.col("_head.cells"), e["key"])).alias("key"), e["value"].alias("value")),
+        lambda e: F.struct(header_name(F.try_element_at(F.col("_head.cells"), e["key"])).alias("key"), e["value"].alias("value")),
     )
     named = F.filter(names, lambda e: e["key"].isNotNull())
     fields = F.map_from_entries(F.filter(named, lambda e, i: ~F.array_contains(F.slice(F.transform(named, lambda x: x["key"]), 1, i), e["key"])))
@@ -81,8 +96,9 @@ def _field(*starts: str) -> Column:
 def extracted_rules(cells: DataFrame, categories: Mapping[str, str]) -> DataFrame:
     """Rules of the sheets of the files that ``categories`` names; others give none.
 
-    A row with less than its layout needs is a divider and gives no rule.  Rows with an
-    email address or an order number are left out: see ``scrubbed``.
+    A row without a name or without an instruction is a divider and gives no rule.  Rows with
+    an email address or an order number are left out by ``scrubbed``; ``skipped_sheets`` tells
+    why others gave none.
     """
     rows = labelled_rows(cells.where(F.col("file").isin(*categories))).where(F.col("layout").isNotNull())
     names = F.create_map(*(F.lit(x) for pair in categories.items() for x in pair)) if categories else F.lit(None).cast("map<string,string>")
@@ -94,8 +110,8 @@ def extracted_rules(cells: DataFrame, categories: Mapping[str, str]) -> DataFram
         return out
 
     banned, keywords = _field("banned phrase"), F.coalesce(_field("ai trigger"), F.lit(""))
-    do_or_dont = _field("do or don't")
-    forbids = F.lower(do_or_dont).rlike(r"\Adon['’]?t|\Ado not")
+    rule = _field("rule / requirement")
+    forbids = F.coalesce(F.lower(_field("do or don")).rlike(r"\bdon['’]?t\b|\bdo not\b"), F.lit(False))
     escalation = F.concat_ws(
         " ",
         _field("required action"),
@@ -103,27 +119,39 @@ def extracted_rules(cells: DataFrame, categories: Mapping[str, str]) -> DataFram
         F.concat(F.lit("Response time: "), _field("response time")),
     )
     name = by(
-        scenario=_field("situation"), escalation=_field("trigger condition"), banned=banned, do_dont=_field("rule / requirement")
+        scenario=_field("scenario_id"), escalation=_field("trigger condition"), banned=banned, do_dont=rule
     )
     rules = rows.select(
         F.try_element_at(names, F.col("file")).alias("category_name"),
         F.col("file").alias("source_file"), F.col("sheet").alias("source_sheet"), F.col("row").alias("source_row"),
         T.row_checksum(F.map_values("fields")).alias("content_checksum"),
-        name.alias("rule_name"), F.col("layout").alias("rule_type"),
-        by(do_dont=_field("rule / requirement")).alias("rule_requirement"),
+        F.col("sheet").alias("subcategory"), name.alias("rule_name"), F.col("layout").alias("rule_type"),
+        by(scenario=_field("situation")).alias("rule_requirement"),
         by(scenario=_field("category / key rule")).alias("key_rule"),
         by(scenario=_field("internal"), escalation=F.nullif(escalation, F.lit(""))).alias("agent_action"),
-        by(do_dont=F.when(~forbids, do_or_dont)).alias("do_instruction"),
-        by(do_dont=F.when(forbids, do_or_dont), banned=banned).alias("dont_instruction"),
+        by(do_dont=F.when(~forbids, rule)).alias("do_instruction"),
+        by(do_dont=F.when(forbids, rule), banned=banned).alias("dont_instruction"),
         by(banned=banned).alias("banned_phrase"),
-        by(banned=_field("use instead")).alias("replacement_instruction"),
-        ((F.col("layout") == "escalation") | F.coalesce(F.lower(_field("escalate\\?")).rlike(r"\Ayes"), F.lit(False))).alias("escalation_required"),
+        by(banned=_field("use (this )?instead")).alias("replacement_instruction"),
+        ((F.col("layout") == "escalation") | F.coalesce(F.lower(_field("escalate\\z")).rlike(r"\Ayes"), F.lit(False))).alias("escalation_required"),
         F.when(F.col("layout") == "escalation", ESCALATION_PRIORITY).otherwise(DEFAULT_PRIORITY).alias("priority"),
         F.filter(F.transform(F.split(keywords, r"[|\n]"), T.trimmed), lambda x: x != "").alias("triggers"),
         _field("reply template").alias("example"),
     ).where(F.col("rule_name").isNotNull())
-    divider = F.col("agent_action").isNull() & F.col("do_instruction").isNull() & F.col("dont_instruction").isNull()
-    return rules.where(~(divider & F.col("key_rule").isNull() & F.col("example").isNull()))
+    return rules.where(F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in INSTRUCTIONS)).isNotNull())
+
+
+def skipped_sheets(cells: DataFrame, categories: Mapping[str, str], excluded: Mapping[str, str] | None = None) -> DataFrame:
+    """``file, sheet, reason``: files that ``excluded`` names, with its reason, or that have no
+    category (a row each, with a null sheet), and sheets of the others without a known layout."""
+    excluded = dict(excluded or {})
+    files = cells.select("file").distinct()
+    reasons = F.coalesce(*(F.when(F.col("file") == f, reason) for f, reason in excluded.items()), F.lit(NO_CATEGORY))
+    out = files.where(F.col("file").isin(*excluded) | ~F.col("file").isin(*categories))
+    out = out.select("file", F.lit(None).cast("string").alias("sheet"), reasons.alias("reason"))
+    used = [f for f in categories if f not in excluded]
+    plain = labelled_rows(cells.where(F.col("file").isin(*used))).where(F.col("layout").isNull())
+    return out.unionByName(plain.select("file", "sheet", F.lit(NO_LAYOUT).alias("reason")))
 
 
 def personal(columns: list[str]) -> Column:
@@ -172,22 +200,25 @@ def rule_text(
 def scoped(rules: DataFrame, marketplace: str | None) -> DataFrame:
     """Rules for a marketplace, with ``ref, title, text, shared``, in order of area, sheet, row.
 
-    A sheet of another platform goes, as does a rule that names others only; one that names
-    this and others stays and is ``shared``.  Without a marketplace all stay.
+    A sheet of another platform goes (those for the website or email serve WEBSITE_CHANNEL), as
+    does a rule that names others only; one that names several stays and is ``shared``.  Without
+    a marketplace all stay.
     """
+    marketplace = marketplace and marketplace.lower()
     text = rule_text(*(F.col(c) for c in (
         "rule_requirement", "key_rule", "agent_action", "do_instruction", "dont_instruction", "banned_phrase",
         "replacement_instruction", "escalation_required",
     )))
     rows = rules.withColumn("text", text)
-    named = T.platforms_named(F.concat_ws("\n", "rule_name", "text"))
+    named = T.platforms_named(F.concat_ws(" ", "rule_name", "text"))
     rows = rows.withColumn("_named", named).withColumn("_sheet", T.sheet_platform(F.coalesce("source_sheet", F.lit(""))))
     if marketplace is not None:
         mine = (F.size("_named") == 0) | F.array_contains("_named", marketplace)
-        own = F.col("_sheet").isNull() | (F.col("_sheet") == marketplace)
+        ours = [marketplace, *["website"] * (marketplace in WEBSITE_CHANNEL)]
+        own = F.col("_sheet").isNull() | F.col("_sheet").isin(*ours)
         rows = rows.where(mine & own)
-    shared = (F.size("_named") > 1) if marketplace is not None else F.lit(False)
-    note = F.when(shared, F.lit(SHARED_NOTE.format(str(marketplace).upper()))).otherwise(F.lit(""))
+    shared = F.size("_named") > 1
+    note = F.when(shared & F.lit(marketplace is not None), F.lit(SHARED_NOTE.format(str(marketplace).upper()))).otherwise(F.lit(""))
     name = T.trimmed(F.coalesce("rule_name", F.lit("")))
     title = F.when(name != "", name).otherwise(F.col("category_name"))
     ref = T.rule_ref(F.col("category_name"), F.col("source_sheet"), F.col("source_row"))
@@ -205,6 +236,37 @@ def scope_counts(rules: DataFrame, marketplace: str | None) -> DataFrame:
     return rules.agg(F.count("*").alias("_all")).crossJoin(kept).select("kept", (F.col("_all") - F.col("kept")).alias("dropped"), "shared", "areas")
 
 
+def corpus_state(rules: DataFrame, marketplace: str | None, place: str) -> DataFrame:
+    """One row ``state, reason``: ``ready``, or ``not_configured`` and why a draft then states no
+    policy: no rules found in ``place``, or none of them for the marketplace."""
+    counts = scope_counts(rules, marketplace)
+    none = F.when(F.col("kept") + F.col("dropped") == 0, F.lit(f"No rules were found in {place}")).when(
+        F.col("kept") == 0, F.lit(f"No rule applies to {marketplace or 'this marketplace'}")
+    )
+    reason = F.concat(none, F.lit(", so this draft states no policy. Check it before using."))
+    return counts.select(F.when(none.isNull(), "ready").otherwise("not_configured").alias("state"), reason.alias("reason"))
+
+
+def import_plan(known: DataFrame, came: DataFrame, keys: Sequence[str]) -> dict[str, DataFrame]:
+    """What an import of ``came`` (unique rules) does to the sources ``known``, by table.
+
+    ``sources`` are new ones, ``draft`` and inactive, and changed ones with their new checksum;
+    nothing is approved or made active.  ``rules``, ``triggers`` and ``examples`` are those of new
+    or changed sources only; examples replace those of their rules.  ``categories`` come once.
+    """
+    seen = import_status(known, came, keys).where(F.col("import_action") != "unchanged")
+    state = F.when(F.col("import_action") == "new", "draft").alias("state")
+    active = F.when(F.col("import_action") == "new", F.lit(False)).alias("active")
+    rule_keys = [*keys, F.lower(F.trim("rule_name")).alias("rule_key")]
+    return {
+        "categories": came.select("category_name").distinct(),
+        "sources": seen.select(*keys, "content_checksum", "import_action", state, active).distinct(),
+        "rules": seen.drop("triggers", "example", "import_action"),
+        "triggers": seen.select(*rule_keys, F.explode(F.array_distinct("triggers")).alias("trigger")),
+        "examples": seen.where(F.col("example").isNotNull()).select(*rule_keys, "example"),
+    }
+
+
 def repeated_refs(rules: DataFrame) -> DataFrame:
     """References that more than one rule has: sheet codes are short, so they can clash."""
     return rules.groupBy("ref").count().where("count > 1")
