@@ -217,7 +217,7 @@ def pii_scrub(spark, sf_dir):
 # ---- threads ---------------------------------------------------------------------------
 @query(_EVENT_THREADS + _FACTS)
 def gap_sessions(spark, sf_dir):
-    return threads.conversations(threads.threaded(event_messages(spark, sf_dir), EVENT_RULE))
+    return threads.conversations(threads.threaded(event_messages(spark, sf_dir), EVENT_RULE), EVENT_RULE)
 
 
 @query(_EVENT_THREADS + "SELECT source_pk, thread_key, segment FROM threaded")
@@ -242,13 +242,29 @@ def gap_sessions_no_item(spark, sf_dir):
 
 @query(_TURN_THREADS + _FACTS)
 def reference_threads(spark, sf_dir):
-    return threads.conversations(threads.threaded(turn_messages(spark, sf_dir), REFERENCE_RULE))
+    return threads.conversations(threads.threaded(turn_messages(spark, sf_dir), REFERENCE_RULE), REFERENCE_RULE)
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS thread_key, CAST(0 AS BIGINT) AS there, CAST(0 AS BIGINT) AS message_count WHERE false")
+@query(_TURN_THREADS + """
+    , whole AS (SELECT thread_key, count(*) AS there FROM threaded GROUP BY 1),
+    part AS (SELECT thread_key, count(*) AS message_count FROM threaded WHERE source_pk % 1000 < 3 GROUP BY 1)
+    SELECT thread_key, there, message_count FROM whole FULL JOIN part USING (thread_key) WHERE there IS DISTINCT FROM message_count""")
 def thread_problems(spark, sf_dir):
-    messages = threads.threaded(event_messages(spark, sf_dir), EVENT_RULE)
-    return threads.thread_problems(messages, threads.conversations(messages))
+    messages = threads.threaded(turn_messages(spark, sf_dir), REFERENCE_RULE)
+    short = threads.conversations(messages.where(F.col("source_pk") % 1000 < 3), REFERENCE_RULE)
+    return threads.thread_problems(messages, short)
+
+
+@query(_EVENT_THREADS + f", facts AS ({_FACTS}) SELECT thread_key, first_source_ts FROM facts ORDER BY first_source_ts, thread_key LIMIT 1 OFFSET 100")
+def thread_order(spark, sf_dir):
+    facts = threads.conversations(threads.threaded(event_messages(spark, sf_dir), EVENT_RULE), EVENT_RULE)
+    return threads.in_thread_order(facts.select("thread_key", "first_source_ts")).offset(100).limit(1)
+
+
+@query("SELECT count(*) FILTER (o_orderpriority <> '1-URGENT') AS excluded_unusable FROM orders")
+def foreign_messages(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("marketplace"))
+    return threads.of_marketplace(rows, "1-URGENT")[1]
 
 
 @query("""SELECT l_orderkey, count(*) AS lines, CASE WHEN min(l_returnflag) = max(l_returnflag) THEN min(l_returnflag) END AS returnflag
@@ -263,7 +279,7 @@ def agreed_ref(spark, sf_dir):
 @query(_EVENT_THREADS + f", facts AS ({_FACTS}) SELECT thread_key, last_source_ts, message_count, inbound_count FROM facts "
        "WHERE inbox_placement = 'reply_inbox' ORDER BY last_source_ts DESC, thread_key DESC LIMIT 100")
 def inbox_topn(spark, sf_dir):
-    facts = threads.conversations(threads.threaded(event_messages(spark, sf_dir), EVENT_RULE))
+    facts = threads.conversations(threads.threaded(event_messages(spark, sf_dir), EVENT_RULE), EVENT_RULE)
     top = reads.newest(facts, "last_source_ts", "thread_key", where=F.col("inbox_placement") == "reply_inbox")
     return top.select("thread_key", "last_source_ts", "message_count", "inbound_count")
 
@@ -357,7 +373,9 @@ def longest_prefix_rate(spark, sf_dir):
     rates = spark.createDataFrame(
         [("E", "1.0", "2.0"), ("ECON", "0.5", "1.0"), ("STAND", "0.25", "4.0"), ("S", "3.0", "3.0")], "prefix string, i string, o string"
     ).select("prefix", F.col("i").cast("decimal(10,4)").alias("input_rate"), F.col("o").cast("decimal(10,4)").alias("output_rate"))
-    rated = reads.longest_prefix(table(spark, sf_dir, "part"), rates, "p_type")
+    # names come in any case, with blanks around them
+    parts = table(spark, sf_dir, "part").withColumn("model", F.concat(F.lit(" "), F.lower("p_type"), F.lit(" ")))
+    rated = reads.longest_prefix(parts, rates, "model")
     cost = reads.estimated_cost(F.col("p_size") * 1000, F.col("p_partkey"))
     return rated.select("p_partkey", "prefix", cost.cast("double").alias("cost"))
 
@@ -506,11 +524,12 @@ def signature_names(spark, sf_dir):
 @query(r"""
     WITH codes AS (SELECT n_nationkey, n_name, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(n_name, ''), lambda c: CAST(ord(c) AS BIGINT))),
                                    lambda a, b: (a * 31 + b) & 4294967295) AS h FROM nation)
-    SELECT n_nationkey, upper(substr(regexp_replace(n_name, '[^A-Za-z]', '', 'g'), 1, 3)) || '-' ||
+    SELECT n_nationkey, substr(list_aggregate(list_transform(string_split(regexp_replace(n_name, '[^A-Za-z ]', '', 'g'), ' '),
+                               lambda w: upper(substr(w, 1, 3))), 'string_agg', ''), 1, 6) || '-' ||
            lpad(right(upper(to_base(h, 36)), 3), 3, '0') || '-' || n_nationkey AS ref
-    FROM codes WHERE n_name NOT LIKE '% %'""")
+    FROM codes""")
 def rule_refs(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").where(~F.contains("n_name", F.lit(" ")))
+    n = table(spark, sf_dir, "nation")
     return n.select("n_nationkey", T.rule_ref(F.col("n_name"), F.col("n_name"), F.col("n_nationkey")).alias("ref"))
 
 
@@ -609,14 +628,16 @@ def withheld_files(spark, sf_dir):
     return rules.withheld(n.where("n_nationkey < 15").select("name"), present.select("name"))
 
 
-@query("""SELECT page_id, url || '.PNG' AS first_url, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END AS n FROM
+@query("""SELECT page_id, url || '.PNG' AS first_url, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END AS n,
+                 CASE WHEN page_id % 2 = 0 THEN 'image,document' ELSE 'image' END AS kinds, parse_filename(url) || '.PNG' AS first_label FROM
           (SELECT page_id, regexp_replace(split_part(url, '?', 1), '^http:', 'https:') AS url FROM pages)""")
 def attachment_lists(spark, sf_dir):
     url = F.concat(F.regexp_replace(F.substring_index("url", "?", 1), "^http:", "https:"), F.lit(".PNG"))
     other = F.when(F.col("page_id") % 2 == 0, F.lit("HTTPS://x.test/a%20b.pdf")).otherwise(F.lit("ftp://x.test/a"))
     found = T.attachments(F.to_json(F.array(url, other, url)))
     return table(spark, sf_dir, "pages").select(
-        "page_id", F.element_at(found, 1)["url"].alias("first_url"), F.size(found).alias("n")
+        "page_id", F.element_at(found, 1)["url"].alias("first_url"), F.size(found).alias("n"),
+        F.array_join(F.transform(found, lambda x: x["kind"]), ",").alias("kinds"), F.element_at(found, 1)["label"].alias("first_label"),
     )
 
 
@@ -698,7 +719,7 @@ def message_summary(spark, sf_dir):
     SELECT threading_rule_version, count(*) AS conversations, count(*) FILTER (needs_context) AS needs_context,
            count(*) FILTER (inbox_placement = 'reply_inbox') AS reply_inbox, max(message_count) AS largest FROM facts GROUP BY 1""")
 def thread_summary(spark, sf_dir):
-    return reads.thread_summary(threads.conversations(threads.threaded(event_messages(spark, sf_dir), EVENT_RULE)))
+    return reads.thread_summary(threads.conversations(threads.threaded(event_messages(spark, sf_dir), EVENT_RULE), EVENT_RULE))
 
 
 @query("SELECT count(*) AS rows, count(*) - count(DISTINCT l_orderkey) AS repeated FROM lineitem")
@@ -708,7 +729,7 @@ def repeated_ids(spark, sf_dir):
 
 @query(_EVENT_THREADS + f", facts AS ({_FACTS}) SELECT counterparty_ref, bool_and(needs_context) AS all_need_context FROM facts GROUP BY 1")
 def context_flags(spark, sf_dir):
-    return reads.context_flags(threads.conversations(threads.threaded(event_messages(spark, sf_dir), EVENT_RULE)), "counterparty_ref")
+    return reads.context_flags(threads.conversations(threads.threaded(event_messages(spark, sf_dir), EVENT_RULE), EVENT_RULE), "counterparty_ref")
 
 
 @query(f"""WITH {_USAGE} SELECT output_tokens AS draft_revision_id, provider, model, created_at FROM usage WHERE output_tokens IS NOT NULL
@@ -731,7 +752,7 @@ def missing_attachments(spark, sf_dir):
 def persisted_conversations(spark, sf_dir):
     def outcome(messages: DataFrame) -> feeds.Outcome:
         rows = threads.threaded(messages, REFERENCE_RULE)
-        return feeds.Outcome(rows.limit(0), rows, rows.limit(0), threads.conversations(rows))
+        return feeds.Outcome(rows.limit(0), rows, rows.limit(0), threads.conversations(rows, REFERENCE_RULE))
 
     every = turn_messages(spark, sf_dir)
     first, then = outcome(every.where(F.col("source_pk") % 1000 < 3)), outcome(every)
@@ -740,3 +761,80 @@ def persisted_conversations(spark, sf_dir):
         spark.createDataFrame([], "feed_key string, ts timestamp_ntz, pk bigint"),
     )
     return feeds.persisted(feeds.persisted(empty, first, "turns"), then, "turns").conversations
+
+
+# ---- states that are written -----------------------------------------------------------
+@query("""
+    WITH came AS (SELECT conv_id * 1000 + turn AS source_pk, coalesce(text, '') AS body, turn FROM conversations WHERE role <> 'assistant'),
+    first AS (SELECT source_pk, body FROM came WHERE turn < 3),
+    then AS (SELECT source_pk, body || '!' AS body FROM came WHERE turn > 1)
+    SELECT coalesce(f.source_pk, t.source_pk) AS source_pk, coalesce(t.body, f.body) AS body_text,
+           CASE WHEN f.source_pk IS NULL THEN 'inserted' WHEN t.source_pk IS NULL THEN 'kept' ELSE 'updated' END AS merge_action
+    FROM first f FULL JOIN "then" t ON f.source_pk = t.source_pk""".replace("then AS", '"then" AS'))
+def unresolved_upsert(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("role <> 'assistant'").select(
+        F.lit("app").alias("source_database"), F.lit("public").alias("source_schema"), F.lit("turns").alias("source_table"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("source_pk"), F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz").alias("source_ts"),
+        F.coalesce("text", F.lit("")).alias("body_text"), F.lit("decoded").alias("body_decode_status"),
+        F.lit(None).cast("string").alias("source_reference"), "turn",
+    )
+    stored = feeds.unresolved_upserted(rows.limit(0), rows.where("turn < 3")).drop("merge_action")
+    came = rows.where("turn > 1").withColumn("body_text", F.concat("body_text", F.lit("!")))
+    return feeds.unresolved_upserted(stored, came).select("source_pk", "body_text", "merge_action")
+
+
+@query("""
+    WITH d AS (SELECT c_custkey AS conversation_id, TIMESTAMP '2024-01-01' AS t FROM customer WHERE c_custkey % 2 = 0),
+    asked AS (SELECT DISTINCT o_custkey AS conversation_id FROM orders),
+    r AS (SELECT o_custkey AS conversation_id, CAST(count(*) AS INTEGER) AS last FROM orders GROUP BY 1)
+    SELECT coalesce(d.conversation_id, a.conversation_id) AS conversation_id, r.last AS current_revision,
+           coalesce(d.t, TIMESTAMP '2024-02-01') AS created_at,
+           CASE WHEN a.conversation_id IS NOT NULL THEN TIMESTAMP '2024-02-01' ELSE d.t END AS updated_at
+    FROM d FULL JOIN asked a ON d.conversation_id = a.conversation_id LEFT JOIN r ON r.conversation_id = coalesce(d.conversation_id, a.conversation_id)""")
+def touched_drafts(spark, sf_dir):
+    then, now = (F.lit(datetime(2024, m, 1)).cast("timestamp_ntz") for m in (1, 2))
+    drafts = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(
+        F.col("c_custkey").alias("conversation_id"), F.lit(None).cast("int").alias("current_revision"), then.alias("created_at"), then.alias("updated_at")
+    )
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("conversation_id"))
+    revisions = orders.groupBy("conversation_id").agg(F.count("*").cast("int").alias("revision"))
+    return upsert.pointed(upsert.touched(drafts, orders, "conversation_id", now), revisions, "conversation_id", now)
+
+
+@query("""
+    SELECT o_orderkey, o_orderstatus = 'F' AS may_use,
+           CASE o_orderkey % 7
+             WHEN 0 THEN 'The draft service has reached its usage limit. Try again in about ' || o_custkey || ' seconds.'
+             WHEN 1 THEN 'The draft service has reached its usage limit. Try again shortly.'
+             WHEN 2 THEN 'The draft service refused the API key. Check the server configuration.'
+             WHEN 3 THEN 'The configured model is not available. Check the server configuration.'
+             WHEN 4 THEN 'The draft service rejected the request as malformed.'
+             WHEN 5 THEN 'The draft service is temporarily unavailable. Try again shortly.'
+             ELSE 'The draft service rejected the request.' END AS told FROM orders""")
+def failure_texts(spark, sf_dir):
+    k = F.col("o_orderkey") % 7
+    status = F.element_at(F.array(*map(F.lit, (429, 429, 403, 404, 400, 503, 418))), (k + 1).cast("int"))
+    said = F.when(k == 0, F.concat(F.lit("Quota is used up. Please retry in "), "o_custkey", F.lit("s")))
+    single = F.when(F.col("o_orderstatus") == "F", "single_order").when(F.col("o_orderstatus") == "O", "several_orders")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", reads.may_use_order_facts(single).alias("may_use"), T.failure_text(status, said).alias("told")
+    )
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'left' ELSE 'right' END AS side, strftime(o_orderdate, '%Y-%m-%d') AS day,
+           'app.public.' || o_orderkey AS message_key, o_orderkey % 5 = 0 OR o_orderkey % 3 = 0 AS review,
+           lower(o_orderpriority) = lower('2-high') AS same, length(trim(o_comment_like)) > 0 AS has_text
+    FROM (SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN '   ' ELSE o_clerk END AS o_comment_like FROM (SELECT *, o_orderpriority AS o_clerk FROM orders))""")
+def message_details(spark, sf_dir):
+    key = F.col("o_orderkey")
+    some, none = F.array(F.lit("x")), F.array().cast("array<string>")
+    blank = T.none_if_blank(F.when(key % 4 == 0, "   ").otherwise(F.col("o_orderpriority")))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", T.message_side(F.when(key % 2 == 0, "inbound").otherwise("outbound")).alias("side"),
+        T.timestamp_parts(F.col("o_orderdate").cast("timestamp_ntz"))["date"].alias("day"),
+        T.message_key(F.lit("app"), F.lit("public"), key.cast("string")).alias("message_key"),
+        T.needs_review(key % 5 == 0, F.when(key % 3 == 0, some).otherwise(none), some, none).alias("review"),
+        T.same_text(F.concat(F.lit("  "), F.upper("o_orderpriority")), F.lit("2-high")).alias("same"),
+        blank.isNotNull().alias("has_text"),
+    )

@@ -294,6 +294,21 @@ def rule_ref(category: Column, sheet: Column, row: Column) -> Column:
     return F.concat_ws("-", area, sheet_code(F.coalesce(sheet, F.lit(""))), row.cast("string"))
 
 
+def failure_text(status: Column, message: Column) -> Column:
+    """What a reviewer is told of a failed call: by its HTTP status; of the service's own words only
+    the delay is passed on."""
+    seconds = F.regexp_extract(F.coalesce(message, F.lit("")), r"(?i)(?:retry in|try again in)\s*(\d+)", 1)
+    wait = F.when(seconds != "", F.concat(F.lit("in about "), seconds, F.lit(" seconds."))).otherwise("shortly.")
+    return (
+        F.when(status == 429, F.concat(F.lit("The draft service has reached its usage limit. Try again "), wait))
+        .when(status.isin(401, 403), "The draft service refused the API key. Check the server configuration.")
+        .when(status == 404, "The configured model is not available. Check the server configuration.")
+        .when(status == 400, "The draft service rejected the request as malformed.")
+        .when(status >= 500, "The draft service is temporarily unavailable. Try again shortly.")
+        .otherwise("The draft service rejected the request.")
+    )
+
+
 def row_checksum(cells: Column) -> Column:
     return F.sha2(F.to_json(F.transform(cells, trimmed)), 256)
 
@@ -306,7 +321,9 @@ def _composed(texts: pd.Series) -> pd.Series:
 def is_exact_sku(sku: Column) -> Column:
     """Whether a SKU came as it was written: not empty, and in composed Unicode form."""
     plain = sku.rlike(r"\A[\x00-\x7F]+\z")
-    return F.coalesce(plain | ((sku != "") & _composed(sku)), F.lit(False))
+    # the others only go to Python: an OR alone would send all
+    other = _composed(F.when(~plain & (sku != ""), sku))
+    return F.coalesce(plain | F.coalesce(other, F.lit(False)), F.lit(False))
 
 
 def exact_sku(sku: Column) -> Column:

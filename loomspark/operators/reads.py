@@ -13,6 +13,7 @@ from loomspark.functions import text as T
 from loomspark.operators.upsert import first_by
 from loomspark.sources.scans import read_limit
 
+# Order statuses by what they mean.
 ACTIVE_ORDER_STATUSES = ("Completed", "Refunded", "Inprogress", "New", "Hold")
 TERMINATED_ORDER_STATUSES = ("Deleted", "Cancelled")
 
@@ -151,6 +152,11 @@ def order_class(status: Column) -> Column:
     return F.when(status.isin(*ACTIVE_ORDER_STATUSES), "active").when(status.isin(*TERMINATED_ORDER_STATUSES), "terminated").otherwise("unknown")
 
 
+def may_use_order_facts(resolution: Column) -> Column:
+    """Whether facts of an order may ground a draft: only if a single one was found."""
+    return F.coalesce(resolution == "single_order", F.lit(False))
+
+
 def logical_orders(rows: DataFrame, active: Column, keys: Sequence[str], item: str) -> DataFrame:
     """Physical rows of an order as one: distinct items of its active rows, and how many there are."""
     return rows.groupBy(*keys).agg(
@@ -170,10 +176,17 @@ def tie_mates(rows: DataFrame, ts: str, pk: str) -> DataFrame:
 
 
 def longest_prefix(rows: DataFrame, rates: DataFrame, model: str) -> DataFrame:
-    """Rows with the rate of the longest prefix of their model; ``rates`` is a small table
-    (``prefix, input_rate, output_rate``) that the caller writes out."""
+    """Rows with the rate of the longest prefix of their model, outer blanks and case aside.
+
+    ``rates`` is a small table (``prefix, input_rate, output_rate``) that the caller writes out.
+    A name meets prefixes by equality, one of its own for each length that a prefix has.
+    """
+    name = F.lower(F.trim(F.col("_model")))
     names = rows.select(F.col(model).alias("_model")).distinct()
-    found = names.join(rates, F.startswith(F.col("_model"), F.col("prefix")))
+    rates = rates.withColumn("_prefix", F.lower("prefix"))
+    lengths = [r[0] for r in rates.select(F.length("_prefix")).distinct().collect()]  # a few
+    cuts = F.array_distinct(F.array(*(F.left(name, F.lit(n)) for n in sorted(lengths)))) if lengths else F.array().cast("array<string>")
+    found = names.withColumn("_prefix", F.explode(cuts)).join(rates, "_prefix")
     best = found.groupBy("_model").agg(
         F.max_by(F.struct("prefix", "input_rate", "output_rate"), F.length("prefix")).alias("_rate")
     )

@@ -354,36 +354,53 @@ def evidence(citations: DataFrame, rules: DataFrame, key: str = "revision_id", r
     ``matched`` is JSON: the cited rules in the order they were cited, with shown title,
     condition, text and place; a row that cites nothing is there too.
     """
-    found = resolved_citations(citations, rules.select("ref", "title", "text"), key, refs).drop("title", "text")
     shown = T.display_title(F.col("title"), F.col("text"), F.col("category"))
     known = rules.select(
         "ref", F.col("category").alias("area"), shown.alias("title"), T.condition_of(F.col("text"), shown).alias("condition"),
-        F.col("text").alias("rule_text"), "source_file", "source_sheet", "source_row",
+        F.col("text").alias("rule_text"), "source_file", "source_sheet", "source_row", F.lit(True).alias("_hit"),
     )
     parts = ("area", "title", "condition", "rule_text", "ref", "source_file", "source_sheet", "source_row")
+    clean = F.filter(F.array_distinct(F.transform(F.col(refs), T.normal_ref)), lambda x: x != "")
+    # a row that cites nothing stays, with a null reference
+    rows = citations.select(key, F.posexplode_outer(clean).alias("place", "ref"))
+    state = F.when(F.col("_hit"), "cited").when(T.is_legacy_ref(F.col("ref")), "legacy").otherwise("unresolved")
+    found = rows.join(known, "ref", "left").withColumn("state", F.when(F.col("ref").isNotNull(), state))
+    each = F.array_sort(F.collect_list(F.when(F.col("ref").isNotNull(), F.struct("place", "state", F.struct(*parts).alias("rule")))))
+    out = found.groupBy(key).agg(each.alias("_all"))
+
+    def of(wanted: str) -> Column:
+        return F.transform(F.filter("_all", lambda x: x["state"] == wanted), lambda x: x["rule"])
+
+    return out.select(
+        key, F.to_json(of("cited")).alias("matched"),
+        *(F.transform(of(s), lambda x: x["ref"]).alias(s) for s in ("unresolved", "legacy")),
+        F.array_sort(F.array_distinct(F.array_compact(F.transform(of("cited"), lambda x: x["source_file"])))).alias("documents"),
+        (F.size(of("cited")) == 0).alias("none_matched"),
+    )
 
-    def listed(state: str) -> Column:
-        hits = F.array_sort(F.collect_list(F.when(F.col("state") == state, F.struct("place", "ref"))))
-        return F.transform(hits, lambda x: x["ref"])
 
-    cited = F.array_sort(F.collect_list(F.when(F.col("state") == "cited", F.struct("place", F.struct(*parts).alias("rule")))))
-    out = found.join(known, "ref", "left").groupBy(key).agg(
-        F.to_json(F.transform(cited, lambda x: x["rule"])).alias("matched"),
-        listed("unresolved").alias("unresolved"), listed("legacy").alias("legacy"),
-        F.array_sort(F.collect_set(F.when(F.col("state") == "cited", F.col("source_file")))).alias("documents"),
-        (F.count_if(F.col("state") == "cited") == 0).alias("none_matched"),
-    )
-    none = F.array().cast("array<string>")
-    return citations.select(key).join(out, key, "left").select(
-        key, F.coalesce("matched", F.lit("[]")).alias("matched"),
-        *(F.coalesce(c, none).alias(c) for c in ("unresolved", "legacy", "documents")),
-        F.coalesce("none_matched", F.lit(True)).alias("none_matched"),
-    )
+def evidence_export(evidence: DataFrame, usage: DataFrame, messages: DataFrame, key: str = "revision_id") -> DataFrame:
+    """Evidence with what an export adds: the call's ``provider, model, total_tokens`` and cost, how
+    many rules were supplied, and the customer's last message.
+
+    ``usage`` has a row a key with ``rules_supplied``; ``messages`` have the key, ``direction``,
+    ``source_ts``.
+    """
+    calls = usage.select(key, "provider", "model", "total_tokens", "estimated_cost_usd", "rules_supplied")
+    last = messages.where(F.col("direction") == "inbound").groupBy(key).agg(F.max("source_ts").alias("last_customer_ts"))
+    cited = F.size(F.from_json("matched", "array<struct<ref:string>>"))
+    out = evidence.withColumns({"cited_rules": cited, "unmatched_refs": F.size("unresolved") + F.size("legacy")})
+    return out.join(calls, key, "left").join(last, key, "left")
 
 
 def known_citations(citations: DataFrame, known: DataFrame | None, kind: str) -> DataFrame:
-    """Citations of a kind whose reference is known; all of them if nothing is known of it."""
-    return citations if known is None else citations.join(known.select("ref"), "ref", "left_semi").where(F.col("kind") == kind)
+    """Citations without those of a kind whose reference isn't known; other kinds stay, and all do
+    if nothing is known of it."""
+    if known is None:
+        return citations
+    there = known.select("ref", F.lit(True).alias("_known")).distinct()
+    kept = citations.join(there, "ref", "left").where((F.col("kind") != kind) | F.col("kind").isNull() | F.col("_known"))
+    return kept.select(*citations.columns)
 
 
 def thread_prompt(messages: DataFrame, key: str = "conversation_id") -> DataFrame:

@@ -37,6 +37,7 @@ class ThreadingRule:
     gap: str = "30 days"
 
 
+#: The rules by marketplace.
 RULES = {
     "ebay": ThreadingRule("ebay-item-counterparty-gap-v1", "ebay-counterparty-gap-v1", True, False),
     "amazon": ThreadingRule("amazon-order-thread-v1", "amazon-unresolved-singleton-v1", False, False),
@@ -76,15 +77,22 @@ def agreed(value: str) -> Column:
     return F.when((F.min(x) == F.max(x)) & (F.count(x) == F.count(F.lit(1))), F.min(x))
 
 
-def conversations(messages: DataFrame) -> DataFrame:
+def conversations(messages: DataFrame, rule: ThreadingRule) -> DataFrame:
     """One row for each thread, with its first and last time, counts and inbox placement.
 
     A thread is filtered if each of its messages has a reason, which is then its first
-    message's; else it is in the reply inbox if a message came in.
+    message's; else it is in the reply inbox if a message came in.  Messages are grouped by what
+    ``threaded`` told them apart by, so sessions need no second shuffle, and the key is written
+    out once a thread.
     """
-    keys = ["marketplace", "threading_rule_version", "thread_key", "threading_strategy", "sub_source_id", "counterparty_ref"]
+    keys = ["marketplace", "threading_rule_version", "threading_strategy", "sub_source_id", "counterparty_ref", "segment"]
+    if rule.by_item:
+        keys.append("listing_item_ref")
+        listing, parts = F.col("listing_item_ref"), []
+    else:
+        listing, parts = F.lit(None).cast("string"), [agreed("listing_item_ref").alias("listing_item_ref")]
     facts = messages.groupBy(*keys).agg(
-        agreed("listing_item_ref").alias("listing_item_ref"),
+        *parts,
         F.min("source_ts").alias("first_source_ts"),
         F.max("source_ts").alias("last_source_ts"),
         F.count("*").alias("message_count"),
@@ -95,9 +103,23 @@ def conversations(messages: DataFrame) -> DataFrame:
         F.min_by("filter_reason", F.struct("source_ts", "source_pk")).alias("_reason"),
     )
     placement = F.when(F.col("_all"), "filtered").when(F.col("inbound_count") > 0, "reply_inbox").otherwise("outbound_only")
+    identity = ("threading_rule_version", "threading_strategy", "sub_source_id")
+    key = T.thread_key(*(F.col(c) for c in identity), listing, F.col("counterparty_ref"), F.col("segment"))
     return facts.withColumns(
-        {"inbox_placement": placement, "inbox_filter_reason": F.when(F.col("_all"), F.col("_reason"))}
-    ).drop("_all", "_reason")
+        {"thread_key": key, "inbox_placement": placement, "inbox_filter_reason": F.when(F.col("_all"), F.col("_reason"))}
+    ).drop("_all", "_reason", "segment")
+
+
+def in_thread_order(threads: DataFrame) -> DataFrame:
+    """Threads by the time they began, then by key."""
+    return threads.orderBy("first_source_ts", "thread_key")
+
+
+def of_marketplace(messages: DataFrame, marketplace: str) -> tuple[DataFrame, DataFrame]:
+    """A marketplace's messages, and one row ``excluded_unusable``: how many were another's, which
+    no thread may take in."""
+    own = F.coalesce(F.col("marketplace") == marketplace, F.lit(False))
+    return messages.where(own), messages.agg(F.count_if(~own).alias("excluded_unusable"))
 
 
 def thread_problems(messages: DataFrame, threads: DataFrame) -> DataFrame:

@@ -6,12 +6,12 @@ caller writes it.  Running a batch twice changes nothing the second time.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Allowed changes of the workflow state.
+#: Allowed changes of the workflow state.
 TRANSITIONS = {
     "received": ("drafting",),
     "drafting": ("pending_review",),
@@ -76,6 +76,41 @@ def next_revisions(revisions: DataFrame, drafts: DataFrame, key: str, *order: st
     return drafts.join(last, key, "left").withColumn("revision", F.coalesce("_last", F.lit(0)) + place).drop("_last")
 
 
+def touched(drafts: DataFrame, asked: DataFrame, key: str, now: Column) -> DataFrame:
+    """Drafts with one for each ``key`` of ``asked``: made if there is none, else its time renewed."""
+    new = asked.select(key).distinct().withColumn("_asked", F.lit(True))
+    both = drafts.withColumn("_there", F.lit(True)).join(new, key, "full")
+    made = F.when(F.col("_there").isNull(), now).otherwise(F.col("created_at"))
+    renewed = F.when(F.col("_asked").isNotNull(), now).otherwise(F.col("updated_at"))
+    return both.select(*(
+        {"created_at": made.alias("created_at"), "updated_at": renewed.alias("updated_at")}.get(c, F.col(c)) for c in drafts.columns
+    ))
+
+
+def pointed(drafts: DataFrame, revisions: DataFrame, key: str, now: Column) -> DataFrame:
+    """Drafts whose ``current_revision`` is their newest one; those that it changes are renewed."""
+    last = revisions.groupBy(key).agg(F.max("revision").alias("_last"))
+    both = drafts.join(last, key, "left")
+    moved = F.col("_last").isNotNull() & ~F.col("_last").eqNullSafe(F.col("current_revision"))
+    return both.select(*(
+        {
+            "current_revision": F.coalesce("_last", "current_revision").alias("current_revision"),
+            "updated_at": F.when(moved, now).otherwise(F.col("updated_at")).alias("updated_at"),
+        }.get(c, F.col(c)) for c in drafts.columns
+    ))
+
+
+def recorded(write: Callable[[], None], log: Callable[[str], None] = print) -> dict[str, bool]:
+    """Best effort: whether ``write`` (a call's usage row) came through.  What went wrong is logged,
+    since a draft must not fail for its accounting."""
+    try:
+        write()
+    except Exception as e:
+        log(f"could not record usage: {e}")
+        return {"recorded": False}
+    return {"recorded": True}
+
+
 def inserted_once(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``batch`` whose key the target lacks, one for each key (the least by all columns)."""
     order = [c for c in batch.columns if c not in keys] or list(keys)

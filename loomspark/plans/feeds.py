@@ -46,12 +46,28 @@ def derive(feed: Feed, raw: DataFrame) -> Outcome:
     rows = feed.messages(raw)
     messages = threads.threaded(rows.where(F.col("row_class") == "message"), feed.rule)
     return Outcome(
-        classify.class_counts(rows), messages, rows.where(F.col("row_class") == "ambiguous"), threads.conversations(messages)
+        classify.class_counts(rows), messages, rows.where(F.col("row_class") == "ambiguous"), threads.conversations(messages, feed.rule)
     )
 
 
+def run_all(
+    known: Mapping[str, Feed], raw: Mapping[str, DataFrame], write: Callable[[str, Outcome], None]
+) -> tuple[list[str], dict[str, str]]:
+    """Derive each feed and ``write`` its outcome, feed by feed; names of those that were written,
+    and what was wrong with the others.  A feed that fails while it runs doesn't stop another."""
+    done, failed = [], {}
+    for name, rows in raw.items():
+        try:
+            write(name, derive(known[name], rows))
+            done.append(name)
+        except Exception as e:
+            failed[name] = str(e)
+    return done, failed
+
+
 def derive_all(known: Mapping[str, Feed], raw: Mapping[str, DataFrame]) -> tuple[dict[str, Outcome], dict[str, str]]:
-    """Outcomes by feed, and what was wrong with the feeds that failed: one doesn't stop another."""
+    """Lazy outcomes by feed, and what was wrong with those that can't be planned.  What fails only
+    when it runs is told by ``run_all``."""
     done, failed = {}, {}
     for name, rows in raw.items():
         try:
@@ -97,19 +113,44 @@ THREAD = ["threading_rule_version", "thread_key"]
 _COUNTS = ("message_count", "inbound_count")
 
 
-def persisted(stored: Stored, outcome: Outcome, feed_key: str) -> Stored:
+#: What tells an unresolved message from others, and what a later run may change of it.
+SOURCE_IDENTITY = ["source_database", "source_schema", "source_table", "source_pk"]
+_UNRESOLVED_UPDATE = ("body_text", "body_decode_status", "source_reference")
+
+
+def unresolved_upserted(stored: DataFrame, came: DataFrame) -> DataFrame:
+    """The next version of the unresolved messages, with ``merge_action`` (see ``merge_counts``).
+
+    Keyed by the full identity in the source: rows of two tables with one id are two messages.
+    A message that comes again has its body, status and reference brought up to date; its time and
+    all else stay.  Of rows of one identity in a batch the newest counts.
+    """
+    once = upsert.first_by(came, SOURCE_IDENTITY, F.desc_nulls_last("source_ts"), *(F.col(c) for c in _UNRESOLVED_UPDATE))
+    return upsert.merged(stored, once.select(*stored.columns), SOURCE_IDENTITY, list(_UNRESOLVED_UPDATE))
+
+
+def merge_counts(merged: DataFrame) -> DataFrame:
+    """One row ``inserted, updated, kept`` of a merge."""
+    return merged.agg(*(F.count_if(F.col("merge_action") == a).alias(a) for a in ("inserted", "updated", "kept")))
+
+
+def persisted(
+    stored: Stored, outcome: Outcome, feed_key: str, write: Callable[[str, DataFrame], DataFrame] = lambda name, df: df
+) -> Stored:
     """Stored tables with an outcome merged in.
 
     Conversations are updated but for their counts and workflow state, and new ones are
-    ``received``; messages keep their first time; counts are taken anew from the messages
-    stored; the cursor only moves forward.  The same outcome twice changes nothing.
+    ``received``; messages keep their first time, and of rows of one message the newest counts;
+    counts are taken anew from the messages stored; the cursor only moves forward.  The same
+    outcome twice changes nothing.  ``write`` stores the messages and gives them back as read, so
+    that they are merged once though two tables use them.
     """
     fresh = outcome.conversations.withColumn("workflow_state", F.lit("received")).select(*stored.conversations.columns)
     kept = {*THREAD, *_COUNTS, "workflow_state"}
     conversations = upsert.merged(stored.conversations, fresh, THREAD, [c for c in fresh.columns if c not in kept])
-    came = outcome.messages.select(*stored.messages.columns)
+    came = upsert.first_by(outcome.messages.select(*stored.messages.columns), IDENTITY, F.desc("source_ts"))
     messages = upsert.merged(stored.messages, came, IDENTITY, [c for c in came.columns if c not in (*IDENTITY, "source_ts")])
-    messages = messages.drop("merge_action")
+    messages = write("messages", messages.drop("merge_action"))
     conversations = upsert.recounted(conversations.drop("merge_action"), messages).select(*stored.conversations.columns)
     batch = upsert.highest_cursor(outcome.messages).select(F.lit(feed_key).alias("feed_key"), "ts", "pk")
     return Stored(conversations, messages, upsert.advanced_cursors(stored.cursors, batch))

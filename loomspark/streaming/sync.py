@@ -2,12 +2,15 @@
 
 A checkpoint remembers which files are done, and every batch is merged by key, so a batch
 that runs again after a failure changes nothing.  Each batch writes a new version of the
-snapshot and then the pointer to it.
+snapshot and then a mark that says whose it is; versions without a mark don't count.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,33 +20,57 @@ from loomspark.operators.upsert import first_by, merged
 
 
 class Snapshots:
-    """Versions of a keyed table under a path; the largest committed version counts."""
+    """Versions of a keyed table under a path; the largest marked version counts.
+
+    Versions are numbered on whatever batch they come from, so runs with other checkpoints go on
+    from them.  One writer at a time.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], update: Sequence[str]):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         self.keys, self.update = list(keys), list(update)
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def version(self) -> int:
-        """The newest version whose write was committed; -1 if there is none."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v=*/_SUCCESS")) or []
+    def _marked(self, batch: str = "*") -> int:
+        found = self._files.globStatus(self._path(f"{self.path}/v=*/_batch-{batch}")) or []
         return max((int(s.getPath().getParent().getName()[2:]) for s in found), default=-1)
 
+    def version(self) -> int:
+        """The newest version that counts; -1 if there is none."""
+        return self._marked()
+
     def read(self, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
         if version < 0:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={version}")
 
-    def merge(self, batch: DataFrame, version: int, order: Sequence[str]) -> None:
-        """Write ``version`` from the last one before it; of a key's rows in the batch the last
-        by ``order`` counts."""
-        last = min(self.version(), version - 1)
+    def merge(self, batch: DataFrame, batch_id: str, order: Sequence[str]) -> int:
+        """Write the next version from the newest; of a key's rows in the batch the last by
+        ``order`` counts.  A batch that is merged already changes nothing.  Returns its version."""
+        mark = hashlib.sha1(batch_id.encode()).hexdigest()
+        if (done := self._marked(mark)) >= 0:
+            return done
+        last = self.version()
         once = first_by(batch, self.keys, *(F.desc(c) for c in order))
         out = merged(self.read(last), once.select(*self.schema.names), self.keys, self.update).drop("merge_action")
-        out.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        out.write.mode("overwrite").parquet(f"{self.path}/v={last + 1}")
+        self._files.create(self._path(f"{self.path}/v={last + 1}/_batch-{mark}"), True).close()
+        return last + 1
+
+
+@dataclass(frozen=True)
+class RunOutcome:
+    """Batches and prepared rows of a run, and whether the source has more than it took."""
+
+    batches: int
+    rows: int
+    more_available: bool
+
+
+class _Enough(Exception):
+    """A run has taken its share; the batch that comes next isn't begun."""
 
 
 def run_available(
@@ -55,19 +82,45 @@ def run_available(
     checkpoint: str,
     order: Sequence[str],
     files_per_batch: int = 1000,
+    max_batches: int | None = None,
     dry_run: bool = False,
-) -> None:
-    """Merge the files that have come since the last run, then stop; a dry run writes nothing."""
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    if dry_run:
-        prepare(spark.read.schema(schema).parquet(source)).count()
-        return
-
-    def merge(batch: DataFrame, number: int) -> None:
-        snapshots.merge(prepare(batch), number, order)
-
-    query = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+) -> RunOutcome:
+    """Merge the files that have come since the last run, in ``max_batches`` batches at most.
+
+    A dry run says what would be merged: it reads new files only, prepares whole rows, and leaves
+    snapshots and checkpoint as they are.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    files = path(checkpoint).getFileSystem(conf)
+    used = f"{checkpoint.rstrip('/')}-dry-{uuid.uuid4().hex}" if dry_run else checkpoint
+    if dry_run and files.exists(path(checkpoint)):
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(files, path(checkpoint), files, path(used), False, conf)
+    batches, rows, more = 0, 0, False
+
+    def take(batch: DataFrame, number: int) -> None:
+        nonlocal batches, rows, more
+        if max_batches is not None and batches >= max_batches:
+            more = True
+            raise _Enough  # the checkpoint doesn't count this batch, so the next run begins with it
+        ready = prepare(batch)
+        # a checksum of whole rows: a plain count would leave out the work
+        seen = ready.agg(F.count("*"), F.max(F.xxhash64(*(F.col(f"`{c}`") for c in ready.columns)))).first()[0]
+        if not dry_run:
+            snapshots.merge(ready, f"{checkpoint}#{number}", order)
+        batches, rows = batches + 1, rows + seen
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    query = stream.writeStream.foreachBatch(take).option("checkpointLocation", used).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except Exception:
+        if not more:
+            raise
+    finally:
+        if dry_run:
+            files.delete(path(used), True)
+    return RunOutcome(batches, rows, more)
 
 
 def gap_windows(rows: DataFrame, ts: str, keys: Sequence[str], gap: str, lateness: str) -> DataFrame:

@@ -1,7 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
-from loomspark.operators import classify, reads, threads, upsert
+from loomspark.operators import classify, reads, rules, threads, upsert
 from loomspark.plans import feeds
 from loomspark.sources import scans
 from pyspark.sql import functions as F
@@ -85,6 +85,78 @@ def test_feeds_stand_alone(spark):
     assert feeds.all_conversations(done).count() == 3
 
 
+def test_a_feed_that_fails_while_it_runs(spark):
+    known = feeds.feeds(["shop.test"])
+    bad = spark.createDataFrame([mail(3)], MAIL).withColumn("message_content", F.raise_error(F.lit("damaged file")).cast("string"))
+    raw = {"shopify": bad, "temu": spark.createDataFrame([mail(1), mail(2)], MAIL)}
+    written = {}
+
+    def write(name, outcome):
+        written[name] = outcome.messages.unionByName(outcome.unresolved, True).collect()
+
+    done, failed = feeds.run_all(known, raw, write)
+    assert done == ["temu"] and set(failed) == {"shopify"} and "damaged file" in failed["shopify"] and len(written["temu"]) == 2
+
+
+UNRESOLVED = "source_database string, source_schema string, source_table string, source_pk bigint, source_ts timestamp_ntz, " \
+    "body_text string, body_decode_status string, source_reference string, sub_source_id int"
+
+
+def test_unresolved_messages_are_stored_by_full_identity(spark):
+    table = lambda *rows: spark.createDataFrame(rows, UNRESOLVED)
+    first = table(("d", "s", "t", 1, DAY, "a", "decoded", None, 1), ("d", "s", "u", 1, DAY, "b", "decoded", None, 1))
+    stored = feeds.unresolved_upserted(first.limit(0), first)
+    assert tuple(feeds.merge_counts(stored).first()) == (2, 0, 0)
+    stored = stored.drop("merge_action")
+    later = DAY + timedelta(1)
+    came = table(("d", "s", "t", 1, later, "c", "failed", "r", 9), ("d", "s", "t", 1, DAY, "old", "decoded", None, 9), ("d", "s", "t", 2, DAY, "n", "decoded", None, 1))
+    again = feeds.unresolved_upserted(stored, came)
+    assert tuple(feeds.merge_counts(again).first()) == (1, 1, 1)
+    one = again.where("source_table = 't' and source_pk = 1").first()
+    # the time of the source and what isn't the body's never change
+    assert (one["body_text"], one["body_decode_status"], one["source_reference"], one["source_ts"], one["sub_source_id"]) == ("c", "failed", "r", DAY, 1)
+    twice = feeds.unresolved_upserted(again.drop("merge_action"), came)
+    assert sorted(map(str, twice.drop("merge_action").collect())) == sorted(map(str, again.drop("merge_action").collect()))
+
+
+def test_sessions_take_one_shuffle(spark, sf_dir):
+    from loomspark import catalogue
+
+    plan = catalogue.QUERIES["gap_sessions"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    rates = catalogue.QUERIES["longest_prefix_rate"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in rates and "CartesianProduct" not in rates
+
+
+def test_drafts_are_touched_and_pointed(spark):
+    now, old = F.lit(DAY).cast("timestamp_ntz"), DAY - timedelta(3)
+    drafts = spark.createDataFrame([(1, 2, old, old), (2, 1, old, old)], "conversation_id int, current_revision int, created_at timestamp_ntz, updated_at timestamp_ntz")
+    out = upsert.touched(drafts, spark.createDataFrame([(2,), (3,), (3,)], "conversation_id int"), "conversation_id", now)
+    assert sorted(map(tuple, out.collect())) == [(1, 2, old, old), (2, 1, old, DAY), (3, None, DAY, DAY)]
+    revisions = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (3, 1)], "conversation_id int, revision int")
+    out = upsert.pointed(out, revisions, "conversation_id", now)
+    assert sorted(map(tuple, out.collect())) == [(1, 2, old, old), (2, 2, old, DAY), (3, 1, DAY, DAY)]
+    said = []
+    assert upsert.recorded(lambda: None) == {"recorded": True}
+    assert upsert.recorded(lambda: 1 / 0, said.append) == {"recorded": False} and said
+
+
+def test_citations_of_unknown_rules_go(spark):
+    rows = spark.createDataFrame([("rule", "a"), ("rule", "b"), ("order", "c"), (None, "d")], "kind string, ref string")
+    known = spark.createDataFrame([("a",), ("a",)], "ref string")
+    assert sorted(r["ref"] for r in rules.known_citations(rows, known, "rule").collect()) == ["a", "c", "d"]
+    assert rules.known_citations(rows, None, "rule").count() == 4
+
+
+def test_evidence_export(spark):
+    evidence = spark.createDataFrame([(1, '[{"ref":"A-1"},{"ref":"B-2"}]', ["x-1"], []), (2, "[]", [], [])], "revision_id int, matched string, unresolved array<string>, legacy array<string>")
+    usage = spark.createDataFrame([(1, "p", "m", 10, 0.5, 1300)], "revision_id int, provider string, model string, total_tokens int, estimated_cost_usd double, rules_supplied int")
+    messages = spark.createDataFrame([(1, "inbound", DAY), (1, "outbound", DAY + timedelta(1))], "revision_id int, direction string, source_ts timestamp_ntz")
+    out = {r["revision_id"]: r for r in rules.evidence_export(evidence, usage, messages).collect()}
+    assert (out[1]["cited_rules"], out[1]["unmatched_refs"], out[1]["rules_supplied"], out[1]["last_customer_ts"]) == (2, 1, 1300, DAY)
+    assert (out[2]["cited_rules"], out[2]["provider"]) == (0, None)
+
+
 def test_windows_and_limits(spark):
     rows = spark.createDataFrame([(k, DAY) for k in (1, 2, 10)] + [(3, DAY - timedelta(1))], "pk bigint, ts timestamp_ntz")
     found = scans.scan(rows, ["pk"], "ts", "pk", scans.After(DAY, 1))
