@@ -7,6 +7,11 @@ finds the lists near a vector.  A query always reads its few nearest lists, and
 hold several times the vectors it wants; past them it reads the lists whose distance is within
 a ratio of the farthest of these.  (Chen et al., SPANN, 2021.)
 
+Only so many centroids fit in memory.  Lists that stay long are split again where they lie, by
+centroids of their own, which no machine holds together: vectors and queries that come to such
+a list are dealt on to its parts, as often as it takes.  So lists, and the work of a query, don't
+grow with the table.
+
 Largest inner product becomes smallest distance by one more coordinate, which brings all
 vectors to one norm and is 0 for queries.  Equal vectors are indexed once with their
 smallest ids, which are all that can be among the nearest.  Lists and queries meet by a
@@ -43,6 +48,12 @@ COVER = 4
 PROBE_RATIO = 1.6
 PROBES = 32
 PROBE_ROOTS = 6
+#: A list with more than so many times LIST_VECTORS is split, into so many lists at most, by
+#: centroids of about so many of its vectors; splits go on for so many levels.
+LONG_LIST = 10
+SPLIT_LISTS = 256
+SPLIT_FIT = 4096
+SPLIT_LEVELS = 6
 #: Neighbours of a centroid in the graph, and length of the search's beam.
 DEGREE = 16
 BEAM = 48
@@ -201,12 +212,109 @@ def _assign(graph_box, mode: str, top: float, boundary: float, most: int, length
                 rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 out = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [*out.columns, pa.array(np.concatenate(found).astype(np.int32))], names=[*batch.schema.names, "list"]
+                    [*out.columns, pa.array(np.concatenate(found).astype(np.int64))], names=[*batch.schema.names, "list"]
                 )
 
     return assign
 
 
+# ---- lists that stay long --------------------------------------------------------------
+def _fit_split(top: float, list_vectors: int, seed: int):
+    """Centroids of one long list from a sample of it; ``n`` is its length."""
+
+    def fit(key: tuple, sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by("cid")
+        x = _augmented(_matrix(sample["v"].combine_chunks()).astype(np.float64), top)
+        lists = int(max(1, min(SPLIT_LISTS, -(-sample["n"][0].as_py() // list_vectors), len(x) // 4)))
+        c = balanced_centroids(x, lists, np.random.default_rng(seed))
+        parent = key[0].as_py()
+        return pa.table(
+            {
+                "list": pa.array([parent] * len(c), pa.int64()),
+                "sub": pa.array(np.arange(len(c)), pa.int64()),
+                "c": pa.array(list(c), pa.list_(pa.float64())),
+            }
+        )
+
+    return fit
+
+
+def _deal(mode: str, top: float, cover: int):
+    """Rows of a long list to the nearest of its parts, as ``_assign`` does with all lists."""
+
+    def deal(key: tuple, rows: pa.Table, parts: pa.Table) -> pa.Table:
+        out = rows.drop_columns(["list"])
+        if not rows.num_rows or not parts.num_rows:
+            return out.slice(0, 0).append_column("list", pa.array([], pa.int64()))
+        c = _matrix(parts["c"].combine_chunks()).astype(np.float64)
+        name = parts["sub"].to_numpy()
+        length = parts["length"].to_numpy() if mode == "query" else None
+        x = _matrix(rows["v"].combine_chunks()).astype(np.float64)
+        x = _augmented(x, top) if mode == "index" else np.hstack([x, np.zeros((len(x), 1))])
+        at, to = [], []
+        for i in range(0, len(x), 1024):
+            part = x[i : i + 1024]
+            d = np.sqrt(np.maximum((part**2).sum(axis=1)[:, None] + (c**2).sum(axis=1) - 2 * part @ c.T, 0))
+            ids = np.argsort(d, axis=1, kind="stable")
+            d = np.take_along_axis(d, ids, 1)
+            if mode == "index":
+                fits = (d <= BOUNDARY * d[:, :1] + 1e-12) & (np.arange(len(c)) < 2)
+            else:
+                held = length[ids].cumsum(axis=1)
+                needed = (held - length[ids] < cover) | (np.arange(len(c)) < LEAST_PROBES)
+                most = max(PROBES, int(PROBE_ROOTS * np.sqrt(len(c))))
+                reach = np.where(needed, d, 0).max(axis=1, keepdims=True)
+                fits = needed | ((d <= PROBE_RATIO * reach + 1e-12) & (np.arange(len(c)) < most))
+            row, col = np.nonzero(fits)
+            at.append(i + row)
+            to.append(name[ids[row, col]])
+        return out.take(pa.array(np.concatenate(at))).append_column("list", pa.array(np.concatenate(to), pa.int64()))
+
+    return deal
+
+
+def _split(posted: DataFrame, reads: DataFrame, lists: DataFrame, top: float, cover: int, list_vectors: int, level: int):
+    """Posted vectors and reads with the long lists among ``lists`` (``list, n``) split."""
+    long = written(lists.where(F.col("n") > LONG_LIST * list_vectors), "long-lists")
+    total = long.agg(F.sum("n")).first()[0]
+
+    def there(rows: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
+        rows = spread_join(rows, long, "list", F.col(id), "n", total)
+        return rows.where(F.col("n").isNull()).drop("n"), rows.where(F.col("n").isNotNull())
+
+    short, deep = there(posted, "cid")
+    deep = written(deep, "deep-vectors")
+    sample = deep.where(F.pmod(F.xxhash64("cid", F.lit(level)), F.col("n")) < SPLIT_FIT)
+    cents = sample.groupBy("list").applyInArrow(_fit_split(top, list_vectors, level), "list bigint, sub bigint, c array<double>")
+    # a name for each part; equal names, if there are any, only make one list of two
+    cents = written(cents.withColumn("sub", F.xxhash64("list", "sub", F.lit(level))), "split-centroids")
+
+    def dealt(rows: DataFrame, id: str, parts: DataFrame, mode: str, size: int) -> DataFrame:
+        # of a hot list, many tasks have the centroids and a share of its rows each
+        shares = rows.groupBy("list").agg(F.ceil(F.count("*") / size).alias("shares"))
+        shares = written(shares, "shares")
+        rows = spread_join(rows.drop("n"), shares.join(long, "list"), "list", F.col(id), "n", total)
+        rows = rows.withColumn("share", F.pmod(F.xxhash64(id), F.col("shares"))).select(id, "v", "list", "share")
+        parts = parts.join(shares, "list").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+        groups = rows.groupBy("list", "share").cogroup(parts.drop("shares").groupBy("list", "share"))
+        shape = f"{id} bigint, v array<double>, list bigint"
+        return groups.applyInArrow(_without_share(_deal(mode, top, cover)), shape)
+
+    vectors = written(dealt(deep, "cid", cents, "index", PART_VECTORS), "dealt-vectors")
+    lengths = vectors.groupBy(F.col("list").alias("sub")).agg(F.count("*").alias("length"))
+    parts = written(cents.join(lengths, "sub"), "split-parts")
+    calm, asked = there(reads, "qid")
+    queries = dealt(written(asked, "deep-reads"), "qid", parts, "query", PART_QUERIES)
+    return (
+        written(short.unionByName(vectors), "posting-lists"),
+        written(calm.unionByName(queries).distinct(), "probes"),
+    )
+
+
+def _without_share(deal):
+    return lambda key, rows, parts: deal(key, rows.drop_columns(["share"]), parts)
+
+
 def _search_lists(k: int):
     """Best ``k`` vectors of a part of a list for each of some queries, by exact scores."""
 
@@ -240,6 +348,7 @@ def nearest_neighbours(
     list_vectors: int = LIST_VECTORS,
     fit_vectors: int = FIT_VECTORS,
     seed: int = 7,
+    max_lists: int = MAX_LISTS,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest vectors found for each query.
 
@@ -276,13 +385,13 @@ def nearest_neighbours(
     sample = sample.limit(2 * fit_vectors).orderBy("cid").toArrow()["v"].combine_chunks()
     rng = np.random.default_rng(seed)
     x = _augmented(_matrix(sample).astype(np.float64), top)
-    lists = int(max(1, min(MAX_LISTS, n // list_vectors, len(x) // 4)))
+    lists = int(max(1, min(max_lists, n // list_vectors, len(x) // 4)))
     graph = CentroidGraph.build(balanced_centroids(x, lists, rng), DEGREE, rng)
     box = spark.sparkContext.broadcast(graph)  # MAX_LISTS centroids at most
 
     vectors = distinct.select("cid", "v")
     posted = written(
-        vectors.mapInArrow(_assign(box, "index", top, BOUNDARY, REPLICAS), "cid bigint, v array<double>, list int"),
+        vectors.mapInArrow(_assign(box, "index", top, BOUNDARY, REPLICAS), "cid bigint, v array<double>, list bigint"),
         "posting-lists",
     )
     lengths = np.zeros(lists, np.int64)
@@ -297,20 +406,34 @@ def nearest_neighbours(
     asked = written(asked, "query-vectors")
     reads = written(
         asked.select("qid", "v").mapInArrow(
-            _assign(box, "query", top, PROBE_RATIO, most, lengths_box, cover), "qid bigint, v array<double>, list int"
+            _assign(box, "query", top, PROBE_RATIO, most, lengths_box, cover), "qid bigint, v array<double>, list bigint"
         ),
         "probes",
     )
+    longest = lengths.max(initial=0)
+    for level in range(SPLIT_LEVELS):
+        if longest <= LONG_LIST * list_vectors:
+            break
+        sizes = written(posted.groupBy("list").agg(F.count("*").alias("n")), "list-lengths")
+        posted, reads = _split(posted, reads, sizes, top, cover, list_vectors, level)
+        longest = posted.groupBy("list").count().agg(F.max("count")).first()[0] or 0
     # a list or its queries can outgrow a task: parts of it, each pair of parts once
     length = posted.groupBy("list").agg(F.ceil(F.count("*") / PART_VECTORS).alias("parts"))
     wanted = reads.groupBy("list").agg(F.ceil(F.count("*") / PART_QUERIES).alias("shares"))
-    plan = F.broadcast(written(length.join(wanted, "list"), "parts"))  # MAX_LISTS rows at most
-    each = posted.join(plan, "list").select(
+    plan = written(length.join(wanted, "list").withColumn("size", F.col("parts") * PART_VECTORS), "parts")
+    number, in_lists = plan.agg(F.count("*"), F.sum("size")).first()
+
+    def planned(rows: DataFrame, id: str) -> DataFrame:
+        if number <= max_lists:  # checked, so that the broadcast is bounded
+            return rows.join(F.broadcast(plan), "list")
+        return spread_join(rows, plan, "list", F.col(id), "size", in_lists).where(F.col("parts").isNotNull())
+
+    each = planned(posted, "cid").select(
         "cid", "v", "list",
         F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"),
     )
-    every = reads.join(plan, "list").select(
+    every = planned(reads, "qid").select(
         "qid", "v", "list",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
         F.pmod(F.xxhash64("qid"), F.col("shares")).alias("share"),

@@ -93,6 +93,22 @@ def test_hundreds_of_lists_with_heavy_tailed_norms(spark, clusters):
     assert recall(found, want) >= 0.9
 
 
+def test_long_lists_are_split(spark, monkeypatch):
+    """Few lists in memory, each split by centroids of its own, down to short ones: results are whole."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(50, 12))[rng.integers(0, 50, 9000)] + 0.6 * rng.normal(size=(9000, 12))
+    x[:3000] = x[0] + 0.02 * rng.normal(size=(3000, 12))  # a third of all vectors lies close together
+    split, levels = ann._split, []
+    monkeypatch.setattr(ann, "_split", lambda *a: levels.append(a[-1]) or split(*a))
+    monkeypatch.setattr(ann, "SPLIT_LISTS", 12)
+    monkeypatch.setattr(ann, "PART_VECTORS", 500)
+    want = nearest_of(x, np.arange(0, len(x), 60))
+    found = collected(ann.nearest_neighbours(table_of(spark, x), F.col("vec_id") % 60 == 0, list_vectors=25, max_lists=6))
+    assert levels[:2] == [0, 1]
+    assert found.keys() == want.keys() and all(len(near) == 20 for near in found.values())
+    assert recall(found, want) >= 0.9
+
+
 def test_graph_search_finds_nearest_centroids():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 12))
