@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ HOT_SHARE = 1000
 SIEVE_MAPS = 1024
 
 _own_dirs: dict[str, str] = {}
+#: Folders of the tables written since the innermost ``intermediates`` began.
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -43,10 +47,40 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: later steps read it and its lineage ends there."""
     path = shared_dir(df.sparkSession, name)
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Deletes, in the end, the tables that ``written`` has made inside.
+
+    For work whose result is itself stored inside another block, or elsewhere: what still reads
+    the tables can't be used any more.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        for folder in _open.pop():
+            folder = path(folder)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stored(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """What ``make`` gives, as a table of its own; the tables that it took on the way are gone."""
+    path = shared_dir(spark, name)
+    with intermediates(spark):
+        df = make()
+        df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -92,12 +126,12 @@ def spread_join(
     )
 
 
-def sifted(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
-    """The ``rows`` whose key is among ``wanted``'s keys, and a few others.
+def marked(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, mark: str) -> DataFrame:
+    """``rows`` with ``mark``: true if the key is among ``wanted``'s keys, and for a few others.
 
-    A filter to go before a shuffle join: keys are hashed to the bits of SIEVE_MAPS bitmaps
+    A sieve to go before a shuffle join: keys are hashed to the bits of SIEVE_MAPS bitmaps
     of 4 KB, which are broadcast, so what is sent has a fixed bound; the more keys there
-    are, the more other rows pass.  Null keys are keys as others are.
+    are, the more other rows are marked.  Null keys are keys as others are.
     """
     bits = 32_768
 
@@ -108,34 +142,42 @@ def sifted(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column)
     maps = maps.agg(F.bitmap_construct_agg(F.col("p") % bits).alias("_bits"))
     at = F.col("_place") % bits
     byte = F.conv(F.hex(F.expr("substring(_bits, int(_place % 32768 div 8) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
     return (
         rows.withColumn("_place", place(key))
         .withColumn("_map", (F.col("_place") / bits).cast("int"))
-        .join(F.broadcast(maps), "_map")
-        .where(F.getbit(byte, (at % 8).cast("int")) == 1)
-        .select(*rows.columns)
+        .join(F.broadcast(maps), "_map", "left")
+        .select(*(F.col(f"`{c}`") for c in rows.columns), hit.alias(mark))
     )
 
 
+def sifted(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """The ``rows`` whose key is among ``wanted``'s keys, and a few others: see ``marked``."""
+    return marked(rows, key, wanted, wanted_key, "_hit").where("_hit").drop("_hit")
+
+
 def one_row_each(docs: DataFrame, text_key: Column, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
     """``docs`` without ``dropped`` rows, and with one row for each of ``repeated``.
 
     Both have ``text_key`` and ``doc_id``, distinct pairs that tell rows apart, whether or not
     an id repeats or is null; ``text_key`` is the key of a row of ``docs`` and never null.  Of
-    repeated rows the longest text stays.
+    repeated rows the longest text stays.  Only rows that a sieve of these pairs marks are
+    joined with them, so most texts aren't shuffled.
     """
     id_type = docs.schema["doc_id"].dataType
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text_key.alias("_key"))
     repeated = repeated.select(F.col("text_key").alias("_of"), F.col("doc_id").cast(id_type).alias("_with"))
     gone = dropped.select(F.col("text_key").alias("_of"), F.col("doc_id").cast(id_type).alias("_with")).union(repeated)
+    both = marked(rows, F.struct("_key", "_row.doc_id"), gone, F.struct("_of", "_with"), "_hit")
+    clear, hit = both.where("NOT _hit").select("_row"), written(both.where("_hit").drop("_hit"), "hit")
     same = (F.col("_key") == F.col("_of")) & F.col("_row.doc_id").eqNullSafe(F.col("_with"))
-    single = rows.join(gone, same, "left_anti").select("_row")
+    single = hit.join(gone, same, "left_anti").select("_row")
     # repeats come down to one row before they are shuffled, so a hot one is no burden
-    again = sifted(rows, F.struct("_key", "_row.doc_id"), repeated, F.struct("_of", "_with"))
     order = F.struct((-code_points(F.col("_row.text"))).alias("less"), F.to_json("_row").alias("all"))
+    again = sifted(hit, F.struct("_key", "_row.doc_id"), repeated, F.struct("_of", "_with"))
     again = again.groupBy("_key", F.col("_row.doc_id").alias("_id")).agg(F.min_by("_row", order).alias("_row"))
     again = again.join(repeated, (F.col("_key") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_with"))).select("_row")
-    return single.union(again).select("_row.*")
+    return clear.union(single).union(again).select("_row.*")
 
 
 def min_label_components(edges: DataFrame, name: str) -> DataFrame:
