@@ -1,20 +1,24 @@
 """A training-data pipeline over ``documents``, as stages that each call one operator.
 
 Every stage takes all documents that the one before kept, and its output is written as
-Parquet and read again, so each starts from files in the shared folder.
+Parquet and read again, so each starts from files in the shared folder; the tables that it took on
+the way are deleted.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.llm import digests, jaccard, langid, mix, pieces
-from loomspark.llm._shared import written
+from loomspark.llm._shared import stored
 from loomspark.llm.queries import piece_model
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose text has no language: null texts and texts without letters."""
+    """Drops documents that have no language: null texts, texts without letters, and texts of which
+    no language has half."""
     return langid.drop_unidentified(docs)
 
 
@@ -53,5 +57,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = stored(partial(stage, spark, docs, sf_dir), spark, name)
     return docs
