@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
@@ -505,8 +505,19 @@ def previews(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.preview(body["text"], body["status"]).alias("preview"))
 
 
-@query("""
-    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'refund decision' WHEN doc_id % 3 = 1 THEN 'tracking number' ELSE '' END AS claims FROM documents""")
+def _claims_in(reply: str, facts: str) -> str:
+    """SQL for the claims of a reply, by the same patterns."""
+    parts = (
+        f"CASE WHEN regexp_matches({reply}, '{pattern.replace(chr(39), chr(39) * 2)}') AND NOT contains('{facts}', '{claim.split()[0]}') "
+        f"THEN '{claim}' END" for claim, pattern in T.CLAIMS.items()
+    )
+    return f"concat_ws(',', {', '.join(parts)})"
+
+
+@query(f"""
+    WITH r AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN ' Your refund has been sent.' WHEN 1 THEN ' Tracking no.: AB1.'
+                                                                    ELSE ' It will be delivered by Monday.' END AS reply FROM documents)
+    SELECT doc_id, {_claims_in("reply", "delivery date: monday")} AS claims FROM r""")
 def claim_scan(spark, sf_dir):
     said = F.when(F.col("doc_id") % 3 == 0, " Your refund has been sent.").when(F.col("doc_id") % 3 == 1, " Tracking no.: AB1.")
     reply = F.concat(F.coalesce("text", F.lit("")), F.coalesce(said, F.lit(" It will be delivered by Monday.")))
@@ -838,3 +849,107 @@ def message_details(spark, sf_dir):
         T.same_text(F.concat(F.lit("  "), F.upper("o_orderpriority")), F.lit("2-high")).alias("same"),
         blank.isNotNull().alias("has_text"),
     )
+
+
+# ---- rules from sheets -----------------------------------------------------------------
+#: Half of the brands' files have a category.
+_CATEGORIES = {f"Brand#{k}.xlsx": f"Area {k % 4}" for k in range(1, 26, 2)}
+_SHEET_ROWS = """
+    sheets AS (
+      SELECT p_brand || '.xlsx' AS file, CAST(substr(p_brand, 7) AS INTEGER) AS k, CASE WHEN p_size % 5 = 0 THEN 'Terms' ELSE 'Rules' END AS sheet,
+             p_partkey, p_name, p_type FROM part),
+    numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY file, sheet ORDER BY p_partkey) AS INTEGER) + 2 AS source_row FROM sheets),
+    rules AS (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_name || ' ' || p_type END AS text, p_partkey % 2 = 0 AS forbids
+              FROM numbered WHERE sheet = 'Rules' AND k % 2 = 1)"""
+
+
+def _sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as rows of rules: a sheet ``Rules`` for each brand, below a title and a header, and a
+    sheet ``Terms`` of no known layout.  Every third row has no text."""
+    sheet = F.when(F.col("p_size") % 5 == 0, "Terms").otherwise("Rules")
+    parts = table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit(".xlsx")).alias("file"), sheet.alias("sheet"), "p_partkey", "p_name", "p_type")
+    place = F.row_number().over(Window.partitionBy("file", "sheet").orderBy("p_partkey")) + 2
+    text = F.when(F.col("p_partkey") % 3 != 0, F.concat_ws(" ", "p_name", "p_type"))
+    flag = F.when(F.col("p_partkey") % 2 == 0, "🔴 DON'T").otherwise("🟢 DO")
+
+    def cells(row, values):
+        pairs = F.array(*(F.struct(F.lit(k).alias("col"), v.alias("value")) for k, v in enumerate(values)))
+        return F.struct(row.cast("int").alias("row"), F.filter(pairs, lambda p: p["value"].isNotNull()).alias("cells"))
+
+    rows = parts.select("file", "sheet", cells(place, (F.col("p_partkey").cast("string"), F.lit("Tone"), text, flag)).alias("x"))
+    names = F.when(F.col("sheet") == "Rules", F.array(*map(F.lit, ("#", "Category", "📏 Rule /\nRequirement", "DO or DON'T"))))
+    names = F.coalesce(names, F.array(*map(F.lit, ("#", "Term", "Meaning", "Used in"))))
+    heads = parts.select("file", "sheet").distinct().withColumn("n", names)
+    title = heads.select("file", "sheet", cells(F.lit(1), (F.lit("ALL OF THEM"),)).alias("x"))
+    heads = heads.select("file", "sheet", cells(F.lit(2), [F.col("n")[k] for k in range(4)]).alias("x"))
+    every = rows.unionByName(title).unionByName(heads).select("file", "sheet", "x.row", F.explode("x.cells").alias("c"))
+    return every.select("file", "sheet", "row", "c.col", "c.value")
+
+
+@query(f"""
+    WITH {_SHEET_ROWS} SELECT file AS source_file, source_row, 'Area ' || k % 4 AS category_name, text AS rule_name,
+           CASE WHEN NOT forbids THEN text END AS do_instruction, CASE WHEN forbids THEN text END AS dont_instruction
+    FROM rules WHERE text IS NOT NULL""")
+def sheet_rules(spark, sf_dir):
+    found = rules.extracted_rules(_sheet_cells(spark, sf_dir), _CATEGORIES)
+    return found.select("source_file", "source_row", "category_name", "rule_name", "do_instruction", "dont_instruction")
+
+
+@query(f"""
+    WITH {_SHEET_ROWS} SELECT DISTINCT file, CASE WHEN k % 2 = 1 THEN sheet END AS sheet,
+           CASE WHEN k % 5 = 0 THEN 'kept out' WHEN k % 2 = 0 THEN 'no category mapping' ELSE 'no recognised rule-table layout' END AS reason
+    FROM (SELECT file, k, CASE WHEN k % 5 = 0 THEN NULL ELSE sheet END AS sheet FROM sheets) WHERE k % 5 = 0 OR k % 2 = 0 OR sheet = 'Terms'""")
+def skipped_sheets(spark, sf_dir):
+    return rules.skipped_sheets(_sheet_cells(spark, sf_dir), _CATEGORIES, {f"Brand#{k}.xlsx": "kept out" for k in range(5, 26, 5)})
+
+
+@query(f"""
+    WITH {_SHEET_ROWS}, known AS (SELECT *, source_row % 2 = 0 AS same FROM rules WHERE text IS NOT NULL AND source_row % 3 > 0)
+    SELECT r.file AS source_file, r.source_row, CASE WHEN n.file IS NULL THEN 'new' ELSE 'changed' END AS import_action,
+           CASE WHEN n.file IS NULL THEN 'draft' END AS state, CASE WHEN n.file IS NULL THEN false END AS active
+    FROM rules r LEFT JOIN known n ON n.file = r.file AND n.source_row = r.source_row WHERE r.text IS NOT NULL AND n.same IS DISTINCT FROM true""")
+def imported_sources(spark, sf_dir):
+    came = rules.unique_rules(rules.extracted_rules(_sheet_cells(spark, sf_dir), _CATEGORIES))
+    keys = ["source_file", "source_sheet", "source_row"]
+    checksum = F.when(F.col("source_row") % 2 == 0, F.col("content_checksum")).otherwise("older")
+    known = came.where("source_row % 3 > 0").select(*keys, checksum.alias("content_checksum"))
+    return rules.import_plan(known, came, keys)["sources"].select("source_file", "source_row", "import_action", "state", "active")
+
+
+@query("""
+    SELECT o_orderkey, o_orderkey % 5 <> 3 AND o_orderkey % 5 <> 4 AS valid, NOT (o_orderkey % 5 = 0) AS requires_review,
+           CASE WHEN o_orderkey % 5 = 2 THEN 'refund decision' ELSE '' END AS claims FROM orders""")
+def checked_drafts(spark, sf_dir):
+    k, key = F.col("o_orderkey") % 5, F.col("o_orderkey").cast("string")
+    body = F.when(k == 2, "Your refund has been sent for ").otherwise("Thanks for order ")
+    reply = F.concat(F.lit('{"draft_reply": "'), body, key, F.lit('", "sources_used": [{"kind": "rule", "ref": "A-1"}], "missing_information": ['))
+    reply = F.concat(reply, F.when(k == 1, '"address"').otherwise(""), F.lit('], "requires_review": false}'))
+    response = F.when(k == 3, F.concat(F.lit("Sorry, "), key)).when(k == 4, '{"draft_reply": " "}').otherwise(reply)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", response.alias("response"), F.lit("").alias("facts_text"))
+    return rules.checked_drafts(rows).select("o_orderkey", "valid", "requires_review", F.array_join("claims", ",").alias("claims"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_returnflag AS kind, 'P-' || l_partkey AS ref FROM lineitem
+          WHERE l_returnflag <> 'R' OR l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 25)""")
+def known_citations(spark, sf_dir):
+    ref = F.concat(F.lit("P-"), "l_partkey")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("kind"), ref.alias("ref"))
+    known = table(spark, sf_dir, "part").where("p_size < 25").select(F.concat(F.lit("P-"), "p_partkey").alias("ref"))
+    return rules.known_citations(rows, known, "R")
+
+
+@query("""
+    SELECT o_custkey AS draft_id, o_orderkey AS revision_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS revision,
+           row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 AS is_current,
+           coalesce((SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey), 0) AS sources FROM orders""")
+def draft_history(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    drafts = orders.select(F.col("o_custkey").alias("draft_id"), F.col("o_custkey").alias("conversation_id")).distinct()
+    rows = orders.select(F.col("o_custkey").alias("draft_id"), F.col("o_orderkey").alias("revision_id"), "o_orderdate")
+    none = spark.createDataFrame([], "draft_id bigint, revision bigint")
+    revisions = upsert.next_revisions(none, rows, "draft_id", "o_orderdate", "revision_id").drop("o_orderdate")
+    cited = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("revision_id"), F.col("l_returnflag").alias("kind"), F.col("l_partkey").alias("ref"), F.col("l_linenumber").alias("label")
+    )
+    out = reads.draft_history(drafts, revisions, cited)
+    return out.select("draft_id", "revision_id", "revision", "is_current", F.size("sources").cast("long").alias("sources"))

@@ -37,6 +37,14 @@ CLAIMS = {
     "delivery promise": r"(?i)\b(will (arrive|be delivered|be with you)\s+(on|by|tomorrow|today)|delivered (on|by)\s+\d)",
     "policy exception": r"(?i)\b(as an exception|we('| wi)ll make an exception|outside our (usual )?policy)\b",
 }
+#: Words of which a text that makes a claim has one, in lower case: cheaper to look for first.
+CLAIM_WORDS = {
+    "refund decision": ("refund", "issued", "processed", "approved"),
+    "replacement decision": ("replacement",),
+    "tracking number": ("tracking",),
+    "delivery promise": ("will", "delivered"),
+    "policy exception": ("exception", "policy"),
+}
 #: Platforms by the words that name them.
 PLATFORMS = {
     "ebay": r"(?i)\bebay\b",
@@ -241,9 +249,17 @@ def attachments(urls_json: Column) -> Column:
 
 def ungrounded_claims(reply: Column, facts_text: Column) -> Column:
     """Claims of a reply for which no fact has the claim's first word."""
-    facts = F.lower(F.coalesce(facts_text, F.lit("")))
+    facts, low = F.lower(F.coalesce(facts_text, F.lit(""))), F.lower(reply)
+
+    def has(words: Sequence[str]) -> Column:
+        out = F.lit(False)
+        for w in words:
+            out = out | F.contains(low, F.lit(w))
+        return out
+
     made = [
-        F.when(reply.rlike(pattern) & ~F.contains(facts, F.lit(claim.split(" ")[0])), claim) for claim, pattern in CLAIMS.items()
+        F.when(~F.contains(facts, F.lit(claim.split(" ")[0])) & has(CLAIM_WORDS[claim]) & reply.rlike(pattern), claim)
+        for claim, pattern in CLAIMS.items()
     ]
     return F.array_compact(F.array(*made))
 

@@ -158,7 +158,10 @@ def personal(columns: list[str]) -> Column:
     """Whether a row has an email address or an order number in any of its texts."""
     found = F.lit(False)
     for c in columns:
-        found = found | F.coalesce(F.col(c).rlike(EMAIL) | F.col(c).rlike(ORDER_NUMBER), F.lit(False))
+        # what each pattern must have is looked for first
+        mail = F.contains(F.col(c), F.lit("@")) & F.col(c).rlike(EMAIL)
+        order = F.contains(F.col(c), F.lit("-")) & F.col(c).rlike(ORDER_NUMBER)
+        found = found | F.coalesce(mail | order, F.lit(False))
     return found
 
 
