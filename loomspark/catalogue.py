@@ -953,3 +953,62 @@ def draft_history(spark, sf_dir):
     )
     out = reads.draft_history(drafts, revisions, cited)
     return out.select("draft_id", "revision_id", "revision", "is_current", F.size("sources").cast("long").alias("sources"))
+
+
+# ---- feeds of mail ---------------------------------------------------------------------
+_MAIL = """
+    mail AS (
+      SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 > 0 THEN 1 END AS sub_source,
+             CASE o_orderkey % 5 WHEN 0 THEN 'shop.test' WHEN 1 THEN 'gmail.com' WHEN 2 THEN 'sub.shop.test' WHEN 4 THEN 'dpd.co.uk' END AS sender,
+             CASE o_custkey % 3 WHEN 0 THEN 'shop.test' WHEN 1 THEN 'other.com' END AS receiver,
+             CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) END AS order_ref FROM orders),
+    sided AS (
+      SELECT *, CASE WHEN sender LIKE '%shop.test' AND receiver NOT LIKE '%shop.test' THEN 'outbound'
+                     WHEN sender NOT LIKE '%shop.test' AND receiver LIKE '%shop.test' THEN 'inbound' END AS direction FROM mail),
+    boxed AS (SELECT *, CASE WHEN direction IS NULL THEN 'ambiguous' WHEN sub_source IS NULL THEN 'unusable' ELSE 'message' END AS row_class FROM sided)"""
+
+
+def _mail(spark: SparkSession, sf_dir: str, relayed: bool = False) -> DataFrame:
+    """Orders as mail: to and from the shop, strangers, a courier and nobody; or as relayed mail."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    sender = F.when(k % 5 == 0, "Shop <a@SHOP.test>").when(k % 5 == 1, "b@gmail.com").when(k % 5 == 2, "c@sub.shop.test").when(k % 5 == 4, "d@dpd.co.uk")
+    if relayed:
+        sender = F.when(k % 3 == 0, "q1@marketplace.amazon.co.uk").otherwise("relay@amazon.com")
+    name = F.when(k % 3 == 1, " Amazon.co.uk ").otherwise("Seller Central Team")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("id"), k.cast("string").alias("message_id"), F.when(k % 6 > 0, 1).alias("sub_source"), sender.alias("from_msg"),
+        F.when(c % 3 == 0, "info@shop.test").when(c % 3 == 1, "z@other.com").alias("to_msg"), name.alias("from_name"),
+        F.lit("Hello").alias("subject"), F.when(c % 2 == 0, k.cast("string")).otherwise(" ").alias("order_id"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("message_date"), F.col("o_orderpriority").alias("message_content"),
+    )
+
+
+@query(f"""
+    WITH {_MAIL} SELECT id, row_class, direction, coalesce(order_ref, 'unresolved:' || id) AS counterparty_ref,
+           CASE WHEN sender = 'dpd.co.uk' THEN 'courier' END AS filter_reason FROM boxed""")
+def mailbox_classes(spark, sf_dir):
+    out = classify.mailbox_messages(_mail(spark, sf_dir), ["shop.test"])
+    return out.select(F.col("source_pk").alias("id"), "row_class", "direction", "counterparty_ref", "filter_reason")
+
+
+@query(f"""
+    WITH {_MAIL}, classed AS (
+      SELECT 'shopify' AS feed_key, row_class FROM boxed
+      UNION ALL SELECT 'amazon', CASE WHEN id % 3 = 2 THEN 'notice' WHEN sub_source IS NULL THEN 'unusable' ELSE 'message' END FROM mail
+      UNION ALL SELECT unnest(['bandq', 'temu']), CASE WHEN sub_source IS NULL THEN 'unusable' ELSE 'message' END FROM mail)
+    SELECT feed_key, count(*) AS examined, count(*) FILTER (row_class = 'message') AS message, count(*) FILTER (row_class = 'notice') AS notice,
+           count(*) FILTER (row_class = 'ambiguous') AS ambiguous, count(*) FILTER (row_class = 'unusable') AS unusable FROM classed GROUP BY 1""")
+def feed_counts(spark, sf_dir):
+    mail = _mail(spark, sf_dir)
+    raw = {"shopify": mail, "amazon": _mail(spark, sf_dir, True), "bandq": mail, "temu": mail}
+    done, _ = feeds.derive_all(feeds.feeds(["shop.test"]), raw)
+    return feeds.total_counts(done)
+
+
+@query(f"""
+    WITH {_MAIL}, m AS (SELECT *, order_ref IS NULL AS lone FROM mail WHERE sub_source IS NOT NULL)
+    SELECT CASE WHEN lone THEN 'bandq-unresolved-singleton-v1' ELSE 'bandq-source-order-thread-v1' END AS threading_rule_version,
+           coalesce(order_ref, 'unresolved:' || id) AS counterparty_ref, count(*) AS message_count FROM m GROUP BY 1, 2""")
+def order_threads(spark, sf_dir):
+    feed = feeds.feeds([])["bandq"]
+    return feeds.derive(feed, _mail(spark, sf_dir)).conversations.select("threading_rule_version", "counterparty_ref", "message_count")
