@@ -1,11 +1,13 @@
 import collections
 import hashlib
+import os
 import re
 
 import __spark_entry__
 import corpus_pipeline
 import numpy as np
 from loomspark.llm import pieces
+from loomspark.llm._shared import stored, written
 from loomspark.llm.queries import piece_model
 from test_dedup import brute_links
 from test_mix import brute_targets
@@ -88,6 +90,19 @@ def test_run_equals_brute_force(spark, docs, sf_dir):
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
+def test_tables_on_the_way_are_deleted(spark):
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+
+    def make():
+        inner = written(spark.range(10), "inner")
+        return stored(lambda: written(inner.where("id > 3"), "deep"), spark, "outer")
+
+    before = set(os.listdir(folder))
+    out = stored(make, spark, "whole")
+    left = {name.rpartition("-")[0] for name in set(os.listdir(folder)) - before}
+    assert sorted(r["id"] for r in out.collect()) == list(range(4, 10)) and left == {"whole"}
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
