@@ -88,8 +88,10 @@ class ShardStore:
 
     def _write_parts(self, df: DataFrame, part: Column) -> list[Run]:
         """A run for each value of ``part``, all written in one pass over the rows."""
-        folder = uuid.uuid4().hex
-        df.withColumn(_PART, part).write.partitionBy(_PART).parquet(f"{self.path}/shards/{folder}")
+        folder, name = uuid.uuid4().hex, _PART
+        while name in df.columns:
+            name += "_"
+        df.withColumn(name, part).write.partitionBy(name).parquet(f"{self.path}/shards/{folder}")
         statuses = self._fs.listStatus(self._path(f"{self.path}/shards/{folder}"))
         names = sorted(s.getPath().getName() for s in statuses if s.isDirectory())
         return [self._run(f"{folder}/{n}", df.schema) for n in names]

@@ -46,6 +46,10 @@ def test_arrivals_of_one_file(spark, docs):
     assert store.version() >= 8 + 2 and len(store.runs(4)) == 4 and len(store.runs(5)) == 1
     assert len(store.runs()) < 4 and same(store.read(), docs)
     assert store.vacuum() >= 8 and same(store.read(), docs)
+    odd = docs.select("doc_id", docs["source"].alias("_part"), docs["lang"].alias("_part_"))  # names of its own
+    other = store_of(spark)
+    other.append_arrivals(odd, shards.row_batches(odd, 3))
+    assert same(other.read(), odd)
     rows = queries.op2_sharding(spark, "/root/testdata/sf0.001")
     assert rows.count() == docs.count()
 
