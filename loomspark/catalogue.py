@@ -652,8 +652,12 @@ def attachment_lists(spark, sf_dir):
     )
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'empty' WHEN doc_id % 4 = 1 THEN 'decoded' ELSE 'failed' END AS status,
-                 CASE WHEN doc_id % 4 = 1 THEN coalesce(text, '') END AS body FROM documents""")
+@query("""
+    WITH raw AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'null' WHEN 1 THEN CAST(to_json(coalesce(text, '')) AS VARCHAR) WHEN 2 THEN '[1, 2]'
+                                                ELSE '"x" y' END AS raw FROM documents),
+    typed AS (SELECT doc_id, raw, CASE WHEN json_valid(raw) THEN json_type(raw) END AS kind FROM raw)
+    SELECT doc_id, CASE kind WHEN 'NULL' THEN 'empty' WHEN 'VARCHAR' THEN 'decoded' ELSE 'failed' END AS status,
+           CASE WHEN kind = 'VARCHAR' THEN json_extract_string(raw, '$') END AS body FROM typed""")
 def decoded_bodies(spark, sf_dir):
     k, text = F.col("doc_id") % 4, F.coalesce("text", F.lit(""))
     quoted = F.to_json(F.array(text))
@@ -688,8 +692,8 @@ def unresolved_titles(spark, sf_dir):
 
 
 @query("""
-    SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN p_brand || '+é' ELSE p_brand END AS sku,
-           p_partkey % 3 < 2 AS combo FROM part""")
+    WITH raw AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand || '+e' || chr(769) WHEN 1 THEN p_brand || '+é' ELSE p_brand END AS sku FROM part)
+    SELECT p_partkey, CASE WHEN sku <> '' AND nfc_normalize(sku) = sku THEN sku END AS sku, contains(sku, '+') AS combo FROM raw""")
 def exact_skus(spark, sf_dir):
     k = F.col("p_partkey") % 3
     raw = F.when(k == 0, F.concat("p_brand", F.lit("+e\u0301"))).when(k == 1, F.concat("p_brand", F.lit("+\u00e9"))).otherwise(F.col("p_brand"))
