@@ -102,8 +102,8 @@ def spread_join(
     ``size`` names the column of ``groups`` with the number of rows of each group and
     ``total`` is the sum of them.  Groups with over ``total / HOT_SHARE`` rows are at most
     HOT_SHARE in number, so broadcasting them is bounded; their rows get a salt in the
-    shuffle join that serves all other groups, where they find nothing.  ``key`` is never
-    null.  Columns of ``groups`` besides the key must not clash with those of ``rows``.
+    shuffle join that serves all other groups, where they find nothing.  That join is a
+    sort-merge join at every size.  ``key`` is never null.  Columns of ``groups`` besides the key must not clash with those of ``rows``.
     """
     hot_from = max(2, total // HOT_SHARE)
     values = [c for c in groups.columns if c != key]
@@ -118,7 +118,7 @@ def spread_join(
     return (
         rows.join(F.broadcast(hot), key, "left")
         .withColumn("_at", F.struct(F.col(key).alias("key"), salt.alias("salt")))
-        .join(cold, "_at", "left")
+        .join(cold.hint("merge"), "_at", "left")
         .select(
             *(F.col(c) for c in rows.columns),
             *(F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in values),

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm._shared import SPACE_CHARS, code_points, one_row_each, shared_dir, shuffle_partitions, spread_join, written
+from loomspark.llm._shared import SPACE_CHARS, code_points, one_row_each, shared_dir, shuffle_partitions, spread_join, stored, written
 from loomspark.llm.manifests import Conflict, Manifests
 
 #: Appends in which a table comes to a new index.
@@ -160,7 +160,11 @@ def one_of_each_text(docs: DataFrame) -> DataFrame:
     id that has several texts keeps those that stay, and of rows that repeat id and text, or
     of equal texts without ids, one stays.
     """
-    rows = exact_duplicates(docs).where(F.col("group_size") > 1).groupBy(F.col("text_sha256").alias("text_key"), "doc_id", "kept")
-    keys = written(rows.agg(F.count("*").alias("rows")), "copies")
+
+    def copies() -> DataFrame:
+        rows = exact_duplicates(docs).where(F.col("group_size") > 1)
+        return rows.groupBy(F.col("text_sha256").alias("text_key"), "doc_id", "kept").agg(F.count("*").alias("rows"))
+
+    keys = stored(copies, docs.sparkSession, "copies")
     repeated = keys.where(F.col("kept") & (F.col("rows") > 1))
     return one_row_each(docs, text_digest(F.col("text")), keys.where(~F.col("kept")), repeated)

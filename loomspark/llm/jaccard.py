@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._shared import SPACE_CHARS, SPACE_CLASS, min_label_components, one_row_each, sifted, spread_join, written
+from loomspark.llm._shared import SPACE_CHARS, SPACE_CLASS, min_label_components, one_row_each, sifted, spread_join, stored, written
 
 THRESHOLD = 0.8
 WORDS = 5
@@ -390,52 +390,54 @@ def _classed(
     """``similarity_classes`` with ``text_key`` and ``stays``, whether it is the row, or a repeat
     of the row, that stands for its class: of the texts with the smallest id, one."""
     signed = written(_signed(docs, trees, depth, words), "signed")
-    reps = written(
-        signed.where(F.col("n") > 0)
-        .groupBy("digest")
-        .agg(
-            F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels")
-        ),
-        "texts",
-    )
-    met = written(forest_nodes(reps.select("digest", "n", "labels"), trees, depth, threshold, recall), "forest")
-    units = written(_units(met, reps, unit_texts, unit_shingles), "units")
-    # the node in each tree, 0 where there is none
-    keys = F.expr(f"transform(sequence(0, {trees - 1}), t -> coalesce(element_at(keys, t), 0L))").alias("keys")
-    keyed = met.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("tree", "key"))).alias("keys"))
-    wanted = keyed.select("digest", keys).join(reps.select("digest", "rep", "copies"), "digest")
-    wanted = written(wanted, "wanted")
-    ids = wanted.select(F.col("rep").alias("_id"))
-    # the sieve first: few texts are candidates, and whole texts are what a shuffle costs most
-    # for; an inner join, since the optimiser would move a semi-join to before the sieve
-    texts = sifted(docs.select("doc_id", "text"), F.col("doc_id"), ids, F.col("_id"))
-    texts = texts.join(ids.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")))
-    sets = _shingled(texts, words).groupBy("digest").agg(F.first("shingles").alias("shingles"))
-    payload = written(wanted.drop("rep").join(sets, "digest"), "shingles")
-    found = written(
-        units.join(payload, "digest")
-        .groupBy("unit", "part_a", "part_b")
-        .applyInArrow(_compare(threshold), "a binary, b binary, links bigint"),
-        "links",
-    )
-    links = found.groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))
-    classes = min_label_components(found.select("a", "b"), "classes").withColumnRenamed("node", "digest")
-    classes = written(classes.join(reps.select("digest", "rep"), "digest"), "class-texts")
-    first = F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "digest"))
-    roots = classes.groupBy("root").agg(F.min("rep").alias("class_rep"), first["digest"].alias("first"))
-    named = classes.join(roots, "root").select("digest", "class_rep", (F.col("digest") == F.col("first")).alias("leads"))
-    named = named.join(links, "digest", "left")
-    groups = reps.select("digest", "rep", "copies").join(named, "digest", "left")
-    groups = written(
-        groups.select(
+
+    def classes_of_texts() -> DataFrame:
+        reps = written(
+            signed.where(F.col("n") > 0)
+            .groupBy("digest")
+            .agg(
+                F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels")
+            ),
+            "texts",
+        )
+        met = written(forest_nodes(reps.select("digest", "n", "labels"), trees, depth, threshold, recall), "forest")
+        units = written(_units(met, reps, unit_texts, unit_shingles), "units")
+        # the node in each tree, 0 where there is none
+        keys = F.expr(f"transform(sequence(0, {trees - 1}), t -> coalesce(element_at(keys, t), 0L))").alias("keys")
+        keyed = met.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("tree", "key"))).alias("keys"))
+        wanted = keyed.select("digest", keys).join(reps.select("digest", "rep", "copies"), "digest")
+        wanted = written(wanted, "wanted")
+        ids = wanted.select(F.col("rep").alias("_id"))
+        # the sieve first: few texts are candidates, and whole texts are what a shuffle costs most
+        # for; an inner join, since the optimiser would move a semi-join to before the sieve
+        texts = sifted(docs.select("doc_id", "text"), F.col("doc_id"), ids, F.col("_id"))
+        texts = texts.join(ids.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")))
+        sets = _shingled(texts, words).groupBy("digest").agg(F.first("shingles").alias("shingles"))
+        payload = written(wanted.drop("rep").join(sets, "digest"), "shingles")
+        found = written(
+            units.join(payload, "digest")
+            .groupBy("unit", "part_a", "part_b")
+            .applyInArrow(_compare(threshold), "a binary, b binary, links bigint"),
+            "links",
+        )
+        links = found.groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))
+        classes = min_label_components(found.select("a", "b"), "classes").withColumnRenamed("node", "digest")
+        classes = written(classes.join(reps.select("digest", "rep"), "digest"), "class-texts")
+        first = F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "digest"))
+        roots = classes.groupBy("root").agg(F.min("rep").alias("class_rep"), first["digest"].alias("first"))
+        named = classes.join(roots, "root").select("digest", "class_rep", (F.col("digest") == F.col("first")).alias("leads"))
+        named = named.join(links, "digest", "left")
+        groups = reps.select("digest", "rep", "copies").join(named, "digest", "left")
+        return groups.select(
             F.hex("digest").alias("text_key"),
             F.coalesce("class_rep", "rep").alias("class_id"),
             F.coalesce("leads", F.lit(True)).alias("leads"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
             "copies",
-        ),
-        "classed",
-    ).where((F.col("n_links") > 0))
+        )
+
+    # what it took on the way is deleted when the classes are there
+    groups = stored(classes_of_texts, docs.sparkSession, "classed").where(F.col("n_links") > 0)
     rows = signed.select("doc_id", F.hex("digest").alias("text_key"), (F.col("n") > 0).alias("worded"))
     out = spread_join(rows, groups, "text_key", F.struct("doc_id"), "copies", signed.count())
     has = F.col("worded") & F.col("n_links").isNotNull()
@@ -454,8 +456,12 @@ def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
     Rows are told apart by id and words, so an id with several texts keeps those that stay;
     of rows that repeat both, and of classes without ids, one stays, too.
     """
-    rows = _classed(docs, **options).where(F.col("n_links") > 0).groupBy("text_key", "doc_id", "stays")
-    keys = written(rows.agg(F.count("*").alias("rows")), "class-rows")
+
+    def copies() -> DataFrame:
+        rows = _classed(docs, **options).where(F.col("n_links") > 0)
+        return rows.groupBy("text_key", "doc_id", "stays").agg(F.count("*").alias("rows"))
+
+    keys = stored(copies, docs.sparkSession, "class-rows")
     # as ``_signed`` has it: the digest of the words with one space between
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), f"[{SPACE_CLASS}]++", " "))
     repeated = keys.where(F.col("stays") & (F.col("rows") > 1))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm._shared import spread_join, word_count, written
+from loomspark.llm._shared import spread_join, stored, word_count, written
 
 #: A source is taken this many times at most.
 MAX_REPEATS = 3
@@ -232,8 +232,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Rows that ``mix_sources`` takes for one unit are taken alike, also where a unit has very many.
     """
     key = F.to_json(F.struct("source", "unit"))
-    plan = _planned(docs, **options).where(F.col("copies") > 0).groupBy(key.alias("_unit"))
-    plan = written(plan.agg(F.max("copies").alias("copies"), F.count("*").alias("rows")), "mix")
+
+    def units() -> DataFrame:
+        taken = _planned(docs, **options).where(F.col("copies") > 0).groupBy(key.alias("_unit"))
+        return taken.agg(F.max("copies").alias("copies"), F.count("*").alias("rows"))
+
+    plan = stored(units, docs.sparkSession, "mix")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # whatever names its columns have
     unit = F.struct(F.col("row.source").alias("source"), unit_of(F.col("row.doc_id"), F.col("row.text")).alias("unit"))
     rows = rows.withColumn("_unit", F.to_json(unit))
