@@ -30,7 +30,7 @@ ROLL_BYTES = 256 << 20
 #: Payload bytes meant for a shard.
 SHARD_BYTES = 512 << 20
 #: Keys from which the shards' bounds are taken, about, for each shard.
-SAMPLE_KEYS = 50
+SAMPLE_KEYS = 200
 #: Fixed date of all records, since pages carry none and reruns must agree.
 DATE = "2024-01-01T00:00:00Z"
 
