@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,13 +158,18 @@ def _choose(trees: int, depth: int, shortest: int, threshold: float, recall: flo
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = []
-            for n, walk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys, walks = [], batch.column(1)
+            # as numbers, not as a dictionary for each step of each text
+            steps = {f: walks.flatten().field(f).to_numpy() for f in ("tree", "d", "key", "texts")}
+            at = 0
+            for n, length in zip(batch.column(0).to_pylist(), pc.list_value_length(walks).to_pylist()):
+                tree, d, key, texts = (steps[f][at : at + length].tolist() for f in ("tree", "d", "key", "texts"))
+                at += length
                 met: dict[int, list[int]] = {}
-                for x in walk:
-                    met.setdefault(x["tree"], [1] * (depth - shortest + 1))[x["d"] - shortest] = x["texts"]
+                for t, depth_, count in zip(tree, d, texts):
+                    met.setdefault(t, [1] * (depth - shortest + 1))[depth_ - shortest] = count
                 depths = chosen_depths(met, n, trees, depth, shortest, threshold, recall)
-                keys += [x["key"] for x in walk if x["d"] == depths[x["tree"]]]
+                keys += [k for t, depth_, k in zip(tree, d, key) if depth_ == depths[t]]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], names=["key"])
 
     return choose
