@@ -58,7 +58,7 @@ def test_attachments(spark):
     out = values(spark, rows, "x string", T.attachments(F.col("x")))
     assert [tuple(a) for a in out[0]] == [
         (name, "image", "image001.JPG"),
-        ("https://x.test/a%20b+c.pdf", "file", "a b+c.pdf"),
+        ("https://x.test/a%20b+c.pdf", "document", "a b+c.pdf"),
     ]
     assert out[1:] == [[], [], []]
 
