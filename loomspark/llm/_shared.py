@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,10 @@ HOT_SHARE = 1000
 #: Bitmaps of a sieve: 4 MB together.
 SIEVE_MAPS = 1024
 
+#: Bytes of a batch sent to Python, and of the texts that are Python strings at a time.
+BATCH_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+
 _own_dirs: dict[str, str] = {}
 #: Folders of the tables written since the innermost ``intermediates`` began.
 _open: list[list[str]] = []
@@ -85,6 +92,46 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches to Python hold BATCH_BYTES at most (but one row at least), unless the session says otherwise."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(name):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose ``column`` has ``size`` bytes at most, or that are one row."""
+    for batch in batches:
+        first, held = 0, 0
+        for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if k > first and held + n > size:
+                yield batch.slice(first, k - first)
+                first, held = k, 0
+            held += n
+        if batch.num_rows > first:
+            yield batch.slice(first)
+
+
+def tidy(work: Callable) -> Callable:
+    """``work`` for ``mapInArrow`` and the like, which gives memory back to the system when a task
+    ends: Python workers are used again by other tasks, also of other stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def trim() -> None:
+    """Give free memory of this process back to the system, where that can be asked for."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def code_points(text: Column) -> Column:
     return F.char_length(F.coalesce(text, F.lit("")))
 
