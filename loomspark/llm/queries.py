@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import ann, digests, jaccard, langid, mix, pieces, pii, shards, simhash, warc, wordpiece
+from loomspark.llm import ann, audit, digests, jaccard, langid, mix, pieces, pii, shards, simhash, warc, wordpiece
 from loomspark.llm._shared import shared_dir
 
 #: Arrivals that the documents are appended in.
@@ -97,6 +97,10 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_warc,
         op10_nearest,
         op11_simhash,
+        op12_filter_audit,
     )
 }
 
@@ -141,4 +146,43 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
         FROM marked""",
+    "op12_filter_audit": f"""
+        WITH RECURSIVE docs AS (
+          SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+        words AS (SELECT *, regexp_extract_all(text, '[^{_SPACES[1:-1]}]+') AS words FROM docs),
+        said AS (
+          SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+        failed AS (
+          SELECT words.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+            list_filter(['A', 'B', 'C', 'D', 'E'], lambda f, i: [
+              len(words) < 200,
+              100 * len(list_distinct(words)) < 50 * len(words),
+              100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+              regexp_matches(text, '[#$%&*|]'),
+              coalesce(words.doc_id > min(words.doc_id) OVER (PARTITION BY text),
+                       words.doc_id IS NULL AND min(words.doc_id) OVER (PARTITION BY text) IS NOT NULL)][i]) AS fails
+          FROM words LEFT JOIN said USING (doc_id)),
+        orders AS (
+          SELECT '' AS filter_order
+          UNION ALL
+          SELECT filter_order || f FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f)
+          WHERE NOT contains(filter_order, f)),
+        steps AS (
+          SELECT filter_order, CAST(step AS INT) AS step, filter_order[step] AS own, string_split(left(filter_order, step - 1), '') AS before
+          FROM orders, (SELECT unnest(range(1, 6)) AS step) WHERE length(filter_order) = 5),
+        kinds AS (
+          SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, fails),
+        figures AS (
+          SELECT part, filter_order, step, own,
+            sum(n) FILTER (NOT list_contains(fails, own) AND NOT list_has_any(fails, before)) AS kept,
+            sum(n) FILTER (list_contains(fails, own) AND NOT list_has_any(fails, before)) AS removed,
+            sum(n) FILTER (list_contains(fails, own) AND list_has_any(fails, before)) AS redundant,
+            sum(n) FILTER (fails = [own]) AS unique_fails,
+            sum(good) FILTER (list_contains(fails, own) AND NOT list_has_any(fails, before)) AS good_lost,
+            sum(toxic) FILTER (list_contains(fails, own) AND NOT list_has_any(fails, before)) AS toxic_lost
+          FROM kinds, steps GROUP BY ALL)
+        SELECT part, filter_order, step,
+          {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+          CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM figures""",
 }
