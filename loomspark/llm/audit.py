@@ -10,7 +10,7 @@ counted by part, and every order's figures are sums of those counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
@@ -157,21 +157,16 @@ def order_figures(counts: DataFrame, filters: str = FILTERS) -> DataFrame:
     def total(column: str, mask_test: str) -> Column:
         return F.expr(f"aggregate(filter(sequence(0, {len(masks) - 1}), m -> {mask_test}), 0L, (s, m) -> s + {column}[m])")
 
-    orders = permutations(range(len(filters)))
-    steps: Sequence = [
-        F.struct(
-            F.lit("".join(filters[k] for k in order)).alias("filter_order"),
-            F.lit(at + 1).alias("step"),
-            F.lit(1 << own).alias("own"),
-            F.lit(sum(1 << k for k in order[:at])).alias("gone"),
-        )
-        for order in orders
-        for at, own in enumerate(order)
-    ]
-    rows = parts.withColumn("s", F.explode(F.array(*steps))).select("part", "n", "good", "toxic", "s.*")
+    orders = ["".join(order) for order in permutations(filters)]
+    rows = parts.withColumn("filter_order", F.explode(F.split(F.lit(",".join(orders)), ",")))
+    rows = rows.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(filters)))))
+    bit = f"shiftleft(1, instr('{filters}', substring(filter_order, %s, 1)) - 1)"
+    rows = rows.withColumns({"own": F.expr(bit % "step"), "gone": F.expr(
+        f"aggregate(filter(sequence(1, {len(filters)}), k -> k < step), 0, (s, k) -> s | {bit % 'k'})"
+    )})
     removed = "(m & own) != 0 and (m & gone) = 0"
     # of the orders, those in which a filter comes before the others that a document fails
-    turns = " + ".join(f"({len(steps) // len(filters)} div bit_count(m)) * int(bit_count(m) = {k})" for k in range(1, len(filters) + 1))
+    turns = " + ".join(f"({len(orders)} div bit_count(m)) * int(bit_count(m) = {k})" for k in range(1, len(filters) + 1))
     shapley = F.expr(
         f"aggregate(filter(sequence(1, {len(masks) - 1}), m -> (m & own) != 0), 0L, (s, m) -> s + n[m] * ({turns}))"
     )
