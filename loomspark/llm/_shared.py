@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def arrow_filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a path as Spark writes it (``s3a://`` and ``abfss://`` are Hadoop's names)."""
+    if "://" not in path and path.startswith("file:"):
+        path = path.removeprefix("file:")
+    for spark, arrow in (("s3a://", "s3://"), ("s3n://", "s3://"), ("abfss://", "abfs://")):
+        if path.startswith(spark):
+            path = arrow + path.removeprefix(spark)
+    return fs.FileSystem.from_uri(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: later steps read it and its lineage ends there."""
     path = shared_dir(df.sparkSession, name)

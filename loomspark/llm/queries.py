@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import ann, audit, digests, jaccard, langid, mix, pieces, pii, shards, simhash, warc, wordpiece
+from loomspark.llm import alignment, ann, audit, digests, jaccard, langid, mix, pieces, pii, shards, simhash, warc, wordpiece
 from loomspark.llm._shared import shared_dir
 
 #: Arrivals that the documents are appended in.
@@ -26,6 +26,13 @@ def piece_model() -> bytes:
     return Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
 
 
+def byte_tokenizer() -> str:
+    """The byte-level BPE of the queries."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.identify_languages(docs, langid.fit_on_documents(docs))
@@ -101,6 +108,14 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align_tokens(_table(spark, sf_dir, "documents"), byte_tokenizer(), piece_model())
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    return found.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -116,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_nearest,
         op11_simhash,
         op12_filter_audit,
+        op13_alignment,
     )
 }
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm._shared import shuffle_partitions, spread_join, written
+from loomspark.llm._shared import arrow_filesystem, shuffle_partitions, spread_join, written
 
 #: Equal payloads from this size on are written once and then revisited.
 REVISIT_BYTES = 1000
@@ -154,16 +154,6 @@ def parse_record(headers: dict[str, str], block: bytes) -> tuple:
 
 
 # ---- writing ---------------------------------------------------------------------------
-def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    """Arrow's file system for a path as Spark writes it (``s3a://`` and ``abfss://`` are Hadoop's names)."""
-    if "://" not in path and path.startswith("file:"):
-        path = path.removeprefix("file:")
-    for spark, arrow in (("s3a://", "s3://"), ("s3n://", "s3://"), ("abfss://", "abfs://")):
-        if path.startswith(spark):
-            path = arrow + path.removeprefix(spark)
-    return fs.FileSystem.from_uri(path)
-
-
 def place_among(bounds: list, key: str) -> Column:
     """How many of the sorted ``bounds`` a key isn't below, by halving: some twenty comparisons
     a row, however many there are."""
@@ -193,7 +183,7 @@ class _Rolling:
     """Writes records to files that roll by compressed size; reports each file."""
 
     def __init__(self, folder: str, roll_bytes: int, attempt: str):
-        self.fs, self.root = _filesystem(folder)
+        self.fs, self.root = arrow_filesystem(folder)
         self.roll_bytes, self.attempt = roll_bytes, attempt
         self.out, self.shard, self.seq, self.files = None, -1, 0, []
 
@@ -246,7 +236,7 @@ def write_archives(
     placed = placed.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(
         "shard", "page_id", "url", "record_type", "refers_to", "html"
     )
-    files, root = _filesystem(folder)
+    files, root = arrow_filesystem(folder)
     files.create_dir(f"{root}/tmp", recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +256,7 @@ def write_archives(
     done = written(placed.mapInArrow(write, _MANIFEST), "warc-files")
 
     def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = _filesystem(folder)
+        files, root = arrow_filesystem(folder)
         for batch in batches:
             names = []
             for old, shard, seq in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -305,7 +295,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     listed = read_manifest(spark, folder).select("file", "shard")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = _filesystem(folder)
+        files, root = arrow_filesystem(folder)
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([dict(zip(_RECORD_TYPES.names, r)) for r in rows], _RECORD_TYPES)
