@@ -62,11 +62,17 @@ def arrow_filesystem(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: later steps read it and its lineage ends there."""
-    path = shared_dir(df.sparkSession, name)
+def passing_dir(spark: SparkSession, name: str) -> str:
+    """A ``shared_dir`` whose files go with the tables of the innermost ``intermediates``, if any."""
+    path = shared_dir(spark, name)
     if _open:
         _open[-1].append(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: later steps read it and its lineage ends there."""
+    path = passing_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -143,6 +149,11 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
+def hashable(df: DataFrame) -> list[str]:
+    """The columns that can be hashed: those that hold no map, at any depth."""
+    return [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+
+
 def code_points(text: Column) -> Column:
     return F.char_length(F.coalesce(text, F.lit("")))
 

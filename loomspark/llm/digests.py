@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm._shared import SPACE_CHARS, code_points, one_row_each, shared_dir, shuffle_partitions, spread_join, stored, written
+from loomspark.llm._shared import SPACE_CHARS, code_points, one_row_each, passing_dir, shuffle_partitions, spread_join, stored, written
 from loomspark.llm.manifests import Conflict, Manifests
 
 #: Appends in which a table comes to a new index.
@@ -29,26 +29,55 @@ def text_digest(text: Column) -> Column:
 class DigestIndex:
     """Digests of all texts seen so far, with the document that stands for each.
 
-    ``path`` holds the files; ``buckets`` must be the same each time a path is opened.  Each
-    append is a segment: a row for each digest of the batch, marked ``first`` if the index
-    didn't hold it.  A manifest lists the segments that count, so an append is there as a
-    whole or not at all, and of two writers one starts again on what the other has added.
+    ``path`` holds the files and all that is needed to read them: the number of buckets and the
+    type of the ids, which an index keeps for good, and manifests that list the segments that
+    count.  The catalog's table is only a view of them that each session makes for itself.  Each
+    append is a segment: a row for each digest of the batch, marked ``first`` if the index didn't
+    hold it.  So an append is there as a whole or not at all, and of two writers one starts again
+    on what the other has added.
+
+    A new index takes ``buckets`` (by default as many as a shuffle has partitions) and ``id_type``;
+    for one that is there, other values than its own are an error.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int, id_type: str = "bigint"):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, id_type: str | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
         self.manifests = Manifests(spark, f"{self.path}/manifests")
+        layout = Manifests(spark, f"{self.path}/layout")
+        if layout.version() == 0:
+            try:
+                layout.commit(0, {"buckets": buckets or shuffle_partitions(spark), "id_type": id_type or "bigint"})
+            except Conflict:  # another writer has made it meanwhile
+                pass
+        there = layout.read()
+        self.buckets, self.id_type = there["buckets"], there["id_type"]
+        if buckets not in (None, self.buckets) or id_type not in (None, self.id_type):
+            raise ValueError(f"this index has {self.buckets} buckets and ids of type {self.id_type}")
         self.table = "digest_index_" + hashlib.sha1(self.path.encode()).hexdigest()
-        spark.sql(
+        if spark.catalog.tableExists(self.table):  # a lasting catalog may know an index that was here before
+            said = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {self.table}").collect()}
+            if (said.get("Num Buckets"), said.get("keep_id")) != (str(self.buckets), self.id_type):
+                self.close()
+        self._create()
+
+    def _create(self) -> None:
+        self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} "
-            f"(digest STRING, first BOOLEAN, chars BIGINT, keep_id {id_type}, group_size BIGINT, segment STRING) USING parquet "
-            f"PARTITIONED BY (segment) CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS "
+            f"(digest STRING, first BOOLEAN, chars BIGINT, keep_id {self.id_type}, group_size BIGINT, segment STRING) USING parquet "
+            f"PARTITIONED BY (segment) CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS "
             f"LOCATION '{self.path}/segments'"
         )
 
+    def close(self) -> None:
+        """Take the table out of the catalog; the index itself stays."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def entries(self, version: int | None = None) -> DataFrame:
         """The rows of a version's segments, the newest version's by default."""
         segments = self.manifests.read(version).get("segments", [])
+        if segments:  # the catalog may not know those of other sessions and writers
+            parts = " ".join(f"PARTITION (segment='{s}')" for s in segments)
+            self.spark.sql(f"ALTER TABLE {self.table} ADD IF NOT EXISTS {parts}")
         return self.spark.table(self.table).where(F.col("segment").isin(segments)).drop("segment")
 
     def rows(self, version: int | None = None) -> DataFrame:
@@ -106,6 +135,20 @@ class DigestIndex:
             except Conflict:
                 continue
 
+    def vacuum(self, before: int | None = None) -> None:
+        """Delete the manifests of versions older than ``before`` (by default, than the newest), and
+        the segments that no manifest names then, those of appends that failed among them.  Not while
+        another writer appends: its segment isn't named yet."""
+        self.manifests.drop_before(self.manifests.version() if before is None else before)
+        named = {s for v in self.manifests.versions() for s in self.manifests.read(v).get("segments", [])}
+        files, path_of = self.manifests.fs, self.manifests.path_of
+        root = path_of(f"{self.path}/segments")
+        for status in files.listStatus(root) if files.exists(root) else ():
+            segment = status.getPath().getName().partition("segment=")[2]
+            if segment and segment not in named:
+                self.spark.sql(f"ALTER TABLE {self.table} DROP IF EXISTS PARTITION (segment='{segment}')")
+                files.delete(status.getPath(), True)
+
     def unseen(self, digests: DataFrame) -> DataFrame:
         """The rows whose digest the index doesn't hold."""
         return digests.join(self.entries().where("first").select("digest").hint("merge"), "digest", "left_anti")
@@ -134,11 +177,12 @@ def exact_duplicates(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = digest_rows(docs)
-    index = DigestIndex(spark, shared_dir(spark, "index"), shuffle_partitions(spark), dict(rows.dtypes)["doc_id"])
+    index = DigestIndex(spark, passing_dir(spark, "index"), id_type=dict(rows.dtypes)["doc_id"])
     batch = F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(batches))
     for k in range(batches):
         index.append(rows.where(batch == k))
-    groups = index.rows().where(F.col("group_size") > 1)
+    groups = written(index.rows().where(F.col("group_size") > 1), "groups")
+    index.close()
     total = rows.count()
     row_id = F.struct("doc_id", "chars")
     found = spread_join(rows, groups, "digest", row_id, "group_size", total)

@@ -25,10 +25,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._shared import SPACE_CHARS, SPACE_CLASS, min_label_components, one_row_each, sifted, spread_join, stored, written
+from loomspark.llm._shared import (
+    SPACE_CHARS,
+    SPACE_CLASS,
+    bounded_batches,
+    min_label_components,
+    one_row_each,
+    sifted,
+    sliced,
+    spread_join,
+    stored,
+    tidy,
+    trim,
+    written,
+)
 
 THRESHOLD = 0.8
 WORDS = 5
@@ -37,12 +50,12 @@ DEPTH = 8
 RECALL = 0.9995
 #: Texts, and shingles of all its texts, that one task compares with each other at once.
 UNIT_TEXTS = 1024
-UNIT_SHINGLES = 2_000_000
+UNIT_SHINGLES = 1_000_000
 
 #: Texts that a node can hold before a prefix stays longer.
 CROWD = 64
 #: Words whose hashes a task remembers before it starts afresh, and characters of the longest.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 CACHE_CHARS = 64
 
 _HEAVY = 32
@@ -177,14 +190,15 @@ def _choose(trees: int, depth: int, shortest: int, threshold: float, recall: flo
 
 def _signed(docs: DataFrame, trees: int, depth: int, n: int) -> DataFrame:
     """``doc_id``, digest of the words, number of shingles and labels of every row."""
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         number = table.__getitem__
-        for batch in batches:
+        for part in sliced(batches, 1):
             digests, sizes, found_labels = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in part.column(1).to_pylist():
                 words = split_words(text)
                 found = shingles(np.fromiter(map(number, words), np.uint64, len(words)), n)
                 digests.append(hashlib.md5("\x20".join(words).encode()).digest())
@@ -192,7 +206,7 @@ def _signed(docs: DataFrame, trees: int, depth: int, n: int) -> DataFrame:
                 found_labels.append(labels(found, trees, depth) if words else b"")
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    part.column(0),
                     pa.array(digests, pa.binary()),
                     pa.array(sizes, pa.int64()),
                     pa.array(found_labels, pa.binary()),
@@ -200,7 +214,7 @@ def _signed(docs: DataFrame, trees: int, depth: int, n: int) -> DataFrame:
                 names=["doc_id", "digest", "n", "labels"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {id_type}, digest binary, n bigint, labels binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(sign), f"doc_id {id_type}, digest binary, n bigint, labels binary")
 
 
 def _shingled(docs: DataFrame, n: int) -> DataFrame:
@@ -209,9 +223,9 @@ def _shingled(docs: DataFrame, n: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         number = table.__getitem__
-        for batch in batches:
+        for part in sliced(batches, 0):
             digests, sets = [], []
-            for text in batch.column(0).to_pylist():
+            for text in part.column(0).to_pylist():
                 words = split_words(text)
                 digests.append(hashlib.md5("\x20".join(words).encode()).digest())
                 sets.append(shingles(np.fromiter(map(number, words), np.uint64, len(words)), n).tobytes())
@@ -219,7 +233,7 @@ def _shingled(docs: DataFrame, n: int) -> DataFrame:
                 [pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"]
             )
 
-    return docs.select("text").mapInArrow(cut, "digest binary, shingles binary")
+    return docs.select("text").mapInArrow(tidy(cut), "digest binary, shingles binary")
 
 
 # ---- exact comparison ------------------------------------------------------------------
@@ -291,6 +305,8 @@ def _compare(threshold: float):
         number = links.astype(np.int64) @ copies
         has = np.flatnonzero(number)
         root = local_roots(links)
+        if sum(map(len, sets)) > UNIT_SHINGLES // 10:
+            trim()
         return pa.table(
             {
                 "a": pa.array([digests[k] for k in has], pa.binary()),
@@ -329,7 +345,7 @@ def forest_nodes(reps: DataFrame, trees: int, depth: int, threshold: float, reca
     # at most trees x depth entries a text
     walk = F.collect_list(F.struct("tree", "d", "key", "texts"))
     chosen = walks.groupBy("digest").agg(F.first("n").alias("n"), walk.alias("walk")).select("n", "walk")
-    chosen = chosen.mapInArrow(_choose(trees, depth, shortest, threshold, recall), "key bigint")
+    chosen = chosen.mapInArrow(tidy(_choose(trees, depth, shortest, threshold, recall)), "key bigint")
     reached = written(chosen.distinct().join(sizes.select("key", F.col("texts").alias("members")), "key"), "reached")
     there = spread_join(walks, reached, "key", F.col("digest"), "members", total).where(F.col("members").isNotNull())
     top = F.min_by(F.struct("key", "texts", "shingles", "hub"), "d")
@@ -413,11 +429,13 @@ def _classed(
         keyed = met.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("tree", "key"))).alias("keys"))
         wanted = keyed.select("digest", keys).join(reps.select("digest", "rep", "copies"), "digest")
         wanted = written(wanted, "wanted")
-        ids = wanted.select(F.col("rep").alias("_id"))
         # the sieve first: few texts are candidates, and whole texts are what a shuffle costs most
-        # for; an inner join, since the optimiser would move a semi-join to before the sieve
-        texts = sifted(docs.select("doc_id", "text"), F.col("doc_id"), ids, F.col("_id"))
-        texts = texts.join(ids.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")))
+        # for; an inner join, since the optimiser would move a semi-join to before the sieve.  The
+        # join goes by id and words, so ids that repeat, or rows without one, don't meet in a task
+        texts = sifted(docs.select("doc_id", "text"), F.col("doc_id"), wanted, F.col("rep"))
+        row = F.xxhash64("doc_id", F.unhex(F.md5(_one_spaced(F.col("text")))))
+        rows = wanted.select(F.xxhash64("rep", "digest").alias("_row")).distinct()
+        texts = texts.withColumn("_row", row).join(rows, "_row")
         sets = _shingled(texts, words).groupBy("digest").agg(F.first("shingles").alias("shingles"))
         payload = written(wanted.drop("rep").join(sets, "digest"), "shingles")
         found = written(
@@ -456,6 +474,11 @@ def _classed(
     )
 
 
+def _one_spaced(text: Column) -> Column:
+    """The words with one space between, in UTF-8: what ``_signed`` takes the digest of."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACE_CLASS}]++", " ")).cast("binary")
+
+
 def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
     """One row of each class, with the smallest id of it, with all its columns.
 
@@ -468,7 +491,5 @@ def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
         return rows.groupBy("text_key", "doc_id", "stays").agg(F.count("*").alias("rows"))
 
     keys = stored(copies, docs.sparkSession, "class-rows")
-    # as ``_signed`` has it: the digest of the words with one space between
-    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), f"[{SPACE_CLASS}]++", " "))
     repeated = keys.where(F.col("stays") & (F.col("rows") > 1))
-    return one_row_each(docs, F.upper(F.md5(words.cast("binary"))), keys.where(~F.col("stays")), repeated)
+    return one_row_each(docs, F.upper(F.md5(_one_spaced(F.col("text")))), keys.where(~F.col("stays")), repeated)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm._shared import bounded_batches, sliced, tidy
+
 #: Rows of each language that the model is fitted on, about: a hash of the id picks them.
 FIT_ROWS = 2000
 #: Trigram counts are kept in this many hashed cells a language.
@@ -131,6 +133,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, cells: int = CELLS) -> Model:
     used.  Rows whose language is null are left out.  More than MAX_LANGUAGES languages are an
     error.
     """
+    bounded_batches(labelled.sparkSession)
     known = labelled.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     counts = known.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     languages = [r["lang"] for r in counts]
@@ -148,8 +151,8 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, cells: int = CELLS) -> Model:
         grams = np.zeros((len(languages), cells), np.int64)
         scripts = np.zeros((len(languages), len(SCRIPTS)), np.int64)
         docs = np.zeros(len(languages), np.int64)
-        for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for part in sliced(batches, 0):
+            for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 found = letters_of([text or ""], cells)
                 own, n = np.unique(found.cell, return_counts=True)
                 grams[index[lang], own] += np.rint(COUNT_UNIT * np.sqrt(n)).astype(np.int64)
@@ -162,7 +165,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, cells: int = CELLS) -> Model:
                 names=["kind", "lang", "cell", "n"],
             )
 
-    counted = known.select("text", "lang").mapInArrow(count, "kind string, lang bigint, cell bigint, n bigint")
+    counted = known.select("text", "lang").mapInArrow(tidy(count), "kind string, lang bigint, cell bigint, n bigint")
     # at most languages x (cells + scripts + 1) sums
     sums = counted.groupBy("kind", "lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     kind = sums["kind"].to_numpy(zero_copy_only=False)
@@ -284,21 +287,22 @@ def identify_languages(docs: DataFrame, model: Model, penalty: float = SWITCH_PE
     points.  A text that is null or has no letter, or any text where the model knows no
     language, is ``und`` with score 0 and no spans.
     """
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     box = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*box.value.languages, UNDETERMINED]
-        for batch in batches:
-            pred, score, spans = predict([t or "" for t in batch.column(1).to_pylist()], box.value, penalty)
+        for part in sliced(batches, 1):
+            pred, score, spans = predict([t or "" for t in part.column(1).to_pylist()], box.value, penalty)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([names[k] for k in pred], pa.string()), pa.array(score), pa.array(spans, span_type)],
+                [part.column(0), pa.array([names[k] for k in pred], pa.string()), pa.array(score), pa.array(spans, span_type)],
                 names=["doc_id", "lang_pred", "score", "spans"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(
-        identify,
+        tidy(identify),
         f"doc_id {id_type}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>",
     )
 
@@ -324,10 +328,11 @@ def drop_unidentified(docs: DataFrame, penalty: float = SWITCH_PENALTY, least_sh
     if not model.languages:
         return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
     box = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pred, score, _ = predict([t or "" for t in batch["text"].to_pylist()], box.value, penalty)
-            yield batch.filter(pa.array((pred >= 0) & (score >= least_share)))
+        for part in sliced(batches, at):
+            pred, score, _ = predict([t or "" for t in part.column(at).to_pylist()], box.value, penalty)
+            yield part.filter(pa.array((pred >= 0) & (score >= least_share)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm._shared import spread_join, stored, word_count, written
+from loomspark.llm._shared import hashable, spread_join, stored, word_count, written
 
 #: A source is taken this many times at most.
 MAX_REPEATS = 3
@@ -242,5 +242,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     unit = F.struct(F.col("row.source").alias("source"), unit_of(F.col("row.doc_id"), F.col("row.text")).alias("unit"))
     rows = rows.withColumn("_unit", F.to_json(unit))
     total = plan.agg(F.sum("rows")).first()[0] or 0
-    taken = spread_join(rows, plan, "_unit", F.col("row"), "rows", total).where(F.col("copies").isNotNull())
+    whole = F.struct(*(F.col(f"row.`{c}`") for c in hashable(docs)))
+    taken = spread_join(rows, plan, "_unit", whole, "rows", total).where(F.col("copies").isNotNull())
     return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

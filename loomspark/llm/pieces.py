@@ -20,13 +20,15 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from loomspark.llm._shared import bounded_batches, sliced, tidy
+
 MARK = "▁"
 #: Distinct chunks, and characters of all of them, that a task's table holds before it starts
 #: afresh.  It is looked at after each slice of texts.
-TABLE_CHUNKS = 400_000
-TABLE_CHARS = 16_000_000
-#: Characters that are put together at a time.
-SLICE_CHARS = 2_000_000
+TABLE_CHUNKS = 150_000
+TABLE_CHARS = 8_000_000
+#: Bytes of texts that are put together at a time.
+SLICE_BYTES = 2 << 20
 
 
 def load_model(model: bytes) -> sentencepiece.SentencePieceProcessor:
@@ -146,35 +148,28 @@ def encode_documents(
         raise ValueError("pieces of this model cross white-space marks or it changes characters")
     begin = [processor.bos_id()] * bos
     end = [processor.eos_id()] * eos
+    bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", docs[text_col].alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(load_model(model))
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            first = 0
-            while first < len(texts):
-                last, chars = first, 0
-                while last < len(texts) and (last == first or chars + len(texts[last]) <= SLICE_CHARS):
-                    chars += len(texts[last])
-                    last += 1
-                done = list(encode_slice(texts[first:last], table, begin, end))
-                lengths = np.fromiter((len(i) for i, _ in done), np.int64, len(done))
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([i for i, _ in done])))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, last - first),
-                        pa.array(lengths),
-                        ids,
-                        pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i, _ in done]),
-                        pa.array([t for _, t in done]),
-                    ],
-                    names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded"],
-                )
-                first = last
+        for part in sliced(batches, 1, SLICE_BYTES):
+            done = list(encode_slice([t or "" for t in part.column(1).to_pylist()], table, begin, end))
+            lengths = np.fromiter((len(i) for i, _ in done), np.int64, len(done))
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([i for i, _ in done])))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array(lengths),
+                    ids,
+                    pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i, _ in done]),
+                    pa.array([t for _, t in done]),
+                ],
+                names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded"],
+            )
 
     return rows.mapInArrow(
-        encode, f"doc_id {id_type}, n_tokens bigint, ids array<int>, ids_sha256 string, decoded string"
+        tidy(encode), f"doc_id {id_type}, n_tokens bigint, ids array<int>, ids_sha256 string, decoded string"
     )

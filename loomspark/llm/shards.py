@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loomspark.llm._shared import hashable
 from loomspark.llm.manifests import Conflict, Manifests
 
 #: Size of a merged file.
@@ -196,5 +197,5 @@ class ShardStore:
 
 
 def row_batches(df: DataFrame, batches: int) -> Column:
-    """A number from 0 to ``batches - 1`` for each row, by a hash of the whole row."""
-    return F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(batches)).cast("int")
+    """A number from 0 to ``batches - 1`` for each row, by a hash of all its columns but maps."""
+    return F.pmod(F.xxhash64(F.lit("row"), *(F.col(f"`{c}`") for c in hashable(df))), F.lit(batches)).cast("int")

@@ -1,8 +1,12 @@
 import collections
 import hashlib
+import os
 import re
+import subprocess
+import sys
 
 import numpy as np
+import pytest
 from loomspark.llm import digests, jaccard
 from loomspark.llm._shared import min_label_components, shared_dir, spread_join
 from pyspark.sql import functions as F
@@ -89,6 +93,60 @@ def test_index_persists_and_grows(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan  # the index isn't shuffled
 
 
+_OTHER_SESSION = """
+import sys
+from pyspark.sql import SparkSession, functions as F
+from loomspark.llm.digests import DigestIndex
+path, base = sys.argv[1:]
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", base).config(
+    "spark.sql.shuffle.partitions", "3").getOrCreate()
+index = DigestIndex(spark, path)
+rows = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(1).alias("chars"), F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+unseen = index.unseen(rows).count()
+index.append(rows)
+print("FOUND", index.buckets, unseen, index.rows().count(), index.rows().agg(F.sum("group_size")).first()[0])
+"""
+
+
+def test_index_outlives_its_session(spark, tmp_path):
+    """Another process, with another number of shuffle partitions, reads the index and adds to it; this
+    one sees what it has added."""
+    path = shared_dir(spark, "index")
+    rows = spark.range(120).select(F.col("id").alias("doc_id"), F.lit(1).alias("chars"), F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    index = digests.DigestIndex(spark, path, 5)
+    index.append(rows)
+    env = os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))}
+    done = subprocess.run([sys.executable, "-c", _OTHER_SESSION, path, str(tmp_path)], env=env, capture_output=True, text=True, timeout=300)
+    assert "FOUND 5 80 200 320" in done.stdout, done.stderr[-2000:]
+    assert index.rows().count() == 200 and index.unseen(rows).count() == 0
+    index.close()  # the catalog forgets it, the files stay
+    assert digests.DigestIndex(spark, path).rows().count() == 200
+    for wrong in ({"buckets": 4}, {"id_type": "string"}):
+        with pytest.raises(ValueError):
+            digests.DigestIndex(spark, path, **wrong)
+
+
+def test_index_is_vacuumed(spark):
+    index = digests.DigestIndex(spark, shared_dir(spark, "index"), 2)
+    row = lambda k, d: spark.createDataFrame([(k, 1, d)], "doc_id bigint, chars bigint, digest string")
+    index.append(row(1, "x"))
+    index._write(index.entries())  # an append that didn't come to its commit
+    index.append(row(2, "x"))
+    index.compact()
+    segments = lambda: len(index.manifests.fs.globStatus(index.manifests.path_of(f"{index.path}/segments/segment=*")))
+    assert segments() == 4
+    index.vacuum()
+    assert segments() == 1 and sorted(map(tuple, index.rows().collect())) == [("x", 1, 2)]
+
+
+def test_rows_without_ids_are_compared_apart(spark):
+    """Many rows without ids whose texts differ: near copies among them are found."""
+    base = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(60)]
+    rows = [(None, t) for t in base] + [(None, base[3] + " more"), (7, base[9] + " more"), (7, base[11])]
+    got = jaccard.similarity_classes(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((r["doc_id"] or -1, r["n_links"]) for r in got.collect()) == [(-1, 0)] * 57 + [(-1, 1)] * 4 + [(7, 1)] * 2
+
+
 def test_spread_join(spark):
     rows = spark.range(3000).selectExpr("id", "if(id < 2000, 'hot', concat('k', id % 50)) AS key")
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))

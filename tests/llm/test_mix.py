@@ -111,3 +111,10 @@ def test_inclusion_probabilities():
         for k, p in enumerate(mix.flight([0.3] * 20, size, random.Random(seed))):
             count[k] += p
     assert all(abs(c / 2000 - 0.3) < 0.05 for c in count)
+
+
+def test_columns_of_maps(spark, docs):
+    """Tables with a column of maps, which can't be hashed, are mixed as others are."""
+    want = mix.mixed_documents(docs).groupBy("doc_id").count()
+    mapped = mix.mixed_documents(docs.withColumn("meta", F.create_map(F.lit("a"), F.array("source")))).groupBy("doc_id").count()
+    assert sorted(map(tuple, mapped.collect())) == sorted(map(tuple, want.collect()))

@@ -2,6 +2,7 @@ import pytest
 from loomspark.llm import queries, shards
 from loomspark.llm._shared import shared_dir
 from loomspark.llm.manifests import Conflict
+from pyspark.sql import functions as F
 
 
 def store_of(spark, **options):
@@ -90,3 +91,10 @@ def test_edges(spark, edge, none):
     assert same(store.read(), edge)
     with pytest.raises(ValueError):
         store.append(edge.select("doc_id"))
+
+
+def test_columns_of_maps(spark, docs):
+    store = store_of(spark)
+    mapped = docs.withColumn("meta", F.create_map(F.lit("a"), F.array("source")))
+    store.append_arrivals(mapped, shards.row_batches(mapped, 8))
+    assert same(store.read().drop("meta"), docs) and store.read().where("meta['a'][0] <=> source").count() == docs.count()
