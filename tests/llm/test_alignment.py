@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import json
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from loomspark.llm import alignment, queries
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +21,19 @@ def pair(models):
     return alignment.Pair(*models)
 
 
+@pytest.fixture(scope="module")
+def library(models):
+    """A as the library of its file runs it."""
+    a = Tokenizer.from_str(models[0])
+    a.encode_special_tokens = True
+    return a
+
+
+@pytest.fixture(autouse=True)
+def _library(library, pair):
+    pair.a = library
+
+
 def brute_tokens(pair, text):
     """Ids and ends of both tokenizers over the whole text at once; none if the bytes differ."""
     raw = f" {text}".encode() if text else b""
@@ -142,3 +157,14 @@ def test_model_that_crosses_marks_is_an_error(spark, none, models, monkeypatch):
     monkeypatch.setattr(alignment, "splits_at_marks", lambda p: False)
     with pytest.raises(ValueError):
         alignment.align_tokens(none, *models)
+
+
+def test_other_merges_are_run_by_the_library(models, pair):
+    """A vocabulary whose merges come in another order than their ids is encoded by ``tokenizers``."""
+    parts = json.loads(models[0])
+    merges = parts["model"]["merges"]
+    merges[0], merges[1] = merges[1], merges[0]
+    other = alignment.Pair(json.dumps(parts), models[1])
+    text = " the  quick <|endoftext|> fox's\n"
+    assert pair.encode_a.__self__.__class__.__name__ == "Encoding" and other.encode_a.__name__ == "<lambda>"
+    assert b"".join(other.a_bytes[k] for k in other.encode_a(text)) == text.encode()
