@@ -100,13 +100,14 @@ def failure_masks(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), text.alias("text"))
-    order = [F.xxhash64("text"), F.col("text"), F.col("doc_id").isNull(), F.col("doc_id")]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    # ranges are told by fingerprint and id: bounds come to the driver, and texts would be too large
+    by_id = [F.col("doc_id").isNull(), F.col("doc_id")]
+    rows = rows.repartitionByRange("digest", *by_id).sortWithinPartitions("digest", "text", *by_id)
     # masks are made after the shuffle: what goes before it is also run to find the ranges
     failed = text_failures(F.col("text"))
     mask = sum((F.shiftleft(failed[f].cast("int"), k) for k, f in enumerate(FILTERS) if f != COPIES), F.lit(0))
-    digest = F.sha2(F.col("text").cast("binary"), 256)
-    rows = rows.select("doc_id", "part", F.unhex(digest).alias("digest"), mask.alias("mask"))
+    rows = rows.select("doc_id", "part", "digest", mask.alias("mask"))
     bit = 1 << FILTERS.index(COPIES)
     compared = rows.mapInArrow(tidy(_compare(bit, _arrow(id_type))), _ROWS.format(id=id_type.simpleString()))
     compared = written(compared, "compared")
