@@ -16,6 +16,7 @@ from loomspark.functions import text as T
 from loomspark.operators import classify, reads, rules, threads, upsert
 from loomspark.plans import feeds
 from loomspark.sources import scans
+from loomspark.streaming import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1016,3 +1017,60 @@ def feed_counts(spark, sf_dir):
 def order_threads(spark, sf_dir):
     feed = feeds.feeds([])["bandq"]
     return feeds.derive(feed, _mail(spark, sf_dir)).conversations.select("threading_rule_version", "counterparty_ref", "message_count")
+
+
+# ---- keys that hold much, and tables that change together ------------------------------
+@query("""
+    WITH flagged AS (
+      SELECT event_type, ts, event_id, CASE WHEN date_trunc('millisecond', ts) - lag(date_trunc('millisecond', ts)) OVER w > INTERVAL 10 MINUTES
+                                            THEN 1 ELSE 0 END AS starts
+      FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
+    SELECT event_type, event_id, CAST(sum(starts) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment
+    FROM flagged""")
+def hot_gap_sessions(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_type", "ts", "event_id")
+    found = threads.spread_gap_segments(rows, ["event_type"], "ts", "event_id", "10 minutes", most=500)
+    return found.select("event_type", "event_id", "segment")
+
+
+def _stored_turns(spark: SparkSession, sf_dir: str) -> store.Pages:
+    """All turns, stored in three pages of which the second comes twice."""
+
+    def outcome(messages: DataFrame) -> feeds.Outcome:
+        rows = threads.threaded(messages, REFERENCE_RULE)
+        return feeds.Outcome(rows.limit(0), rows, rows.limit(0), threads.conversations(rows, REFERENCE_RULE))
+
+    every = turn_messages(spark, sf_dir)
+    pages = [outcome(every.where(F.col("source_pk") % 1000 < n)) for n in (2, 3)] + [outcome(every)]
+    kept = pages[0].conversations.withColumn("workflow_state", F.lit("received"))
+    out = store.Pages(spark, store.scratch(spark, "pages"), kept.schema, pages[0].messages.schema, buckets=8)
+    for number in (0, 1, 1, 2):
+        out.persist(pages[number], "turns", number)
+    out.store.compact("messages", 2)
+    return out
+
+
+@query(_TURN_THREADS + f", facts AS ({_FACTS}) SELECT *, 'received' AS workflow_state FROM facts")
+def stored_pages(spark, sf_dir):
+    return _stored_turns(spark, sf_dir).conversations()
+
+
+@query("SELECT 'turns' AS feed_key, max(TIMESTAMP '2024-01-01' + turn * INTERVAL 1 MINUTE) AS ts, "
+       "arg_max(conv_id * 1000 + turn, (turn, conv_id)) AS pk FROM conversations")
+def stored_cursors(spark, sf_dir):
+    return _stored_turns(spark, sf_dir).cursors()
+
+
+@query("""
+    WITH known AS (
+      SELECT 'P-' || (p_partkey % 40) AS ref, p_name AS title, p_partkey AS row FROM part
+      QUALIFY row_number() OVER (PARTITION BY p_partkey % 40 ORDER BY p_brand DESC, p_partkey DESC) = 1)
+    SELECT o_orderkey, CASE WHEN title IS NULL THEN 'unresolved' ELSE 'cited' END AS state, title
+    FROM (SELECT o_orderkey, 'P-' || (o_custkey % 50) AS ref FROM orders) LEFT JOIN known USING (ref)""")
+def clashing_refs(spark, sf_dir):
+    known = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("[P-"), F.col("p_partkey") % 40, F.lit("]")).alias("ref"), F.col("p_name").alias("title"), F.lit("t").alias("text"),
+        F.lit("A").alias("category"), F.col("p_brand").alias("source_sheet"), F.col("p_partkey").alias("source_row"),
+    )
+    cites = table(spark, sf_dir, "orders").select("o_orderkey", F.array(F.concat(F.lit("P-"), F.col("o_custkey") % 50)).alias("refs"))
+    return rules.resolved_citations(cites, known, "o_orderkey").select("o_orderkey", "state", "title")

@@ -158,18 +158,22 @@ def preview(text: Column, status: Column, most: int = 90) -> Column:
     """A body on one line, cut to ``most`` characters; a null status means that there is no message."""
     flat = collapsed(text)
     short = F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.substring(flat, 1, most - 1), F.lit("…")))
-    return F.when(status.isNull(), "No messages").when(is_shown(text, status), short).otherwise(F.lit(UNAVAILABLE))
+    return F.when(status.isNull(), NO_MESSAGES).when(is_shown(text, status), short).otherwise(F.lit(UNAVAILABLE))
+
+
+#: Words of titles that stand for what isn't known.
+NO_MESSAGES, ENQUIRY, MESSAGE = "No messages", " enquiry", " message"
 
 
 def conversation_title(reference: Column, label: Column, noun: Column, verified: Column) -> Column:
     """A verified handle as it is; else the channel with its order, or a plain enquiry."""
-    enquiry = F.concat(label, F.lit(" enquiry"))
+    enquiry = F.concat(label, F.lit(ENQUIRY))
     return F.when(verified, reference).when(is_unresolved_reference(reference), enquiry).otherwise(F.concat_ws(" ", label, noun, reference))
 
 
 def unresolved_title(text: Column, status: Column, label: Column) -> Column:
     """Who signed a message of unknown direction, or which channel it came by."""
-    return F.coalesce(F.when(is_shown(text, status), sender_name(text)), F.concat(label, F.lit(" message")))
+    return F.coalesce(F.when(is_shown(text, status), sender_name(text)), F.concat(label, F.lit(MESSAGE)))
 
 
 def workflow_label(state: Column) -> Column:
@@ -310,19 +314,28 @@ def rule_ref(category: Column, sheet: Column, row: Column) -> Column:
     return F.concat_ws("-", area, sheet_code(F.coalesce(sheet, F.lit(""))), row.cast("string"))
 
 
+#: What a reviewer is told by HTTP status; None stands for all others.
+FAILURES = {
+    400: "The draft service rejected the request as malformed.",
+    401: "The draft service refused the API key. Check the server configuration.",
+    403: "The draft service refused the API key. Check the server configuration.",
+    404: "The configured model is not available. Check the server configuration.",
+    500: "The draft service is temporarily unavailable. Try again shortly.",
+    None: "The draft service rejected the request.",
+}
+#: What is said of a usage limit (429), with the delay or without.
+LIMITED = ("The draft service has reached its usage limit. Try again ", "in about ", " seconds.", "shortly.")
+
+
 def failure_text(status: Column, message: Column) -> Column:
     """What a reviewer is told of a failed call: by its HTTP status; of the service's own words only
     the delay is passed on."""
     seconds = F.regexp_extract(F.coalesce(message, F.lit("")), r"(?i)(?:retry in|try again in)\s*(\d+)", 1)
-    wait = F.when(seconds != "", F.concat(F.lit("in about "), seconds, F.lit(" seconds."))).otherwise("shortly.")
-    return (
-        F.when(status == 429, F.concat(F.lit("The draft service has reached its usage limit. Try again "), wait))
-        .when(status.isin(401, 403), "The draft service refused the API key. Check the server configuration.")
-        .when(status == 404, "The configured model is not available. Check the server configuration.")
-        .when(status == 400, "The draft service rejected the request as malformed.")
-        .when(status >= 500, "The draft service is temporarily unavailable. Try again shortly.")
-        .otherwise("The draft service rejected the request.")
-    )
+    said = F.create_map(*(x for k, v in FAILURES.items() if k is not None for x in (F.lit(k), F.lit(v))))
+    # statuses of one family that have no sentence of their own share that of its first
+    own = F.coalesce(F.try_element_at(said, status.cast("int")), F.when(status >= 500, F.lit(FAILURES[500])), F.lit(FAILURES[None]))
+    wait = F.when(seconds != "", F.concat(F.lit(LIMITED[1]), seconds, F.lit(LIMITED[2]))).otherwise(LIMITED[3])
+    return F.when(status == 429, F.concat(F.lit(LIMITED[0]), wait)).otherwise(own)
 
 
 def row_checksum(cells: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
@@ -239,14 +239,17 @@ def scope_counts(rules: DataFrame, marketplace: str | None) -> DataFrame:
     return rules.agg(F.count("*").alias("_all")).crossJoin(kept).select("kept", (F.col("_all") - F.col("kept")).alias("dropped"), "shared", "areas")
 
 
-def corpus_state(rules: DataFrame, marketplace: str | None, place: str) -> DataFrame:
+def corpus_state(rules: DataFrame | None, marketplace: str | None, place: str) -> DataFrame:
     """One row ``state, reason``: ``ready``, or ``not_configured`` and why a draft then states no
-    policy: no rules found in ``place``, or none of them for the marketplace."""
+    policy: ``place`` can't be read (``rules`` is None), it has no rules, or none for the marketplace."""
+    if rules is None:
+        spark = SparkSession.active()
+        return spark.createDataFrame([("not_configured", f"{place} can't be read: drafts go without policy")], "state string, reason string")
     counts = scope_counts(rules, marketplace)
-    none = F.when(F.col("kept") + F.col("dropped") == 0, F.lit(f"No rules were found in {place}")).when(
-        F.col("kept") == 0, F.lit(f"No rule applies to {marketplace or 'this marketplace'}")
+    none = F.when(F.col("kept") + F.col("dropped") == 0, F.lit(f"{place} has no rules")).when(
+        F.col("kept") == 0, F.lit(f"{place} has no rules for {marketplace or 'this marketplace'}")
     )
-    reason = F.concat(none, F.lit(", so this draft states no policy. Check it before using."))
+    reason = F.concat(none, F.lit(": drafts go without policy"))
     return counts.select(F.when(none.isNull(), "ready").otherwise("not_configured").alias("state"), reason.alias("reason"))
 
 
@@ -308,6 +311,10 @@ def prompt_sections(rules: DataFrame) -> DataFrame:
     return bodies.select("area", F.concat(F.lit("## "), "area", F.lit("\n\n"), "_body").alias("section"))
 
 
+#: What stands around an area's name and its number of rules.
+DOCUMENT_HEAD = ("# CST rules — ", "\n\nApproved CST knowledge. ", " rules.\n\n")
+
+
 def area_documents(rules: DataFrame) -> DataFrame:
     """``area, name, rules, document``: the rules of each area as one Markdown file.
 
@@ -321,9 +328,8 @@ def area_documents(rules: DataFrame) -> DataFrame:
     part = F.concat(F.lit("## ["), "ref", F.lit("] "), "title", F.lit("\n\n"), origin, F.lit("\n\n"), "text")
     bodies = _by_area(rules).agg(_in_sheet_order(part).alias("_body"), F.count("*").alias("rules"))
     bare = F.regexp_replace(F.trim(F.regexp_replace("area", "[^A-Za-z0-9 &-]", "")), r"\s+", "-")
-    head = F.concat(
-        F.lit("# CST rules — "), "area", F.lit("\n\nApproved CST knowledge. "), F.col("rules").cast("string"), F.lit(" rules.\n\n")
-    )
+    before, between, after = DOCUMENT_HEAD
+    head = F.concat(F.lit(before), "area", F.lit(between), F.col("rules").cast("string"), F.lit(after))
     return bodies.select("area", F.concat(bare, F.lit(".md")).alias("name"), "rules", F.concat(head, "_body", F.lit("\n")).alias("document"))
 
 
@@ -341,9 +347,19 @@ def type_counts(rules: DataFrame) -> DataFrame:
     return rules.groupBy("rule_type").agg(F.count("*").alias("rules")).orderBy(F.desc("rules"), "rule_type")
 
 
+def by_ref(rules: DataFrame) -> DataFrame:
+    """One rule for each reference, without brackets: of those that share one the last in the order of
+    the corpus (area, sheet, row)."""
+    order = [F.col(c) for c in ("category", "source_sheet", "source_row", "title", "text") if c in rules.columns]
+    kept = [c for c in rules.columns if c != "ref"]
+    last = F.max_by(F.struct(*kept), F.struct(*order)).alias("_rule")
+    return rules.groupBy(T.normal_ref(F.col("ref")).alias("ref")).agg(last).select("ref", "_rule.*")
+
+
 def resolved_citations(citations: DataFrame, rules: DataFrame, key: str = "revision_id", refs: str = "refs") -> DataFrame:
     """Each distinct reference of each row in order, with its rule: ``cited``, or else
-    ``legacy`` (no number at its end) or ``unresolved``."""
+    ``legacy`` (no number at its end) or ``unresolved``.  A reference has one rule (see ``by_ref``)."""
+    rules = by_ref(rules)
     clean = F.array_distinct(F.transform(F.col(refs), T.normal_ref))
     rows = citations.select(key, F.posexplode(clean).alias("place", "ref")).where(F.col("ref") != "")
     found = rows.join(rules.select("ref", "title", "text", F.lit(True).alias("_hit")), "ref", "left")
@@ -355,8 +371,10 @@ def evidence(citations: DataFrame, rules: DataFrame, key: str = "revision_id", r
     """``key, matched, unresolved, legacy, documents, none_matched`` of each row.
 
     ``matched`` is JSON: the cited rules in the order they were cited, with shown title,
-    condition, text and place; a row that cites nothing is there too.
+    condition, text and place; a row that cites nothing is there too.  A reference has one rule
+    (see ``by_ref``).
     """
+    rules = by_ref(rules)
     shown = T.display_title(F.col("title"), F.col("text"), F.col("category"))
     known = rules.select(
         "ref", F.col("category").alias("area"), shown.alias("title"), T.condition_of(F.col("text"), shown).alias("condition"),

@@ -22,6 +22,53 @@ def gap_segments(rows: DataFrame, keys: list[str], ts: str, pk: str, gap: str =
     return rows.withColumn("_new", new.cast("int")).withColumn(out, F.sum("_new").over(running)).drop("_new")
 
 
+def spread_gap_segments(
+    rows: DataFrame, keys: list[str], ts: str, pk: str, gap: str = "30 days", out: str = "segment", most: int = 1_000_000
+) -> DataFrame:
+    """``gap_segments`` where a key may have more rows than a task should take.
+
+    Keys with over ``most`` rows are cut into pieces of about ``most`` rows by quantiles of their
+    times; many rows of one instant are dealt to several pieces, since none of them can start a
+    session after another.  Each piece is scanned on its own and told by its first and last time and
+    the breaks within; a second scan, over one row a piece, adds the breaks between pieces and sums
+    up.  Rows are shuffled once.  Hot keys are ``rows / most`` at most, and only they are sent about.
+    """
+    name = "_key"
+    keyed = rows.withColumn(name, F.struct(*keys))
+    counts = keyed.groupBy(name).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    largest = counts.agg(F.max("_n")).first()[0]
+    if largest is None:
+        return gap_segments(rows, keys, ts, pk, gap, out)
+    cuts = -(-largest // most)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    if rows.schema[ts].dataType.typeName() == "timestamp_ntz":
+        micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
+    at = F.array(*(F.lit(k / cuts) for k in range(1, cuts)))
+    bounds = keyed.join(F.broadcast(counts.select(name)), name).groupBy(name)
+    bounds = bounds.agg(F.percentile_approx(micros, at, 10 * max(1000, cuts)).alias("_bounds"))
+    # pieces before the time, and those that begin with it, among which a hash chooses
+    below = F.size(F.filter("_bounds", lambda b: b < F.col("_us")))
+    same = F.size(F.filter("_bounds", lambda b: b == F.col("_us")))
+    piece = F.when(F.col("_bounds").isNull(), 0).otherwise(below + F.when(same > 0, 1 + F.pmod(F.xxhash64(pk), same)).otherwise(0))
+    cut = keyed.join(F.broadcast(bounds), name, "left").withColumn("_us", micros).withColumn("_piece", piece.cast("int"))
+    cut = cut.drop("_us", "_bounds")
+
+    now = F.date_trunc("MILLISECOND", F.col(ts)).cast("timestamp_ntz")
+    pause = F.expr(f"interval {gap}")
+    within = Window.partitionBy(name, "_piece").orderBy(ts, pk)
+    scanned = cut.withColumn("_now", now)
+    scanned = scanned.withColumn("_new", F.coalesce((F.col("_now") - F.lag("_now").over(within)) > pause, F.lit(False)).cast("long"))
+    scanned = scanned.withColumn("_local", F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    pieces = scanned.groupBy(name, "_piece").agg(F.min("_now").alias("_first"), F.max("_now").alias("_last"), F.sum("_new").alias("_breaks"))
+    across = Window.partitionBy(name).orderBy("_piece")
+    starts = F.coalesce((F.col("_first") - F.lag("_last").over(across)) > pause, F.lit(False)).cast("long")
+    pieces = pieces.withColumn("_starts", starts)
+    before = F.sum(F.col("_starts") + F.col("_breaks")).over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_breaks")
+    offsets = pieces.select(name, "_piece", before.alias("_offset"))
+    found = scanned.join(offsets.hint("merge"), [name, "_piece"])
+    return found.select(*rows.columns, (F.col("_local") + F.col("_offset")).alias(out))
+
+
 @dataclass(frozen=True)
 class ThreadingRule:
     """How messages of a marketplace hang together.

@@ -148,7 +148,10 @@ def persisted(
     fresh = outcome.conversations.withColumn("workflow_state", F.lit("received")).select(*stored.conversations.columns)
     kept = {*THREAD, *_COUNTS, "workflow_state"}
     conversations = upsert.merged(stored.conversations, fresh, THREAD, [c for c in fresh.columns if c not in kept])
-    came = upsert.first_by(outcome.messages.select(*stored.messages.columns), IDENTITY, F.desc("source_ts"))
+    came = outcome.messages.select(*stored.messages.columns)
+    # of rows of one message and time the least by the other columns, so that reruns agree
+    ties = [c for c in came.columns if c not in (*IDENTITY, "source_ts")]
+    came = upsert.first_by(came, IDENTITY, F.desc("source_ts"), *ties)
     messages = upsert.merged(stored.messages, came, IDENTITY, [c for c in came.columns if c not in (*IDENTITY, "source_ts")])
     messages = write("messages", messages.drop("merge_action"))
     conversations = upsert.recounted(conversations.drop("merge_action"), messages).select(*stored.conversations.columns)

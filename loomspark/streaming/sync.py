@@ -1,13 +1,12 @@
 """Incremental runs: files of messages to keyed snapshots by Structured Streaming.
 
 A checkpoint remembers which files are done, and every batch is merged by key, so a batch
-that runs again after a failure changes nothing.  Each batch writes a new version of the
-snapshot and then a mark that says whose it is; versions without a mark don't count.
+that runs again after a failure changes nothing.  Each batch adds its rows to a store, whose
+manifest says which batches count.
 """
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -16,48 +15,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomspark.operators.upsert import first_by, merged
+from loomspark.streaming.store import Store, TableSpec, counted
 
 
 class Snapshots:
-    """Versions of a keyed table under a path; the largest marked version counts.
+    """Versions of one keyed table under a path, numbered from 0; the newest counts.
 
     Versions are numbered on whatever batch they come from, so runs with other checkpoints go on
-    from them.  One writer at a time.
+    from them.  Several writers may add at once, and each adds its batch only (see ``store``);
+    buckets in which ``COMPACT`` batches have piled up are then written anew.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], update: Sequence[str]):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.keys, self.update = list(keys), list(update)
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._files = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+    COMPACT = 16
 
-    def _marked(self, batch: str = "*") -> int:
-        found = self._files.globStatus(self._path(f"{self.path}/v=*/_batch-{batch}")) or []
-        return max((int(s.getPath().getParent().getName()[2:]) for s in found), default=-1)
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], update: Sequence[str]):
+        self.store = Store(spark, path, {"rows": TableSpec(schema, tuple(keys), tuple(update))})
+        self.schema = schema
 
     def version(self) -> int:
         """The newest version that counts; -1 if there is none."""
-        return self._marked()
+        return self.store.version() - 1
 
     def read(self, version: int | None = None) -> DataFrame:
-        version = self.version() if version is None else version
-        if version < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={version}")
+        return self.store.read("rows", None if version is None else max(0, version + 1))
 
     def merge(self, batch: DataFrame, batch_id: str, order: Sequence[str]) -> int:
-        """Write the next version from the newest; of a key's rows in the batch the last by
-        ``order`` counts.  A batch that is merged already changes nothing.  Returns its version."""
-        mark = hashlib.sha1(batch_id.encode()).hexdigest()
-        if (done := self._marked(mark)) >= 0:
-            return done
-        last = self.version()
-        once = first_by(batch, self.keys, *(F.desc(c) for c in order))
-        out = merged(self.read(last), once.select(*self.schema.names), self.keys, self.update).drop("merge_action")
-        out.write.mode("overwrite").parquet(f"{self.path}/v={last + 1}")
-        self._files.create(self._path(f"{self.path}/v={last + 1}/_batch-{mark}"), True).close()
-        return last + 1
+        """Add a batch to the newest version; of a key's rows in the batch the last by ``order``
+        counts.  A batch that is merged already changes nothing.  Returns its version."""
+        source, _, number = batch_id.rpartition("#")
+        number = int(number) if source and number.isdigit() else 0
+        out = self.store.merge({"rows": batch}, source or batch_id, number, {"rows": [F.desc(c) for c in order]})
+        if out == self.store.version():
+            self.store.compact("rows", self.COMPACT)
+        return out - 1
 
 
 @dataclass(frozen=True)
@@ -104,10 +94,10 @@ def run_available(
             more = True
             raise _Enough  # the checkpoint doesn't count this batch, so the next run begins with it
         ready = prepare(batch)
-        # a checksum of whole rows: a plain count would leave out the work
-        seen = ready.agg(F.count("*"), F.max(F.xxhash64(*(F.col(f"`{c}`") for c in ready.columns)))).first()[0]
-        if not dry_run:
-            snapshots.merge(ready, f"{checkpoint}#{number}", order)
+        if dry_run:
+            seen = counted(ready, lambda df: df.write.format("noop").mode("overwrite").save())
+        else:
+            seen = counted(ready, lambda df: snapshots.merge(df, f"{checkpoint}#{number}", order))
         batches, rows = batches + 1, rows + seen
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)

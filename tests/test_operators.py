@@ -266,3 +266,26 @@ def test_persisting_twice_changes_nothing(spark):
     for name in ("conversations", "messages", "cursors"):
         a, b = getattr(once, name), getattr(again, name)
         assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+def test_hot_keys_are_cut_into_pieces(spark):
+    """Equal to the plain scan: many rows of one instant, gaps at the edges of pieces, null keys, late rows."""
+    import datetime as dt
+    import random
+
+    from loomspark.operators import threads
+
+    rng, start = random.Random(5), dt.datetime(2024, 1, 1)
+    rows = [("hot", None, start + dt.timedelta(minutes=rng.choice([0, 0, 1, 7, 300]) * rng.randrange(60), microseconds=rng.randrange(900)), k) for k in range(900)]
+    rows += [("hot", None, start + dt.timedelta(days=40), 1000 + k) for k in range(300)]  # one instant
+    rows += [(None, "x", start + dt.timedelta(hours=k * k), 2000 + k) for k in range(150)]
+    rows += [(f"c{k % 9}", "y", start + dt.timedelta(hours=k), 3000 + k) for k in range(60)] + [("n", "z", None, 5000), ("n", "z", start, 5001)]
+    df = spark.createDataFrame(rows, "a string, b string, ts timestamp_ntz, pk bigint")
+    for gap in ("10 minutes", "1 day"):
+        want = sorted(map(tuple, threads.gap_segments(df, ["a", "b"], "ts", "pk", gap).collect()), key=str)
+        for most in (40, 200, 10_000):
+            got = threads.spread_gap_segments(df, ["a", "b"], "ts", "pk", gap, most=most)
+            assert sorted(map(tuple, got.collect()), key=str) == want
+    found = threads.spread_gap_segments(df, ["a", "b"], "ts", "pk", "1 day", most=100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
