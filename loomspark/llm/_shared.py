@@ -26,8 +26,8 @@ HOT_SHARE = 1000
 SIEVE_MAPS = 1024
 
 #: Bytes of a batch sent to Python, and of the texts that are Python strings at a time.
-BATCH_BYTES = 8 << 20
-SLICE_BYTES = 4 << 20
+BATCH_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _own_dirs: dict[str, str] = {}
 #: Folders of the tables written since the innermost ``intermediates`` began.

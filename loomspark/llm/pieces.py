@@ -25,8 +25,8 @@ from loomspark.llm._shared import bounded_batches, sliced, tidy
 MARK = "▁"
 #: Distinct chunks, and characters of all of them, that a task's table holds before it starts
 #: afresh.  It is looked at after each slice of texts.
-TABLE_CHUNKS = 150_000
-TABLE_CHARS = 8_000_000
+TABLE_CHUNKS = 80_000
+TABLE_CHARS = 4_000_000
 #: Bytes of texts that are put together at a time.
 SLICE_BYTES = 2 << 20
 
