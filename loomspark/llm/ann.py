@@ -9,8 +9,10 @@ a ratio of the farthest of these.  (Chen et al., SPANN, 2021.)
 
 Only so many centroids fit in memory.  Lists that stay long are split again where they lie, by
 centroids of their own, which no machine holds together: vectors and queries that come to such
-a list are dealt on to its parts, as often as it takes.  So lists, and the work of a query, don't
-grow with the table.
+a list are dealt on to its parts, as often as it takes.  After each level a query's lists, parts
+and short ones together, are cut once by distance to the number that it may read, which grows
+with the root of the number of lists and ends at MOST_PROBES.  So lists don't grow with the table,
+and the lists of a query don't multiply by levels.
 
 Largest inner product becomes smallest distance by one more coordinate, which brings all
 vectors to one norm and is 0 for queries.  Equal vectors are indexed once with their
@@ -44,10 +46,12 @@ REPLICAS = 4
 LEAST_PROBES = 8
 COVER = 4
 #: Besides, it reads lists up to this much farther than the last of those, so many at most: PROBES,
-#: or PROBE_ROOTS times the square root of the number of lists if that is more.
+#: or PROBE_ROOTS times the square root of the number of all lists if that is more.
 PROBE_RATIO = 1.6
 PROBES = 32
 PROBE_ROOTS = 6
+#: That number ends here, however many lists there are.
+MOST_PROBES = 850
 #: A list with more than so many times LIST_VECTORS is split, into so many lists at most, by
 #: centroids of about so many of its vectors; splits go on for so many levels.
 LONG_LIST = 10
@@ -166,13 +170,14 @@ def _augmented(x: np.ndarray, top: float) -> np.ndarray:
 
 
 def _assign(graph_box, mode: str, top: float, boundary: float, most: int, lengths_box=None, cover: int = 0):
-    """For each row its lists: replicas of an indexed vector, or the lists a query reads.
+    """For each row its lists: replicas of an indexed vector with the vector, or the lists a query
+    reads with their distances ``d`` and lengths.
 
     ``lengths_box`` has the length of each list, and ``cover`` the sum of lengths that a query
     reads at least, or else all lists.
     """
 
-    def lists_of(x: np.ndarray) -> Iterator[np.ndarray]:
+    def lists_of(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         graph: CentroidGraph = graph_box.value
         for i in range(0, len(x), 512):
             part = x[i : i + 512]
@@ -189,12 +194,14 @@ def _assign(graph_box, mode: str, top: float, boundary: float, most: int, length
             else:
                 fits = there & (d <= boundary * d[:, :1] + 1e-12)
             for k in range(len(part)):
-                found = ids[k, fits[k]]
+                found, far = ids[k, fits[k]], d[k, fits[k]]
                 if mode == "query" and held[k, -1] < cover:
                     # too few vectors there: all lists in order, as far as it takes
-                    order = np.argsort((graph.centroids**2).sum(axis=1) / 2 - graph.centroids @ query[k], kind="stable")
+                    gap = (graph.centroids**2).sum(axis=1) / 2 - graph.centroids @ query[k]
+                    order = np.argsort(gap, kind="stable")
                     order = order[: np.searchsorted(lengths_box.value[order].cumsum(), cover) + 1]
                     found = np.union1d(found, order)
+                    far = np.sqrt(np.maximum(2 * gap[found] + (query[k] ** 2).sum(), 0))
                 if mode == "index" and len(found) > 1:
                     # skip a list that an already chosen one is nearer to than the vector is
                     kept = [0]
@@ -203,17 +210,20 @@ def _assign(graph_box, mode: str, top: float, boundary: float, most: int, length
                         if np.sqrt(((c[kept] - c[j]) ** 2).sum(axis=1)).min() > d[k, j]:
                             kept.append(j)
                     found = found[kept]
-                yield found
+                yield found, far
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = list(lists_of(_matrix(batch["v"]).astype(np.float64)))
-                rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                out = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [*out.columns, pa.array(np.concatenate(found).astype(np.int64))], names=[*batch.schema.names, "list"]
-                )
+                found, far = zip(*lists_of(_matrix(batch["v"]).astype(np.float64)))
+                rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                to = np.concatenate(found).astype(np.int64)
+                if mode == "index":
+                    out = batch.take(rows)
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(to)], names=[*batch.schema.names, "list"])
+                else:
+                    out = [batch["qid"].take(rows), pa.array(to), pa.array(np.concatenate(far)), pa.array(lengths_box.value[to])]
+                    yield pa.RecordBatch.from_arrays(out, names=["qid", "list", "d", "length"])
 
     return assign
 
@@ -239,19 +249,23 @@ def _fit_split(top: float, list_vectors: int, seed: int):
     return fit
 
 
-def _deal(mode: str, top: float, cover: int):
-    """Rows of a long list to the nearest of its parts, as ``_assign`` does with all lists."""
+def _deal(mode: str, top: float, cover: int, most: int):
+    """Rows of a long list to the nearest of its parts, as ``_assign`` does with all lists.  What a
+    query reads of all its lists is among the parts that it would read of this one alone."""
 
     def deal(key: tuple, rows: pa.Table, parts: pa.Table) -> pa.Table:
-        out = rows.drop_columns(["list"])
+        out = rows.drop_columns(["list"] if mode == "index" else ["list", "v"])
         if not rows.num_rows or not parts.num_rows:
-            return out.slice(0, 0).append_column("list", pa.array([], pa.int64()))
+            names = ("list",) if mode == "index" else ("list", "d", "length")
+            for name in names:
+                out = out.slice(0, 0).append_column(name, pa.array([], pa.float64() if name == "d" else pa.int64()))
+            return out
         c = _matrix(parts["c"].combine_chunks()).astype(np.float64)
         name = parts["sub"].to_numpy()
         length = parts["length"].to_numpy() if mode == "query" else None
         x = _matrix(rows["v"].combine_chunks()).astype(np.float64)
         x = _augmented(x, top) if mode == "index" else np.hstack([x, np.zeros((len(x), 1))])
-        at, to = [], []
+        at, to, far, held_by = [], [], [], []
         for i in range(0, len(x), 1024):
             part = x[i : i + 1024]
             d = np.sqrt(np.maximum((part**2).sum(axis=1)[:, None] + (c**2).sum(axis=1) - 2 * part @ c.T, 0))
@@ -262,21 +276,51 @@ def _deal(mode: str, top: float, cover: int):
             else:
                 held = length[ids].cumsum(axis=1)
                 needed = (held - length[ids] < cover) | (np.arange(len(c)) < LEAST_PROBES)
-                most = max(PROBES, int(PROBE_ROOTS * np.sqrt(len(c))))
                 reach = np.where(needed, d, 0).max(axis=1, keepdims=True)
                 fits = needed | ((d <= PROBE_RATIO * reach + 1e-12) & (np.arange(len(c)) < most))
             row, col = np.nonzero(fits)
             at.append(i + row)
             to.append(name[ids[row, col]])
-        return out.take(pa.array(np.concatenate(at))).append_column("list", pa.array(np.concatenate(to), pa.int64()))
+            if mode == "query":
+                far.append(d[row, col])
+                held_by.append(length[ids[row, col]])
+        out = out.take(pa.array(np.concatenate(at))).append_column("list", pa.array(np.concatenate(to), pa.int64()))
+        if mode == "query":
+            out = out.append_column("d", pa.array(np.concatenate(far)))
+            out = out.append_column("length", pa.array(np.concatenate(held_by), pa.int64()))
+        return out
 
     return deal
 
 
-def _split(posted: DataFrame, reads: DataFrame, lists: DataFrame, top: float, cover: int, list_vectors: int, level: int):
-    """Posted vectors and reads with the long lists among ``lists`` (``list, n``) split."""
+def _most(lists: int) -> int:
+    """Lists that a query may read of so many, besides those that it needs."""
+    return max(PROBES, min(MOST_PROBES, int(PROBE_ROOTS * np.sqrt(lists))))
+
+
+def _cut(reads: DataFrame, cover: int, most: int) -> DataFrame:
+    """``qid, list, d, length`` cut to what each query reads of all its lists: the nearest until they
+    hold ``cover`` vectors and are LEAST_PROBES, and those within the ratio among the nearest ``most``.
+
+    A query comes with ``most`` short lists, or parts of long ones, for each list at most.
+    """
+    near = Window.partitionBy("qid").orderBy("d", "list")
+    before = F.coalesce(F.sum("length").over(near.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reads = reads.withColumns({"_place": F.row_number().over(near), "_before": before})
+    reads = reads.withColumn("_needed", (F.col("_before") < cover) | (F.col("_place") <= LEAST_PROBES))
+    reach = F.max(F.when(F.col("_needed"), F.col("d"))).over(Window.partitionBy("qid"))
+    close = (F.col("d") <= PROBE_RATIO * reach + 1e-12) & (F.col("_place") <= most)
+    reads = reads.withColumn("_close", close).where(F.col("_needed") | F.col("_close"))
+    return reads.select("qid", "list", "d", "length").dropDuplicates(["qid", "list"])
+
+
+def _split(
+    posted: DataFrame, reads: DataFrame, asked: DataFrame, lists: DataFrame, top: float, cover: int, list_vectors: int, level: int
+):
+    """Posted vectors and reads with the long lists among ``lists`` (``list, n``) split; ``asked`` has
+    the query vectors."""
     long = written(lists.where(F.col("n") > LONG_LIST * list_vectors), "long-lists")
-    total = long.agg(F.sum("n")).first()[0]
+    total, split = long.agg(F.sum("n"), F.count("*")).first()
 
     def there(rows: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
         rows = spread_join(rows, long, "list", F.col(id), "n", total)
@@ -288,6 +332,7 @@ def _split(posted: DataFrame, reads: DataFrame, lists: DataFrame, top: float, co
     cents = sample.groupBy("list").applyInArrow(_fit_split(top, list_vectors, level), "list bigint, sub bigint, c array<double>")
     # a name for each part; equal names, if there are any, only make one list of two
     cents = written(cents.withColumn("sub", F.xxhash64("list", "sub", F.lit(level))), "split-centroids")
+    most = _most(lists.count() - split + cents.count())
 
     def dealt(rows: DataFrame, id: str, parts: DataFrame, mode: str, size: int) -> DataFrame:
         # of a hot list, many tasks have the centroids and a share of its rows each
@@ -297,17 +342,18 @@ def _split(posted: DataFrame, reads: DataFrame, lists: DataFrame, top: float, co
         rows = rows.withColumn("share", F.pmod(F.xxhash64(id), F.col("shares"))).select(id, "v", "list", "share")
         parts = parts.join(shares, "list").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
         groups = rows.groupBy("list", "share").cogroup(parts.drop("shares").groupBy("list", "share"))
-        shape = f"{id} bigint, v array<double>, list bigint"
-        return groups.applyInArrow(_without_share(_deal(mode, top, cover)), shape)
+        shape = f"{id} bigint, " + ("v array<double>, list bigint" if mode == "index" else "list bigint, d double, length bigint")
+        return groups.applyInArrow(_without_share(_deal(mode, top, cover, most)), shape)
 
     vectors = written(dealt(deep, "cid", cents, "index", PART_VECTORS), "dealt-vectors")
     lengths = vectors.groupBy(F.col("list").alias("sub")).agg(F.count("*").alias("length"))
     parts = written(cents.join(lengths, "sub"), "split-parts")
-    calm, asked = there(reads, "qid")
-    queries = dealt(written(asked, "deep-reads"), "qid", parts, "query", PART_QUERIES)
+    calm, deep_reads = there(reads, "qid")
+    deep_reads = deep_reads.select("qid", "list", "n").join(asked.select("qid", "v"), "qid")
+    queries = dealt(written(deep_reads, "deep-reads"), "qid", parts, "query", PART_QUERIES)
     return (
         written(short.unionByName(vectors), "posting-lists"),
-        written(calm.unionByName(queries).distinct(), "probes"),
+        written(_cut(calm.unionByName(queries), cover, most), "probes"),
     )
 
 
@@ -315,6 +361,10 @@ def _without_share(deal):
     return lambda key, rows, parts: deal(key, rows.drop_columns(["share"]), parts)
 
 
+#: Of a product's rounding, a few units in the last place for each component.
+_ROUNDING = 4 * float(np.finfo(np.float64).eps)
+
+
 def _search_lists(k: int):
     """Best ``k`` vectors of a part of a list for each of some queries, by exact scores."""
 
@@ -325,6 +375,8 @@ def _search_lists(k: int):
         x = _matrix(vectors["v"].combine_chunks()).astype(np.float64)
         q = _matrix(queries["v"].combine_chunks()).astype(np.float64)
         cid, qid = vectors["cid"].to_numpy(), queries["qid"].to_numpy()
+        # how far two roundings of one inner product can lie apart
+        slack = _ROUNDING * x.shape[1] * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
         out = []
         for i in range(0, len(q), 256):
             s = q[i : i + 256] @ x.T
@@ -332,7 +384,7 @@ def _search_lists(k: int):
             if kept < s.shape[1]:
                 # all that reach the k-th score, so that ties are not cut at random
                 least = np.partition(s, s.shape[1] - kept, axis=1)[:, s.shape[1] - kept]
-                row, col = np.nonzero(s >= least[:, None] - 1e-12)
+                row, col = np.nonzero(s >= (least - slack[i : i + 256])[:, None])
             else:
                 row, col = np.nonzero(np.ones_like(s, bool))
             out.append((qid[i + row], cid[col], s[row, col]))
@@ -398,7 +450,7 @@ def nearest_neighbours(
     for row in posted.groupBy("list").count().collect():  # MAX_LISTS rows at most
         lengths[row["list"]] = row["count"]
     lengths_box = spark.sparkContext.broadcast(lengths)
-    most = max(PROBES, int(PROBE_ROOTS * np.sqrt(lists)))
+    most = _most(lists)
     # a vector counts once in each list that it was put in
     cover = COVER * REPLICAS * (k + 1)
     # queries with one vector are one search
@@ -406,7 +458,7 @@ def nearest_neighbours(
     asked = written(asked, "query-vectors")
     reads = written(
         asked.select("qid", "v").mapInArrow(
-            _assign(box, "query", top, PROBE_RATIO, most, lengths_box, cover), "qid bigint, v array<double>, list bigint"
+            _assign(box, "query", top, PROBE_RATIO, most, lengths_box, cover), "qid bigint, list bigint, d double, length bigint"
         ),
         "probes",
     )
@@ -415,7 +467,7 @@ def nearest_neighbours(
         if longest <= LONG_LIST * list_vectors:
             break
         sizes = written(posted.groupBy("list").agg(F.count("*").alias("n")), "list-lengths")
-        posted, reads = _split(posted, reads, sizes, top, cover, list_vectors, level)
+        posted, reads = _split(posted, reads, asked, sizes, top, cover, list_vectors, level)
         longest = posted.groupBy("list").count().agg(F.max("count")).first()[0] or 0
     # a list or its queries can outgrow a task: parts of it, each pair of parts once
     length = posted.groupBy("list").agg(F.ceil(F.count("*") / PART_VECTORS).alias("parts"))
@@ -433,7 +485,7 @@ def nearest_neighbours(
         F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"),
     )
-    every = planned(reads, "qid").select(
+    every = planned(reads.select("qid", "list").join(asked.select("qid", "v"), "qid"), "qid").select(
         "qid", "v", "list",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
         F.pmod(F.xxhash64("qid"), F.col("shares")).alias("share"),
@@ -446,8 +498,14 @@ def nearest_neighbours(
     )
     # replicas give one pair from several lists
     hits = hits.groupBy("qid", "cid").agg(F.max("score").alias("near"))
-    close = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("near"), "cid"))
-    hits = written(hits.withColumn("_n", close).where(F.col("_n") <= 2 * k + 2).select("qid", "cid"), "hits")
+    close = Window.partitionBy("qid").orderBy(F.desc("near"), "cid")
+    least = F.min(F.when(F.col("_n") <= k + 1, F.col("near"))).over(Window.partitionBy("qid"))
+    hits = hits.withColumn("_n", F.row_number().over(close)).withColumn("_least", least).join(
+        asked.select("qid", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b)).alias("_norm")), "qid"
+    )
+    # all that rounding may have put below the last place; scores that are equal are told apart later
+    slack = _ROUNDING * width["n"] * float(np.sqrt(top)) * F.col("_norm")
+    hits = written(hits.where(F.col("near") >= F.col("_least") - slack).select("qid", "cid"), "hits")
     q = asked.select("qid", F.col("v").alias("qv"))
     product = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     scored = hits.join(q, "qid").join(distinct, "cid").select("qid", "ids", product.alias("score"))

@@ -109,6 +109,53 @@ def test_long_lists_are_split(spark, monkeypatch):
     assert recall(found, want) >= 0.9
 
 
+@pytest.mark.parametrize("parts", [256, 12])
+def test_work_of_a_query_does_not_multiply_by_levels(spark, monkeypatch, parts):
+    """Over a thousand lists, on one level below the first or on two: a query reads no more of them
+    than their root allows, and recall is measured."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 16))[rng.integers(0, 300, 16_000)] + 0.5 * rng.normal(size=(16_000, 16))
+    cut, seen = ann._cut, []
+
+    def counting(reads, cover, most):
+        out = cut(reads, cover, most)
+        seen.append((most, cover, out.groupBy("qid").count().agg(F.max("count")).first()[0]))
+        return out
+
+    monkeypatch.setattr(ann, "_cut", counting)
+    monkeypatch.setattr(ann, "SPLIT_LISTS", parts)
+    want = nearest_of(x, np.arange(0, len(x), 100))
+    found = collected(ann.nearest_neighbours(table_of(spark, x), F.col("vec_id") % 100 == 0, list_vectors=10, max_lists=16))
+    assert len(seen) >= (1 if parts == 256 else 2)
+    for most, cover, read in seen:
+        assert read <= max(most, cover)
+    assert seen[-1][0] >= 6 * math.sqrt(1000) and seen[-1][2] <= 400
+    assert recall(found, want) >= 0.9
+
+
+def test_one_cut_over_all_lists_of_a_query(spark):
+    rng = np.random.default_rng(8)
+    rows = [(q, n, float(rng.integers(1, 40)), int(rng.integers(1, 9))) for q in range(5) for n in range(60)]
+    found = ann._cut(spark.createDataFrame(rows, "qid bigint, list bigint, d double, length bigint"), 50, 20)
+    got = {q: {r["list"] for r in found.where(F.col("qid") == q).collect()} for q in range(5)}
+    for q in range(5):
+        mine, held, needed, want = sorted((d, n, size) for i, n, d, size in rows if i == q), 0, [], set()
+        for place, (d, n, size) in enumerate(mine):
+            if held < 50 or place < ann.LEAST_PROBES:
+                needed.append(d)
+                want.add(n)
+            held += size
+        want |= {n for d, n, _ in mine[:20] if d <= ann.PROBE_RATIO * needed[-1]}
+        assert got[q] == want
+
+
+def test_ties_of_large_vectors_go_to_the_smaller_id(spark):
+    """Scores that are equal in double precision, added up in order, but not as a matrix product adds."""
+    x = [[1.0] * 24] + [[2.0**53] + [1.0] * n + [0.0] * (23 - n) for n in range(24)]
+    found = collected(ann.nearest_neighbours(table_of(spark, x), F.col("vec_id") == 0, k=5))
+    assert found == {0: [(n, 2.0**53) for n in range(1, 6)]}
+
+
 def test_graph_search_finds_nearest_centroids():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 12))
