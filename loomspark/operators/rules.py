@@ -315,11 +315,14 @@ def prompt_sections(rules: DataFrame) -> DataFrame:
 DOCUMENT_HEAD = ("# CST rules — ", "\n\nApproved CST knowledge. ", " rules.\n\n")
 
 
-def area_documents(rules: DataFrame) -> DataFrame:
+def area_documents(rules: DataFrame, allowed: Sequence[str] | None = None, forbidden: Sequence[str] = ()) -> DataFrame:
     """``area, name, rules, document``: the rules of each area as one Markdown file.
 
-    Each rule is a section with its reference and where it comes from, by sheet and row.
+    Each rule is a section with its reference and where it comes from, by sheet and row.  With
+    ``allowed``, rules of files that aren't approved (see ``approved``) are left out.
     """
+    if allowed is not None:
+        rules = rules.where(approved(F.col("source_file"), allowed, forbidden))
     origin = F.concat(
         F.lit("_Source: "), F.coalesce("source_file", F.lit("unknown")),
         F.when(F.coalesce("source_sheet", F.lit("")) != "", F.concat(F.lit(" › "), "source_sheet")).otherwise(F.lit("")),
@@ -438,15 +441,13 @@ def checked_drafts(responses: DataFrame, raw: str = "response", facts: str = "fa
     without a fact, missing facts or no source make a review necessary.
     """
     schema = "draft_reply string, sources_used array<struct<kind:string,ref:string,label:string>>, missing_information array<string>, requires_review boolean"
-    r = F.from_json(F.col(raw), schema)
+    # parsed and scanned in projections of their own, so that each is done once a row
+    rows, r = responses.withColumn("_draft", F.from_json(F.col(raw), schema)), F.col("_draft")
     sources = F.array_distinct(F.coalesce(r["sources_used"], F.array().cast("array<struct<kind:string,ref:string,label:string>>")))
     missing = F.array_distinct(F.coalesce(r["missing_information"], F.array().cast("array<string>")))
     claims = T.ungrounded_claims(F.coalesce(r["draft_reply"], F.lit("")), F.col(facts))
     valid = F.coalesce(T.trimmed(r["draft_reply"]) != "", F.lit(False))
-    review = T.needs_review(F.coalesce(r["requires_review"], F.lit(True)), missing, sources, claims)
-    return responses.withColumns(
-        {
-            "draft_reply": r["draft_reply"], "sources": sources, "missing": missing, "claims": claims,
-            "requires_review": review | ~valid, "valid": valid,
-        }
-    )
+    found = {"draft_reply": r["draft_reply"], "sources": sources, "missing": missing, "claims": claims, "valid": valid}
+    rows = rows.withColumns(found)
+    review = T.needs_review(F.coalesce(r["requires_review"], F.lit(True)), *(F.col(c) for c in ("missing", "sources", "claims")))
+    return rows.withColumn("requires_review", review | ~F.col("valid")).drop("_draft")

@@ -46,6 +46,13 @@ def in_window(ts: Column, pk: Column, window: After | Since | Everything) -> Col
     raise ValueError(f"unknown window {window!r}")
 
 
+def micros(rows: DataFrame, ts: str) -> Column:
+    """A time column of ``rows`` as microseconds, naive times as they are."""
+    if rows.schema[ts].dataType.typeName() == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
 def fetch_limit(asked: int | None, default: int = 200, most: int = 5000) -> int:
     """Limit of an ingestion scan; one that isn't a positive whole number is an error."""
     if asked is None:

@@ -1,7 +1,10 @@
+import io
+import os
 import zipfile
 
+import pytest
 from loomspark.operators import rules
-from loomspark.sources import workbooks
+from loomspark.sources import documents, workbooks
 from pyspark.sql import functions as F
 
 NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -222,6 +225,90 @@ def test_workbooks_are_read_again_when_changed(spark, tmp_path):
     assert cache.cells() is not first and cache.cells().count() == n + 2
 
 
+def test_a_partition_a_sheet(spark, tmp_path, monkeypatch):
+    write_workbook(tmp_path / "Book one.xlsx", SHEETS)
+    write_workbook(tmp_path / "Other.xlsx", {"S": [["a", "b"], [], ["c", "d"]]})
+    (tmp_path / "~$Other.xlsx").write_bytes(b"lock")
+    monkeypatch.setattr(workbooks._XlsxReader, "BATCH", 2)
+    found = workbooks.read_sheets(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == len(SHEETS) + 1
+    want = sorted(map(tuple, workbooks.read_workbooks(spark, str(tmp_path)).collect()))
+    assert sorted(map(tuple, found.drop("path").collect())) == want
+    (tmp_path / "none").mkdir()
+    assert workbooks.read_sheets(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_rows_and_cells_without_a_place_follow_the_one_before():
+    body = f'<worksheet {NS}><sheetData><row r="3"><c><v>1</v></c><c r="D3"><v>2</v></c><c><v>3</v></c></row><row><c/><c><v>4</v></c></row></sheetData></worksheet>'
+    assert list(workbooks._sheet_cells(io.BytesIO(body.encode()), [])) == [(3, 0, "1"), (3, 3, "2"), (3, 4, "3"), (4, 1, "4")]
+
+
+def test_only_changed_workbooks_are_parsed(spark, tmp_path):
+    books, one, two = tmp_path / "in", tmp_path / "in" / "One.xlsx", tmp_path / "in" / "Two.xlsx"
+    books.mkdir()
+    table = workbooks.CellTable(spark, str(books), str(tmp_path / "cells"))
+    assert table.refresh() == {"parsed": 0, "removed": 0} and table.cells().count() == 0
+    write_workbook(one, {"S": [["a", "b"], ["c"]]})
+    write_workbook(two, {"S": [["x"]]})
+
+    def there():
+        return sorted(tuple(r) for r in table.cells().collect())
+
+    assert table.refresh() == {"parsed": 2, "removed": 0}
+    kept = [("One.xlsx", "S", 1, 0, "a"), ("One.xlsx", "S", 1, 1, "b"), ("One.xlsx", "S", 2, 0, "c")]
+    assert there() == [*kept, ("Two.xlsx", "S", 1, 0, "x")]
+    # a workbook with the length and time that it had isn't opened, whatever it holds
+    seen = one.stat()
+    one.write_bytes(b"x" * seen.st_size)
+    os.utime(one, ns=(seen.st_atime_ns, seen.st_mtime_ns))
+    write_workbook(two, {"T": [["y", "z"]]})
+    assert table.refresh() == {"parsed": 1, "removed": 0}
+    assert there() == [*kept, ("Two.xlsx", "T", 1, 0, "y"), ("Two.xlsx", "T", 1, 1, "z")]
+    two.unlink()
+    assert table.refresh() == {"parsed": 0, "removed": 1} and there() == kept
+    again = workbooks.CellTable(spark, str(books), str(tmp_path / "cells"))
+    assert again.refresh() == {"parsed": 0, "removed": 0} and again.cells().count() == 3
+
+
+def test_documents_of_a_version_come_together(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = [(f"a{k}.md", f"text {k} é") for k in range(6)]
+
+    def publish(rows, **options):
+        df = spark.createDataFrame(rows, "name string, document string").repartition(3)
+        return {r["name"]: r["action"] for r in documents.publish(df, path, **options).collect()}
+
+    def there():
+        last = documents.versions(path)[-1]
+        return {p.name: p.read_text() for p in (tmp_path / "out" / f"v{last}").iterdir() if p.name != documents.LIST}
+
+    assert publish(rows, dry_run=True) == {n: "new" for n, _ in rows} and not documents.versions(path)
+    publish(rows)
+    assert there() == dict(rows) and documents.versions(path) == [1]
+    assert set(publish(rows).values()) == {"unchanged"} and documents.versions(path) == [1]
+    # a task that fails, and two documents of one name, leave all as it was
+    for bad in ([*rows[:5], ("b/c.md", "x")], [*rows, ("a0.md", "again")]):
+        with pytest.raises(Exception):
+            publish(bad)
+        assert documents.versions(path) == [1] and there() == dict(rows)
+        assert [p.name for p in (tmp_path / "out").iterdir()] == ["v1"]
+    changed = [("a0.md", "other"), *rows[2:], ("n.md", None)]
+    assert publish(changed) == {"a0.md": "changed", "a1.md": "removed", "n.md": "new", **{n: "unchanged" for n, _ in rows[2:]}}
+    assert there() == {n: t or "" for n, t in changed} and documents.versions(path) == [1, 2]
+    more = spark.createDataFrame([("z.md", "z")], "name string, document string")
+    spark.dataSource.register(documents.DocumentSink)
+    more.write.format("documents").mode("append").option("path", path).save()
+    assert there() == {n: t or "" for n, t in [*changed, ("z.md", "z")]}
+
+
+def test_documents_leave_out_files_that_are_not_approved(spark):
+    rows = [("A-1", "t", "x", "One", f, "s", 2) for f in (" A.xlsx ", "b.xlsx", None)]
+    corpus = spark.createDataFrame(rows, "ref string, title string, text string, category string, source_file string, source_sheet string, source_row int")
+    assert rules.area_documents(corpus).first()["rules"] == 3
+    (one,) = rules.area_documents(corpus, ["a.xlsx", "b.xlsx"], ["B.XLSX"]).collect()
+    assert one["rules"] == 1 and "A.xlsx" in one["document"] and rules.area_documents(corpus, []).count() == 0
+
+
 def test_checked_drafts(spark):
     rows = [
         (1, '{"draft_reply": "Hi", "sources_used": [{"kind": "a", "ref": "r"}], "missing_information": [], "requires_review": false}'),
