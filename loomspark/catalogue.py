@@ -715,6 +715,35 @@ def page_boundary(spark, sf_dir):
     return reads.row_at(table(spark, sf_dir, "events").select("event_id", "ts"), 99, "ts", "event_id")
 
 
+@query("""SELECT (n - 1) // 50 AS page, ts, event_id AS pk FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS n FROM events)
+          WHERE (n - 1) % 50 = 0""")
+def page_starts(spark, sf_dir):
+    return reads.page_starts(table(spark, sf_dir, "events"), 50, "ts", "event_id")
+
+
+@query("""
+    WITH RECURSIVE wishes AS (
+      SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+             CASE event_type WHEN 'click' THEN 'drafting' WHEN 'purchase' THEN 'reviewed' WHEN 'error' THEN 'received' ELSE 'pending_review' END AS wanted
+      FROM events),
+    replay AS (
+      SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS wanted,
+             CAST(NULL AS VARCHAR) AS came_from, 'received' AS now, false AS moved FROM events
+      UNION ALL
+      SELECT user_id, n, event_id, wanted, was, CASE WHEN ok THEN wanted ELSE was END, ok FROM (
+        SELECT w.*, r.now AS was, (r.now, w.wanted) IN (('received', 'drafting'), ('drafting', 'pending_review'),
+               ('pending_review', 'drafting'), ('pending_review', 'reviewed')) AS ok
+        FROM replay r JOIN wishes w ON w.user_id = r.user_id AND w.n = r.n + 1))
+    SELECT user_id, event_id, wanted, came_from, moved FROM replay WHERE n > 0""")
+def workflow_replay(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    wanted = F.when(kind == "click", "drafting").when(kind == "purchase", "reviewed").when(kind == "error", "received")
+    wishes = events.select("user_id", "ts", "event_id", wanted.otherwise("pending_review").alias("wanted"))
+    states = events.select("user_id").distinct().withColumn("state", F.lit("received"))
+    return upsert.replayed_states(states, wishes, "user_id", "ts", "event_id").drop("ts")
+
+
 @query("""
     WITH rows AS (SELECT *, CASE WHEN event_type = 'error' THEN 'notice' WHEN value < 10 THEN 'unusable' ELSE 'message' END AS c FROM events)
     SELECT count(*) AS examined, count(*) FILTER (c = 'message') AS message, count(*) FILTER (c = 'notice') AS notice, CAST(0 AS BIGINT) AS ambiguous,

@@ -123,10 +123,16 @@ def _referenced(rows: DataFrame, marketplace: str, direction: Column, row_class:
     return _shaped(rows, marketplace, **(columns | more))
 
 
-def inbox_filter_reason(company_domains: Sequence[str], order_pattern: str = ORDER_WORD) -> Column:
-    """Why a mail isn't for the reply inbox; null for one that is.  The first rule that fits counts."""
-    domain = T.domain_of(F.col("from_msg"))
-    org, subject = T.organisation_label(domain), F.coalesce("subject", F.lit(""))
+def inbox_filter_reason(
+    company_domains: Sequence[str], order_pattern: str = ORDER_WORD, domain: Column | None = None, org: Column | None = None
+) -> Column:
+    """Why a mail isn't for the reply inbox; null for one that is.  The first rule that fits counts.
+
+    ``domain`` and ``org`` are the sender's where they are columns already.
+    """
+    domain = T.domain_of(F.col("from_msg")) if domain is None else domain
+    org = T.organisation_label(domain) if org is None else org
+    subject = F.coalesce("subject", F.lit(""))
     order = T.none_if_blank(F.col("order_id")).isNotNull()
     signal = order | subject.rlike(order_pattern) | subject.rlike(REPLY) | subject.rlike(QUOTE)
     none = F.lit(None).cast("string")
@@ -150,12 +156,15 @@ def mailbox_messages(
     A row where both or neither are, or a side is missing, is ambiguous; that is tested
     before the account is, so an ambiguous row can lack one.
     """
-    sides = T.domain_of(F.col("from_msg")), T.domain_of(F.col("to_msg"))
+    # in projections of their own, so that they are computed once a row
+    rows = rows.withColumns({"_from": T.domain_of(F.col("from_msg")), "_to": T.domain_of(F.col("to_msg"))})
+    rows = rows.withColumn("_org", T.organisation_label(F.col("_from")))
+    sides = F.col("_from"), F.col("_to")
     ours, theirs = (T.in_domains(d, company_domains) for d in sides)
     known = sides[0].isNotNull() & sides[1].isNotNull()
     direction = F.when(known & ours & ~theirs, "outbound").when(known & ~ours & theirs, "inbound")
     row_class = F.when(direction.isNull(), "ambiguous").when(F.col("sub_source").isNull(), "unusable").otherwise("message")
-    reason = inbox_filter_reason(company_domains, order_pattern)
+    reason = inbox_filter_reason(company_domains, order_pattern, F.col("_from"), F.col("_org"))
     return _referenced(rows, marketplace, direction, row_class, filter_reason=reason)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.operators.upsert import first_by
-from loomspark.sources.scans import read_limit
+from loomspark.sources.scans import micros, read_limit
 
 # Order statuses by what they mean.
 ACTIVE_ORDER_STATUSES = ("Completed", "Refunded", "Inprogress", "New", "Hold")
@@ -49,6 +49,28 @@ def row_at(rows: DataFrame, offset: int, *order: str) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(1)
 
 
+def page_starts(rows: DataFrame, size: int, ts: str, pk: str, most: int = 1_000_000) -> DataFrame:
+    """``page, ts, pk`` of the row that begins each page of ``size`` rows, in the order of both.
+
+    Rows are cut by quantiles of their times into ranges of about ``most`` rows, 1000 at most, which
+    are counted and sorted each on its own; a row's place is its place within and the rows of the
+    ranges before.  Rows of one instant are one range.
+    """
+    at = micros(rows, ts)
+    cuts = min(1000, -(-rows.count() // most))
+    bounds = []
+    if cuts > 1:
+        wanted = F.array(*(F.lit(k / cuts) for k in range(1, cuts)))
+        bounds = sorted(set(rows.agg(F.percentile_approx(at, wanted, 10_000)).first()[0] or []))
+    below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= at)) if bounds else F.lit(0)
+    cut = rows.select(F.col(ts).alias("ts"), F.col(pk).alias("pk"), below.alias("_range"))
+    before = F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    counts = cut.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("ts", "pk"))
+    place = cut.withColumn("_place", within).join(F.broadcast(counts), "_range").withColumn("_place", F.col("_before") + F.col("_place") - 1)
+    return place.where(F.col("_place") % size == 0).select(F.expr(f"_place div {int(size)}").alias("page"), "ts", "pk")
+
+
 def message_summary(rows: DataFrame) -> DataFrame:
     """One row on classified rows: how many of each class, and what the messages are like."""
     message = F.col("row_class") == "message"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
+from loomspark.sources import scans
 
 
 def gap_segments(rows: DataFrame, keys: list[str], ts: str, pk: str, gap: str = "30 days", out: str = "segment") -> DataFrame:
@@ -40,9 +41,7 @@ def spread_gap_segments(
     if largest is None:
         return gap_segments(rows, keys, ts, pk, gap, out)
     cuts = -(-largest // most)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    if rows.schema[ts].dataType.typeName() == "timestamp_ntz":
-        micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
+    micros = scans.micros(rows, ts)
     at = F.array(*(F.lit(k / cuts) for k in range(1, cuts)))
     bounds = keyed.join(F.broadcast(counts.select(name)), name).groupBy(name)
     bounds = bounds.agg(F.percentile_approx(micros, at, 10 * max(1000, cuts)).alias("_bounds"))

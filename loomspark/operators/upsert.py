@@ -6,10 +6,14 @@ caller writes it.  Running a batch twice changes nothing the second time.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
+
+from loomspark.sources.scans import micros
 
 #: Allowed changes of the workflow state.
 TRANSITIONS = {
@@ -144,3 +148,88 @@ def moved_states(states: DataFrame, wishes: DataFrame, key: str) -> DataFrame:
     both = states.join(wishes.select(key, "expected", "wanted"), key, "left")
     moved = F.coalesce(ok, F.lit(False))
     return both.select(key, F.when(moved, F.col("wanted")).otherwise(F.col("state")).alias("state"), moved.alias("moved"))
+
+
+#: States by number, and for each wanted state what the others become; the last number is any other state.
+_STATES = tuple(TRANSITIONS)
+_MOVES = {w: [_STATES.index(w) if w in TRANSITIONS[s] else k for k, s in enumerate(_STATES)] + [len(_STATES)] for w in _STATES}
+_IDENTITY = list(range(len(_STATES) + 1))
+
+
+def _scanned(rows: DataFrame, group: Sequence[str], order: Sequence[str], last: bool) -> DataFrame:
+    """Rows with ``_before``: what their group's ``_start`` has become by the moves ``_f`` before theirs; or
+    with ``last`` one row a group and what it has become after all.
+
+    Groups are read in order, a batch at a time, so none has to fit in memory.
+    """
+    name = F.to_json(F.struct(*group))
+    ready = rows.repartition(*group).sortWithinPartitions(*group, *order).withColumn("_group", name)
+    ready = ready.select(*group, "_start", "_f", "_group") if last else ready
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, now, row = None, None, None
+        for batch in batches:
+            before, done = [], []
+            for k, (g, start, f) in enumerate(zip(*(batch[c].to_pylist() for c in ("_group", "_start", "_f")))):
+                if g != at:
+                    if last and at is not None:
+                        done.append((row, now))
+                    at, now, row = g, start, batch.slice(k, 1).select(list(group))
+                before.append(now)
+                now = [f[s] for s in now]
+            if not last:
+                out = batch.drop_columns(["_group"])
+                yield out.append_column("_before", pa.array(before, pa.list_(pa.int32())))
+            for one, after in done:
+                yield one.append_column("_f", pa.array([after], pa.list_(pa.int32())))
+        if last and at is not None:
+            yield row.append_column("_f", pa.array([now], pa.list_(pa.int32())))
+
+    shape = rows.select(*group).schema if last else rows.schema
+    return ready.mapInArrow(scan, shape.add("_f" if last else "_before", ArrayType(IntegerType())))
+
+
+def replayed_states(states: DataFrame, wishes: DataFrame, key: str, ts: str, pk: str, most: int = 1_000_000) -> DataFrame:
+    """``wishes`` (``key, ts, pk, wanted``) with ``came_from`` and ``moved``: each key's wishes are granted one
+    after another, if the state that it has by then may change so.
+
+    A wish of a key without a state isn't granted and comes from null.  Keys with over ``most`` wishes
+    are cut into pieces of about as many by quantiles of time: a piece is composed to what it makes
+    of each state, a scan over one row a piece gives the state that each begins with, and pieces are
+    replayed on their own.  Wishes of one key and instant are one piece.
+    """
+    f = F.coalesce(
+        F.try_element_at(F.create_map(*(x for w, m in _MOVES.items() for x in (F.lit(w), F.array(*map(F.lit, m))))), F.col("wanted")),
+        F.array(*map(F.lit, _IDENTITY)),
+    )
+    number = F.coalesce(F.array_position(F.array(*map(F.lit, _STATES)), F.col("state")) - 1, F.lit(-1)).cast("int")
+    number = F.when(number < 0, len(_STATES)).otherwise(number)
+    identity = F.array(*map(F.lit, _IDENTITY))
+    rows = wishes.select(key, ts, pk, "wanted").withColumn("_f", f)
+    begin = states.select(key, "state", F.array(number).alias("_start"))
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    largest = hot.agg(F.max("_n")).first()[0]
+    first = rows.withColumn("_piece", F.lit(0)).join(begin, key, "left")
+    if largest is not None:
+        cuts = -(-largest // most)
+        at = F.array(*(F.lit(k / cuts) for k in range(1, cuts)))
+        # hot keys are wishes / most at most
+        bounds = rows.withColumn("_us", micros(rows, ts)).join(F.broadcast(hot.select(key)), key).groupBy(key)
+        bounds = bounds.agg(F.percentile_approx("_us", at, 10 * max(1000, cuts)).alias("_bounds"))
+        piece = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col("_us"))), F.lit(0))
+        cut = rows.withColumn("_us", micros(rows, ts)).join(F.broadcast(bounds), key, "left")
+        cut = cut.withColumn("_piece", F.when(F.col("_bounds").isNull(), 0).otherwise(piece)).withColumn("_hot", F.col("_bounds").isNotNull()).drop("_us", "_bounds")
+        pieces = _scanned(cut.where("_hot").withColumn("_start", identity), [key, "_piece"], [ts, pk], last=True)
+        starts = _scanned(pieces.join(begin.drop("state"), key, "left").withColumn("_start", _known("_start")), [key], ["_piece"], last=False)
+        starts = starts.select(key, "_piece", F.col("_before").alias("_begin"))
+        first = cut.drop("_hot").join(starts.hint("merge"), [key, "_piece"], "left").join(begin, key, "left")
+        first = first.withColumn("_start", F.coalesce("_begin", "_start")).drop("_begin")
+    first = first.withColumn("_start", _known("_start"))
+    found = _scanned(first, [key, "_piece"], [ts, pk], last=False).withColumn("_s", F.col("_before")[0])
+    moved = F.coalesce(F.get("_f", F.col("_s")) != F.col("_s"), F.lit(False))
+    came_from = F.coalesce(F.get(F.array(*map(F.lit, _STATES)), F.col("_s")), F.col("state"))
+    return found.select(key, ts, pk, "wanted", came_from.alias("came_from"), moved.alias("moved"))
+
+
+def _known(start: str) -> Column:
+    return F.coalesce(F.col(start), F.array(F.lit(len(_STATES))))

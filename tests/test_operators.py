@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -289,3 +290,43 @@ def test_hot_keys_are_cut_into_pieces(spark):
     found = threads.spread_gap_segments(df, ["a", "b"], "ts", "pk", "1 day", most=100)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_page_starts_in_ranges(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.date_trunc("DAY", "ts").cast("timestamp_ntz").alias("ts"))
+    rows = sorted((r["ts"], r["event_id"]) for r in events.collect())
+    want = [(k // 7, *rows[k]) for k in range(0, len(rows), 7)]
+    for most in (40, 10**6):  # many rows of one instant, and one range
+        assert sorted(map(tuple, reads.page_starts(events, 7, "ts", "event_id", most).collect())) == want
+    assert reads.page_starts(events.limit(0), 7, "ts", "event_id").count() == 0
+
+
+def test_wishes_are_replayed_in_pieces(spark):
+    """Equal to granting them one by one, with a key that has many wishes and keys without a state."""
+    rng = random.Random(4)
+    names = [*upsert.TRANSITIONS, "unknown", None]
+    start = datetime(2024, 1, 1)
+    rows = [(rng.choice([1, 1, 1, 2, 3, 4]), start + timedelta(hours=rng.randrange(300)), n, rng.choice(names)) for n in range(1500)]
+    states = {1: "received", 2: "reviewed", 3: "elsewhere"}
+    now, want = dict(states), {}
+    for key, _, pk, wanted in sorted(rows, key=lambda r: r[1:3]):
+        was = now.get(key)
+        moved = wanted in upsert.TRANSITIONS.get(was, ())
+        want[pk] = (was, moved)
+        if moved:
+            now[key] = wanted
+    wishes = spark.createDataFrame(rows, "k bigint, ts timestamp_ntz, pk bigint, wanted string").repartition(5)
+    known = spark.createDataFrame(list(states.items()), "k bigint, state string")
+    # reviewed ends it, so without it the long key moves to its end
+    for some in (wishes, wishes.where("wanted <> 'reviewed'")):
+        kept = {r["pk"] for r in some.collect()}
+        if len(kept) < len(rows):
+            now, want = dict(states), {}
+            for key, _, pk, wanted in sorted((r for r in rows if r[2] in kept), key=lambda r: r[1:3]):
+                was = now.get(key)
+                want[pk] = (was, wanted in upsert.TRANSITIONS.get(was, ()))
+                now[key] = wanted if want[pk][1] else was
+        for most in (50, 10**6):
+            out = upsert.replayed_states(known, some, "k", "ts", "pk", most).collect()
+            assert len(out) == len(kept) and {r["pk"]: (r["came_from"], r["moved"]) for r in out} == want
+    assert upsert.replayed_states(known, wishes.limit(0), "k", "ts", "pk").count() == 0
