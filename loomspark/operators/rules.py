@@ -33,6 +33,13 @@ SHARED_NOTE = (
 #: Priority of escalation rules; others have the default.
 ESCALATION_PRIORITY, DEFAULT_PRIORITY = 10, 100
 # ----------------------------------------------------------------------------------------
+#: Fields of rules, and how the header cells of their columns begin.
+FIELDS = {
+    "scenario": "scenario_id", "situation": "situation", "key_rule": "category / key rule", "internal": "internal",
+    "trigger": "trigger condition", "action": "required action", "escalate_to": "escalate to", "response": "response time",
+    "escalate": r"escalate\z", "keywords": "ai trigger", "template": "reply template", "banned": "banned phrase",
+    "instead": "use (this )?instead", "rule": "rule / requirement", "do_dont": "do or don",
+}
 #: What a rule can tell to do; one that has none of these is no rule.
 INSTRUCTIONS = ("rule_requirement", "key_rule", "agent_action", "do_instruction", "dont_instruction", "banned_phrase")
 
@@ -50,47 +57,62 @@ def header_name(cell: Column) -> Column:
     return F.regexp_replace(one_line, r"\A[^\p{L}\p{N}]+|[^\p{L}\p{N})]+\z", "")
 
 
-def _begins(pattern: str):
-    return lambda value: value.rlike(rf"\A({pattern})")
+def header_names(cells: Column) -> Column:
+    """``header_name`` of each of some texts, as lines of one text: the patterns run once for all."""
+    lines = F.replace(F.regexp_replace(F.lower(F.array_join(cells, "\x01")), r"\s+", " "), F.lit("\x01"), F.lit("\n"))
+    return F.regexp_replace(lines, r"(?md)^[^\p{L}\p{N}\n]+|[^\p{L}\p{N})\n]+$", "")
 
 
 def labelled_rows(cells: DataFrame) -> DataFrame:
-    """``file, sheet, layout, row, fields``: rows under the sheet's header, cells by header text.
+    """``file, sheet, layout, row, cells, columns``: the rows under a sheet's header, with the columns
+    that each of FIELDS has there.
 
     The header is the first row that has all the cells of a layout, so titles above it are
-    passed over.  A sheet without one gives a single row with a null layout.
+    passed over.  A sheet without one gives a single row with a null layout.  Columns are found once
+    a sheet and joined to its rows, so a long sheet isn't one task.
     """
     rows = sheet_rows(cells)
-    values = F.transform(F.map_values("cells"), header_name)
+    rows = rows.withColumn("_names", header_names(F.map_values("cells")))
     layout = F.lit(None).cast("string")
     for name, wanted in LAYOUTS.items():
         has = F.lit(True)
         for w in wanted:
-            has = has & F.exists(values, _begins(w))
+            has = has & F.col("_names").rlike(f"(?md)^({w})")
         layout = F.coalesce(layout, F.when(has, name))
-    sheet = Window.partitionBy("file", "sheet")
-    rows = rows.withColumn("_layout", layout)
-    # a map can't be compared, so the header's cells come along by its row
-    first = F.min_by(F.struct("row", "_layout", "cells"), F.when(F.col("_layout").isNotNull(), F.col("row"))).over(sheet)
-    rows = rows.withColumn("_head", F.when(F.max(F.col("_layout").isNotNull()).over(sheet), first))
-    names = F.transform(
-        F.map_entries("cells"),
-        lambda e: F.struct(header_name(F.try_element_at(F.col("_head.cells"), e["key"])).alias("key"), e["value"].alias("value")),
-    )
-    named = F.filter(names, lambda e: e["key"].isNotNull())
-    fields = F.map_from_entries(F.filter(named, lambda e, i: ~F.array_contains(F.slice(F.transform(named, lambda x: x["key"]), 1, i), e["key"])))
-    under = rows.where(F.col("row") > F.col("_head.row")).select(
-        "file", "sheet", F.col("_head._layout").alias("layout"), "row", fields.alias("fields")
-    )
-    skipped = rows.where(F.col("_head").isNull()).groupBy("file", "sheet").agg(F.lit(None).cast("string").alias("layout"))
-    skipped = skipped.select("file", "sheet", "layout", F.lit(None).cast("int").alias("row"), F.lit(None).cast("map<string,string>").alias("fields"))
-    return under.unionByName(skipped)
-
-
-def _field(*starts: str) -> Column:
-    """The first field whose name begins so."""
-    hit = F.filter(F.map_entries("fields"), lambda e: e["key"].rlike(rf"\A({'|'.join(starts)})"))
-    return F.try_element_at(hit, F.lit(1))["value"]
+    first = F.min_by(F.struct("row", "_layout", "cells", "_names"), F.col("row")).alias("h")
+    heads = rows.withColumn("_layout", layout).where(F.col("_layout").isNotNull()).groupBy("file", "sheet").agg(first)
+    names = F.arrays_zip(F.map_keys("h.cells").alias("col"), F.split("h._names", "\n").alias("name"))
+    heads = heads.select("file", "sheet", F.col("h.row").alias("_head"), F.col("h._layout").alias("layout"), names.alias("_names"))
+
+    def having(pattern: str) -> Column:
+        return F.transform(F.filter("_names", lambda n: n["name"].rlike(rf"\A({pattern})")), lambda n: n["col"])
+
+    columns = F.struct(*(having(p).alias(f) for f, p in FIELDS.items()))
+    heads = heads.select("file", "sheet", "_head", "layout", "_names", columns.alias("columns"))
+    rows = rows.drop("_names")
+    under = rows.join(heads, ["file", "sheet"]).where(F.col("row") > F.col("_head"))
+    under = under.select("file", "sheet", "layout", "row", "cells", "columns", "_names")
+    plain = rows.select("file", "sheet").distinct().join(heads.select("file", "sheet"), ["file", "sheet"], "left_anti")
+    empty = (F.lit(None).cast(under.schema[c].dataType).alias(c) for c in under.columns[2:])
+    return under.unionByName(plain.select("file", "sheet", *empty))
+
+
+def _field(name: str) -> Column:
+    """The first filled cell of a field's columns; there is seldom more than one."""
+    columns = F.col(f"columns.{name}")
+    more = F.filter(F.transform(columns, lambda c: F.try_element_at(F.col("cells"), c)), lambda v: v.isNotNull())
+    return F.coalesce(F.try_element_at(F.col("cells"), F.get(columns, 0)), F.when(F.size(columns) > 1, F.get(more, 0)))
+
+
+def _field_values() -> Column:
+    """A row's cells under a header, in order; of columns of one name the first filled one."""
+    filled = F.filter("_names", lambda n: F.map_contains_key("cells", n["col"]))
+    names = F.transform(filled, lambda n: n["name"])
+    once = F.when(
+        F.size(F.array_distinct(names)) < F.size(names),
+        F.filter(filled, lambda n, i: ~F.array_contains(F.slice(names, 1, i), n["name"])),
+    ).otherwise(filled)
+    return F.transform(once, lambda n: F.try_element_at(F.col("cells"), n["col"]))
 
 
 def extracted_rules(cells: DataFrame, categories: Mapping[str, str]) -> DataFrame:
@@ -109,34 +131,34 @@ def extracted_rules(cells: DataFrame, categories: Mapping[str, str]) -> DataFram
             out = F.when(F.col("layout") == layout, column).otherwise(out)
         return out
 
-    banned, keywords = _field("banned phrase"), F.coalesce(_field("ai trigger"), F.lit(""))
-    rule = _field("rule / requirement")
-    forbids = F.coalesce(F.lower(_field("do or don")).rlike(r"\bdon['’]?t\b|\bdo not\b"), F.lit(False))
+    banned, keywords = _field("banned"), F.coalesce(_field("keywords"), F.lit(""))
+    rule = _field("rule")
+    forbids = F.coalesce(F.lower(_field("do_dont")).rlike(r"\bdon['’]?t\b|\bdo not\b"), F.lit(False))
     escalation = F.concat_ws(
         " ",
-        _field("required action"),
-        F.concat(F.lit("Escalate to: "), _field("escalate to")),
-        F.concat(F.lit("Response time: "), _field("response time")),
+        _field("action"),
+        F.concat(F.lit("Escalate to: "), _field("escalate_to")),
+        F.concat(F.lit("Response time: "), _field("response")),
     )
     name = by(
-        scenario=_field("scenario_id"), escalation=_field("trigger condition"), banned=banned, do_dont=rule
+        scenario=_field("scenario"), escalation=_field("trigger"), banned=banned, do_dont=rule
     )
     rules = rows.select(
         F.try_element_at(names, F.col("file")).alias("category_name"),
         F.col("file").alias("source_file"), F.col("sheet").alias("source_sheet"), F.col("row").alias("source_row"),
-        T.row_checksum(F.map_values("fields")).alias("content_checksum"),
+        T.row_checksum(_field_values()).alias("content_checksum"),
         F.col("sheet").alias("subcategory"), name.alias("rule_name"), F.col("layout").alias("rule_type"),
         by(scenario=_field("situation")).alias("rule_requirement"),
-        by(scenario=_field("category / key rule")).alias("key_rule"),
+        by(scenario=_field("key_rule")).alias("key_rule"),
         by(scenario=_field("internal"), escalation=F.nullif(escalation, F.lit(""))).alias("agent_action"),
         by(do_dont=F.when(~forbids, rule)).alias("do_instruction"),
         by(do_dont=F.when(forbids, rule), banned=banned).alias("dont_instruction"),
         by(banned=banned).alias("banned_phrase"),
-        by(banned=_field("use (this )?instead")).alias("replacement_instruction"),
-        ((F.col("layout") == "escalation") | F.coalesce(F.lower(_field("escalate\\z")).rlike(r"\Ayes"), F.lit(False))).alias("escalation_required"),
+        by(banned=_field("instead")).alias("replacement_instruction"),
+        ((F.col("layout") == "escalation") | F.coalesce(F.lower(_field("escalate")).rlike(r"\Ayes"), F.lit(False))).alias("escalation_required"),
         F.when(F.col("layout") == "escalation", ESCALATION_PRIORITY).otherwise(DEFAULT_PRIORITY).alias("priority"),
         F.filter(F.transform(F.split(keywords, r"[|\n]"), T.trimmed), lambda x: x != "").alias("triggers"),
-        _field("reply template").alias("example"),
+        _field("template").alias("example"),
     ).where(F.col("rule_name").isNotNull())
     return rules.where(F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in INSTRUCTIONS)).isNotNull())
 
