@@ -715,6 +715,25 @@ def page_boundary(spark, sf_dir):
     return reads.row_at(table(spark, sf_dir, "events").select("event_id", "ts"), 99, "ts", "event_id")
 
 
+@query("""
+    SELECT user_id AS feed_key, CASE WHEN user_id % 3 = 0 THEN first_ts ELSE last_ts END AS ts,
+           CASE WHEN user_id % 3 = 0 THEN first_id ELSE last_id END AS pk, CASE WHEN user_id % 3 = 0 THEN 'failed' ELSE 'ok' END AS last_status,
+           CASE WHEN user_id % 3 = 0 THEN 'lost' END AS last_error, user_id % 3 <> 0 AS renewed
+    FROM (SELECT user_id, min(ts) AS first_ts, arg_min(event_id, (ts, event_id)) AS first_id, max(ts) AS last_ts, arg_max(event_id, (ts, event_id)) AS last_id
+          FROM events GROUP BY user_id)""")
+def run_states(spark, sf_dir):
+    """Each user's events as a feed that has run to its first event and runs again to its last."""
+    events = table(spark, sf_dir, "events")
+    at = F.struct("ts", F.col("event_id").alias("pk"))
+    ends = events.groupBy(F.col("user_id").alias("feed_key")).agg(F.min(at).alias("a"), F.max(at).alias("b"))
+    then, now = (F.lit(datetime(2020 + k, 1, 1)).cast("timestamp_ntz") for k in range(2))
+    states = ends.select("feed_key", "a.ts", "a.pk", then.alias("last_run_at"), then.alias("last_success_at"), F.lit("ok").alias("last_status"),
+                         F.lit(None).cast("string").alias("last_error"))
+    runs = ends.select("feed_key", "b.ts", "b.pk", F.when(F.col("feed_key") % 3 == 0, "lost").alias("error"))
+    out = upsert.run_states(states, runs, now)
+    return out.select("feed_key", "ts", "pk", "last_status", "last_error", (F.col("last_success_at") == now).alias("renewed"))
+
+
 @query("""SELECT (n - 1) // 50 AS page, ts, event_id AS pk FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS n FROM events)
           WHERE (n - 1) % 50 = 0""")
 def page_starts(spark, sf_dir):

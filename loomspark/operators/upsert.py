@@ -62,6 +62,28 @@ def advanced_cursors(cursors: DataFrame, batch: DataFrame, feed: str = "feed_key
     return pairs.select(feed, "c.ts", "c.pk")
 
 
+def run_states(states: DataFrame, runs: DataFrame, now: Column, feed: str = "feed_key") -> DataFrame:
+    """``feed, ts, pk, last_run_at, last_success_at, last_status, last_error`` after some runs.
+
+    ``runs`` has ``feed, ts, pk, error``, one row a feed.  One without an error is ``ok``: its cursor moves
+    forward, if it does, and an older error goes.  One with an error is ``failed`` and leaves the
+    cursor and the time of the last success.  Feeds that didn't run stay as they are.
+    """
+    new = runs.select(feed, F.struct("ts", F.col("pk").cast("bigint").alias("pk")).alias("_cursor"), F.col("error").alias("_error"), F.lit(True).alias("_ran"))
+    both = states.join(new, feed, "full")
+    ran, failed = F.col("_ran").isNotNull(), F.col("_error").isNotNull()
+    old = F.when(F.col("ts").isNotNull(), F.struct("ts", F.col("pk").cast("bigint").alias("pk")))
+    came = F.when(ran & ~failed & F.col("_cursor.ts").isNotNull(), F.col("_cursor"))
+    best = F.greatest(old, came)  # of which null is none
+    return both.select(
+        feed, best["ts"].alias("ts"), best["pk"].alias("pk"),
+        F.when(ran, now).otherwise(F.col("last_run_at")).alias("last_run_at"),
+        F.when(ran & ~failed, now).otherwise(F.col("last_success_at")).alias("last_success_at"),
+        F.when(ran, F.when(failed, "failed").otherwise("ok")).otherwise(F.col("last_status")).alias("last_status"),
+        F.when(ran, F.col("_error")).otherwise(F.col("last_error")).alias("last_error"),
+    )
+
+
 def recounted(threads: DataFrame, messages: DataFrame, key: str = "thread_key") -> DataFrame:
     """Threads with counts taken anew from the messages that are stored."""
     counts = messages.groupBy(key).agg(

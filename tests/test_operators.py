@@ -330,3 +330,21 @@ def test_wishes_are_replayed_in_pieces(spark):
             out = upsert.replayed_states(known, some, "k", "ts", "pk", most).collect()
             assert len(out) == len(kept) and {r["pk"]: (r["came_from"], r["moved"]) for r in out} == want
     assert upsert.replayed_states(known, wishes.limit(0), "k", "ts", "pk").count() == 0
+
+
+def test_states_of_runs(spark):
+    fields = "feed_key string, ts timestamp_ntz, pk bigint, last_run_at timestamp_ntz, last_success_at timestamp_ntz, last_status string, last_error string"
+    a, b, now = DAY, DAY + timedelta(days=1), DAY + timedelta(days=9)
+    states = spark.createDataFrame([
+        ("on", a, 9, a, a, "ok", None), ("back", b, 5, a, a, "failed", "x"), ("fails", a, 1, a, a, "ok", None), ("rests", a, 1, a, a, "ok", None),
+        ("first", None, None, None, None, None, None),
+    ], fields)
+    runs = spark.createDataFrame(
+        [("on", a, 10, None), ("back", a, 99, None), ("fails", b, 7, "no route"), ("first", b, 2, None), ("new", None, None, None)],
+        "feed_key string, ts timestamp_ntz, pk bigint, error string",
+    )
+    out = {r["feed_key"]: tuple(r)[1:] for r in upsert.run_states(states, runs, F.lit(now).cast("timestamp_ntz")).collect()}
+    assert out == {
+        "on": (a, 10, now, now, "ok", None), "back": (b, 5, now, now, "ok", None), "fails": (a, 1, now, a, "failed", "no route"),
+        "rests": (a, 1, a, a, "ok", None), "first": (b, 2, now, now, "ok", None), "new": (None, None, now, now, "ok", None),
+    }
