@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.operators import classify, reads, rules, threads, upsert
+from loomspark.operators import classify, reads, rules, threads, upsert, usage
 from loomspark.plans import feeds
 from loomspark.sources import scans
-from loomspark.streaming import store
+from loomspark.streaming import cursors, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1122,3 +1122,138 @@ def clashing_refs(spark, sf_dir):
     )
     cites = table(spark, sf_dir, "orders").select("o_orderkey", F.array(F.concat(F.lit("P-"), F.col("o_custkey") % 50)).alias("refs"))
     return rules.resolved_citations(cites, known, "o_orderkey").select("o_orderkey", "state", "title")
+
+
+# ---- sources by name, pages of a stream, usage rows ------------------------------------
+@query("""
+    SELECT CAST(event_id AS VARCHAR) AS id, CAST(event_id * 3 AS VARCHAR) AS ext_message_id, 'm' || event_id AS message_id, 1 AS sub_source,
+           CAST(user_id AS VARCHAR) AS item_id, event_id % 2 AS folder_id, event_type AS message_type, 'c' || user_id AS sender_id,
+           'us' AS receiver_id, strftime(ts, '%Y-%m-%d %H:%M') AS received, o_orderpriority AS body_raw
+    FROM events LEFT JOIN orders ON o_orderkey = event_id * 3 WHERE ts >= TIMESTAMP '2024-01-10'""")
+def header_body_scan(spark, sf_dir):
+    """Events as headers, orders as bodies of those whose number is theirs."""
+    headers = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), (F.col("event_id") * 3).alias("ext_message_id"), F.concat(F.lit("m"), "event_id").alias("message_id"),
+        F.lit(1).alias("sub_source"), F.col("user_id").alias("item_id"), (F.col("event_id") % 2).alias("folder_id"),
+        F.col("event_type").alias("message_type"), F.concat(F.lit("c"), "user_id").alias("sender_id"), F.lit("us").alias("receiver_id"),
+        F.col("ts").alias("receive_date"), F.col("props").alias("unread"),
+    )
+    bodies = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("message_id"), F.col("o_orderpriority").alias("message"))
+    out = scans.source_scan("ebay", headers, scans.Since(datetime(2024, 1, 10)), bodies=bodies)
+    return out.withColumn("received", F.left("receive_date", F.lit(16))).drop("receive_date")
+
+
+@query("""SELECT event_id, user_id, event_type FROM events WHERE (ts, event_id) > (TIMESTAMP '2024-01-09 12:00:00', 17)
+          ORDER BY ts, event_id LIMIT 5000""")
+def streamed_page(spark, sf_dir):
+    """The first page of a stream that begins behind a place."""
+    base = store.scratch(spark, "page")
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    window = scans.After(datetime(2024, 1, 9, 12), 17)
+    pages = cursors.read_pages(spark, f"{sf_dir}/events.parquet", rows.schema, "ts", "event_id", window, f"{base}/check", 5000)
+
+    def take(page: DataFrame, number: int) -> int:
+        return store.counted(page, lambda df: df.write.mode("overwrite").parquet(f"{base}/page={number}"))
+
+    cursors.run_pages(pages, f"{base}/check", take, max_pages=1)
+    return spark.read.schema(rows.schema).parquet(f"{base}/page=0").drop("ts")
+
+
+@query("""
+    SELECT o_orderkey AS conversation_id, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey * 10 END AS draft_revision_id,
+           CAST(CASE WHEN o_orderpriority LIKE '1%' THEN o_custkey * 3 + o_orderkey * 9
+                     WHEN o_orderpriority LIKE '5%' THEN round(o_custkey * 0.25 + o_orderkey * 1.5) END AS DOUBLE) / 1000000 AS cost, 'ok' AS outcome FROM orders""")
+def recorded_usage(spark, sf_dir):
+    """Orders as calls, written to a log and read from it; a write that fails leaves it as it is."""
+    path = store.scratch(spark, "usage")
+    rates = spark.createDataFrame([("1-", "3", "9"), ("5-", "0.25", "1.5")], "prefix string, i string, o string").select(
+        "prefix", F.col("i").cast("decimal(10,4)").alias("input_rate"), F.col("o").cast("decimal(10,4)").alias("output_rate")
+    )
+    calls = table(spark, sf_dir, "orders").select(
+        F.lit("p").alias("provider"), F.col("o_orderpriority").alias("model"), F.col("o_orderkey").alias("conversation_id"),
+        F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderkey") * 10).alias("draft_revision_id"), F.col("o_custkey").alias("input_tokens"),
+        F.col("o_orderkey").alias("output_tokens"), (F.col("o_custkey") + F.col("o_orderkey")).alias("total_tokens"),
+        F.lit("ok").alias("outcome"), F.col("o_orderdate").alias("created_at"),
+    )
+    usage.record_usage(calls.drop("outcome"), rates, path, log=lambda said: None)
+    usage.record_usage(calls, rates, path)
+    found = spark.read.schema(calls.select(*(c for c in usage.USAGE_COLUMNS if c in calls.columns)).schema.add("estimated_cost_usd", "decimal(12,6)"))
+    return found.parquet(path).select("conversation_id", "draft_revision_id", F.col("estimated_cost_usd").cast("double").alias("cost"), "outcome")
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+          WHERE o_orderpriority = '2-HIGH' AND l_returnflag = 'N'""")
+def backfill_scope(spark, sf_dir):
+    """Lines as messages of orders, priorities as marketplaces, flags as tables."""
+    messages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("conversation_id"), "l_linenumber", F.col("l_returnflag").alias("source_table"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("conversation_id"), F.col("o_orderpriority").alias("marketplace"))
+    out = reads.messages_of(messages, orders, "2-HIGH", "N")
+    return out.select(F.col("conversation_id").alias("l_orderkey"), "l_linenumber")
+
+
+# ---- reports of rules, and what drafts are given and checked by ------------------------
+@query(f"""
+    WITH {_SHEET_ROWS},
+    dup AS (SELECT *, count(*) OVER (PARTITION BY file) AS n FROM rules WHERE text IS NOT NULL),
+    one AS (SELECT file, 'Area ' || k % 4 AS area, forbids FROM dup),
+    part AS (
+      SELECT 'file' AS part, file AS name, count(*) AS rules, count(*) AS dropped FROM one GROUP BY 2
+      UNION ALL SELECT 'type', 'do_dont', count(*), NULL FROM one
+      UNION ALL SELECT 'category', area, count(*), NULL FROM one GROUP BY 2
+      UNION ALL SELECT 'total', NULL, count(*), count(*) FROM one
+      UNION ALL SELECT 'scrubbed', NULL, count(*), NULL FROM part WHERE p_partkey % 7 = 0
+      UNION ALL SELECT 'skipped', NULL, count(DISTINCT file || sheet) FILTER (k % 2 = 1 AND sheet = 'Terms') + count(DISTINCT file) FILTER (k % 2 = 0), NULL FROM sheets)
+    SELECT * FROM part""")
+def import_totals(spark, sf_dir):
+    """A corpus that comes twice, so that each rule is dropped once."""
+    cells = _sheet_cells(spark, sf_dir)
+    found = rules.extracted_rules(cells, _CATEGORIES)
+    scrubbed = table(spark, sf_dir, "part").where("p_partkey % 7 = 0")
+    out = rules.import_totals(found.unionByName(found), rules.unique_rules(found), rules.skipped_sheets(cells, _CATEGORIES), scrubbed)
+    return out.select("part", "name", "rules", "dropped")
+
+
+@query("""
+    WITH placed AS (SELECT p_brand AS area, min((p_size, p_partkey)) AS first, count(*) AS rules, string_agg('P-' || p_partkey, ',' ORDER BY p_size, p_partkey) AS refs
+                    FROM part GROUP BY 1)
+    SELECT area, row_number() OVER (ORDER BY first, area) AS place, rules, refs FROM placed""")
+def rule_areas(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("category"), "p_size", "p_partkey", F.concat(F.lit("P-"), "p_partkey").alias("ref"))
+    return rules.areas_in_order(parts, "p_size", "p_partkey").withColumn("refs", F.array_join("refs", ","))
+
+
+@query("""
+    WITH facts AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'Refund ' ELSE 'colour ' END || l_linenumber AS name,
+                          '- ' || CASE WHEN l_returnflag = 'R' THEN 'Refund ' ELSE 'colour ' END || l_linenumber || ': ' || l_linestatus AS line FROM lineitem)
+    SELECT o_orderkey AS conversation_id,
+           'ORDER:' || chr(10) || coalesce(string_agg(line, chr(10) ORDER BY l_linenumber, line) FILTER (name LIKE 'Refund%'), 'nothing is known') AS order_block,
+           'PRODUCT:' || chr(10) || coalesce(nullif(concat_ws(chr(10), CASE WHEN o_orderkey % 2 = 0 THEN '- listing: L' || o_orderkey END,
+             string_agg(line, chr(10) ORDER BY l_linenumber, line) FILTER (name LIKE 'colour%')), ''), 'nothing is known') AS product_block
+    FROM orders LEFT JOIN facts ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def context_blocks(spark, sf_dir):
+    name = F.concat(F.when(F.col("l_returnflag") == "R", "Refund ").otherwise("colour "), "l_linenumber")
+    facts = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("conversation_id"), F.col("l_linenumber").alias("place"), name.alias("name"), F.col("l_linestatus").alias("value")
+    )
+    listing = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("L"), "o_orderkey"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("conversation_id"), listing.alias("listing_item_ref"))
+    return rules.context_blocks(orders, facts)
+
+
+@query("""
+    SELECT o_orderkey AS revision_id, concat_ws(',', CASE WHEN p_size < 25 THEN 'P-' || p_partkey END, CASE WHEN o_orderkey % 3 = 0 THEN 'total' END) AS cited,
+           NOT (coalesce(p_size < 25, false) OR o_orderkey % 3 = 0) AS requires_review
+    FROM orders LEFT JOIN part ON p_partkey = o_custkey""")
+def cited_drafts(spark, sf_dir):
+    """Drafts that cite a part in brackets and a fact; only small parts are rules, and a third know the fact."""
+    key = F.col("o_orderkey")
+    cites = F.concat(
+        F.lit('[{"kind": "cst_document", "ref": "[P-'), "o_custkey", F.lit(']"}, {"kind": "fact", "ref": "total"}, {"kind": "cst_document", "ref": " "}]')
+    )
+    response = F.concat(F.lit('{"draft_reply": "Thank you", "missing_information": [], "requires_review": false, "sources_used": '), cites, F.lit("}"))
+    names = F.when(key % 3 == 0, F.array(F.lit("total"))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf_dir, "orders").select(key.alias("revision_id"), response.alias("response"), F.lit("").alias("facts_text"), names.alias("names"))
+    known = table(spark, sf_dir, "part").where("p_size < 25").select(F.concat(F.lit("P-"), "p_partkey").alias("ref"))
+    out = rules.checked_drafts(rows, fact_names="names", known=known)
+    cited = F.array_join(F.transform("sources", lambda x: x["ref"]), ",")
+    return out.select("revision_id", cited.alias("cited"), "requires_review")

@@ -116,6 +116,13 @@ def missing_attachments(messages: DataFrame, sources: DataFrame, pk: str = "sour
     return both.where(~F.col("attachments").eqNullSafe(F.col("_urls"))).select(pk, F.col("_urls").alias("attachments"))
 
 
+def messages_of(messages: DataFrame, conversations: DataFrame, marketplace: str, source_table: str) -> DataFrame:
+    """Messages of one table of a source whose conversation is of a marketplace: those that a
+    backfill goes over."""
+    own = conversations.where(F.col("marketplace") == marketplace).select("conversation_id")
+    return messages.where(F.col("source_table") == source_table).join(own, "conversation_id", "left_semi")
+
+
 def thread_in_order(messages: DataFrame, thread: Column, ts: str = "source_ts", pk: str = "source_pk") -> DataFrame:
     return messages.where(thread).orderBy(ts, F.col(pk).cast("bigint"))
 

@@ -368,6 +368,49 @@ def import_report(found: DataFrame, unique: DataFrame) -> DataFrame:
     return per.join(all_, "file").withColumn("duplicates", F.col("_all") - F.col("rules")).drop("_all")
 
 
+def import_totals(found: DataFrame, unique: DataFrame, skipped: DataFrame, scrubbed: DataFrame) -> DataFrame:
+    """All of an import in one report: ``part, name, rules, triggers, examples, escalations, dropped``.
+
+    ``part`` is ``file``, ``type``, ``category`` or ``total``; one aggregation with grouping sets counts
+    all four.  ``dropped`` are a file's or all rules that repeat another.  ``scrubbed`` and ``skipped``
+    are the numbers of rows (``rules``) that looked like a customer's data and of sheets without rules.
+    """
+    names = {"file": "source_file", "type": "rule_type", "category": "category_name"}
+    rows = found.select(*names.values(), F.lit(0).alias("one"), F.lit(0).alias("triggers"), F.lit(0).alias("examples"), F.lit(0).alias("escalations"), F.lit(1).alias("all"))
+    kept = unique.select(
+        *names.values(), F.lit(1).alias("one"), F.coalesce(F.size("triggers"), F.lit(0)).alias("triggers"),
+        F.col("example").isNotNull().cast("int").alias("examples"), F.coalesce(F.col("escalation_required"), F.lit(False)).cast("int").alias("escalations"),
+        F.lit(0).alias("all"),
+    )
+    by = [F.col(c) for c in names.values()]
+    sums = [F.sum(c).alias(n) for c, n in (("one", "rules"), ("triggers", "triggers"), ("examples", "examples"), ("escalations", "escalations"), ("all", "_all"))]
+    out = rows.unionByName(kept).groupingSets([[by[0]], [by[1]], [by[2]], []], *by).agg(F.grouping_id().alias("_id"), *sums)
+    # the bits of the grouping columns that a set leaves out: 3 is by file, 5 by type, 6 by category
+    part = F.when(F.col("_id") == 3, "file").when(F.col("_id") == 5, "type").when(F.col("_id") == 6, "category").otherwise("total")
+    named = F.coalesce(*(F.when(part == p, F.col(c)) for p, c in names.items()))
+    counted = out.where((F.col("rules") > 0) | part.isin("file", "total")).select(
+        part.alias("part"), named.alias("name"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("rules", "triggers", "examples", "escalations")),
+        F.when(part.isin("file", "total"), F.coalesce(F.col("_all") - F.col("rules"), F.lit(0))).alias("dropped"),
+    )
+    for name, rows in (("scrubbed", scrubbed), ("skipped", skipped)):
+        nothing = (F.lit(None).cast("bigint").alias(c) for c in ("triggers", "examples", "escalations", "dropped"))
+        counted = counted.unionByName(rows.agg(F.count("*").alias("rules")).select(F.lit(name).alias("part"), F.lit(None).cast("string").alias("name"), "rules", *nothing))
+    return counted
+
+
+def areas_in_order(rules: DataFrame, *order: str) -> DataFrame:
+    """``area, place, rules, refs`` of each area, by where its first rule stands in ``order``; ``refs`` are
+    its rules' references in that order.
+
+    Only a row an area is ranked over all.
+    """
+    order = order or ("category", "source_sheet", "source_row")
+    refs = F.transform(F.array_sort(F.collect_list(F.struct(*order, "ref"))), lambda x: x["ref"])
+    per = _by_area(rules).agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("rules"), refs.alias("refs"))
+    place = F.row_number().over(Window.orderBy("_first", "area"))
+    return per.select("area", place.alias("place"), "rules", "refs")
+
+
 def type_counts(rules: DataFrame) -> DataFrame:
     return rules.groupBy("rule_type").agg(F.count("*").alias("rules")).orderBy(F.desc("rules"), "rule_type")
 
@@ -456,11 +499,52 @@ def thread_prompt(messages: DataFrame, key: str = "conversation_id") -> DataFram
     return messages.groupBy(key).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("prompt"))
 
 
-def checked_drafts(responses: DataFrame, raw: str = "response", facts: str = "facts_text") -> DataFrame:
+#: Fact names that tell of an order; others tell of the product.
+ORDER_FACT = "(?i)order|refund|tracking|delivery"
+
+
+def context_blocks(
+    conversations: DataFrame, facts: DataFrame, key: str = "conversation_id", order_pattern: str = ORDER_FACT,
+    headings: tuple[str, str] = ("ORDER", "PRODUCT"), none_known: str = "nothing is known", listing: str = "listing",
+) -> DataFrame:
+    """``key, order_block, product_block``: what is known of each conversation's order and product, a line a
+    fact in the order of ``facts.place``, then of the line.
+
+    A fact is of the order if its name says so, else of the product, whose block begins with the
+    conversation's ``listing_item_ref``.  A block without a line says so, so that nobody fills it in.
+    """
+    of_order = F.coalesce(F.rlike("name", F.lit(order_pattern)), F.lit(False))
+    line = F.concat(F.lit("- "), "name", F.lit(": "), F.coalesce("value", F.lit("")))
+    each = F.array_sort(F.collect_list(F.struct("place", of_order.alias("of_order"), line.alias("line"))))
+    rows = conversations.select(key, "listing_item_ref").join(facts.groupBy(key).agg(each.alias("_facts")), key, "left")
+
+    def lines(wanted: Column) -> Column:
+        empty = F.array().cast("array<string>")
+        return F.coalesce(F.transform(F.filter("_facts", lambda x: x["of_order"] == wanted), lambda x: x["line"]), empty)
+
+    def block(heading: str, found: Column) -> Column:
+        return F.concat(F.lit(f"{heading}:\n"), F.when(F.size(found) > 0, F.array_join(found, "\n")).otherwise(none_known))
+
+    ref = F.concat(F.lit(f"- {listing}: "), "listing_item_ref")
+    product = F.array_compact(F.concat(F.array(ref), lines(F.lit(False))))
+    return rows.select(key, block(headings[0], lines(F.lit(True))).alias("order_block"), block(headings[1], product).alias("product_block"))
+
+
+#: Kind of citations that name a rule; others name a fact.
+RULE_KIND = "cst_document"
+
+
+def checked_drafts(
+    responses: DataFrame, raw: str = "response", facts: str = "facts_text",
+    fact_names: str | None = None, known: DataFrame | None = None, key: str = "revision_id",
+) -> DataFrame:
     """Responses parsed to ``draft_reply, sources, missing, requires_review, claims, valid``.
 
     One that is no JSON object of the schema, or has no reply, is not ``valid``; claims
-    without a fact, missing facts or no source make a review necessary.
+    without a fact, missing facts or no source make a review necessary.  With ``fact_names``, a
+    column of names, citations are checked first, by their normal reference: one of RULE_KIND stays if
+    ``known`` (unless None) has its ``ref``, any other if a fact is named so; ``key`` tells
+    responses apart then.
     """
     schema = "draft_reply string, sources_used array<struct<kind:string,ref:string,label:string>>, missing_information array<string>, requires_review boolean"
     # parsed and scanned in projections of their own, so that each is done once a row
@@ -471,5 +555,28 @@ def checked_drafts(responses: DataFrame, raw: str = "response", facts: str = "fa
     valid = F.coalesce(T.trimmed(r["draft_reply"]) != "", F.lit(False))
     found = {"draft_reply": r["draft_reply"], "sources": sources, "missing": missing, "claims": claims, "valid": valid}
     rows = rows.withColumns(found)
+    if fact_names is not None:
+        rows = _checked_sources(rows, fact_names, known, key)
     review = T.needs_review(F.coalesce(r["requires_review"], F.lit(True)), *(F.col(c) for c in ("missing", "sources", "claims")))
     return rows.withColumn("requires_review", review | ~F.col("valid")).drop("_draft")
+
+
+def _checked_sources(rows: DataFrame, fact_names: str, known: DataFrame | None, key: str) -> DataFrame:
+    """Rows whose ``sources`` have normal references and are those that may be cited."""
+
+    def normal(x: Column) -> Column:
+        return F.struct(x["kind"].alias("kind"), T.normal_ref(x["ref"]).alias("ref"), x["label"].alias("label"))
+
+    rows = rows.withColumn("sources", F.transform("sources", normal))
+    is_rule = lambda x: F.coalesce(x["kind"] == RULE_KIND, F.lit(False))
+    allowed = lambda x: F.lit(True)
+    if known is not None:
+        # rules are met by reference, a row a citation; the rows themselves stay out of it until the end
+        cited = rows.select(key, F.explode(F.filter("sources", is_rule)).alias("x")).select(key, F.col("x.ref").alias("ref"))
+        there = known.select(T.normal_ref(F.col("ref")).alias("ref")).distinct()
+        found = cited.join(there, "ref", "left_semi").groupBy(key).agg(F.collect_set("ref").alias("_there"))
+        rows = rows.join(found, key, "left")
+        allowed = lambda x: F.array_contains("_there", x["ref"])
+    named = lambda x: F.array_contains(fact_names, x["ref"])
+    keep = lambda x: (x["ref"] != "") & F.coalesce(F.when(is_rule(x), allowed(x)).otherwise(named(x)), F.lit(False))
+    return rows.withColumn("sources", F.filter("sources", keep)).drop("_there")

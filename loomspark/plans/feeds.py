@@ -40,13 +40,17 @@ class Outcome:
     messages: DataFrame
     unresolved: DataFrame
     conversations: DataFrame
+    excluded: DataFrame | None = None
 
 
 def derive(feed: Feed, raw: DataFrame) -> Outcome:
+    """Messages of another marketplace, which a reader of rows from several may give, are in no
+    thread; ``excluded`` counts them."""
     rows = feed.messages(raw)
-    messages = threads.threaded(rows.where(F.col("row_class") == "message"), feed.rule)
+    own, excluded = threads.of_marketplace(rows.where(F.col("row_class") == "message"), feed.marketplace)
+    messages = threads.threaded(own, feed.rule)
     return Outcome(
-        classify.class_counts(rows), messages, rows.where(F.col("row_class") == "ambiguous"), threads.conversations(messages, feed.rule)
+        classify.class_counts(rows), messages, rows.where(F.col("row_class") == "ambiguous"), threads.conversations(messages, feed.rule), excluded
     )
 
 

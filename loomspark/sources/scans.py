@@ -69,10 +69,40 @@ def read_limit(asked: int | None, default: int = 100, most: int = 200) -> int:
     return min(asked, most)
 
 
-def scan(table: DataFrame, columns: list[str], ts: str, pk: str, window, limit: int | None = None) -> DataFrame:
-    """Columns of the rows in a window; with a limit, the first in source order."""
-    rows = table.where(in_window(F.col(ts), F.col(pk), window)).select(*columns)
-    return rows if limit is None else rows.orderBy(ts, pk).limit(fetch_limit(limit))
+def scan(table: DataFrame, columns: list[str | Column], ts: str, pk: str, window, limit: int | None = None, most: int = 5000) -> DataFrame:
+    """Columns of the rows in a window; with a limit (``most`` at most), the first in source order."""
+    rows = table.where(in_window(F.col(ts), F.col(pk), window))
+    return (rows if limit is None else rows.orderBy(ts, pk).limit(fetch_limit(limit, most=most))).select(*columns)
+
+
+# ---- fixed values ----------------------------------------------------------------------
+#: What is read of each source, by name; its key and time are the first column and SOURCE_TIMES'.
+SOURCE_COLUMNS = {
+    "ebay": ("id", "ext_message_id", "message_id", "sub_source", "item_id", "folder_id", "message_type", "sender_id", "receiver_id", "receive_date"),
+    "amazon": ("id", "message_id", "sub_source", "from_msg", "from_name", "message_type", "order_id", "asin", "message_date", "message_content"),
+    "shopify": ("id", "message_id", "sub_source", "from_msg", "to_msg", "subject", "order_id", "message_date", "message_content"),
+    "bandq": ("id", "message_id", "sub_source", "message_type", "order_id", "message_date", "message_content"),
+    "temu": ("id", "message_id", "sub_source", "message_type", "order_id", "message_date", "message_content"),
+}
+SOURCE_TIMES = {"ebay": "receive_date"}
+#: Columns given as text, so that large ids and times come through as they are.
+AS_TEXT = ("id", "ext_message_id", "item_id", "receive_date", "message_date")
+#: Most rows of a scan of headers; other sources have the common cap.
+SOURCE_CAPS = {"ebay": 1000}
+# ----------------------------------------------------------------------------------------
+
+
+def source_scan(source: str, table: DataFrame, window, limit: int | None = None, bodies: DataFrame | None = None) -> DataFrame:
+    """What is read of a source in a window, ids and times as text; headers with their bodies.
+
+    Rows are chosen and put in order by key and time before these become text, and headers are
+    bounded before they meet their bodies.
+    """
+    ts = SOURCE_TIMES.get(source, "message_date")
+    rows = scan(table, list(SOURCE_COLUMNS[source]), ts, "id", window, limit, SOURCE_CAPS.get(source, 5000))
+    if bodies is not None:
+        rows = with_bodies(rows, bodies)
+    return rows.select(*(F.col(c).cast("string").alias(c) if c in AS_TEXT else F.col(c) for c in rows.columns))
 
 
 def with_bodies(headers: DataFrame, bodies: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from loomspark.operators import classify, reads, rules, threads, upsert
+from loomspark.operators import classify, reads, rules, threads, upsert, usage
 from loomspark.plans import feeds
 from loomspark.sources import scans
 from pyspark.sql import functions as F
@@ -348,3 +348,43 @@ def test_states_of_runs(spark):
         "on": (a, 10, now, now, "ok", None), "back": (b, 5, now, now, "ok", None), "fails": (a, 1, now, a, "failed", "no route"),
         "rests": (a, 1, a, a, "ok", None), "first": (b, 2, now, now, "ok", None), "new": (None, None, now, now, "ok", None),
     }
+
+
+def test_sources_have_their_columns_and_caps(spark):
+    shape = "id bigint, ext_message_id bigint, message_id string, sub_source int, item_id bigint, folder_id int, message_type string, sender_id string, receiver_id string"
+    rows = [(2**60 + k, k, f"m{k}", 1, k, 0, "in", "a", "b", datetime(2024, 1, 1, 0, k // 100)) for k in range(1200)]
+    headers = spark.createDataFrame(rows, f"{shape}, receive_date timestamp_ntz").withColumn("unread", F.lit(True))
+    bodies = spark.createDataFrame([(k, f"b{k}") for k in range(0, 1200, 2)], "message_id bigint, message string")
+    out = scans.source_scan("ebay", headers, scans.Everything(), 4000, bodies)
+    assert out.columns == [*scans.SOURCE_COLUMNS["ebay"], "body_raw"] and out.count() == 1000  # the cap of headers
+    first = out.orderBy("receive_date", "id").first()
+    assert (first["id"], first["body_raw"], first["receive_date"]) == (str(2**60), "b0", "2024-01-01 00:00:00")
+    temu = spark.range(2).select("id", *(F.lit("x").alias(c) for c in scans.SOURCE_COLUMNS["temu"][1:] if c != "message_date"), F.lit(datetime(2024, 1, 1)).alias("message_date"))
+    assert scans.source_scan("temu", temu, scans.Everything(), 10_000).count() == 2
+    assert scans.source_scan("temu", temu.limit(0), scans.Everything()).count() == 0
+
+
+def test_rows_of_another_marketplace_are_in_no_thread(spark):
+    rows = [("one", "message", k, f"c{k % 2}") for k in range(6)] + [("two", "message", 6, "c0"), (None, "message", 7, "c0"), ("two", "empty", 8, "c0")]
+    shape = "marketplace string, row_class string, source_pk bigint, counterparty_ref string"
+    messages = spark.createDataFrame(rows, shape).select(
+        "*", F.lit(1).alias("sub_source_id"), F.lit(None).cast("string").alias("listing_item_ref"), F.lit("inbound").alias("direction"),
+        F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz").alias("source_ts"), F.lit(None).cast("string").alias("filter_reason"),
+        F.lit(None).cast("string").alias("skip_reason"),
+    )
+    out = feeds.derive(feeds.Feed("one", lambda raw: raw, threads.ThreadingRule("order-v1", "single-v1")), messages)
+    assert out.messages.count() == 6 and out.excluded.first()["excluded_unusable"] == 2
+    assert sorted((r["counterparty_ref"], r["message_count"]) for r in out.conversations.collect()) == [("c0", 3), ("c1", 3)]
+
+
+def test_usage_rows_are_best_effort(spark, tmp_path):
+    calls = spark.createDataFrame(
+        [("p", "big-1", 1, 10, 1_000_000, 0, 1_000_000, "ok"), ("p", "other", 2, None, None, None, None, "failed")],
+        "provider string, model string, conversation_id bigint, draft_revision_id bigint, input_tokens bigint, output_tokens bigint, total_tokens bigint, outcome string",
+    ).withColumn("created_at", F.lit(datetime(2024, 1, 1)))
+    rates = spark.sql("SELECT 'big' AS prefix, CAST(2.5 AS DECIMAL(10,4)) AS input_rate, CAST(4 AS DECIMAL(10,4)) AS output_rate")
+    said, path = [], str(tmp_path / "usage")
+    assert usage.record_usage(calls, rates, path, said.append) == {"recorded": True} and not said
+    assert usage.record_usage(calls.drop("model"), rates, path, said.append) == {"recorded": False} and len(said) == 1
+    found = {r["conversation_id"]: r["estimated_cost_usd"] for r in spark.read.parquet(path).collect()}
+    assert found[1] == 2.5 and found[2] is None and len(found) == 2
