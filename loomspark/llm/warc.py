@@ -18,10 +18,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm._shared import arrow_filesystem, shuffle_partitions, spread_join, written
+from loomspark.llm.mix import ranked
 
 #: Equal payloads from this size on are written once and then revisited.
 REVISIT_BYTES = 1000
@@ -172,9 +173,10 @@ def shard_bounds(rows: DataFrame, shards: int, sample_keys: int = SAMPLE_KEYS) -
     n, most = keys.count(), sample_keys * shards
     if n > most:
         keys = keys.where(F.pmod(F.xxhash64("page_id", F.lit("shard")), F.lit(n)) < most)
-    # about so many keys, whatever n is; of each shard one comes to the driver
-    found = keys.distinct()
-    place = F.floor((F.percent_rank().over(Window.orderBy("page_id"))) * shards)
+    # about so many keys, whatever n is, ranked by counted ranges; of each shard one comes to the driver
+    found = ranked(keys.distinct(), "page_id")
+    last = found.agg(F.max("rank")).first()[0] or 1
+    place = F.floor(F.col("rank") / F.lit(last) * shards)
     starts = found.withColumn("at", place).groupBy("at").agg(F.min("page_id").alias("first")).where(F.col("at").between(1, shards - 1))
     return sorted(r["first"] for r in starts.collect())
 

@@ -94,3 +94,17 @@ def test_bounds_are_quantiles(spark):
     assert bounds == warc.shard_bounds(rows.repartition(5), 40) and len(bounds) == 39
     sizes = rows.groupBy(warc.place_among(bounds, "page_id")).count().collect()
     assert max(r["count"] for r in sizes) <= 3 * 5000 / 40
+
+
+def test_bounds_are_quantiles_of_the_keys(spark):
+    """Ranks counted by ranges give the bounds that a sort of all keys would."""
+    from loomspark.llm import warc
+
+    keys = sorted({(k * 7919) % 4001 for k in range(2500)})
+    rows = spark.createDataFrame([(k,) for k in keys + keys[:50]] + [(None,)], "page_id bigint").repartition(7)
+    place = [k * 9 // (len(keys) - 1) for k in range(len(keys))]
+    want = [min(k for k, p in zip(keys, place) if p == shard) for shard in range(1, 9)]
+    assert warc.shard_bounds(rows, 9, sample_keys=10_000) == want
+    assert warc.shard_bounds(rows.limit(0), 9) == [] and warc.shard_bounds(rows.where("page_id = 7919 % 4001"), 3) == []
+    bounds = warc.shard_bounds(rows, 40, sample_keys=10)
+    assert bounds == warc.shard_bounds(rows.repartition(3), 40, sample_keys=10) == sorted(set(bounds)) and len(bounds) > 20
