@@ -15,24 +15,35 @@ again with the places in the checkpoint, before the next page is asked for.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from loomspark.sources.scans import After, Everything, Since, fetch_limit
-from loomspark.sources.workbooks import _opened as opened
 
 _LEAST, _MOST = -(2**63), 2**63 - 1
+# readers run in processes that may not have this package on their path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of what Spark calls ``path``."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe=":/@")) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def micros_of(at: datetime) -> int:
