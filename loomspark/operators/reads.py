@@ -6,6 +6,7 @@ import re
 from collections.abc import Sequence
 from decimal import Decimal
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,18 +53,24 @@ def row_at(rows: DataFrame, offset: int, *order: str) -> DataFrame:
 def page_starts(rows: DataFrame, size: int, ts: str, pk: str, most: int = 1_000_000) -> DataFrame:
     """``page, ts, pk`` of the row that begins each page of ``size`` rows, in the order of both.
 
-    Rows are cut by quantiles of their times into ranges of about ``most`` rows, 1000 at most, which
-    are counted and sorted each on its own; a row's place is its place within and the rows of the
-    ranges before.  Rows of one instant are one range.
+    Rows are cut by quantiles of their times into ranges of about ``most`` rows, which are counted
+    and sorted each on its own; a row's place is its place within and the rows of the ranges before.
+    Rows of one instant are one range.  A time finds its range by binary search, and not by a
+    function over an array of bounds, from which Spark infers a filter that it can't run.
     """
     at = micros(rows, ts)
-    cuts = min(1000, -(-rows.count() // most))
+    cuts = -(-rows.count() // most)
     bounds = []
     if cuts > 1:
         wanted = F.array(*(F.lit(k / cuts) for k in range(1, cuts)))
-        bounds = sorted(set(rows.agg(F.percentile_approx(at, wanted, 10_000)).first()[0] or []))
-    below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= at)) if bounds else F.lit(0)
-    cut = rows.select(F.col(ts).alias("ts"), F.col(pk).alias("pk"), below.alias("_range"))
+        bounds = sorted(set(rows.agg(F.percentile_approx(at, wanted, 10 * max(1000, cuts))).first()[0] or []))
+    first = float("-inf")  # the place of rows without a time
+    cut = rows.select(F.col(ts).alias("ts"), F.col(pk).alias("pk"), F.coalesce(at.cast("double"), F.lit(first)).alias("_at"))
+    if bounds:
+        cut = Bucketizer(splits=[first, *map(float, bounds), float("inf")], inputCol="_at", outputCol="_range").transform(cut)
+    else:
+        cut = cut.withColumn("_range", F.lit(0.0))
+    cut = cut.select("ts", "pk", F.col("_range").cast("int").alias("_range"))
     before = F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
     counts = cut.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_range").orderBy("ts", "pk"))

@@ -292,6 +292,15 @@ def test_hot_keys_are_cut_into_pieces(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_page_starts_of_a_table_as_it_is_read(spark, sf_dir):
+    """Ranges of a time column that comes straight from the files, to which Spark may infer filters."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = sorted((r["ts"], r["event_id"]) for r in events.collect())
+    want = [(k // 7, *rows[k]) for k in range(0, len(rows), 7)]
+    for most in (40, 100, 500):
+        assert sorted(map(tuple, reads.page_starts(events, 7, "ts", "event_id", most).collect())) == want
+
+
 def test_page_starts_in_ranges(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.date_trunc("DAY", "ts").cast("timestamp_ntz").alias("ts"))
     rows = sorted((r["ts"], r["event_id"]) for r in events.collect())
