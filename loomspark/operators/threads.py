@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,29 @@ def gap_segments(rows: DataFrame, keys: list[str], ts: str, pk: str, gap: str =
     return rows.withColumn("_new", new.cast("int")).withColumn(out, F.sum("_new").over(running)).drop("_new")
 
 
+def _piece(bounds: dict[int, np.ndarray]):
+    """A function of columns: number of a hot key (-1: none), time and hash to the number of a piece.
+
+    That is how many of the key's sorted bounds are before the time, and of the pieces that begin
+    with the time itself the hash chooses one.
+    """
+
+    @F.pandas_udf("int")
+    def piece(key: pd.Series, at: pd.Series, tie: pd.Series) -> pd.Series:
+        key, at, tie = key.to_numpy(), at.to_numpy(), tie.to_numpy()
+        out = np.zeros(len(key), "int32")
+        order = np.argsort(key, kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            if len(mine) and key[mine[0]] in bounds:
+                edges = bounds[key[mine[0]]]
+                below = np.searchsorted(edges, at[mine], "left")
+                same = np.searchsorted(edges, at[mine], "right") - below
+                out[mine] = below + np.where(same > 0, 1 + tie[mine] % np.maximum(same, 1), 0)
+        return pd.Series(out)
+
+    return piece
+
+
 def spread_gap_segments(
     rows: DataFrame, keys: list[str], ts: str, pk: str, gap: str = "30 days", out: str = "segment", most: int = 1_000_000
 ) -> DataFrame:
@@ -32,7 +57,8 @@ def spread_gap_segments(
     times; many rows of one instant are dealt to several pieces, since none of them can start a
     session after another.  Each piece is scanned on its own and told by its first and last time and
     the breaks within; a second scan, over one row a piece, adds the breaks between pieces and sums
-    up.  Rows are shuffled once.  Hot keys are ``rows / most`` at most, and only they are sent about.
+    up.  Rows are shuffled once.  Hot keys are ``rows / most`` at most, and only they are sent about;
+    their bounds, a number a piece, are sent to all tasks and searched there by halving.
     """
     name = "_key"
     keyed = rows.withColumn(name, F.struct(*keys))
@@ -41,16 +67,17 @@ def spread_gap_segments(
     if largest is None:
         return gap_segments(rows, keys, ts, pk, gap, out)
     cuts = -(-largest // most)
-    micros = scans.micros(rows, ts)
-    at = F.array(*(F.lit(k / cuts) for k in range(1, cuts)))
-    bounds = keyed.join(F.broadcast(counts.select(name)), name).groupBy(name)
-    bounds = bounds.agg(F.percentile_approx(micros, at, 10 * max(1000, cuts)).alias("_bounds"))
-    # pieces before the time, and those that begin with it, among which a hash chooses
-    below = F.size(F.filter("_bounds", lambda b: b < F.col("_us")))
-    same = F.size(F.filter("_bounds", lambda b: b == F.col("_us")))
-    piece = F.when(F.col("_bounds").isNull(), 0).otherwise(below + F.when(same > 0, 1 + F.pmod(F.xxhash64(pk), same)).otherwise(0))
-    cut = keyed.join(F.broadcast(bounds), name, "left").withColumn("_us", micros).withColumn("_piece", piece.cast("int"))
-    cut = cut.drop("_us", "_bounds")
+    micros = F.coalesce(scans.micros(rows, ts), F.lit(-(2**63)))  # rows without a time come first
+    # all hot keys are cut as finely as the largest; of their bounds every so manyth is kept
+    step = F.expr(f"{cuts} div ((_n + {most} - 1) div {most})")
+    number = F.row_number().over(Window.orderBy(name)) - 1
+    hot = F.broadcast(counts.select(name, number.alias("_hot"), step.alias("_step")))
+    wanted = F.array(*(F.lit(k / cuts) for k in range(1, cuts)))
+    bounds = keyed.join(hot, name).groupBy("_hot", "_step").agg(F.percentile_approx(micros, wanted, 10 * max(1000, cuts)).alias("all"))
+    bounds = bounds.select("_hot", F.filter("all", lambda b, place: (place + 1) % F.col("_step") == 0).alias("kept"))
+    piece = _piece({r["_hot"]: np.array(r["kept"], "int64") for r in bounds.collect()})
+    cut = keyed.join(hot, name, "left")
+    cut = cut.withColumn("_piece", piece(F.coalesce("_hot", F.lit(-1)), micros, F.xxhash64(pk))).drop("_hot", "_step")
 
     now = F.date_trunc("MILLISECOND", F.col(ts)).cast("timestamp_ntz")
     pause = F.expr(f"interval {gap}")
