@@ -13,12 +13,13 @@ and a rate of company divided by theirs estimates precision (Elkan and Noto, 200
 forms that the trees haven't seen calibrate the thresholds.
 
 Everything runs as DataFrame expressions.  Each text is read once; the boosted trees are
-fitted by Spark ML on a bounded sample of candidates and then applied as a SQL expression,
-so no row is shuffled to be scored.
+fitted by Spark ML on all candidates, as counts of equal features, and then applied as a SQL
+expression, so no row is shuffled to be scored.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
@@ -113,8 +114,6 @@ FEATURES = (
     "kind", "chars", "digits", "groups", "letters", "dots", "spaces", "dashes", "brackets", "at", "plus",
     "zeros", "spelt", "luhn", "octets", "cue", "joined_before", "joined_after",
 )
-#: Candidates that the trees are fitted and calibrated on, about; a third of them rewritten ones.
-FIT_CANDIDATES = 20_000
 #: Estimated precision on candidates not fitted on that a kind's threshold must reach.
 PRECISION = 0.8
 
@@ -257,28 +256,20 @@ def _tree_sql(node) -> str:
     )
 
 
-def _picked(rows: DataFrame, most: int) -> DataFrame:
-    """About ``most`` rows by their hash ``h``, or all."""
-    there = rows.count()
-    return rows.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * most / there)) if there > most else rows
-
-
-def training_candidates(scanned: DataFrame, rows: int = FIT_CANDIDATES, seed: int = 11) -> DataFrame:
-    """``form, company, doc, f`` of a bounded sample of the corpus' candidates (form null), of
-    strict spans (form ``strict``) and of those rewritten into loose forms.
+def training_candidates(scanned: DataFrame, seed: int = 11) -> DataFrame:
+    """``form, company, doc, f`` of all of the corpus' candidates (form null), of all strict spans
+    (form ``strict``) and of those rewritten into loose forms.
 
     ``doc`` is a hash of the document, by which texts are held out.
     """
     doc = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(3)).alias("doc")
     own = scanned.select("doc_id", doc, "company", F.explode("candidates").alias("c"))
-    own = own.withColumn("h", F.xxhash64("doc_id", "c.s", "c.f.kind", F.lit(seed)))
-    own = _picked(own, rows - rows // 3).select(
+    own = own.select(
         F.lit(None).cast("string").alias("form"), F.expr("company[int(c.f.kind)]").alias("company"), "doc", F.col("c.f").alias("f")
     )
     out = [own]
     for n, kind in enumerate(KINDS):
         strict = scanned.select("doc_id", doc, F.expr(f"company[{n}]").alias("company"), F.explode(f"base_{kind}").alias("x"))
-        strict = _picked(strict.withColumn("h", F.xxhash64("doc_id", "x.s", F.lit(seed))), rows // 3 // (4 * len(FORMS[kind])))
         strict = strict.select("company", "doc", "x", F.col("x.m").alias("m"), F.expr("regexp_replace(x.m, '[^0-9]', '')").alias("d"))
         forms = ", ".join(f"'{name}', {sql}" for name, sql in FORMS[kind].items())
         loose = strict.select("company", "doc", "x", F.explode(F.expr(f"map('strict', m, {forms})")).alias("form", "loose"))
@@ -292,37 +283,43 @@ def training_candidates(scanned: DataFrame, rows: int = FIT_CANDIDATES, seed: in
     return all_
 
 
-def fit_selector(
-    scanned: DataFrame, rows: int = FIT_CANDIDATES, precision: float = PRECISION, seed: int = 11
-) -> Selector | None:
-    """Boost trees on about ``rows`` candidates; None if all or none of them have company.
+def fit_selector(scanned: DataFrame, precision: float = PRECISION, seed: int = 11) -> Selector | None:
+    """Boost trees on all candidates of two thirds of the texts; None if all or none of those have
+    company.
 
-    A kind's threshold is the lowest at which candidates that weren't fitted on reach the
-    precision, both all of them and the corpus' own (give or take two standard errors).  A kind
-    whose strict spans have no company gets none.
+    Equal features are one row with a weight.  Spark ML takes the values to split at from
+    ``maxBins ** 2`` rows or 10,000, so there are as many bins as let it take all of them.  A kind's
+    threshold is the lowest at which candidates that weren't fitted on, all of the other texts,
+    reach the precision, both all of them and the corpus' own (give or take two standard errors).
+    A kind whose strict spans have no company gets none.
     """
-    sample = written(training_candidates(scanned, rows, seed), "pii-sample")
+    counted = training_candidates(scanned, seed).groupBy("form", "company", "doc", "f").agg(F.count("*").alias("n"))
+    counted = written(counted, "pii-counts")
     held_form = F.expr(" OR ".join(f"(f.kind = {n} AND form IN {HELD_OUT[k] + ('',)})" for n, k in enumerate(KINDS)))
     held_form = F.coalesce(held_form, F.lit(False))
     strict = F.coalesce(F.col("form") == "strict", F.lit(False))
     label = F.col("company").cast("double").alias("label")
-    for_fit = sample.where(~strict & ~held_form & (F.col("doc") != 0)).select("f.*", label)
-    if for_fit.select("label").distinct().count() < 2:
+    good = F.sum(F.col("company").cast("bigint") * F.col("n")).alias("good")
+    for_fit = counted.where(~strict & ~held_form & (F.col("doc") != 0)).groupBy("f", "company").agg(F.sum("n").cast("double").alias("n"))
+    there = for_fit.agg(F.count("*").alias("rows"), F.count_distinct("company").alias("labels")).first()
+    if there["labels"] < 2:
         return None
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(for_fit)
-    model = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=seed, checkpointInterval=-1).fit(
-        vectors.select("features", "label").coalesce(4)
-    )
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(for_fit.select("f.*", label, "n"))
+    boosted = GBTClassifier(
+        maxIter=12, maxDepth=3, stepSize=0.3, seed=seed, checkpointInterval=-1, weightCol="n",
+        maxBins=max(32, math.isqrt(there["rows"]) + 1),
+    )
+    model = boosted.fit(vectors.select("features", "label", "n"))
     trees = (f"{w!r}D * {_tree_sql(t._java_obj.rootNode())}" for w, t in zip(model.treeWeights, model.trees))
     margin = " + ".join(trees)
     score = F.round(F.least(F.greatest(F.expr(margin), F.lit(-5.0)), F.lit(5.0)), 2)
     kind = F.col("f.kind").cast("int").alias("kind")
-    rates = sample.where(strict).groupBy(kind).agg(F.avg(label).alias("rate")).collect()  # four rows at most
+    rates = counted.where(strict).groupBy(kind).agg((good / F.sum("n")).alias("rate")).collect()  # four rows at most
     rate = {r["kind"]: r["rate"] for r in rates}
     own = F.col("form").isNull().alias("own")
-    tried = sample.where(~strict & (F.col("doc") == 0) & (F.col("form").isNull() | held_form))
+    tried = counted.where(~strict & (F.col("doc") == 0) & (F.col("form").isNull() | held_form))
     # at most 1001 scores a kind
-    bins = tried.groupBy(kind, score.alias("score"), own).agg(F.count("*").alias("n"), F.sum(label).alias("good")).collect()
+    bins = tried.groupBy(kind, score.alias("score"), own).agg(F.sum("n").alias("n"), good).collect()
     thresholds = {}
     for number, name in enumerate(KINDS):
         if not rate.get(number):
@@ -341,7 +338,7 @@ def fit_selector(
     return Selector(margin, thresholds)
 
 
-def find_personal_data(docs: DataFrame, fit_rows: int = FIT_CANDIDATES, precision: float = PRECISION) -> DataFrame:
+def find_personal_data(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """Spans of personal data in every text.
 
     Returns ``doc_id``, ``base`` and ``added``, arrays of ``(s, k, e)``: start, number of
@@ -352,7 +349,7 @@ def find_personal_data(docs: DataFrame, fit_rows: int = FIT_CANDIDATES, precisio
     never hold strict spans of two kinds there is nothing to learn from, and none are added.
     """
     scanned = written(scan(docs), "pii-scan")
-    selector = fit_selector(scanned, fit_rows, precision)
+    selector = fit_selector(scanned, precision)
     base = ", ".join(f"transform(base_{k}, x -> named_struct('s', x.s, 'k', {n}, 'e', x.e))" for n, k in enumerate(KINDS))
     added = F.expr("cast(array() AS array<struct<s:int,k:int,e:int>>)")
     if selector and selector.thresholds:

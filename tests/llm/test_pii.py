@@ -142,6 +142,31 @@ def test_forms_are_found_by_generators(spark):
         assert not any(s < c["e"] and c["s"] < e for c in r["candidates"] for s, e in base)
 
 
+def test_all_candidates_are_learned_from(spark, monkeypatch):
+    """Of 24,000 texts with a candidate each and 4000 with strict spans none is left out: not of the
+    candidates, nor of the weights that the trees are fitted with, nor of the values they split at."""
+    rows = [(k, f"the host 10.1.{k % 7}.{k % 250} is up, write to anna{k % 90} (at) post.example.org soon") for k in range(12_000)]
+    rows += [(12_000 + k, f"by card 4111{k:05d}0000{k % 900:03d} today") for k in range(12_000)]
+    rows += [(24_000 + k, f"write to user{k % 99}@example.com, the host is 10.2.{k % 9}.1") for k in range(4000)]
+    scanned = pii.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).cache()
+    size = scanned.select(F.expr("sum(size(candidates))"), *(F.sum(F.size(f"base_{k}")) for k in pii.KINDS)).first()
+    every = pii.training_candidates(scanned).cache()
+    assert every.where("form IS NULL").count() == size[0] >= 20_000
+    assert every.where("form = 'strict'").count() == sum(size[1:]) >= 8000
+
+    seen, real = [], pii.GBTClassifier
+    class Spy(real):  # noqa: E301
+        def fit(self, rows):
+            seen.append((rows.count(), rows.agg(F.sum(self.getWeightCol())).first()[0], self.getMaxBins()))
+            return super().fit(rows)
+
+    monkeypatch.setattr(pii, "GBTClassifier", Spy)
+    selector = pii.fit_selector(scanned)
+    held = " OR ".join(f"(f.kind = {n} AND form IN {pii.HELD_OUT[k] + ('',)})" for n, k in enumerate(pii.KINDS))
+    fitted = every.where(f"doc <> 0 AND (form IS NULL OR form <> 'strict' AND NOT ({held}))").count()
+    assert selector and seen[0][1] == fitted and seen[0][0] <= max(10_000, seen[0][2] ** 2)
+
+
 def test_nothing_to_learn_from(spark):
     """Without company nothing is added."""
     rows = [(k, f"please call phone +1 (555) {200 + k % 700}-{1000 + k} now") for k in range(100)]
