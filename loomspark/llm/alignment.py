@@ -116,17 +116,20 @@ class Pair:
         what is before it is no white space.
         """
         good = np.zeros(len(chunks), bool)
-        a: list[list[int]] = []
-        b: list[list[int]] = []
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
 
         def take(since: int, to: int) -> None:
-            if (found := self.encode("".join(chunks[since:to]))) is not None:
-                good[since:to] = True
-                a.append(found[0])
-                b.append(found[1])
-            elif to - since > 1:
-                take(since, (since + to) // 2)
-                take((since + to) // 2, to)
+            """Encode a run, by halves where its bytes aren't kept.  They are put on a list: a function
+            that calls itself is a cycle, which would hold the ids until Python looks for cycles."""
+            left = [(since, to)]
+            while left:
+                since, to = left.pop()
+                if (found := self.encode("".join(chunks[since:to]))) is not None:
+                    good[since:to] = True
+                    for x, ids in zip((a, b), found):
+                        x.append(np.array(ids, np.int64))
+                elif to - since > 1:
+                    left += [((since + to) // 2, to), (since, (since + to) // 2)]
 
         since, chars = 0, 0
         for k, chunk in enumerate(chunks):
@@ -136,7 +139,7 @@ class Pair:
                 since, chars = k + 1, 0
         if since < len(chunks):
             take(since, len(chunks))
-        return *(np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))) for x in (a, b)), good
+        return np.concatenate(a), np.concatenate(b), good
 
 
 @lru_cache(maxsize=1)

@@ -1,6 +1,8 @@
 import collections
+import gc
 import hashlib
 import json
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -168,3 +170,23 @@ def test_other_merges_are_run_by_the_library(models, pair):
     text = " the  quick <|endoftext|> fox's\n"
     assert pair.encode_a.__self__.__class__.__name__ == "Encoding" and other.encode_a.__name__ == "<lambda>"
     assert b"".join(other.a_bytes[k] for k in other.encode_a(text)) == text.encode()
+
+
+def test_a_table_that_starts_afresh_holds_nothing_of_before(pair):
+    """Ids of chunks go with their table, not only when Python looks for cycles: memory of a task
+    doesn't grow with its texts."""
+    table = alignment.Chunks(pair)
+    held = []
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        for k in range(5):
+            table.count([" ".join(f"word{k}x{i}" for i in range(5000)).encode(), "a b\x00 ▁c ﬁ \t".encode()])
+            assert table.partial_counts()[1].sum() > 5000
+            table.reset()
+            held.append(tracemalloc.get_traced_memory()[0])
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert held[-1] - held[0] < 100_000
